@@ -29,8 +29,8 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.count_if(F.col("l_returnflag") == flag)
 
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.avg("l_tax").alias("P_2"),
-        F.avg("l_discount").alias("S_3"),
+        F.sum("l_tax").alias("P_2"),
+        F.sum("l_discount").alias("S_3"),
         F.sum("l_quantity").alias("B_1"),
         F.min("l_extendedprice").alias("B_17"),
         F.max("l_quantity").alias("most_of_a_part"),
