@@ -16,7 +16,8 @@ def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str =
     left out, as in the built-in ``mode``.
 
     Values are counted per (entity, column, value) before they meet on the entity,
-    so what is gathered is bounded by the number of category values.
+    and the best of them is found map-side, so an entity with very many rows or
+    values sends one row per task.
     """
     if ties not in ("first_seen", "lowest"):
         raise ValueError(f"unknown tie rule {ties!r}")
@@ -24,20 +25,12 @@ def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str =
     common = "double" if all(types[c] not in ("string", "date") for c in columns) else "string"
     values = (df.select(spec.entity, spec.time, *[F.col(c).cast(common).alias(c) for c in columns])
               .unpivot([spec.entity, spec.time], columns, "column", "value"))
-    rank = [F.lit(-1) * F.col("n")]
-    first = []
-    if ties == "first_seen":
-        first = [F.min(spec.time).alias("first")]
-        rank.append(F.col("first"))
-    else:
-        values = values.where(F.col("value").isNotNull())
-    counts = values.groupBy(spec.entity, "column", "value").agg(F.count(F.lit(1)).alias("n"), *first)
-    best = counts.withColumn("candidate", F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], "value"))
+    counts = values.groupBy(spec.entity, "column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min(spec.time).alias("first"))
+    parts = [(-F.col("n")).alias("n"), *(["first"] if ties == "first_seen" else []), F.col("value")]
+    usable = F.col("value").isNotNull() if ties == "lowest" else F.lit(True)
+    best = counts.withColumn("candidate", F.when(usable, F.struct(*parts)))
     per_column = best.groupBy(spec.entity).agg(*[
         F.min(F.when(F.col("column") == c, F.col("candidate"))).alias(c) for c in columns])
-    modes = per_column.select(spec.entity, *[
+    return per_column.select(spec.entity, *[
         F.col(f"`{c}`.value").cast(types[c]).alias(f"mode_{c}") for c in columns])
-    if ties == "lowest":
-        # Entities whose categories are all null still get a row.
-        modes = df.select(spec.entity).distinct().join(modes, spec.entity, "left")
-    return modes

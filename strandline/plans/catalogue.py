@@ -405,13 +405,13 @@ def feature_matrix(spark, sf):
 def minmax_scale(spark, sf):
     split = prepare.with_split(_model_features(spark, sf), "customer_ID")
     scaler = prepare.MinMax.fit(split.where(F.col("split") == "train"), MODEL_COLUMNS)
-    return rounded(scaler.transform(split))
+    return rounded(scaler.transform(split), 9)
 
 
 @query
 def minmax_refit(spark, sf):
     features = _model_features(spark, sf)
-    return rounded(prepare.MinMax.fit(features, MODEL_COLUMNS).transform(features))
+    return rounded(prepare.MinMax.fit(features, MODEL_COLUMNS).transform(features), 9)
 
 
 @query
@@ -435,7 +435,7 @@ def smote_neighbours(spark, sf):
     label, _, _ = smote.minority(scaled)
     rare = scaled.where(F.col("target") == label).select("customer_ID", F.array(*MODEL_COLUMNS).alias("vector"))
     found = neighbours.nearest_neighbours(rare, "customer_ID", "vector", 5)
-    return rounded(found.select(F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"))
+    return rounded(found.select(F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"), 9)
 
 
 @query

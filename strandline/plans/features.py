@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from strandline.config import CleaningRules, PanelSpec
+from strandline.functions.columns import feature_names
 from strandline.operators.aggregate import entity_statistics
 from strandline.operators.clean import Cleaning, fit_imputer
 from strandline.operators.dates import date_features
 from strandline.operators.joins import attach_labels, inner_join_all
 from strandline.operators.modes import entity_modes
-from strandline.functions.columns import feature_names
 from strandline.session import staged
 
 
@@ -42,12 +42,11 @@ class FeaturePlan:
         return entity_statistics(self.cleaning.transform(panel), self.spec, self.rules.drop_aggregated)
 
     def _features(self, panel: DataFrame, statistics: DataFrame) -> DataFrame:
-        imputed = self.imputer.transform(statistics).drop(*self.names)
+        parts = [self.imputer.transform(statistics).drop(*self.names)]
         modes = [c for c in self.rules.modes if c in panel.columns]
-        parts = [imputed, date_features(panel, self.spec)]
         if modes:
-            parts.insert(1, entity_modes(self.cleaning.transform(panel), self.spec, modes))
-        return inner_join_all(parts, self.spec.entity)
+            parts.append(entity_modes(self.cleaning.transform(panel), self.spec, modes))
+        return inner_join_all([*parts, date_features(panel, self.spec)], self.spec.entity)
 
 
 def feature_table(panel: DataFrame, spec: PanelSpec, rules: CleaningRules = CleaningRules(),

@@ -54,10 +54,6 @@ def _flags(source: str = "") -> str:
     return ", ".join(f"coalesce(({cond})::int, 0) as \"{name}\"" for name, cond in FLAGS.items())
 
 
-def _rounded(column: str) -> str:
-    return f"round({column}, 6) as {column}"
-
-
 def _describe(table: str, columns, extra: str = "", where: str = "") -> str:
     head = f"{extra}, " if extra else ""
     return " union all ".join(
@@ -291,15 +287,15 @@ ORACLE_SQL: dict[str, str] = {
       ranges as (select {_listed(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in MODEL_COLUMNS)}
                  from parted where split = 'train')
       select customer_ID, target, split,
-        {_listed(f"round(({c} - lo_{c}) / (hi_{c} - lo_{c}), 6) as {c}" for c in MODEL_COLUMNS)} from parted, ranges""",
-    "minmax_refit": SCALED + " select customer_ID, target, " + _listed(map(_rounded, MODEL_COLUMNS)) + " from scaled",
+        {_listed(f"round(({c} - lo_{c}) / (hi_{c} - lo_{c}), 9) as {c}" for c in MODEL_COLUMNS)} from parted, ranges""",
+    "minmax_refit": SCALED + " select customer_ID, target, " + _listed(f"round({c}, 9) as {c}" for c in MODEL_COLUMNS) + " from scaled",
     "split_80_10_10": "with " + LABELS + f" select *, {SPLIT_NAME} as split from labels_of_orders",
     "tuning_sample": "with " + LABELS + f" select * from labels_of_orders where {HASH.format(seed=0, key='customer_ID', n=100)} < 25",
     "fold_assignment": "with " + LABELS + f" select *, ({HASH.format(seed=1, key='customer_ID', n=5)})::int as fold from labels_of_orders",
     "smote_neighbours": SCALED + f""", rarer as (
         select case when sum(target) <= count(*) - sum(target) then 1 else 0 end as label from scaled),
       rare as (select scaled.* from scaled join rarer on target = label)
-      select customer_ID, rank::int as rank, neighbour, round(distance2, 6) as distance2 from (
+      select customer_ID, rank::int as rank, neighbour, round(distance2, 9) as distance2 from (
         select a.customer_ID, b.customer_ID as neighbour,
           {" + ".join(f"(a.{c} - b.{c}) ** 2" for c in MODEL_COLUMNS)} as distance2,
           row_number() over (partition by a.customer_ID order by distance2, b.customer_ID) as rank
