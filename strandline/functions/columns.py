@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Aggregations of more fields than spark.sql.codegen.maxFields (100) leave generated code.
+FIELDS_PER_AGGREGATION = 90
+
+
+def blocks(items: list, fields_each: int = 1) -> list[list]:
+    """The items in groups whose fields together fit one generated aggregation."""
+    size = max(1, FIELDS_PER_AGGREGATION // fields_each)
+    return [items[i:i + size] for i in range(0, len(items), size)]
+
+
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]

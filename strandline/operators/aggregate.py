@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import PanelSpec
-from strandline.functions.columns import numeric_columns
+from strandline.functions.columns import blocks, numeric_columns
 from strandline.operators.joins import inner_join_all
 
-BLOCK_COLUMNS = 30
-
 
 def aggregate(df: DataFrame, key: str, functions: dict[str, str]) -> DataFrame:
     """``{column: function}`` grouped by ``key``; results are named ``function(column)``."""
     def call(name, column):
-        return F.call_function(name, F.col(f"`{column}`"))
+        return F.call_function(name, F.col(f"`{column}`")).alias(f"{name}({column})")
 
-    return df.groupBy(key).agg(*[call(fn, c).alias(f"{fn}({c})") for c, fn in functions.items()])
+    return inner_join_all([df.groupBy(key).agg(*[call(fn, c) for c, fn in part])
+                           for part in blocks(list(functions.items()))], key)
 
 
 def value_columns(df: DataFrame, spec: PanelSpec, exclude=()) -> list[str]:
@@ -33,7 +32,7 @@ def entity_stddevs(df: DataFrame, spec: PanelSpec, exclude=()) -> DataFrame:
     return aggregate(df, spec.entity, {c: "stddev_samp" for c in value_columns(df, spec, exclude)})
 
 
-def entity_statistics(df: DataFrame, spec: PanelSpec, exclude=(), block: int = BLOCK_COLUMNS) -> DataFrame:
+def entity_statistics(df: DataFrame, spec: PanelSpec, exclude=()) -> DataFrame:
     """Means and sample deviations of all value columns.
 
     Very wide panels are aggregated in blocks of columns, each reading its own
@@ -45,9 +44,8 @@ def entity_statistics(df: DataFrame, spec: PanelSpec, exclude=(), block: int = B
     entity sends one partial row per task however many statements it has.
     """
     columns = value_columns(df, spec, exclude)
-    blocks = [columns[i:i + block] for i in range(0, len(columns), block)]
     joined = inner_join_all([
         df.groupBy(spec.entity).agg(*[F.avg(f"`{c}`").alias(f"avg({c})") for c in part],
                                     *[F.stddev_samp(f"`{c}`").alias(f"stddev_samp({c})") for c in part])
-        for part in blocks], spec.entity)
+        for part in blocks(columns, 3)], spec.entity)
     return joined.select(spec.entity, *[F.col(f"`{fn}({c})`") for fn in ("avg", "stddev_samp") for c in columns])

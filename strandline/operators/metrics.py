@@ -61,9 +61,7 @@ def classification_report(df: DataFrame, target: str = "target", predicted: str
 def _threshold_counts(df: DataFrame, score: str, target: str, bins: int) -> DataFrame:
     marked = df.select(F.col(score).alias("score"), F.col(target).cast("long").alias("pos"),
                        (1 - F.col(target)).cast("long").alias("neg"))
-    counts = running_totals(marked, "score", ["pos", "neg"], bins, descending=True)
-    total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    return counts.withColumns({"all_pos": F.lit(total["p"]), "all_neg": F.lit(total["n"])})
+    return running_totals(marked, "score", ["pos", "neg"], bins=bins, descending=True)
 
 
 def roc_points(df: DataFrame, score: str = "score", target: str = "target", bins: int = 64) -> DataFrame:

@@ -26,6 +26,7 @@ from strandline.session import staged
 BLOCK_ROWS = 4_000
 POINTS_PER_PIVOT = 250
 MAX_PIVOTS = 2_048
+SLACK = 1e-9  # rounding must not rule out a point
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,10 +41,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
+def _slices(batches, rows: int = 1_000):
+    """The batches in smaller pieces, to bound the distance matrices made from them."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start:start + rows]
+
+
 def _in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
     """The nearest pivot of each point and the distance to it."""
     def assign(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             d2 = _distances(_matrix(batch["vector"]), pivots)
             cell = d2.argmin(axis=1)
             yield batch.assign(cell=cell.astype("int32"), radius=np.sqrt(d2[np.arange(len(cell)), cell]))
@@ -52,8 +60,9 @@ def _in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
-    """The k nearest points of each visitor (``rep``, ``vector``, ``target``) in its target cell.
+    """The k nearest points of each visitor (``rep``, ``vector``, ``reach``, ``target``) in its target cell.
 
+    Hits beyond the visitor's reach are left out: it knows k nearer ones.
     Cells are divided into blocks of points and their visitors into blocks as
     well; a task compares one block with the other and keeps k hits per visitor.
     """
@@ -73,7 +82,7 @@ def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int)
     asking = (visits.join(plan, "target")
               .withColumn("group", part("groups"))
               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("rep", "vector", "target", "group", "block"))
+              .select("rep", "vector", "reach", "target", "group", "block"))
     asked = (points.withColumnRenamed("cell", "target").join(plan, "target")
              .withColumn("block", part("blocks"))
              .withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
@@ -91,6 +100,8 @@ def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int)
             some = left.iloc[start:start + 512]
             own = some["rep"].to_numpy()
             d2 = _distances(_matrix(some["vector"]), vectors)
+            reach = some["reach"].to_numpy(dtype=float)
+            d2[d2 > (reach[:, None] * (1 + SLACK) + SLACK) ** 2] = np.inf
             d2[own[:, None] == ids[None, :]] = np.inf
             best = np.argsort(d2, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(own)), best.shape[1])
@@ -98,7 +109,7 @@ def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int)
             found = np.isfinite(d2[rows, hits])
             rows, hits = rows[found], hits[found]
             out.append(pd.DataFrame({"rep": own[rows], "other": ids[hits], "distance2": d2[rows, hits],
-                                     "other_vector": list(vectors[hits])}))
+                                     "other_vector": pd.Series(list(vectors[hits]), dtype=object)}))
         return pd.concat(out, ignore_index=True)
 
     return (asking.groupBy(*cell).cogroup(asked.groupBy(*[f"at_{c}" for c in cell]))
@@ -135,13 +146,14 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFram
     cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r")).collect()
     sizes = {c["cell"]: c["n"] for c in cells}
 
-    own = points.select("rep", "vector", F.col("cell").alias("target"))
+    own = points.select("rep", "vector", F.lit(float("inf")).alias("reach"), F.col("cell").alias("target"))
     hits = _best(_search(own, points, sizes, k), k).drop("rank")
     if len(cells) > 1:
         hits = staged(hits, "neighbour-hits")
         reach = hits.groupBy("rep").agg(
             F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance2"))).alias("reach"))
-        visits = _other_cells(points.join(reach, "rep", "left"), pivots,
+        bounded = points.join(reach, "rep", "left").na.fill(float("inf"), ["reach"])
+        visits = _other_cells(bounded, pivots,
                               np.array([c["cell"] for c in cells]), np.array([c["r"] for c in cells]))
         more = _search(staged(visits, "neighbour-visits"), points, sizes, k)
         hits = _best(hits.unionAll(more), k).drop("rank")
@@ -150,20 +162,18 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFram
 
 def _other_cells(points: DataFrame, pivots: np.ndarray, cells: np.ndarray, radii: np.ndarray) -> DataFrame:
     """The cells besides a point's own that may hold a point within its reach (any, if it has none)."""
-    slack = 1e-9  # rounding must not rule out a cell
-
     def pick(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             gap = np.sqrt(_distances(_matrix(batch["vector"]), pivots[cells])) - radii[None, :]
-            reach = batch["reach"].fillna(np.inf).to_numpy(dtype=float)
-            wanted = gap <= reach[:, None] * (1 + slack) + slack
+            reach = batch["reach"].to_numpy(dtype=float)
+            wanted = gap <= reach[:, None] * (1 + SLACK) + SLACK
             wanted &= cells[None, :] != batch["cell"].to_numpy()[:, None]
             row, col = np.nonzero(wanted)
             yield pd.DataFrame({"rep": batch["rep"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row],
-                                "target": cells[col].astype("int32")})
+                                "reach": reach[row], "target": cells[col].astype("int32")})
 
     return points.select("rep", "vector", "cell", "reach").mapInPandas(
-        pick, "rep long, vector array<double>, target int")
+        pick, "rep long, vector array<double>, reach double, target int")
 
 
 def _expand(rows: DataFrame, reps: DataFrame, hits: DataFrame | None, k: int) -> DataFrame:

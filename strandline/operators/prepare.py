@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import FOLDS, SAMPLE_SEED, SPLIT_SEED
-from strandline.functions.columns import hash_bucket
+from strandline.functions.columns import blocks, hash_bucket
 
 
 @dataclass(frozen=True)
@@ -21,9 +21,12 @@ class MinMax:
 
     @staticmethod
     def fit(df: DataFrame, columns: list[str]) -> "MinMax":
-        row = df.agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
-                     *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
-        return MinMax({c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)})
+        ranges = {}
+        for part in blocks(columns, 2):
+            row = df.agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, c in enumerate(part)],
+                         *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, c in enumerate(part)]).first()
+            ranges |= {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(part)}
+        return MinMax(ranges)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """A constant column becomes 0; nulls stay null."""
@@ -58,9 +61,10 @@ def with_fold(df: DataFrame, key: list[str], folds: int = FOLDS, seed: int = SAM
     return df.withColumn("fold", hash_bucket([*key], seed + 1, folds))
 
 
-def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(target).alias("positives"),
-                  F.avg(target).alias("positive_rate"))
+def class_balance(df: DataFrame, target: str = "target", by=()) -> DataFrame:
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(target).alias("positives"),
+        F.avg(target).alias("positive_rate"))
 
 
 def assemble(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import PanelSpec
-from strandline.functions.columns import numeric_columns
+from strandline.functions.columns import blocks, numeric_columns
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -22,15 +25,24 @@ def family_columns(df: DataFrame, prefix: str, *extra: str) -> DataFrame:
     return df.select(family + [c for c in extra if c not in family])
 
 
-def per_column(df: DataFrame, columns: list[str], stats: dict[str, Callable[[str], Column]]) -> DataFrame:
-    """One row per column with the given statistics, all from a single aggregation."""
+def per_column(df: DataFrame, columns: list[str], stats: dict[str, Callable[[str], Column]],
+               by: Column | None = None) -> DataFrame:
+    """One row per column with the given statistics, and one per group if ``by`` is given.
+
+    All statistics of a block of columns come from one aggregation; a block reads its own columns only.
+    """
     if not columns:
         raise ValueError("no columns to profile")
-    # Flat aggregates first: an aggregate inside a struct would keep them out of the hash buffers.
-    wide = df.agg(*[fn(c).alias(f"{i}_{s}") for i, c in enumerate(columns) for s, fn in stats.items()])
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{s}").alias(s) for s in stats])
-            for i, c in enumerate(columns)]
-    return wide.select(F.inline(F.array(*rows)))
+
+    def rows_of(part):
+        # Flat aggregates first: an aggregate inside a struct would keep them out of the hash buffers.
+        flat = [fn(c).alias(f"{i}_{s}") for i, c in enumerate(part) for s, fn in stats.items()]
+        wide = df.groupBy(by).agg(*flat) if by is not None else df.agg(*flat)
+        rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{s}").alias(s) for s in stats])
+                for i, c in enumerate(part)]
+        return wide.select(*wide.columns[:1 if by is not None else 0], F.inline(F.array(*rows)))
+
+    return reduce(DataFrame.unionAll, [rows_of(part) for part in blocks(columns, len(stats))])
 
 
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -51,17 +63,21 @@ def sparse_columns(df: DataFrame, threshold: float, keep: tuple[str, ...] = ())
     return [r["column"] for r in rates.where(F.col("null_rate") > threshold).collect()]
 
 
+def _number(column: str) -> Column:
+    return F.col(column).cast("double")
+
+
+SUMMARY = {
+    "n": lambda c: F.count(c),
+    "mean": lambda c: F.avg(_number(c)),
+    "stddev": lambda c: F.stddev_samp(_number(c)),
+    "min": lambda c: F.min(_number(c)),
+    "max": lambda c: F.max(_number(c)),
+}
+
+
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    def number(c):
-        return F.col(c).cast("double")
-
-    return per_column(df, columns or numeric_columns(df), {
-        "n": lambda c: F.count(c),
-        "mean": lambda c: F.avg(number(c)),
-        "stddev": lambda c: F.stddev_samp(number(c)),
-        "min": lambda c: F.min(number(c)),
-        "max": lambda c: F.max(number(c)),
-    })
+    return per_column(df, columns or numeric_columns(df), SUMMARY)
 
 
 def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -150,22 +166,22 @@ def null_key_rows(df: DataFrame, key: str) -> DataFrame:
 
 def describe_by_null(df: DataFrame, flag: str, columns: list[str]) -> DataFrame:
     """Column summaries of the rows where ``flag`` is null and of those where it is not."""
-    def number(c):
-        return F.col(c).cast("double")
-
-    stats = {"n": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = df.groupBy(F.col(flag).isNull().alias("is_null")).agg(
-        *[fn(number(c)).alias(f"{i}_{s}") for i, c in enumerate(columns) for s, fn in stats.items()])
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{s}").alias(s) for s in stats])
-            for i, c in enumerate(columns)]
-    return wide.select("is_null", F.inline(F.array(*rows)))
+    return per_column(df, columns, SUMMARY, by=F.col(flag).isNull().alias("is_null"))
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, nulls left out pair by pair, in one aggregation."""
+    """Pearson correlation of every pair of columns, nulls left out pair by pair. For a few dozen columns."""
+    def rows_of(part):
+        wide = df.agg(*[F.corr(_number(a), _number(b)).alias(f"p{i}") for i, (a, b) in enumerate(part)])
+        return wide.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"p{i}").alias("correlation"))
+            for i, (a, b) in enumerate(part)])))
+
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"p{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)])))
+    return reduce(DataFrame.unionAll, [rows_of(part) for part in blocks(pairs, 2)])
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> list[list[float]]:
+    """Pearson correlations of many columns from one pass; rows with a null are left out."""
+    vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
+    return Correlation.corr(vectors, "features").first()[0].toArray().tolist()

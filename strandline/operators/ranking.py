@@ -8,57 +8,61 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def value_splits(df: DataFrame, column: str, bins: int) -> list[float]:
-    """At most ``bins - 1`` increasing cut points that share out the values evenly."""
-    points = [i / bins for i in range(1, bins)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), points, 20 * bins).alias("p")).first()["p"]
-    return sorted(set(found or []))
+from strandline.session import staged
 
 
-def running_totals(df: DataFrame, order: str, totals: list[str], bins: int = 64,
+def running_totals(df: DataFrame, order: str, totals: list[str], group: str | None = None, bins: int = 64,
                    descending: bool = False) -> DataFrame:
-    """Running sums ``cum_<total>`` of the totals over the distinct values of a numeric column.
+    """Sums of the totals per distinct value, running sums ``cum_<total>`` and overall sums ``all_<total>``.
 
-    Equal values are added up first. The distinct values are then cut into ranges;
-    range sums (at most ``bins + 1`` rows) give each range its starting point and a
-    window inside each range does the rest, so no task sees the whole table. Raise
-    ``bins`` with the table.
+    Equal values are added up first and the result is written, since it is read
+    several times. The distinct values are then cut into ranges; range sums (at
+    most ``bins + 1`` rows) give each range its starting point and a window inside
+    each range does the rest, so no task sees the whole table. Raise ``bins`` with
+    the number of distinct values. With ``group`` (a column of few values, such as
+    a column name) every group is ordered for itself.
     """
-    values = df.groupBy(F.col(order).cast("double").alias(order)).agg(*[F.sum(t).alias(t) for t in totals])
-    splits = [-float("inf"), *value_splits(values, order, bins), float("inf")]
-    binned = Bucketizer(splits=splits, inputCol=order, outputCol="__bin", handleInvalid="skip").transform(values)
+    within = [group] if group else []
+    values = staged(df.where(F.col(order).isNotNull())
+                    .groupBy(*within, F.col(order).cast("double").alias(order))
+                    .agg(*[F.sum(t).alias(t) for t in totals]), "distinct-values")
+    points = [i / bins for i in range(1, bins)]
+    cuts = values.groupBy(*within).agg(F.percentile_approx(order, points, 20 * bins).alias("cuts")).collect()
+
+    def binned(cut):
+        part = values.where(F.col(group).eqNullSafe(F.lit(cut[group]))) if group else values
+        splits = [-float("inf"), *sorted(set(cut["cuts"] or [])), float("inf")]
+        return Bucketizer(splits=splits, inputCol=order, outputCol="__bin").transform(part)
+
+    ranged = reduce(DataFrame.unionAll, [binned(cut) for cut in cuts]) if cuts else values.withColumn("__bin", F.lit(0.0))
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    before = Window.orderBy(direction("__bin")).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (binned.groupBy("__bin").agg(*[F.sum(t).alias(t) for t in totals])
-              .select("__bin", *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"__before_{t}")
-                                 for t in totals]))
-    inside = Window.partitionBy("__bin").orderBy(direction(order))
-    return (binned.join(F.broadcast(ranges), "__bin")
-            .select(order, *totals,
-                    *[(F.col(f"__before_{t}") + F.sum(t).over(inside)).alias(f"cum_{t}") for t in totals]))
+    ranges = Window.partitionBy(*within)
+    before = ranges.orderBy(direction("__bin")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy(*within, "__bin").agg(*[F.sum(t).alias(t) for t in totals])
+              .select(*within, "__bin",
+                      *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"__before_{t}") for t in totals],
+                      *[F.sum(t).over(ranges).alias(f"all_{t}") for t in totals]))
+    inside = Window.partitionBy(*within, "__bin").orderBy(direction(order))
+    return (ranged.join(F.broadcast(starts), [*within, "__bin"])
+            .select(*within, order, *totals,
+                    *[(F.col(f"__before_{t}") + F.sum(t).over(inside)).alias(f"cum_{t}") for t in totals],
+                    *[f"all_{t}" for t in totals]))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float], bins: int = 64) -> DataFrame:
-    """Interpolated quantiles of each column, as a median is commonly taken: one row per column."""
-    frames = []
-    for c in columns:
-        present = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("value"), F.lit(1).alias("n"))
-        ranked = running_totals(present, "value", ["n"], bins)
+    """Interpolated quantiles, as a median is commonly taken: one row per column, all columns together."""
+    values = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    ranked = running_totals(values.withColumn("n", F.lit(1)), "value", ["n"], "column", bins)
+    out = []
+    for name, q in points.items():
         # Ranks start at 0; a value fills the ranks from cum_n - n to cum_n - 1.
-        size = present.agg(F.count(F.lit(1))).first()[0]
-
-        def value_at(rank, c=c):
-            return F.max(F.when((F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n")), F.col("value")))
-
-        out = []
-        for name, q in points.items():
-            position = q * (size - 1)
-            low, part = int(position), position - int(position)
-            high = min(low + 1, max(size - 1, 0))
-            out.append((value_at(low) + part * (value_at(high) - value_at(low))).alias(name))
-        frames.append(ranked.agg(*out).select(F.lit(c).alias("column"), *points))
-    return reduce(DataFrame.unionAll, frames)
+        position = F.lit(q) * (F.col("all_n") - 1)
+        low, part = F.floor(position), position - F.floor(position)
+        high = F.least(low + 1, F.col("all_n") - 1)
+        at = [F.max(F.when((F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n")), F.col("value")))
+              for rank in (low, high)]
+        out.append((at[0] + F.max(part) * (at[1] - at[0])).alias(name))
+    return ranked.groupBy("column").agg(*out)
 
 
 def positions(df: DataFrame, hashed: str, tie: str, bins: int = 64) -> DataFrame:

@@ -258,7 +258,7 @@ def describe_text(spark, sf):
 
 @query
 def summary_quantiles(spark, sf):
-    panel = staged(tables.statements(spark, sf).select(AMOUNTS), "amounts")
+    panel = tables.statements(spark, sf)
     return rounded(ranking.exact_quantiles(panel, AMOUNTS, {"q25": 0.25, "q50": 0.5, "q75": 0.75}))
 
 
@@ -295,9 +295,7 @@ def entity_stddevs(spark, sf):
 def class_balance(spark, sf):
     labelled = tables.labels(spark, sf).select(F.lit("orders").alias("source"), "target").unionAll(
         tables.account_labels(spark, sf).select(F.lit("accounts"), "target"))
-    return rounded(labelled.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("target").alias("positives"),
-        F.avg("target").alias("positive_rate")))
+    return rounded(prepare.class_balance(labelled, by=["source"]))
 
 
 @query
@@ -503,17 +501,17 @@ def classification_report(spark, sf):
 
 @query
 def roc_points(spark, sf):
-    return rounded(metrics.roc_points(staged(tables.judged_documents(spark, sf), "scored")))
+    return rounded(metrics.roc_points(tables.judged_documents(spark, sf)))
 
 
 @query
 def pr_points(spark, sf):
-    return rounded(metrics.pr_points(staged(tables.judged_documents(spark, sf), "scored")))
+    return rounded(metrics.pr_points(tables.judged_documents(spark, sf)))
 
 
 @query
 def auc(spark, sf):
-    return rounded(metrics.auc(staged(tables.judged_documents(spark, sf), "scored")))
+    return rounded(metrics.auc(tables.judged_documents(spark, sf)))
 
 
 @query

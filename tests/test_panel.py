@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.config import CleaningRules, PanelSpec
+from strandline.functions import columns
 from strandline.functions.columns import feature_names
 from strandline.operators import aggregate, clean, dates, joins, modes, profile
 from strandline.plans.features import FeaturePlan, feature_table
@@ -147,9 +148,14 @@ def test_outer_joins_agree(spark):
     assert len(pair) == 3
 
 
-def test_blocks_of_columns_give_the_same(tiny):
-    one = aggregate.entity_statistics(tiny, SPEC).orderBy("id").collect()
-    assert one == aggregate.entity_statistics(tiny, SPEC, block=1).orderBy("id").collect()
+def test_blocks_of_columns_give_the_same(tiny, monkeypatch):
+    def results():
+        stats = aggregate.entity_statistics(tiny, SPEC).orderBy("id").collect()
+        return stats, sorted(profile.describe_by_null(tiny, "D_64", ["D_117", "B_38", "x"]).collect())
+
+    whole = results()
+    monkeypatch.setattr(columns, "FIELDS_PER_AGGREGATION", 1)
+    assert results() == whole
 
 
 def test_transform_reuses_what_was_fitted(tiny):
@@ -176,3 +182,10 @@ def test_profile(spark, tiny):
     left, right = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert profile.key_coverage(left, right, "k").first() == (2, 2, 1, 1)
     assert [r.k for r in profile.missing_keys(left, right, "k").collect()] == [1]
+
+
+def test_correlations_agree(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 9.0), (2.0, 3.0, 1.0), (3.0, 5.0, 4.0)], "a double, b double, c double")
+    matrix = profile.correlation_matrix(df, ["a", "b", "c"])
+    pairs = {(r.first, r.second): r.correlation for r in profile.correlation_pairs(df, ["a", "b", "c"]).collect()}
+    assert pairs["a", "b"] == pytest.approx(matrix[0][1]) and pairs["b", "c"] == pytest.approx(matrix[1][2])
