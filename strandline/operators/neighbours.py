@@ -56,7 +56,8 @@ def _in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
             cell = d2.argmin(axis=1)
             yield batch.assign(cell=cell.astype("int32"), radius=np.sqrt(d2[np.arange(len(cell)), cell]))
 
-    return reps.mapInPandas(assign, "rep long, vector array<double>, cell int, radius double")
+    return reps.mapInPandas(
+        assign, f"rep {dict(reps.dtypes)['rep']}, vector array<double>, cell int, radius double")
 
 
 def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
@@ -75,6 +76,7 @@ def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int)
     plan = F.broadcast(plan)  # one row per cell, at most MAX_PIVOTS
 
     cell = ["target", "group", "block"]
+    kind = dict(points.dtypes)["rep"]
 
     def part(n):
         return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -93,7 +95,7 @@ def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int)
         if left.empty or right.empty:
             return pd.DataFrame(columns=["rep", "other", "distance2", "other_vector"])
         ids, vectors = right["other"].to_numpy(), _matrix(right["other_vector"])
-        order = np.argsort(ids, kind="stable")  # equal distances: the lowest id first
+        order = np.argsort(ids, kind="stable")  # ids are unique; equal distances: the lowest id first
         ids, vectors = ids[order], vectors[order]
         out = []
         for start in range(0, len(left), 512):
@@ -102,7 +104,9 @@ def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int)
             d2 = _distances(_matrix(some["vector"]), vectors)
             reach = some["reach"].to_numpy(dtype=float)
             d2[d2 > (reach[:, None] * (1 + SLACK) + SLACK) ** 2] = np.inf
-            d2[own[:, None] == ids[None, :]] = np.inf
+            at = np.searchsorted(ids, own).clip(max=len(ids) - 1)
+            itself = np.flatnonzero(ids[at] == own)
+            d2[itself, at[itself]] = np.inf
             best = np.argsort(d2, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(own)), best.shape[1])
             hits = best.ravel()
@@ -113,7 +117,7 @@ def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int)
         return pd.concat(out, ignore_index=True)
 
     return (asking.groupBy(*cell).cogroup(asked.groupBy(*[f"at_{c}" for c in cell]))
-            .applyInPandas(nearest, "rep long, other long, distance2 double, other_vector array<double>"))
+            .applyInPandas(nearest, f"rep {kind}, other {kind}, distance2 double, other_vector array<double>"))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -124,10 +128,10 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k nearest other rows of each row: (key, rank, neighbour, distance2, neighbour_vector).
 
-    Equal distances go to the lower key. Keys are whole numbers, vectors are arrays
-    of equal length. With k or fewer rows, all other rows are neighbours.
+    Equal distances go to the lower key. Keys are unique numbers or texts, vectors are
+    arrays of equal length. With k or fewer rows, all other rows are neighbours.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
 
     # Copies of a point: k + 1 ids are enough, since nobody needs more than k besides itself.
     lowest = Window.partitionBy("vector").orderBy("id")
@@ -173,7 +177,7 @@ def _other_cells(points: DataFrame, pivots: np.ndarray, cells: np.ndarray, radii
                                 "reach": reach[row], "target": cells[col].astype("int32")})
 
     return points.select("rep", "vector", "cell", "reach").mapInPandas(
-        pick, "rep long, vector array<double>, reach double, target int")
+        pick, f"rep {dict(points.dtypes)['rep']}, vector array<double>, reach double, target int")
 
 
 def _expand(rows: DataFrame, reps: DataFrame, hits: DataFrame | None, k: int) -> DataFrame:

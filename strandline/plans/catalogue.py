@@ -383,12 +383,12 @@ def outer_join_many(spark, sf):
 
 @query
 def feature_table_query(spark, sf):
-    return rounded(feature_table(tables.statements(spark, sf), ORDERS))
+    return rounded(feature_table(_written_statements(spark, sf), ORDERS))
 
 
 @query
 def labelled_features(spark, sf):
-    return rounded(feature_table(tables.statements(spark, sf), ORDERS, labels=tables.labels(spark, sf)))
+    return rounded(feature_table(_written_statements(spark, sf), ORDERS, labels=tables.labels(spark, sf)))
 
 
 # --- training data -----------------------------------------------------------------------------
@@ -552,6 +552,11 @@ def _customer_keys(spark, sf) -> DataFrame:
     return tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_ID"))
 
 
+def _written_statements(spark, sf) -> DataFrame:
+    """The statements as a table of their own: a feature plan reads its panel several times."""
+    return staged(tables.statements(spark, sf), "statements")
+
+
 def _cleaned(spark, sf) -> DataFrame:
     panel = tables.statements(spark, sf)
     return clean.Cleaning.fit(panel).transform(panel)

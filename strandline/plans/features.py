@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import asdict
+
+from pyspark.ml.feature import ImputerModel
+from pyspark.sql import DataFrame, SparkSession
 
 from strandline.config import CleaningRules, PanelSpec
 from strandline.functions.columns import feature_names
 from strandline.operators.aggregate import entity_statistics
-from strandline.operators.clean import Cleaning, fit_imputer
+from strandline.operators.clean import Cleaning, OneHot, fit_imputer
 from strandline.operators.dates import date_features
 from strandline.operators.joins import attach_labels, inner_join_all
 from strandline.operators.modes import entity_modes
 from strandline.session import staged
+from strandline.sources.statements import read_names, write_names
 
 
 class FeaturePlan:
@@ -38,6 +43,23 @@ class FeaturePlan:
     def transform(self, panel: DataFrame) -> DataFrame:
         return self._features(panel, self._statistics(panel))
 
+    def save(self, path: str) -> None:
+        """Keep the fill values and levels, so that later panels are treated like the training panel."""
+        spark = self.imputer.surrogateDF.sparkSession
+        self.imputer.write().overwrite().save(f"{path}/imputer")
+        learned = {"spec": asdict(self.spec), "rules": asdict(self.rules),
+                   "levels": self.cleaning.one_hot.levels, "names": self.names}
+        write_names(spark, [json.dumps(learned)], f"{path}/learned")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "FeaturePlan":
+        learned = json.loads(read_names(spark, f"{path}/learned")[0])
+        rules = CleaningRules(**{k: tuple(v) if isinstance(v, list) else v for k, v in learned["rules"].items()})
+        plan = FeaturePlan(PanelSpec(**learned["spec"]), rules)
+        plan.cleaning, plan.names = Cleaning(rules, OneHot(learned["levels"])), learned["names"]
+        plan.imputer = ImputerModel.load(f"{path}/imputer")
+        return plan
+
     def _statistics(self, panel: DataFrame) -> DataFrame:
         return entity_statistics(self.cleaning.transform(panel), self.spec, self.rules.drop_aggregated)
 

@@ -57,10 +57,12 @@ def test_neighbours_match_brute_force(spark, monkeypatch, shape):
         vectors = [[0.5, 0.5, 0.5]] * 80 + rng.normal(size=(160, 3)).round(1).tolist()
     else:  # many equal distances
         vectors = rng.integers(0, 4, size=(240, 3)).astype(float).tolist()
-    points = [(int(i) * 3, v) for i, v in enumerate(vectors)]
+    # Customers are known by texts, orders by numbers.
+    points = [(f"{i * 37 % 1009:x}" if shape == "grid" else i * 3, v) for i, v in enumerate(vectors)]
+    kind = "string" if shape == "grid" else "long"
     found = {}
     for r in neighbours.nearest_neighbours(
-            spark.createDataFrame(points, "id long, vector array<double>"), "id", "vector", 4).collect():
+            spark.createDataFrame(points, f"id {kind}, vector array<double>"), "id", "vector", 4).collect():
         found.setdefault(r.key, []).append((r["rank"], r.neighbour))
     assert {i: [n for _, n in sorted(v)] for i, v in found.items()} == brute_force(points, 4)
 
