@@ -40,8 +40,8 @@ KEYS = ["customer_ID", "S_2", "row_id"]
 CODES = ["D_117", "D_126", "D_68", "D_120", "B_30", "D_114", "D_116", "B_38", "D_144"]
 AMOUNTS = ["P_2", "S_3", "B_1", "B_17", "D_39"]
 CATEGORIES = ["D_63", "D_64", "B_30", "B_38", "D_114", "D_116", "D_120"]
-MODEL_COLUMNS = ["avg_D_39", "std_D_39", "avg_B_1", "n_records"]
-WEIGHTS = {"avg_D_39": 2.5, "std_D_39": 1.25, "avg_B_1": -0.5, "n_records": 3.0}
+MODEL_COLUMNS = ["avg_D_39", "std_D_39", "avg_B_17", "n_records"]
+WEIGHTS = {"avg_D_39": 2.5, "std_D_39": 1.25, "avg_B_17": -0.5, "n_records": 3.0}
 INTERCEPT = -3.0
 
 
@@ -566,7 +566,7 @@ def _model_features(spark, sf) -> DataFrame:
     """A few imputed features per customer with the label, written once for the several reads of a fit."""
     per_customer = tables.statements(spark, sf).groupBy("customer_ID").agg(
         F.avg("D_39").alias("avg_D_39"), F.stddev_samp("D_39").alias("std_D_39"),
-        F.avg("B_1").alias("avg_B_1"), F.count(F.lit(1)).cast("double").alias("n_records"))
+        F.avg("B_17").alias("avg_B_17"), F.count(F.lit(1)).cast("double").alias("n_records"))
     features = staged(joins.attach_labels(per_customer, tables.labels(spark, sf), "customer_ID"), "model-features")
     return clean.fit_imputer(features, MODEL_COLUMNS).transform(features)
 

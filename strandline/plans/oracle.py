@@ -11,7 +11,7 @@ CODES = ["D_117", "D_126", "D_68", "D_120", "B_30", "D_114", "D_116", "B_38", "D
 PANEL_COLUMNS = [*KEYS, *AMOUNTS, "D_42", "B_39", "D_63", "D_64", *CODES]
 FLAGS = {"D_63_HIGH": "D_63 = 'HIGH'", "D_63_LOW": "D_63 = 'LOW'", "D_63_MEDIUM": "D_63 = 'MEDIUM'",
          "D_64_-1": "D_64 = '-1'", "D_64_F": "D_64 = 'F'"}
-MODEL_COLUMNS = ["avg_D_39", "std_D_39", "avg_B_1", "n_records"]
+MODEL_COLUMNS = ["avg_D_39", "std_D_39", "avg_B_17", "n_records"]
 
 PANEL = """
 with lines as (
@@ -131,7 +131,7 @@ FEATURE_SELECT = "select * from imputed " + " ".join(
     f"join mode_of_{c} using (customer_ID)" for c in MODE_COLUMNS) + " join gaps using (customer_ID)"
 
 MODEL = PANEL + ", " + LABELS + f""", raw_features as (
-  select customer_ID, avg(D_39) as avg_D_39, stddev_samp(D_39) as std_D_39, avg(B_1) as avg_B_1,
+  select customer_ID, avg(D_39) as avg_D_39, stddev_samp(D_39) as std_D_39, avg(B_17) as avg_B_17,
     count(*)::double as n_records from panel group by customer_ID
 ), features as (
   select customer_ID, {", ".join(f"coalesce({c}, avg({c}) over ()) as {c}" for c in MODEL_COLUMNS)}, target
@@ -315,5 +315,5 @@ ORACLE_SQL: dict[str, str] = {
     "top_coefficients": WEIGHTS + """ select feature, round(weight, 6) as weight from weights
       where abs(weight) >= (select avg(abs(weight)) from weights) order by abs(weight) desc, feature limit 4""",
     "score_linear": SCALED + """ select customer_ID, round_even(1 / (1 + exp(-(-3.0::double + 2.5 * avg_D_39 + 1.25 * std_D_39
-      - 0.5 * avg_B_1 + 3.0 * n_records))), 2) as prediction from scaled""",
+      - 0.5 * avg_B_17 + 3.0 * n_records))), 2) as prediction from scaled""",
 }
