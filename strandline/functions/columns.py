@@ -42,18 +42,23 @@ def feature_names(names: list[str]) -> dict[str, str]:
     return out
 
 
+def _digest(length: int, *parts: Column) -> Column:
+    """A whole number from the first hex digits of the MD5 of the joined parts."""
+    text = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(text, 1, length), 16, 10).cast("long")
+
+
 def hash_bucket(keys: list[str], seed: int, buckets: int) -> Column:
     """A bucket in [0, buckets) that depends on the key and the seed alone.
 
     Unlike ``randomSplit`` it does not change with partitioning or retries.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    return (_digest(8, F.lit(seed), *[F.col(k) for k in keys]) % buckets).cast("int")
 
 
 def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) drawn from a hash of the given columns."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(2**53))
+    return _digest(13, *parts) / F.lit(float(2**52))
 
 
 def months_tenure(latest: Column, earliest: Column) -> Column:

@@ -41,9 +41,9 @@ def oversample(df: DataFrame, key: str, columns: list[str], target: str = "targe
     share = F.expr(f"cast((position + 1) * {missing} div {size} - position * {missing} div {size} as int)")
     new = (drawn.withColumn("new", share).where(F.col("new") > 0)
            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("new"))))
-           .withColumn("rank", (F.floor(unit_hash(F.lit(seed), F.lit("rank"), "key", "copy") * neighbours) + 1)
+           .withColumn("rank", (F.floor(unit_hash(F.lit(seed), F.lit("rank"), F.col("key"), F.col("copy")) * neighbours) + 1)
                        .cast("int")))
-    along = unit_hash(F.lit(seed), F.lit("along"), "key", "copy")
+    along = unit_hash(F.lit(seed), F.lit("along"), F.col("key"), F.col("copy"))
     point = F.zip_with("vector", "neighbour_vector", lambda a, b: a + F.col("along") * (b - a))
     synthetic = (new.join(near, ["key", "rank"]).withColumn("along", along).withColumn("point", point)
                  .select(F.col("key").alias(key), "copy",

@@ -396,7 +396,9 @@ def labelled_features(spark, sf):
 @query
 def feature_matrix(spark, sf):
     features = prepare.assemble(_model_features(spark, sf), MODEL_COLUMNS, ["customer_ID", "target"])
-    return features.select("customer_ID", "target", vector_to_array("features").alias("features"))
+    values = vector_to_array("features")
+    return rounded(features.select("customer_ID", "target", F.size(values).alias("width"),
+                                   *[values[i].alias(f"feature_{i}") for i in range(len(MODEL_COLUMNS))]))
 
 
 @query
@@ -438,7 +440,7 @@ def smote_neighbours(spark, sf):
 
 @query
 def smote_rows(spark, sf):
-    return rounded(smote.oversample(_scaled(spark, sf), "customer_ID", MODEL_COLUMNS))
+    return rounded(smote.oversample(_scaled(spark, sf), "customer_ID", MODEL_COLUMNS), 9)
 
 
 # --- models and evaluation ---------------------------------------------------------------------

@@ -142,6 +142,21 @@ SCALED = MODEL + f""", scaled as (
     {", ".join(f"({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) as {c}" for c in MODEL_COLUMNS)}
   from features)"""
 
+NEAREST = SCALED + f""", rarer as (
+    select case when sum(target) <= count(*) - sum(target) then 1 else 0 end as label from scaled),
+  rare as (select scaled.*, label from scaled join rarer on target = label),
+  nearest as (
+    select * from (
+      select a.customer_ID, b.customer_ID as neighbour,
+        {" + ".join(f"(a.{c} - b.{c}) ** 2" for c in MODEL_COLUMNS)} as distance2,
+        row_number() over (partition by a.customer_ID order by distance2, b.customer_ID) as rank
+      from rare a join rare b on a.customer_ID <> b.customer_ID) where rank <= 5)"""
+
+
+def _unit(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 13))::bigint / {2**52}::double)"
+
+
 CORRELATED = [*AMOUNTS, "D_117", "D_126"]
 WEIGHT_COLUMNS = [*AMOUNTS[:4], "D_117", "D_126", "D_68", "B_38"]
 WEIGHTS = PANEL + ", weights as (" + " union all ".join(
@@ -292,14 +307,23 @@ ORACLE_SQL: dict[str, str] = {
     "split_80_10_10": "with " + LABELS + f" select *, {SPLIT_NAME} as split from labels_of_orders",
     "tuning_sample": "with " + LABELS + f" select * from labels_of_orders where {HASH.format(seed=0, key='customer_ID', n=100)} < 25",
     "fold_assignment": "with " + LABELS + f" select *, ({HASH.format(seed=1, key='customer_ID', n=5)})::int as fold from labels_of_orders",
-    "smote_neighbours": SCALED + f""", rarer as (
-        select case when sum(target) <= count(*) - sum(target) then 1 else 0 end as label from scaled),
-      rare as (select scaled.* from scaled join rarer on target = label)
-      select customer_ID, rank::int as rank, neighbour, round(distance2, 9) as distance2 from (
-        select a.customer_ID, b.customer_ID as neighbour,
-          {" + ".join(f"(a.{c} - b.{c}) ** 2" for c in MODEL_COLUMNS)} as distance2,
-          row_number() over (partition by a.customer_ID order by distance2, b.customer_ID) as rank
-        from rare a join rare b on a.customer_ID <> b.customer_ID) where rank <= 5""",
+    "smote_neighbours": NEAREST + """ select customer_ID, rank::int as rank, neighbour, round(distance2, 9) as distance2
+      from nearest""",
+    "smote_rows": NEAREST + f""",
+      sizes as (select count(*) as size, (select count(*) from scaled) - 2 * count(*) as missing from rare),
+      drawn as (select *, row_number() over (order by {_unit("'0|' || customer_ID")}, customer_ID) - 1 as position
+                from rare, sizes),
+      shares as (select customer_ID, label, unnest(generate_series(1,
+                   (position + 1) * missing // size - position * missing // size))::int as copy from drawn),
+      picks as (select *, floor({_unit("'0|rank|' || customer_ID || '|' || copy")} * 5) + 1 as rank,
+                  {_unit("'0|along|' || customer_ID || '|' || copy")} as along from shares)
+      select customer_ID, 0 as copy, {_listed(f"round({c}, 9) as {c}" for c in MODEL_COLUMNS)}, target from scaled
+      union all select p.customer_ID, p.copy,
+        {_listed(f"round(a.{c} + along * (b.{c} - a.{c}), 9)" for c in MODEL_COLUMNS)}, p.label
+      from picks p join nearest n on n.customer_ID = p.customer_ID and n.rank = p.rank
+        join rare a on a.customer_ID = p.customer_ID join rare b on b.customer_ID = n.neighbour""",
+    "feature_matrix": MODEL + f" select customer_ID, target, {len(MODEL_COLUMNS)} as width, " + _listed(
+        f"round({c}, 6) as feature_{i}" for i, c in enumerate(MODEL_COLUMNS)) + " from features",
     "accuracy": JUDGED + " select round(avg((target = predicted)::int), 6) as accuracy from judged",
     "confusion_matrix": JUDGED + " select target, predicted, count(*) as n from judged group by 1, 2",
     "classification_report": JUDGED + REPORT + """

@@ -68,6 +68,12 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
         session.shared_folder(Cluster)
 
 
+def test_settings_follow_the_size():
+    big = session.scale_settings(100 * 2**40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409_600
+    assert int(session.scale_settings(2**20, 8)["spark.sql.shuffle.partitions"]) == 24
+
+
 def test_statistics_take_one_shuffle(spark):
     panel = spark.read.parquet(f"{DATA}/orders.parquet").select(
         F.col("o_custkey").alias("customer_ID"), F.to_date("o_orderdate").alias("S_2"),
