@@ -24,6 +24,7 @@ from strandline.operators.joins import attach_group_facts
 from strandline.session import staged
 
 BLOCK_ROWS = 4_000
+SINGLE_CELL_ROWS = 16_000  # so few points are compared faster than they are divided
 POINTS_PER_PIVOT = 250
 MAX_PIVOTS = 2_048
 SLACK = 1e-9  # rounding must not rule out a point
@@ -141,7 +142,7 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFram
     reps = staged(ids.join(counts, "vector"), "neighbour-points")
     n_reps = reps.count()
 
-    n_pivots = max(1, min(MAX_PIVOTS, n_reps // POINTS_PER_PIVOT))
+    n_pivots = 1 if n_reps <= SINGLE_CELL_ROWS else max(1, min(MAX_PIVOTS, n_reps // POINTS_PER_PIVOT))
     chosen = reps.select("vector", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(n_pivots).collect()
     if not chosen:
         return _expand(rows, reps, None, k)

@@ -367,10 +367,10 @@ def mode_lowest(spark, sf):
 
 @query
 def outer_join_modes(spark, sf):
+    """Modes of two columns, each over its known values, for customers with a value in either."""
     panel = tables.statements(spark, sf)
-    means = panel.where(F.col("D_64") == "F").groupBy("customer_ID").agg(F.max("D_39").alias("max_F"))
-    others = panel.where(F.col("D_63") == "URGENT").groupBy("customer_ID").agg(F.max("B_1").alias("max_urgent"))
-    return joins.outer_join(means, others, "customer_ID")
+    first, second = (modes.entity_modes(panel.where(F.col(c).isNotNull()), ORDERS, [c]) for c in ("D_63", "B_38"))
+    return joins.outer_join(first, second, "customer_ID")
 
 
 @query

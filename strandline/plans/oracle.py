@@ -289,10 +289,9 @@ ORACLE_SQL: dict[str, str] = {
     "mode_lowest": """select user_id, event_type as mode_event_type from (
       select user_id, event_type, row_number() over (partition by user_id order by count(*) desc, event_type) as place
       from events group by user_id, event_type) where place = 1""",
-    "outer_join_modes": PANEL + """,
-      f as (select customer_ID, max(D_39) as max_F from panel where D_64 = 'F' group by 1),
-      u as (select customer_ID, max(B_1) as max_urgent from panel where D_63 = 'URGENT' group by 1)
-      select customer_ID, max_F, max_urgent from f full join u using (customer_ID)""",
+    "outer_join_modes": PANEL + f""", first_table as ({_mode('D_63', 'panel where D_63 is not null')}),
+      second_table as ({_mode('B_38', 'panel where B_38 is not null')})
+      select customer_ID, mode_D_63, mode_B_38 from first_table full join second_table using (customer_ID)""",
     "outer_join_many": PANEL + " select customer_ID, " + _listed(
         f"max(B_1) filter (D_63 = '{level}') as max_{level}" for level in ("HIGH", "LOW", "MEDIUM", "URGENT"))
         + " from panel where D_63 is not null group by customer_ID",

@@ -29,18 +29,18 @@ def local_session(cpus: int | str = "*", memory: str = "16g", app: str = "strand
 def scale_settings(input_bytes: int, executor_cores: int) -> dict[str, str]:
     """Session settings for an input of the given size, to be passed to ``spark.conf.set``.
 
-    Shuffles start with partitions of about 256 MB of input and at least three per
-    core, and adaptive execution merges the small ones; the default of 200
-    partitions would mean hundreds of GB in each for 100 TB.
+    Shuffles start with a partition for each GB of input (what is shuffled is
+    smaller) and at least three per core, and adaptive execution merges the small
+    ones; the default of 200 partitions would mean hundreds of GB in each for 100 TB.
     """
-    partitions = max(3 * executor_cores, -(-input_bytes // (256 * 2**20)))
+    partitions = max(3 * executor_cores, -(-input_bytes // 2**30))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.files.maxPartitionBytes": "512m",
         "spark.sql.session.timeZone": "UTC",
     }
 

@@ -70,7 +70,7 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
 def test_settings_follow_the_size():
     big = session.scale_settings(100 * 2**40, 8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 409_600
+    assert int(big["spark.sql.shuffle.partitions"]) == 102_400
     assert int(session.scale_settings(2**20, 8)["spark.sql.shuffle.partitions"]) == 24
 
 

@@ -49,6 +49,7 @@ def brute_force(points, k):
 @pytest.mark.parametrize("shape", ["spread", "copies", "grid"])
 def test_neighbours_match_brute_force(spark, monkeypatch, shape):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbours, "SINGLE_CELL_ROWS", 0)
     monkeypatch.setattr(neighbours, "POINTS_PER_PIVOT", 20)
     rng = np.random.default_rng(1)
     if shape == "spread":
@@ -67,6 +68,15 @@ def test_neighbours_match_brute_force(spark, monkeypatch, shape):
     assert {i: [n for _, n in sorted(v)] for i, v in found.items()} == brute_force(points, 4)
 
 
+def test_neighbours_in_one_cell(spark):
+    rng = np.random.default_rng(4)
+    points = [(i, v) for i, v in enumerate(rng.normal(size=(90, 2)).tolist())]
+    found = neighbours.nearest_neighbours(
+        spark.createDataFrame(points, "id long, vector array<double>"), "id", "vector", 3)
+    assert {(r.key, r["rank"], r.neighbour) for r in found.collect()} == {
+        (i, n + 1, j) for i, near in brute_force(points, 3).items() for n, j in enumerate(near)}
+
+
 def test_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, vector array<double>")
     assert {(r.key, r.neighbour) for r in neighbours.nearest_neighbours(df, "id", "vector", 5).collect()} == {(1, 2), (2, 1)}
