@@ -43,6 +43,8 @@ class OneHot:
         One pass serves all columns. Columns with more than ``max_levels`` values
         are refused: they are not categories.
         """
+        if not columns:
+            return OneHot({})
         types = dict(df.dtypes)
         found = (df.select([F.col(c).cast("string").alias(c) for c in columns])
                  .unpivot([], list(columns), "column", "value")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.config import FILL_VALUES, MODE_COLUMNS, ONE_HOT_COLUMNS, SPARSE_COLUMNS, CleaningRules
+from strandline.config import FILL_VALUES, ONE_HOT_COLUMNS, SPARSE_COLUMNS, CleaningRules
 from strandline.functions.columns import feature_names
 from strandline.operators import (
     aggregate,

@@ -35,6 +35,13 @@ def statement_schema(columns: list[str], text: tuple[str, ...] = ("D_63", "D_64"
     return T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in columns])
 
 
+def read_statements(spark: SparkSession, path, text: tuple[str, ...] = ("D_63", "D_64"),
+                    spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """Statement CSV in one pass: the header gives the names, the roles of the columns their types."""
+    names = spark.read.option("header", True).csv(path).columns
+    return read_csv(spark, path, statement_schema(names, text, spec))
+
+
 def sample_entities(df: DataFrame, entity: str, percent: int, seed: int = SAMPLE_SEED) -> DataFrame:
     """All rows of about ``percent`` % of the entities (a sample of part files may split an entity)."""
     return df.where(hash_bucket([entity], seed, 100) < percent)

@@ -45,7 +45,7 @@ def files(tmp_path_factory):
 
 
 def test_from_statements_to_submission(spark, files, tmp_path):
-    panel = io.read_csv(spark, str(files / "train"), io.statement_schema(HEADER))
+    panel = io.read_statements(spark, str(files / "train"))
     assert dict(panel.dtypes)["S_2"] == "date"
     plan = FeaturePlan(PanelSpec())
     features = plan.fit_transform(panel)
@@ -65,7 +65,7 @@ def test_from_statements_to_submission(spark, files, tmp_path):
     plan.save(str(tmp_path / "plan"))
     scorer.save(spark, str(tmp_path / "scorer"))
     later, reloaded = FeaturePlan.load(spark, str(tmp_path / "plan")), models.Scorer.load(spark, str(tmp_path / "scorer"))
-    few = io.read_csv(spark, str(files / "train" / "part-00001.csv"), io.statement_schema(HEADER))
+    few = io.read_statements(spark, str(files / "train" / "part-00001.csv"))
     written = scoring.write_submission(scoring.score_panel(later, reloaded, few), str(tmp_path / "submission"))
     assert written.columns == ["customer_ID", "prediction"] and written.count() == 100
     assert sorted(written.collect()) == sorted(scoring.score_panel(plan, scorer, few).collect())
