@@ -1,0 +1,33 @@
+"""Prefix sums over a sort order, without a task that sees a whole group."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from strandline.llm.common import fresh
+from strandline.session import staged
+
+
+def prefix_sums(df: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the same group that come before the row.
+
+    The rows are range-sorted by group and order and written with the number of
+    their range. A group's sums per range (as many rows as ranges that hold it)
+    give each range its start, which enters the range as a row of its own; a window
+    inside each range adds up the rest. A crowded group is spread over many ranges
+    if its order columns differ. Null groups are a group. Rows that are equal in
+    all order columns may come in any order.
+    """
+    part, head = fresh(df, "range", "head")
+    ranged = staged(df.repartitionByRange(*[F.col(c) for c in [*groups, *order]])
+                    .withColumn(part, F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy(part, *groups).agg(F.sum(value).alias(value))
+              .withColumn(value, F.coalesce(F.sum(value).over(before), F.lit(0)))
+              .withColumn(head, F.lit(True)))
+    inside = (Window.partitionBy(part, *groups).orderBy(F.col(head).desc(), *order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (ranged.withColumn(head, F.lit(False)).unionByName(starts, allowMissingColumns=True)
+            .withColumn(name, F.sum(value).over(inside))
+            .where(~F.col(head)).drop(part, head))
