@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, packing, quality_net, rules, simhash
+from strandline.llm import language_net, mixing, packing, quality_net, rules, simhash, topk, warc
 from strandline.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,20 @@ def op3_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query
+def op4_language_net(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    network = language_net.fit(docs)
+    found = language_net.identify(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", remainder_is(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_warc(spark, sf):
+    records = warc.archived(table(spark, sf, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op7_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
@@ -54,3 +68,40 @@ def op8_rules(spark, sf):
     learned = rules.fit(docs, table(spark, sf, "labels"))
     return rules.judge(docs.select("doc_id", "text"), learned).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op10_topk(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLE_SQL["op6_warc"] = """
+WITH hashed AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hexed FROM pages),
+digests AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(hexed, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)),
+        'string_agg', '') AS payload_digest
+    FROM hashed)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = max(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER same THEN NULL ELSE max(page_id) OVER same END AS refers_to
+FROM digests WINDOW same AS (PARTITION BY payload_digest)
+"""
+
+ORACLE_SQL["op10_topk"] = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
