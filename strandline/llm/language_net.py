@@ -148,8 +148,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -
     """
     allowed = ~remainder_is(F.col("doc_id"), 3, 1)
     sample = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", fit_rows, allowed)
-    rows = (sample.where(F.octet_length("text") <= fit_bytes).select("doc_id", "lang", "text")
-            .orderBy("doc_id", "lang").collect())
+    rows = sample.where(F.octet_length("text") <= fit_bytes).select("doc_id", "lang", "text").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     languages = sorted({r["lang"] for r in rows})
     number = {lang: i for i, lang in enumerate(languages)}
     truth = np.array([number[r["lang"]] for r in rows], int)

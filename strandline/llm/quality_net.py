@@ -172,8 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     """
     allowed = ~remainder_is(F.col("doc_id"), 4, 2)
     sample = labelled_sample(docs, labels, "quality", fit_rows, allowed)
-    rows = (sample.where(F.octet_length("text") <= fit_bytes).select("doc_id", "quality", "text")
-            .orderBy("doc_id", "quality").collect())
+    rows = sample.where(F.octet_length("text") <= fit_bytes).select("doc_id", "quality", "text").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     truth = np.array([int(r["quality"] == 1) for r in rows], int)
     weights = train([r["text"].encode() for r in rows], truth)
     share = labels.where(allowed & F.col("quality").isNotNull()).agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language_net, mixing, packing, quality_net, rules, simhash, topk, warc
+from strandline.llm import extraction, language_net, mixing, packing, quality_net, quotes, rules, simhash, topk, warc
 from strandline.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op4_language_net(spark, sf):
     return found.select("doc_id", remainder_is(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_quotes(spark, sf):
+    return quotes.threaded(table(spark, sf, "conversations"))
+
+
 @query
 def op6_warc(spark, sf):
     records = warc.archived(table(spark, sf, "pages"))
@@ -70,6 +75,12 @@ def op8_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op9_extraction(spark, sf):
+    pages = table(spark, sf, "pages")
+    return extraction.extracted(pages, extraction.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op10_topk(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Decisio
     counts = sample.select("doc_id", "quality", count_texts("text").alias("counts"))
     rows = (counts.select("doc_id", F.col("quality").cast("int").alias("quality"),
                           *[v.alias(name) for name, v in features(F.col("counts")).items()])
-            .orderBy("doc_id", "quality").toPandas())
+            .toPandas().sort_values(["doc_id", "quality"], ignore_index=True))
     values = {name: rows[name].to_numpy(float) for name in FEATURES}
     draw = (rows["doc_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(11400714819323198485) >> np.uint64(40)) / 2.0**24
     return learn(values, (rows["quality"] != 1).to_numpy(bool), draw)
