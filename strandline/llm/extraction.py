@@ -29,6 +29,7 @@ FIT_PAGES, FIT_BYTES = 1000, 262_144
 
 # Fixed values of the page format.
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
@@ -149,6 +150,8 @@ def items_of(page: str, weights: Weights, elements: list | None = None) -> list[
                     items.append(Item("/" + name, labelled=inside and content > 0))
             continue
         attributes = match["attrs"] or ""
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop()
         if name in CONTENT and aside and not any(n in CONTENT for n, _ in stack):
             while aside and stack:  # a menu that was never closed does not swallow the article
                 pop()

@@ -32,15 +32,12 @@ THRESHOLD = 0.7
 
 @dataclass
 class Network:
-    """Weights, and ``prior``: what the class shares of the corpus add to the log-odds of the balanced fit."""
-
     weights: dict[str, np.ndarray]
-    prior: float = 0.0
 
     def scores(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         layout = _Layout(raw, ends)
         pooled, _ = layout.pool(self.weights)
-        z = layout.combine(pooled)[0] @ self.weights["head"] + self.weights["bias"] + self.prior
+        z = layout.combine(pooled)[0] @ self.weights["head"] + self.weights["bias"]
         return 1.0 / (1.0 + np.exp(-np.clip(z.astype(float), -40, 40)))
 
 
@@ -130,7 +127,8 @@ def _gradients(layout: _Layout, w: dict, truth: np.ndarray) -> tuple[dict, float
     return out, loss
 
 
-def train(texts: list[bytes], truth: np.ndarray, epochs: int = 12, batch: int = 48, seed: int = 7) -> dict:
+def train(texts: list[bytes], truth: np.ndarray, epochs: int = 12, batch: int = 48, seed: int = 7,
+          least_steps: int = 40) -> dict:
     """Weights fitted by Adam on balanced batches."""
     rng = np.random.default_rng(seed)
     w = {
@@ -140,11 +138,12 @@ def train(texts: list[bytes], truth: np.ndarray, epochs: int = 12, batch: int =
         "head": np.zeros(2 * FILTERS, np.float32),
         "bias": np.zeros(1, np.float32),
     }
-    if len(set(truth.tolist())) < 2:
+    if len(set(truth.tolist())) < 2:  # nothing tells the classes apart
+        w["bias"] += -40 if 0 in truth else 40
         return w
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     good, bad = np.flatnonzero(truth == 1), np.flatnonzero(truth == 0)
-    steps = max(1, (len(good) + len(bad)) // batch)
+    steps = max(least_steps, (len(good) + len(bad)) // batch)
     t = 0
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.001
@@ -167,19 +166,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     """Fit on a bounded sample: about ``fit_rows`` labelled documents of each class, those of up to ``fit_bytes``.
 
     Rows whose crc32 of the key leaves 2 when divided by 4 are never learned from,
-    and only the text is an input. Without labels of both classes every score is the
-    share of good labels (a half if there are none).
+    and only the text is an input. Both classes weigh the same in the fit, so a score
+    of a half means neither is likelier by the text. Without labels of both classes
+    every score is that of the class known, and 1 if there are no labels at all.
     """
     allowed = ~remainder_is(F.col("doc_id"), 4, 2)
     sample = labelled_sample(docs, labels, "quality", fit_rows, allowed)
     rows = sample.where(F.octet_length("text") <= fit_bytes).select("doc_id", "quality", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     truth = np.array([int(r["quality"] == 1) for r in rows], int)
-    weights = train([r["text"].encode() for r in rows], truth)
-    share = labels.where(allowed & F.col("quality").isNotNull()).agg(
-        F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    share = min(max(0.5 if share is None else share, 1e-3), 1 - 1e-3)
-    return Network(weights, float(np.log(share / (1 - share))))
+    return Network(train([r["text"].encode() for r in rows], truth))
 
 
 def score_column(network: Network, text: str = "text") -> Column:

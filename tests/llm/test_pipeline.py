@@ -1,0 +1,66 @@
+"""The pipeline, stage by stage, and the entry without the text operators."""
+
+import subprocess
+import sys
+from collections import defaultdict
+from pathlib import Path
+
+import corpus_pipeline
+from strandline.llm.queries import tokenizer_path
+from tests.llm.test_groups import check_packing, plain_classes, plain_fingerprint
+
+SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def test_stages_one_by_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality rules", "quality classifier", "near duplicates", "source mix", "packing"]
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, SF)
+        if name != "packing":
+            assert after.columns == docs.columns
+            after = spark.createDataFrame(after.collect(), docs.schema)
+        rows, had = after.collect(), before.collect()
+        if name.startswith("quality"):
+            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in had}
+            known = [quality[r["doc_id"]] for r in rows if r["doc_id"] in quality]
+            assert sum(known) > 0.95 * len(known)
+        if name == "near duplicates":
+            prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in had}
+            ids = sorted(prints)
+            classes = plain_classes(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+            assert sorted(r["doc_id"] for r in rows) == sorted(set(classes.values()))
+        if name == "source mix":
+            most = defaultdict(int)
+            for r in rows:
+                most[r["doc_id"]] += 1
+            assert max(most.values()) <= 3
+        if name == "packing":
+            check_packing(rows, [r["text"] for r in had])
+        before = after
+
+
+def test_run_gives_what_the_stages_give(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame((d := stage(spark, docs, SF)).collect(), d.schema)
+    key = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, SF)) == key(docs)
+
+
+def test_a_stage_takes_an_empty_table(spark):
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_entry_without_the_text_operators(tmp_path):
+    for part in ("__spark_entry__.py", "strandline"):
+        (tmp_path / part).symlink_to(ROOT / part)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert found[1:] == ["False", "True"] and int(found[0]) > 70
