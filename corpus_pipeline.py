@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, one operator a stage.
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and returns
-a DataFrame; all but the last return the columns of ``documents``. What stages learn
-comes from the labels in ``sf_dir`` that belong to the documents still there.
+a DataFrame; all but the last return the columns of ``documents``. The quality stages
+learn from the labelled documents of ``sf_dir``, whatever earlier stages left of them.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rules.keep_good(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return rules.keep_good(docs, rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_net.keep_good(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_net.keep_good(docs, quality_net.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
