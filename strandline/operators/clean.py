@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Imputer, ImputerModel
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.config import CleaningRules
-from strandline.functions.columns import feature_names
 
 
 def drop_columns(df: DataFrame, names) -> DataFrame:
@@ -30,6 +30,13 @@ def fill_constants(df: DataFrame, values: dict) -> DataFrame:
     return df.na.fill(values)
 
 
+def level_name(column: str, level: str, text: bool) -> str:
+    """``D_64_-1`` for the level ``-1``; whole numbers lose their fraction, other marks become underscores."""
+    if not text and float(level).is_integer():
+        level = str(int(float(level)))
+    return f"{column}_{re.sub('[^A-Za-z0-9_-]', '_', level)}"
+
+
 @dataclass(frozen=True)
 class OneHot:
     """Category levels learned once and applied to any later table."""
@@ -46,24 +53,33 @@ class OneHot:
         if not columns:
             return OneHot({})
         types = dict(df.dtypes)
-        found = (df.select([F.col(c).cast("string").alias(c) for c in columns])
+        found = (df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns])
                  .unpivot([], list(columns), "column", "value")
                  .where(F.col("value").isNotNull()).distinct()
                  .limit(max_levels * len(columns) + 1).collect())
         levels: dict[str, list] = {c: [] for c in columns}
         for r in found:
             levels[r["column"]].append(r["value"])
+        crowded = max(levels, key=lambda c: len(levels[c]))
+        if len(levels[crowded]) > max_levels:
+            raise ValueError(f"column {crowded!r} has more than {max_levels} distinct values")
         for c, values in levels.items():
-            if len(values) > max_levels or len(found) > max_levels * len(columns):
-                raise ValueError(f"more than {max_levels} distinct values in one of {list(columns)}")
             values.sort(key=None if types[c] == "string" else float)
         return OneHot({c: v[:-1] for c, v in levels.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Integer columns ``<column>_<level>``; the source columns are dropped. A null is 0 everywhere."""
-        flags = [F.when(F.col(c).cast("string") == v, 1).otherwise(0).alias(f"{c}_{v}")
-                 for c, values in self.levels.items() for v in values]
-        return df.select([F.col(f"`{c}`") for c in df.columns if c not in self.levels] + flags)
+        """Integer columns ``<column>_<level>``; the source columns are dropped. A null is 0 everywhere.
+
+        Two levels, or a level and another column, that would bear one name are refused.
+        """
+        types = dict(df.dtypes)
+        named = [(level_name(c, v, types[c] == "string"), c, v) for c, values in self.levels.items() for v in values]
+        kept = [c for c in df.columns if c not in self.levels]
+        names = [c.lower() for c in kept] + [name.lower() for name, _, _ in named]
+        if len(set(names)) < len(names):
+            raise ValueError(f"two columns would be named {max(names, key=names.count)!r}")
+        flags = [F.when(F.col(f"`{c}`").cast("string") == v, 1).otherwise(0).alias(name) for name, c, v in named]
+        return df.select([F.col(f"`{c}`") for c in kept] + flags)
 
 
 @dataclass(frozen=True)
@@ -87,15 +103,9 @@ class Cleaning:
 
 def fit_imputer(df: DataFrame, columns: list[str], strategy: str = "mean",
                 outputs: list[str] | None = None) -> ImputerModel:
-    """Fill values for all columns: ``mean`` in one aggregation, ``median`` or ``mode`` on request.
+    """Fill values for all columns: ``mean`` in one aggregation, exact ``median`` or ``mode`` on request.
 
-    A column without a single value has no surrogate, which Spark reports as an error.
+    The median is a value of the column, the lower of two in the middle. A column without a single value has no surrogate, which Spark reports as an error.
     """
-    return Imputer(inputCols=columns, outputCols=outputs or columns, strategy=strategy).fit(df)
-
-
-def impute_features(df: DataFrame, key: str, strategy: str = "mean") -> DataFrame:
-    """Fill every column but the key and rename it in the feature style."""
-    names = feature_names([c for c in df.columns if c != key])
-    model = fit_imputer(df, list(names), strategy, list(names.values()))
-    return model.transform(df).drop(*names)
+    return Imputer(inputCols=columns, outputCols=outputs or columns, strategy=strategy,
+                   relativeError=0.0).fit(df)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandline.config import PanelSpec
 from strandline.functions.columns import months_tenure
 from strandline.operators.joins import attach_group_facts
+from strandline.session import staged
 
 
 def calendar_parts(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -22,27 +23,22 @@ def calendar_parts(df: DataFrame, spec: PanelSpec) -> DataFrame:
 def date_summary(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Per entity: record count, span, tenure, and mean and deviation of the days between records.
 
-    The mean gap needs only the first and last day. The deviation also needs the
-    squares of the gaps, for which the set of distinct days is enough: records of
-    one day add gaps of zero. The set is built map-side and holds at most one
-    entry per calendar day. One shuffle, no sort of the rows.
+    The rows of a day are condensed map-side to one; records of one day add gaps of
+    zero. The mean gap follows from the first and last day, the deviation needs the
+    squared gaps between the entity's days. Buffers have a fixed width throughout.
     """
-    day = F.unix_date(F.to_date(spec.time))
-    per_entity = df.groupBy(spec.entity).agg(
-        F.count(spec.time).alias("n_records"),
-        F.min(spec.time).alias("earliest_date"),
-        F.max(spec.time).alias("latest_date"),
-        F.array_sort(F.collect_set(day)).alias("days"))
-    # Squared distances between neighbouring days, added up along the sorted array.
-    squares = F.aggregate(
-        F.zip_with(F.slice("days", 2, F.greatest(F.size("days") - 1, F.lit(0))), "days", lambda b, a: b - a),
-        F.lit(0.0), lambda total, gap: F.when(gap.isNull(), total).otherwise(total + gap.cast("double") * gap))
+    days = df.groupBy(spec.entity, F.unix_date(F.to_date(spec.time)).alias("day")).agg(
+        F.count(spec.time).alias("n"), F.min(spec.time).alias("first"), F.max(spec.time).alias("last"))
+    gap = F.col("day") - F.lag("day").over(Window.partitionBy(spec.entity).orderBy("day"))
+    per_entity = days.withColumn("gap", gap.cast("double")).groupBy(spec.entity).agg(
+        F.sum("n").alias("n_records"), F.min("first").alias("earliest_date"), F.max("last").alias("latest_date"),
+        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("squares"))
     gaps = per_entity.select(
         spec.entity, "n_records", "earliest_date", "latest_date",
         F.datediff("latest_date", "earliest_date").alias("span_days"),
         months_tenure(F.col("latest_date"), F.col("earliest_date")).alias("months_tenure"),
         (F.col("n_records") - 1).alias("n_gaps"),
-        squares.alias("squares"))
+        "squares")
     mean = F.try_divide(F.col("span_days"), F.col("n_gaps"))
     variance = F.try_divide(
         F.greatest(F.col("squares") - mean * F.col("span_days"), F.lit(0.0)), F.col("n_gaps") - 1)
@@ -60,30 +56,29 @@ def date_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def with_previous_date(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Every row with the day of the entity's previous record and the days since then.
+    """Every row with the time of the entity's previous record (``lag_date``) and the days since then.
 
-    The previous day is looked up among the entity's distinct days. The first row
-    of a day (by row id) follows the previous day; its other rows follow the day
-    itself. Without a row id a day is taken to have one row.
+    Records follow each other by time, then by row id; without a row id, equal times
+    are told apart by the other columns. Only the rows of one day of an entity are
+    ordered together: the last time of its previous day enters the day as a row of
+    its own, so an entity with very many rows is spread over its days.
     """
     day = F.to_date(spec.time)
-    first = [F.min(spec.row).alias("__first_row")] if spec.row else []
-    days = (df.groupBy(spec.entity, day.alias("__day"))
-            .agg(F.count(F.lit(1)).alias("__rows"), *first))
-    order = Window.partitionBy(spec.entity).orderBy("__day")
-    facts = days.withColumn("__previous", F.lag("__day").over(order))
-    rows = attach_group_facts(df.withColumn("__day", day), facts, [spec.entity, "__day"],
-                              spec.keys, "__rows")
-    previous = F.col("__previous")
-    if spec.row:
-        previous = F.when(F.col(spec.row) == F.col("__first_row"), previous).otherwise(F.col("__day"))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], previous.alias("lag_date")).withColumn(
+    tie = F.col(spec.row) if spec.row else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    by_day = Window.partitionBy(spec.entity).orderBy("__day")
+    before = (df.groupBy(spec.entity, day.alias("__day")).agg(F.max(spec.time).alias(spec.time))
+              .withColumn(spec.time, F.lag(spec.time).over(by_day)).withColumn("__before", F.lit(True)))
+    rows = df.withColumns({"__day": day, "__before": F.lit(False), "__tie": tie})
+    inside = Window.partitionBy(spec.entity, "__day").orderBy(F.col("__before").desc(), spec.time, "__tie")
+    lagged = (rows.unionByName(before, allowMissingColumns=True)
+              .withColumn("lag_date", F.lag(spec.time).over(inside)).where(~F.col("__before")))
+    return lagged.select(*[F.col(f"`{c}`") for c in df.columns], "lag_date").withColumn(
         "lag_days", F.datediff(spec.time, "lag_date"))
 
 
 def with_first_last_date(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Every row with the first and last date of its entity."""
-    facts = df.groupBy(spec.entity).agg(
+    facts = staged(df.groupBy(spec.entity).agg(
         F.min(spec.time).alias("earliest_date"), F.max(spec.time).alias("latest_date"),
-        F.count(F.lit(1)).alias("__rows"))
+        F.count(F.lit(1)).alias("__rows")), "first-last")
     return attach_group_facts(df, facts, [spec.entity], spec.keys, "__rows").drop("__rows")

@@ -15,15 +15,21 @@ def outer_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def outer_join_all(frames: list[DataFrame], key: str) -> DataFrame:
-    """Full outer join of tables that hold each key once, with one shuffle for any number of tables."""
+    """Full outer join of tables that hold each key once, with one shuffle for any number of tables.
+
+    As in ``outer_join`` a null key matches nothing: such rows stay by themselves.
+    """
     if len(frames) == 1:
         return frames[0]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return stacked.groupBy(key).agg(
-        *[F.max(F.col(f"`{c}`")).alias(c) for c in stacked.columns if c != key])
+    alone = F.col(key).isNull()
+    marked = [f.withColumn("__alone", F.when(alone, F.lit(i)).otherwise(F.lit(-1))) for i, f in enumerate(frames)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    return stacked.groupBy(key, "__alone").agg(
+        *[F.max(F.col(f"`{c}`")).alias(c) for c in stacked.columns if c not in (key, "__alone")]).drop("__alone")
 
 
 def inner_join_all(frames: list[DataFrame], key: str) -> DataFrame:
+    """Inner join of tables that hold each key once; a null key matches nothing."""
     return reduce(lambda a, b: a.join(b, on=key), frames)
 
 

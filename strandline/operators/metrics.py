@@ -58,29 +58,29 @@ def classification_report(df: DataFrame, target: str = "target", predicted: str
     return per_class.select("label", *names, "support").unionAll(means)
 
 
-def _threshold_counts(df: DataFrame, score: str, target: str, bins: int) -> DataFrame:
+def _threshold_counts(df: DataFrame, score: str, target: str) -> DataFrame:
     marked = df.select(F.col(score).alias("score"), F.col(target).cast("long").alias("pos"),
                        (1 - F.col(target)).cast("long").alias("neg"))
-    return running_totals(marked, "score", ["pos", "neg"], bins=bins, descending=True)
+    return running_totals(marked, "score", ["pos", "neg"], descending=True)
 
 
-def roc_points(df: DataFrame, score: str = "score", target: str = "target", bins: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """One point per distinct score: the rates when everything from that score upwards is called positive."""
-    return _threshold_counts(df, score, target, bins).select(
+    return _threshold_counts(df, score, target).select(
         F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         F.try_divide("cum_pos", "all_pos").alias("tpr"), F.try_divide("cum_neg", "all_neg").alias("fpr"))
 
 
-def pr_points(df: DataFrame, score: str = "score", target: str = "target", bins: int = 64) -> DataFrame:
-    return _threshold_counts(df, score, target, bins).select(
+def pr_points(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
+    return _threshold_counts(df, score, target).select(
         F.col("score").alias("threshold"),
         F.try_divide("cum_pos", F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
         F.try_divide("cum_pos", "all_pos").alias("recall"))
 
 
-def auc(df: DataFrame, score: str = "score", target: str = "target", bins: int = 64) -> DataFrame:
+def auc(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """Area under the ROC curve by trapezoids, tied scores counting half."""
-    counts = _threshold_counts(df, score, target, bins)
+    counts = _threshold_counts(df, score, target)
     won = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)
     return counts.agg(F.sum(won).alias("won"), F.max("all_pos").alias("p"), F.max("all_neg").alias("n")).select(
         F.try_divide("won", F.col("p").cast("double") * F.col("n")).alias("auc"))

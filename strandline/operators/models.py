@@ -18,6 +18,8 @@ from strandline.config import LOGISTIC_C, LOGISTIC_MAX_ITER
 from strandline.operators.prepare import MinMax, assemble
 from strandline.sources.statements import read_names, write_names
 
+#: The trees searched through have no limit of depth; this is the deepest that Spark grows.
+MAX_DEPTH = 30
 ROLES = {"featuresCol": "features", "labelCol": "target", "predictionCol": "predicted"}
 
 
@@ -55,7 +57,7 @@ def _tree_limits(min_split: float, min_leaf: float, max_depth: int) -> dict:
 
 
 def decision_tree(criterion: str = "gini", min_split: float = 0.0, min_leaf: float = 0.0,
-                  max_features=None, max_depth: int = 10, seed: int = 0) -> RandomForestClassifier:
+                  max_features=None, max_depth: int = MAX_DEPTH, seed: int = 0) -> RandomForestClassifier:
     """One tree on all rows; a forest of one, because only forests can restrict the features of a split."""
     return RandomForestClassifier(
         **ROLES, numTrees=1, bootstrap=False, impurity=criterion, seed=seed,
@@ -63,7 +65,7 @@ def decision_tree(criterion: str = "gini", min_split: float = 0.0, min_leaf: flo
 
 
 def random_forest(criterion: str = "gini", min_split: float = 0.0, min_leaf: float = 0.0,
-                  max_features="sqrt", trees: int = 100, max_depth: int = 10,
+                  max_features="sqrt", trees: int = 100, max_depth: int = MAX_DEPTH,
                   seed: int = 0) -> RandomForestClassifier:
     return RandomForestClassifier(
         **ROLES, numTrees=trees, impurity=criterion, seed=seed,

@@ -11,8 +11,8 @@ from strandline.config import PanelSpec
 def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str = "first_seen") -> DataFrame:
     """``mode_<column>`` per entity for any number of columns, with two shuffles in all.
 
-    Null counts as a value. Among equally frequent values the one seen first wins,
-    then the lowest; with ``ties="lowest"`` the lowest wins at once and nulls are
+    Null counts as a value. Among equally frequent values the one seen first wins, by
+    time and row id, then the lowest; with ``ties="lowest"`` the lowest wins at once and nulls are
     left out, as in the built-in ``mode``.
 
     Values are counted per (entity, column, value) before they meet on the entity,
@@ -23,10 +23,10 @@ def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str =
         raise ValueError(f"unknown tie rule {ties!r}")
     types = dict(df.dtypes)
     common = "double" if all(types[c] not in ("string", "date") for c in columns) else "string"
-    values = (df.select(spec.entity, spec.time, *[F.col(c).cast(common).alias(c) for c in columns])
-              .unpivot([spec.entity, spec.time], columns, "column", "value"))
+    values = (df.select(*spec.keys, *[F.col(f"`{c}`").cast(common).alias(c) for c in columns])
+              .unpivot(spec.keys, columns, "column", "value"))
     counts = values.groupBy(spec.entity, "column", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(spec.time).alias("first"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*spec.keys[1:])).alias("first"))
     parts = [(-F.col("n")).alias("n"), *(["first"] if ties == "first_seen" else []), F.col("value")]
     usable = F.col("value").isNotNull() if ties == "lowest" else F.lit(True)
     best = counts.withColumn("candidate", F.when(usable, F.struct(*parts)))

@@ -1,14 +1,16 @@
-"""Exact nearest neighbours within one table, without comparing all pairs.
-
-The points are divided among pivots (a Voronoi partition). A first search looks
-in a point's own cell; the distance of its k-th hit then rules out, by the
-triangle inequality, the cells that cannot hold a nearer point, and a second
-search visits the rest. This is the scheme of Lu, Shen, Chen and Ooi, "Efficient
-Processing of k Nearest Neighbor Joins using MapReduce" (VLDB 2012).
-
-Copies of a point are folded into one before the search, and crowded cells and
-their visitors are divided into blocks, so the size of a task does not depend on
-how the points are distributed.
+"""Exact nearest neighbours within one table, block against block.
+
+The points are divided among pivots (a Voronoi partition). A first search looks in
+a point's own cell; the largest distance of a k-th hit in a cell then rules out, by
+the triangle inequality, the cells and the points that cannot be nearer to any point
+of it, and a second search visits the rest. This is the scheme of Lu, Shen, Chen and
+Ooi, "Efficient Processing of k Nearest Neighbor Joins using MapReduce" (VLDB 2012).
+
+Copies of a point are folded into one before the search. Cells are searched in
+blocks of bounded size, and a point is sent once to each block of visitors that it may
+matter to, not to each visitor. Where nothing can be ruled out, as in very many
+dimensions, what is sent grows with the square of the points over the block size;
+what is written stays linear.
 """
 
 from __future__ import annotations
@@ -23,10 +25,9 @@ from pyspark.sql import functions as F
 from strandline.operators.joins import attach_group_facts
 from strandline.session import staged
 
-BLOCK_ROWS = 4_000
-SINGLE_CELL_ROWS = 16_000  # so few points are compared faster than they are divided
-POINTS_PER_PIVOT = 250
-MAX_PIVOTS = 2_048
+POINTS_PER_CELL = 500
+MAX_CELLS = 1_024  # pivots and pairs of cells are known to the driver; beyond it cells take more blocks
+VISITOR_ROWS, POINT_ROWS = 4_000, 16_000  # rows of the two sides of a block
 SLACK = 1e-9  # rounding must not rule out a point
 
 
@@ -42,97 +43,95 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
-def _slices(batches, rows: int = 1_000):
-    """The batches in smaller pieces, to bound the distance matrices made from them."""
-    for batch in batches:
-        for start in range(0, len(batch), rows):
-            yield batch.iloc[start:start + rows]
-
-
 def _in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
     """The nearest pivot of each point and the distance to it."""
     def assign(batches):
-        for batch in _slices(batches):
-            d2 = _distances(_matrix(batch["vector"]), pivots)
-            cell = d2.argmin(axis=1)
-            yield batch.assign(cell=cell.astype("int32"), radius=np.sqrt(d2[np.arange(len(cell)), cell]))
+        for batch in batches:
+            for start in range(0, len(batch), 1_000):
+                some = batch.iloc[start:start + 1_000]
+                d2 = _distances(_matrix(some["vector"]), pivots)
+                cell = d2.argmin(axis=1)
+                yield some.assign(cell=cell.astype("int32"), radius=np.sqrt(d2[np.arange(len(cell)), cell]))
 
     return reps.mapInPandas(
         assign, f"rep {dict(reps.dtypes)['rep']}, vector array<double>, cell int, radius double")
 
 
-def _search(visits: DataFrame, points: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
-    """The k nearest points of each visitor (``rep``, ``vector``, ``reach``, ``target``) in its target cell.
-
-    Hits beyond the visitor's reach are left out: it knows k nearer ones.
-    Cells are divided into blocks of points and their visitors into blocks as
-    well; a task compares one block with the other and keeps k hits per visitor.
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest points of each visitor in one block, none beyond its reach."""
+    if left.empty or right.empty:
+        return pd.DataFrame(columns=["rep", "other", "distance2"])
+    ids, vectors = right["other"].to_numpy(), _matrix(right["other_vector"])
+    order = np.argsort(ids, kind="stable")  # ids are unique; equal distances: the lowest id first
+    ids, vectors = ids[order], vectors[order]
+    out = []
+    for start in range(0, len(left), 256):
+        some = left.iloc[start:start + 256]
+        own = some["rep"].to_numpy()
+        d2 = _distances(_matrix(some["vector"]), vectors)
+        reach = some["reach"].to_numpy(dtype=float)
+        d2[d2 > (reach[:, None] * (1 + SLACK) + SLACK) ** 2] = np.inf
+        at = np.searchsorted(ids, own).clip(max=len(ids) - 1)
+        itself = np.flatnonzero(ids[at] == own)
+        d2[itself, at[itself]] = np.inf
+        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        rows, hits = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
+        found = np.isfinite(d2[rows, hits])
+        out.append(pd.DataFrame({"rep": own[rows[found]], "other": ids[hits[found]],
+                                 "distance2": d2[rows[found], hits[found]]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _search(visitors: DataFrame, sizes: dict[int, int], points: DataFrame,
+            routes: list[tuple[int, int, float]], k: int) -> DataFrame:
+    """The k nearest points of each visitor (``rep, vector, reach, cell``) along the routes.
+
+    A route ``(cell, to, low)`` sends the points of ``cell`` that are at least ``low``
+    from their pivot to the visitors of cell ``to``.
     """
     spark = points.sparkSession
-    load = visits.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
-    plan = load.select(
-        "target", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("groups")
-    ).join(F.broadcast(spark.createDataFrame(
-        [(c, math.ceil(n / BLOCK_ROWS)) for c, n in sizes.items()], "target int, blocks int")), "target")
-    plan = F.broadcast(plan)  # one row per cell, at most MAX_PIVOTS
-
-    cell = ["target", "group", "block"]
-    kind = dict(points.dtypes)["rep"]
-
-    def part(n):
-        return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-
-    asking = (visits.join(plan, "target")
-              .withColumn("group", part("groups"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("rep", "vector", "reach", "target", "group", "block"))
-    asked = (points.withColumnRenamed("cell", "target").join(plan, "target")
-             .withColumn("block", part("blocks"))
-             .withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-             .select(F.col("rep").alias("other"), F.col("vector").alias("other_vector"),
-                     *[F.col(c).alias(f"at_{c}") for c in cell]))
+    plan = F.broadcast(spark.createDataFrame(routes, "cell int, to int, low double"))
+    sent = points.join(plan, "cell").where(F.col("radius") >= F.col("low"))
+    load = {r["to"]: r["n"] for r in sent.groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shape = [(c, math.ceil(n / VISITOR_ROWS), math.ceil(load.get(c, 0) / POINT_ROWS)) for c, n in sizes.items()]
+    blocks = F.broadcast(spark.createDataFrame(shape, "to int, groups int, parts int"))
+    block, kind = ["to", "group", "part"], dict(points.dtypes)["rep"]
+
+    def one(count):
+        return F.pmod(F.xxhash64("rep", F.lit(count)), F.col(count)).cast("int")
+
+    def each(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    asking = (visitors.withColumnRenamed("cell", "to").join(blocks, "to").where("parts > 0")
+              .withColumn("group", one("groups")).withColumn("part", each("parts"))
+              .select("rep", "vector", "reach", *block))
+    asked = (sent.join(blocks, "to").withColumn("part", one("parts")).withColumn("group", each("groups"))
+             .select(F.col("rep").alias("other"), F.col("vector").alias("other_vector"), *block))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["rep", "other", "distance2", "other_vector"])
-        ids, vectors = right["other"].to_numpy(), _matrix(right["other_vector"])
-        order = np.argsort(ids, kind="stable")  # ids are unique; equal distances: the lowest id first
-        ids, vectors = ids[order], vectors[order]
-        out = []
-        for start in range(0, len(left), 512):
-            some = left.iloc[start:start + 512]
-            own = some["rep"].to_numpy()
-            d2 = _distances(_matrix(some["vector"]), vectors)
-            reach = some["reach"].to_numpy(dtype=float)
-            d2[d2 > (reach[:, None] * (1 + SLACK) + SLACK) ** 2] = np.inf
-            at = np.searchsorted(ids, own).clip(max=len(ids) - 1)
-            itself = np.flatnonzero(ids[at] == own)
-            d2[itself, at[itself]] = np.inf
-            best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(own)), best.shape[1])
-            hits = best.ravel()
-            found = np.isfinite(d2[rows, hits])
-            rows, hits = rows[found], hits[found]
-            out.append(pd.DataFrame({"rep": own[rows], "other": ids[hits], "distance2": d2[rows, hits],
-                                     "other_vector": pd.Series(list(vectors[hits]), dtype=object)}))
-        return pd.concat(out, ignore_index=True)
-
-    return (asking.groupBy(*cell).cogroup(asked.groupBy(*[f"at_{c}" for c in cell]))
-            .applyInPandas(nearest, f"rep {kind}, other {kind}, distance2 double, other_vector array<double>"))
+        return _nearest(left, right, k)
+
+    return (asking.groupBy(*block).cogroup(asked.groupBy(*block))
+            .applyInPandas(nearest, f"rep {kind}, other {kind}, distance2 double"))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("rep").orderBy("distance2", "other")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
 def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k nearest other rows of each row: (key, rank, neighbour, distance2, neighbour_vector).
 
     Equal distances go to the lower key. Keys are unique numbers or texts, vectors are
-    arrays of equal length. With k or fewer rows, all other rows are neighbours.
+    arrays of equal length; a null or NaN coordinate is refused. With k or fewer
+    rows, all other rows are neighbours; no rows give no rows.
     """
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    unfit = F.col("vector").isNull() | F.exists("vector", lambda c: c.isNull() | F.isnan(c))
+    if not rows.where(unfit).isEmpty():
+        raise ValueError(f"{vector!r} holds a null or NaN coordinate")
 
     # Copies of a point: k + 1 ids are enough, since nobody needs more than k besides itself.
     lowest = Window.partitionBy("vector").orderBy("id")
@@ -140,53 +139,38 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFram
            .groupBy("vector").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")))
     counts = rows.groupBy("vector").agg(F.count(F.lit(1)).alias("copies"))
     reps = staged(ids.join(counts, "vector"), "neighbour-points")
-    n_reps = reps.count()
-
-    n_pivots = 1 if n_reps <= SINGLE_CELL_ROWS else max(1, min(MAX_PIVOTS, n_reps // POINTS_PER_PIVOT))
-    chosen = reps.select("vector", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(n_pivots).collect()
+    n_cells = min(MAX_CELLS, math.ceil(reps.count() / POINTS_PER_CELL))
+    chosen = reps.select("vector", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(max(1, n_cells)).collect()
     if not chosen:
         return _expand(rows, reps, None, k)
     pivots = np.array([r["vector"] for r in chosen], dtype=float)
     points = staged(_in_cells(reps.select("rep", "vector"), pivots), "neighbour-cells")
     cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r")).collect()
-    sizes = {c["cell"]: c["n"] for c in cells}
+    sizes, radii = {c["cell"]: c["n"] for c in cells}, {c["cell"]: c["r"] for c in cells}
 
-    own = points.select("rep", "vector", F.lit(float("inf")).alias("reach"), F.col("cell").alias("target"))
-    hits = _best(_search(own, points, sizes, k), k).drop("rank")
+    unbounded = points.select("rep", "vector", "cell", F.lit(float("inf")).alias("reach"))
+    hits = _best(_search(unbounded, sizes, points, [(c, c, 0.0) for c in sizes], k), k)
     if len(cells) > 1:
         hits = staged(hits, "neighbour-hits")
-        reach = hits.groupBy("rep").agg(
-            F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance2"))).alias("reach"))
-        bounded = points.join(reach, "rep", "left").na.fill(float("inf"), ["reach"])
-        visits = _other_cells(bounded, pivots,
-                              np.array([c["cell"] for c in cells]), np.array([c["r"] for c in cells]))
-        more = _search(staged(visits, "neighbour-visits"), points, sizes, k)
-        hits = _best(hits.unionAll(more), k).drop("rank")
+        known = hits.groupBy("rep").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance2"))).alias("reach"))
+        bounded = staged(points.join(known, "rep", "left").select("rep", "vector", "cell", F.coalesce(
+            "reach", F.lit(float("inf"))).alias("reach")), "neighbour-reach")
+        reach = {r["cell"]: r["reach"] for r in bounded.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}
+        far = np.sqrt(_distances(pivots, pivots))
+        # No point of a cell is nearer to a visitor than the pivots' distance less both radii.
+        lows = {(a, b): far[a, b] - (radii[b] + reach[b]) * (1 + SLACK) - SLACK for a in sizes for b in sizes if a != b}
+        routes = [(a, b, float(low)) for (a, b), low in lows.items() if low <= radii[a]]
+        if routes:
+            hits = _best(hits.unionAll(_search(bounded, sizes, points, routes, k)), k)
     return _expand(rows, reps, hits, k)
 
 
-def _other_cells(points: DataFrame, pivots: np.ndarray, cells: np.ndarray, radii: np.ndarray) -> DataFrame:
-    """The cells besides a point's own that may hold a point within its reach (any, if it has none)."""
-    def pick(batches):
-        for batch in _slices(batches):
-            gap = np.sqrt(_distances(_matrix(batch["vector"]), pivots[cells])) - radii[None, :]
-            reach = batch["reach"].to_numpy(dtype=float)
-            wanted = gap <= reach[:, None] * (1 + SLACK) + SLACK
-            wanted &= cells[None, :] != batch["cell"].to_numpy()[:, None]
-            row, col = np.nonzero(wanted)
-            yield pd.DataFrame({"rep": batch["rep"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row],
-                                "reach": reach[row], "target": cells[col].astype("int32")})
-
-    return points.select("rep", "vector", "cell", "reach").mapInPandas(
-        pick, f"rep {dict(points.dtypes)['rep']}, vector array<double>, reach double, target int")
-
-
 def _expand(rows: DataFrame, reps: DataFrame, hits: DataFrame | None, k: int) -> DataFrame:
     """From distinct points back to rows: a point's own copies come first, then its neighbours' ids."""
     own = reps.select("rep", F.explode("ids").alias("neighbour"), F.lit(0.0).alias("distance2"),
                       F.col("vector").alias("neighbour_vector"))
     if hits is not None:
-        others = hits.join(reps.select(F.col("rep").alias("other"), "ids"), "other")
+        others = hits.join(reps.select(F.col("rep").alias("other"), "ids", F.col("vector").alias("other_vector")), "other")
         own = own.unionAll(others.select("rep", F.explode("ids").alias("neighbour"), "distance2",
                                          F.col("other_vector").alias("neighbour_vector")))
     # k + 1 candidates per point serve all its copies: each copy skips itself.
@@ -196,7 +180,7 @@ def _expand(rows: DataFrame, reps: DataFrame, hits: DataFrame | None, k: int) ->
                       F.struct("distance2", "neighbour", "neighbour_vector"))).alias("candidates")))
     found = reps.select("rep", "vector", "copies").join(candidates, "rep").select("vector", "copies", "candidates")
     others = F.slice(F.filter("candidates", lambda c: c["neighbour"] != F.col("id")), 1, k)
-    return (attach_group_facts(rows, found, ["vector"], ["id"], "copies")
+    return (attach_group_facts(rows, staged(found, "neighbour-found"), ["vector"], ["id"], "copies")
             .select("id", F.posexplode(others).alias("rank", "c"))
             .select(F.col("id").alias("key"), (F.col("rank") + 1).alias("rank"), "c.neighbour",
                     "c.distance2", "c.neighbour_vector"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +45,8 @@ def per_column(df: DataFrame, columns: list[str], stats: dict[str, Callable[[str
 
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return per_column(df, columns or df.columns, {
-        "n_null": lambda c: F.count_if(F.col(c).isNull()),
-        "null_rate": lambda c: F.avg(F.col(c).isNull().cast("int")),
+        "n_null": lambda c: F.count_if(F.col(f"`{c}`").isNull()),
+        "null_rate": lambda c: F.avg(F.col(f"`{c}`").isNull().cast("int")),
     })
 
 
@@ -64,11 +62,11 @@ def sparse_columns(df: DataFrame, threshold: float, keep: tuple[str, ...] = ())
 
 
 def _number(column: str) -> Column:
-    return F.col(column).cast("double")
+    return F.col(f"`{column}`").cast("double")
 
 
 SUMMARY = {
-    "n": lambda c: F.count(c),
+    "n": lambda c: F.count(F.col(f"`{c}`")),
     "mean": lambda c: F.avg(_number(c)),
     "stddev": lambda c: F.stddev_samp(_number(c)),
     "min": lambda c: F.min(_number(c)),
@@ -82,20 +80,20 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = columns or [n for n, t in df.dtypes if t == "string"]
-    return per_column(df, names, {"n": lambda c: F.count(c), "min": lambda c: F.min(c), "max": lambda c: F.max(c)})
+    return per_column(df, names, {"n": lambda c: F.count(F.col(f"`{c}`")), "min": lambda c: F.min(f"`{c}`"), "max": lambda c: F.max(f"`{c}`")})
 
 
 def quartiles(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """Approximate 25/50/75 % points of many columns in one pass; ``exact_quantiles`` has the exact ones."""
     def point(q):
-        return lambda c: F.percentile_approx(F.col(c).cast("double"), F.lit(q), accuracy)
+        return lambda c: F.percentile_approx(_number(c), F.lit(q), accuracy)
 
     return per_column(df, columns or numeric_columns(df), {"q25": point(0.25), "q50": point(0.5), "q75": point(0.75)})
 
 
 def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Frequency of every value of every listed column; null is a value of its own."""
-    return (df.select([F.col(c).cast("string").alias(c) for c in columns])
+    return (df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns])
             .unpivot([], columns, "column", "value")
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
@@ -134,7 +132,7 @@ def category_instability(df: DataFrame, spec: PanelSpec, columns: list[str]) ->
     Distinct (entity, column, value) triples are formed before they meet on the
     entity, so an entity with very many rows never gathers in one task.
     """
-    values = (df.select(spec.entity, *[F.col(c).cast("string").alias(c) for c in columns])
+    values = (df.select(spec.entity, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
               .unpivot([spec.entity], columns, "column", "value")
               .where(F.col("value").isNotNull())
               .distinct())
@@ -179,9 +177,3 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     return reduce(DataFrame.unionAll, [rows_of(part) for part in blocks(pairs, 2)])
-
-
-def correlation_matrix(df: DataFrame, columns: list[str]) -> list[list[float]]:
-    """Pearson correlations of many columns from one pass; rows with a null are left out."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
-    return Correlation.corr(vectors, "features").first()[0].toArray().tolist()

@@ -1,58 +1,70 @@
-"""Running totals, ranks and exact quantiles over a global order, without a single-task window."""
+"""Running totals, ranks and exact quantiles over a global order, without a task that sees a whole group."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import staged
 
+RANGE, START = "__range", "__start"
+
+
+def _in_ranges(df: DataFrame, groups: list[str], order: list[Column], values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows range-sorted and written with the number of their range, and the sums of each group before each range.
+
+    The number of ranges follows the session's shuffle partitions, and so the data.
+    """
+    ranged = staged(df.repartitionByRange(*[F.col(c) for c in groups], *order)
+                    .withColumn(RANGE, F.spark_partition_id()), "ranges")
+    # As many rows as there are ranges, more only where several groups share one.
+    earlier = Window.partitionBy(*groups).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(RANGE, *groups).agg(*[F.sum(v).alias(v) for v in values])
+    starts = sums.select(RANGE, *groups, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(v) for v in values],
+                         *[F.sum(v).over(Window.partitionBy(*groups)).alias(f"all_{v}") for v in values])
+    return ranged, starts.withColumn(START, F.lit(True))
+
 
-def running_totals(df: DataFrame, order: str, totals: list[str], group: str | None = None, bins: int = 64,
+def prefix_sums(df: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the same group that come before the row.
+
+    The start of a group in each range enters the range as a row of its own, and a
+    window inside the range adds up the rest. A crowded group is spread over many
+    ranges if its order columns differ. Null groups are a group. Rows that are equal
+    in all order columns may come in any order.
+    """
+    ranged, starts = _in_ranges(df, groups, [F.col(c) for c in order], [value])
+    inside = (Window.partitionBy(RANGE, *groups).orderBy(F.col(START).desc(), *order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (ranged.withColumn(START, F.lit(False)).unionByName(starts.drop(f"all_{value}"), allowMissingColumns=True)
+            .withColumn(name, F.sum(value).over(inside))
+            .where(~F.col(START)).drop(RANGE, START))
+
+
+def running_totals(df: DataFrame, order: str, totals: list[str], group: str | None = None,
                    descending: bool = False) -> DataFrame:
     """Sums of the totals per distinct value, running sums ``cum_<total>`` and overall sums ``all_<total>``.
 
-    Equal values are added up first and the result is written, since it is read
-    several times. The distinct values are then cut into ranges; range sums (at
-    most ``bins + 1`` rows) give each range its starting point and a window inside
-    each range does the rest, so no task sees the whole table. Raise ``bins`` with
-    the number of distinct values. With ``group`` (a column of few values, such as
-    a column name) every group is ordered for itself.
+    Equal values are added up first, and nulls are left out; NaN counts as the
+    largest value. The type of the value is kept. With ``group`` every group is
+    ordered for itself. No rows give no rows.
     """
-    within = [group] if group else []
-    values = staged(df.where(F.col(order).isNotNull())
-                    .groupBy(*within, F.col(order).cast("double").alias(order))
-                    .agg(*[F.sum(t).alias(t) for t in totals]), "distinct-values")
-    points = [i / bins for i in range(1, bins)]
-    cuts = values.groupBy(*within).agg(F.percentile_approx(order, points, 20 * bins).alias("cuts")).collect()
-
-    def binned(cut):
-        part = values.where(F.col(group).eqNullSafe(F.lit(cut[group]))) if group else values
-        splits = [-float("inf"), *sorted(set(cut["cuts"] or [])), float("inf")]
-        return Bucketizer(splits=splits, inputCol=order, outputCol="__bin").transform(part)
-
-    ranged = reduce(DataFrame.unionAll, [binned(cut) for cut in cuts]) if cuts else values.withColumn("__bin", F.lit(0.0))
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    ranges = Window.partitionBy(*within)
-    before = ranges.orderBy(direction("__bin")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (ranged.groupBy(*within, "__bin").agg(*[F.sum(t).alias(t) for t in totals])
-              .select(*within, "__bin",
-                      *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"__before_{t}") for t in totals],
-                      *[F.sum(t).over(ranges).alias(f"all_{t}") for t in totals]))
-    inside = Window.partitionBy(*within, "__bin").orderBy(direction(order))
-    return (ranged.join(F.broadcast(starts), [*within, "__bin"])
-            .select(*within, order, *totals,
-                    *[(F.col(f"__before_{t}") + F.sum(t).over(inside)).alias(f"cum_{t}") for t in totals],
-                    *[f"all_{t}" for t in totals]))
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float], bins: int = 64) -> DataFrame:
-    """Interpolated quantiles, as a median is commonly taken: one row per column, all columns together."""
-    values = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    ranked = running_totals(values.withColumn("n", F.lit(1)), "value", ["n"], "column", bins)
+    groups = [group] if group else []
+    values = df.where(F.col(order).isNotNull()).groupBy(*groups, order).agg(*[F.sum(t).alias(t) for t in totals])
+    direction = F.col(order).desc() if descending else F.col(order).asc()
+    ranged, starts = _in_ranges(staged(values, "distinct-values"), groups, [direction], totals)
+    inside = Window.partitionBy(RANGE, *groups).orderBy(F.col(START).desc(), direction)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (ranged.withColumn(START, F.lit(False)).unionByName(starts, allowMissingColumns=True)
+            .select(*groups, order, START, *totals, *[F.sum(t).over(upto).alias(f"cum_{t}") for t in totals],
+                    *[F.first(f"all_{t}").over(upto).alias(f"all_{t}") for t in totals])
+            .where(~F.col(START)).drop(START))
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles, as a median is commonly taken: one row per column, all columns from one scan."""
+    values = df.select([F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    ranked = running_totals(values.withColumn("n", F.lit(1)), "value", ["n"], "column")
     out = []
     for name, q in points.items():
         # Ranks start at 0; a value fills the ranks from cum_n - n to cum_n - 1.
@@ -65,13 +77,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float],
     return ranked.groupBy("column").agg(*out)
 
 
-def positions(df: DataFrame, hashed: str, tie: str, bins: int = 64) -> DataFrame:
-    """``position`` 0, 1, 2, … in the order of a hash value in [0, 1); ``tie`` breaks equal hashes."""
-    binned = df.withColumn("__bin", F.floor(F.col(hashed) * bins).cast("int"))
-    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n"))
-              .select("__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
-    inside = Window.partitionBy("__bin").orderBy(hashed, tie)
-    return (binned.join(F.broadcast(ranges), "__bin")
-            .withColumn("position", F.col("__before") + F.row_number().over(inside) - 1)
-            .drop("__bin", "__before"))
+def positions(df: DataFrame, hashed: str, tie: str) -> DataFrame:
+    """``position`` 0, 1, 2, … in the order of a hash value; ``tie`` breaks equal hashes."""
+    counted = prefix_sums(df.withColumn("__one", F.lit(1)), [], [hashed, tie], "__one", "position")
+    return counted.withColumn("position", F.coalesce("position", F.lit(0))).drop("__one")

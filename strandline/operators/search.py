@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -11,7 +12,7 @@ from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.config import FOLDS, SEARCH_PARALLELISM, SEARCH_TRIALS
+from strandline.config import SEARCH_PARALLELISM, SEARCH_TRIALS
 from strandline.operators.models import decision_tree, logistic_regression, random_forest
 
 # The families of the search space and the penalties each may draw.
@@ -25,6 +26,10 @@ PENALTIES = {
 }
 
 
+# The largest iterations of a logistic fit and the steps of its and the trees' ranges.
+ITERATIONS, ITERATION_STEP, SHARE_STEP = (100, 3000), 100, 0.001
+
+
 def draw_trials(n: int = SEARCH_TRIALS, seed: int = 0) -> list[dict]:
     """``n`` points of the search space, the same for the same seed."""
     rng = random.Random(seed)
@@ -37,14 +42,14 @@ def draw_trials(n: int = SEARCH_TRIALS, seed: int = 0) -> list[dict]:
         family = rng.choice(FAMILIES)
         if family in PENALTIES:
             trial = {"family": family, "penalty": rng.choice(PENALTIES[family]),
-                     "C": rng.lognormvariate(0.0, 1.0), "max_iter": int(step(100, 3000, 100))}
+                     "C": rng.lognormvariate(0.0, 1.0), "max_iter": int(step(*ITERATIONS, ITERATION_STEP))}
             if family in ("logregnone", "logregSGN"):
                 trial["l1_ratio"] = rng.random()
         else:
             named = rng.choice(["auto", "sqrt", "log2"])
             trial = {"family": family, "criterion": rng.choice(["gini", "entropy"]),
-                     "min_samples_split": step(0, 1, 0.001), "min_samples_leaf": step(0, 1, 0.001),
-                     "max_features": rng.choice([named, step(0, 1, 0.001)])}
+                     "min_samples_split": step(0, 1, SHARE_STEP), "min_samples_leaf": step(0, 1, SHARE_STEP),
+                     "max_features": rng.choice([named, step(0, 1, SHARE_STEP)])}
         trials.append(trial)
     return trials
 
@@ -57,38 +62,42 @@ def build(trial: dict, n_rows: int) -> Estimator:
     return make(trial["criterion"], trial["min_samples_split"], trial["min_samples_leaf"], trial["max_features"])
 
 
-def cross_validated_accuracy(df: DataFrame, estimator: Estimator, folds: int = FOLDS,
-                             prepare: Callable[[DataFrame], DataFrame] | None = None) -> float:
-    """Mean accuracy over the folds of ``df`` (``features``, ``target``, ``fold``).
+@dataclass(frozen=True)
+class Fold:
+    """What is fitted on and what is held out (``features``, ``target``); both are read by every trial."""
+
+    train: DataFrame
+    held_out: DataFrame
+
+
+def cross_validated_accuracy(folds: list[Fold], make: Callable[[int], Estimator],
+                             rows: list[int] | None = None) -> float:
+    """Mean accuracy over the held-out rows of the folds; folds without any do not count.
 
-    ``prepare`` is applied to the training part of each fold only, for instance to
-    oversample without letting synthetic rows into the held-out part.
+    ``make`` builds the estimator for a number of training rows; ``rows`` has these
+    numbers, if they are known already.
     """
     found = []
-    for i in range(folds):
-        train = df.where(F.col("fold") != i)
-        model = estimator.fit(prepare(train) if prepare else train)
-        held_out = model.transform(df.where(F.col("fold") == i))
+    for fold, n in zip(folds, rows or [f.train.count() for f in folds]):
+        held_out = make(n).fit(fold.train).transform(fold.held_out)
         found.append(held_out.agg(F.avg((F.col("predicted") == F.col("target")).cast("int"))).first()[0])
     present = [a for a in found if a is not None]
     return sum(present) / len(present)
 
 
-def search(df: DataFrame, trials: list[dict], folds: int = FOLDS,
+def search(spark: SparkSession, folds: list[Fold], trials: list[dict],
            parallelism: int = SEARCH_PARALLELISM) -> DataFrame:
     """All trials with their accuracy, best first. Every fit is a Spark job of its own; a few run at a time."""
-    spark = df.sparkSession
-    n_rows = df.count()
-    training_rows = max(1, n_rows * (folds - 1) // folds)
+    sizes = [fold.train.count() for fold in folds]
 
     def run(numbered):
         number, trial = numbered
-        value = cross_validated_accuracy(df, build(trial, training_rows), folds)
+        value = cross_validated_accuracy(folds, lambda n: build(trial, n), sizes)
         settings = {k: str(v) for k, v in trial.items() if k != "family"}
         return number, trial["family"], settings, "accuracy", float(value)
 
     with ThreadPool(parallelism) as pool:
-        rows = pool.map(inheritable_thread_target(spark)(run), enumerate(trials))
+        rows = pool.map(inheritable_thread_target(spark)(run), enumerate(trials), chunksize=1)
     return spark.createDataFrame(
         rows, "trial int, family string, params map<string,string>, metric string, value double"
     ).orderBy(F.col("value").desc(), "trial")

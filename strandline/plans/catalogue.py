@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.config import FILL_VALUES, ONE_HOT_COLUMNS, SPARSE_COLUMNS, CleaningRules
+from strandline.config import FILL_VALUES, MODE_COLUMNS, ONE_HOT_COLUMNS, SPARSE_COLUMNS, CleaningRules, PanelSpec
 from strandline.functions.columns import feature_names
 from strandline.operators import (
     aggregate,
@@ -40,9 +41,9 @@ KEYS = ["customer_ID", "S_2", "row_id"]
 CODES = ["D_117", "D_126", "D_68", "D_120", "B_30", "D_114", "D_116", "B_38", "D_144"]
 AMOUNTS = ["P_2", "S_3", "B_1", "B_17", "D_39"]
 CATEGORIES = ["D_63", "D_64", "B_30", "B_38", "D_114", "D_116", "D_120"]
-MODEL_COLUMNS = ["avg_D_39", "std_D_39", "avg_B_17", "n_records"]
-WEIGHTS = {"avg_D_39": 2.5, "std_D_39": 1.25, "avg_B_17": -0.5, "n_records": 3.0}
+WEIGHTS = {"avg_D_39_impt": 2.5, "stddev_samp_D_39_impt": 1.25, "mode_B_38": -0.5, "months_tenure": 3.0, "avg_lag_days": -0.75}
 INTERCEPT = -3.0
+ONE_OF_EACH_FAMILY = 23  # so many draws hold every family
 
 
 def query(fn: Query) -> Query:
@@ -77,7 +78,7 @@ def roundtrip_partitioned(spark, sf):
     path = new_path(spark, "parts")
     panel = tables.statements(spark, sf)
     io.write_parts(panel, path, "parquet", rows_per_file=5_000_000)
-    return io.matches_written(panel, spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 @query
@@ -185,8 +186,24 @@ def one_hot(spark, sf):
 
 @query
 def impute_mean(spark, sf):
-    panel = tables.statements(spark, sf).select(*KEYS, *AMOUNTS)
-    return rounded(clean.fit_imputer(panel, AMOUNTS).transform(panel))
+    panel = tables.statements(spark, sf).select(*KEYS, *AMOUNTS, *CODES)
+    return rounded(clean.fit_imputer(panel, [*AMOUNTS, *CODES]).transform(panel))
+
+
+@query
+def impute_median(spark, sf):
+    panel = tables.statements(spark, sf).select(*KEYS, *AMOUNTS, *CODES)
+    return rounded(clean.fit_imputer(panel, [*AMOUNTS, *CODES], "median").transform(panel))
+
+
+@query
+def one_hot_codes(spark, sf):
+    """Numeric categories from one-hot columns to imputed entity means."""
+    panel = tables.statements(spark, sf).select(*KEYS, "D_39", "B_30", "D_116")
+    means = aggregate.entity_means(clean.OneHot.fit(panel, ["B_30", "D_116"]).transform(panel), ORDERS)
+    names = feature_names([c for c in means.columns if c != "customer_ID"])
+    imputed = clean.fit_imputer(means, list(names), "mean", list(names.values())).transform(means)
+    return rounded(imputed.drop(*names))
 
 
 @query
@@ -200,6 +217,11 @@ def null_column_audit(spark, sf):
     return profile.null_columns(tables.statements(spark, sf))
 
 
+@query
+def feature_null_audit(spark, sf):
+    return profile.null_columns(feature_table(_written_statements(spark, sf), ORDERS))
+
+
 # --- profiling and aggregation -----------------------------------------------------------------
 
 @query
@@ -259,7 +281,7 @@ def describe_text(spark, sf):
 @query
 def summary_quantiles(spark, sf):
     panel = tables.statements(spark, sf)
-    return rounded(ranking.exact_quantiles(panel, AMOUNTS, {"q25": 0.25, "q50": 0.5, "q75": 0.75}))
+    return rounded(ranking.exact_quantiles(panel, [*AMOUNTS, *CODES], {"q25": 0.25, "q50": 0.5, "q75": 0.75}))
 
 
 @query
@@ -267,6 +289,21 @@ def quartiles_in_one_pass(spark, sf):
     return rounded(profile.quartiles(tables.statements(spark, sf), [*AMOUNTS, *CODES]))
 
 
+@query
+def quartile_rank_errors(spark, sf):
+    """How many of a column's three approximate quartiles are within a thousandth of their rank."""
+    panel = tables.statements(spark, sf)
+    found = {r["column"]: r for r in profile.quartiles(panel, [*AMOUNTS, *CODES]).collect()}
+
+    def good(c):
+        value = F.col(c)
+        return sum((F.when((F.avg((value < found[c][name]).cast("int")) <= q + 0.001)
+                           & (F.avg((value <= found[c][name]).cast("int")) >= q - 0.001), 1).otherwise(0)
+                    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))), F.lit(0))
+
+    return profile.per_column(panel, [*AMOUNTS, *CODES], {"n_good": good})
+
+
 @query
 def null_rates(spark, sf):
     return rounded(profile.null_rates(tables.statements(spark, sf)))
@@ -280,6 +317,16 @@ def agg_dict(spark, sf):
         {"avg(D_39)": "avg_D_39", "sum(B_1)": "sum_B_1", "min(B_17)": "min_B_17", "max(S_2)": "max_S_2"}))
 
 
+@query
+def wide_means(spark, sf):
+    """Means of more columns than fit one generated aggregation, with a null among the entities."""
+    panel = tables.statements(spark, sf)
+    entity = F.when(F.col("customer_ID") % 10 != 0, F.col("customer_ID")).alias("customer_ID")
+    wide = panel.select(entity, *[(F.col(c) * i).alias(f"{c}_{i}") for i in range(1, 13) for c in [*AMOUNTS, *CODES[:4]]])
+    means = aggregate.aggregate(wide, "customer_ID", {c: "avg" for c in wide.columns[1:]})
+    return rounded(means.withColumnsRenamed({f"avg({c})": f"avg_{c}" for c in wide.columns[1:]}))
+
+
 @query
 def entity_means(spark, sf):
     return rounded(aggregate.entity_means(_cleaned(spark, sf), ORDERS))
@@ -326,6 +373,19 @@ def lag_days(spark, sf):
     return dates.with_previous_date(panel, ORDERS).drop("lag_date").na.fill(0, ["lag_days"])
 
 
+@query
+def event_lag(spark, sf):
+    """Records of one day follow each other by their time."""
+    lagged = dates.with_previous_date(tables.events(spark, sf).select("user_id", "ts", "event_id"), EVENTS)
+    return lagged.select("user_id", "event_id", "ts", F.col("lag_date").alias("lag_ts"), "lag_days")
+
+
+@query
+def lag_without_row_id(spark, sf):
+    spec = PanelSpec("customer_ID", "S_2")
+    return dates.with_previous_date(tables.order_dates(spark, sf).select("customer_ID", "S_2"), spec)
+
+
 @query
 def first_last_date(spark, sf):
     return dates.with_first_last_date(tables.order_dates(spark, sf), ORDERS)
@@ -373,6 +433,14 @@ def outer_join_modes(spark, sf):
     return joins.outer_join(first, second, "customer_ID")
 
 
+@query
+def outer_join_eight(spark, sf):
+    """The mode tables of the eight codes, each over its known values, side by side."""
+    panel = tables.statements(spark, sf)
+    return joins.outer_join_all(
+        [modes.entity_modes(panel.where(F.col(c).isNotNull()), ORDERS, [c]) for c in MODE_COLUMNS], "customer_ID")
+
+
 @query
 def outer_join_many(spark, sf):
     panel = tables.statements(spark, sf)
@@ -388,30 +456,42 @@ def feature_table_query(spark, sf):
 
 @query
 def labelled_features(spark, sf):
-    return rounded(feature_table(_written_statements(spark, sf), ORDERS, labels=tables.labels(spark, sf)))
+    path = new_path(spark, "labels")
+    labels = tables.labels(spark, sf)
+    io.write_parts(labels, path)
+    return rounded(feature_table(_written_statements(spark, sf), ORDERS, labels=io.read_labels(spark, path, labels.schema)))
 
 
 # --- training data -----------------------------------------------------------------------------
 
 @query
 def feature_matrix(spark, sf):
-    features = prepare.assemble(_model_features(spark, sf), MODEL_COLUMNS, ["customer_ID", "target"])
+    table = _model_features(spark, sf)
+    features = prepare.assemble(table, _columns(table), ["customer_ID", "target"])
     values = vector_to_array("features")
     return rounded(features.select("customer_ID", "target", F.size(values).alias("width"),
-                                   *[values[i].alias(f"feature_{i}") for i in range(len(MODEL_COLUMNS))]))
+                                   *[values[i].alias(f"feature_{i}") for i in range(len(_columns(table)))]))
 
 
 @query
 def minmax_scale(spark, sf):
     split = prepare.with_split(_model_features(spark, sf), "customer_ID")
-    scaler = prepare.MinMax.fit(split.where(F.col("split") == "train"), MODEL_COLUMNS)
-    return rounded(scaler.transform(split), 9)
+    scaler = prepare.MinMax.fit(split.where(F.col("split") == "train"), _columns(split.drop("split")))
+    return rounded(scaler.transform(split))
 
 
 @query
 def minmax_refit(spark, sf):
     features = _model_features(spark, sf)
-    return rounded(prepare.MinMax.fit(features, MODEL_COLUMNS).transform(features), 9)
+    return rounded(prepare.MinMax.fit(features, _columns(features)).transform(features))
+
+
+@query
+def balance_before_after(spark, sf):
+    data = _training(spark, sf)
+    stages = (("before", data.part("train")), ("after", data.resampled))
+    return rounded(reduce(DataFrame.unionAll, [
+        prepare.class_balance(rows).select(F.lit(stage).alias("stage"), "*") for stage, rows in stages]))
 
 
 @query
@@ -433,14 +513,15 @@ def fold_assignment(spark, sf):
 def smote_neighbours(spark, sf):
     scaled = _scaled(spark, sf)
     label, _, _ = smote.minority(scaled)
-    rare = scaled.where(F.col("target") == label).select("customer_ID", F.array(*MODEL_COLUMNS).alias("vector"))
+    rare = scaled.where(F.col("target") == label).select("customer_ID", F.array(*_columns(scaled)).alias("vector"))
     found = neighbours.nearest_neighbours(rare, "customer_ID", "vector", 5)
-    return rounded(found.select(F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"), 9)
+    return rounded(found.select(F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"))
 
 
 @query
 def smote_rows(spark, sf):
-    return rounded(smote.oversample(_scaled(spark, sf), "customer_ID", MODEL_COLUMNS), 9)
+    scaled = _scaled(spark, sf)
+    return rounded(smote.oversample(scaled, "customer_ID", _columns(scaled)))
 
 
 # --- models and evaluation ---------------------------------------------------------------------
@@ -460,29 +541,74 @@ def dtree_scores(spark, sf):
 @query
 def rforest_scores(spark, sf):
     data = _training(spark, sf)
-    forest = models.random_forest("entropy", trees=20, max_depth=5)
+    forest = models.random_forest("entropy")
     return rounded(training.evaluate(data, training.fit(data, estimator=forest), data.columns))
 
 
+@query
+def model_checks(spark, sf):
+    """What must hold of fitted models, whatever their weights: one row per check, as a rounded number."""
+    data = _training(spark, sf)
+    path = new_path(spark, "scorer")
+    full, few = training.scorer(data), training.scorer(data, limit=110)
+    few.save(spark, path)
+    reloaded = models.Scorer.load(spark, path)
+    features = _features_of(data)
+    tree = training.fit(data, estimator=models.decision_tree())
+    forest = training.fit(data, estimator=models.random_forest())
+    scored = {
+        "logreg": training.evaluate(data, full.model, data.columns), "dtree": training.evaluate(data, tree, data.columns),
+        "rforest": training.evaluate(data, forest, data.columns),
+        "refit": training.evaluate(data, few.model, few.columns, "valid")}
+    rows = []
+    for name, result in scored.items():
+        n, outside = result.agg(F.count(F.lit(1)), F.count_if(~F.col("probability").between(0, 1))).first()
+        rows += [(name, "rows", float(n)), (name, "outside", float(outside))]
+    rows.append(("logreg", "gradient", training.largest_gradient(data, full.model)))
+    again = models.linear_score(data.part("test"), dict(zip(data.columns, map(float, full.model.coefficients))),
+                                full.model.intercept).select("customer_ID", F.col("probability").alias("again"))
+    rows.append(("logreg", "recomputed", _largest_difference(scored["logreg"], again)))
+    before, after = (s.score(features, ["customer_ID"]) for s in (few, reloaded))
+    rows.append(("refit", "reloaded", _largest_difference(before, after.withColumnRenamed("probability", "again"))))
+    rows.append(("refit", "beyond limit", float(max(0, len(few.columns) - 110))))
+    sent = models.submission(few.score(features, ["customer_ID"], refit=True), "customer_ID")
+    n, outside = sent.agg(F.count(F.lit(1)), F.count_if(~F.col("prediction").between(0, 1))).first()
+    rows += [("submission", "rows", float(n)), ("submission", "outside", float(outside))]
+    return spark.createDataFrame([(m, c, round(v, 3) + 0.0) for m, c, v in rows], "model string, check string, value double")
+
+
 @query
 def cv_accuracy(spark, sf):
-    rows = training.tuning_rows(_training(spark, sf))
-    value = search.cross_validated_accuracy(rows, models.logistic_regression(rows.count()))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("accuracy", F.lit(value))
+    folds = training.tuning_folds(_training(spark, sf))
+    value = search.cross_validated_accuracy(folds, models.logistic_regression)
+    held_out = reduce(DataFrame.unionAll, [f.held_out for f in folds])
+    return held_out.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("accuracy", F.lit(value))
 
 
 @query
 def search_results(spark, sf):
-    return search.search(training.tuning_rows(_training(spark, sf)), search.draw_trials(4))
+    return search.search(spark, training.tuning_folds(_training(spark, sf)), search.draw_trials())
+
+
+@query
+def search_checks(spark, sf):
+    """Rows held out per fold, and for one trial of each family that its accuracy is a share."""
+    folds = training.tuning_folds(_training(spark, sf))
+    first = {t["family"]: t for t in reversed(search.draw_trials(ONE_OF_EACH_FAMILY))}
+    found = search.search(spark, folds, [first[family] for family in search.FAMILIES])
+    sizes = reduce(DataFrame.unionAll, [
+        f.held_out.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"fold {i}").alias("name"), "n") for i, f in enumerate(folds)])
+    return sizes.unionAll(found.select("family", F.col("value").between(0, 1).cast("long")))
 
 
 @query
 def run_log(spark, sf):
-    rows = training.tuning_rows(_training(spark, sf))
+    folds = training.tuning_folds(_training(spark, sf))
     path = new_path(spark, "runs")
     record = None
     for run in range(2):
-        record = search.append_run(spark, search.search(rows, search.draw_trials(1, seed=run)), f"run-{run}", path)
+        found = search.search(spark, folds, search.draw_trials(1, seed=run))
+        record = search.append_run(spark, found, f"run-{run}", path)
     return record
 
 
@@ -521,6 +647,15 @@ def top_coefficients(spark, sf):
     return rounded(metrics.top_coefficients(_correlation_weights(spark, sf), 4))
 
 
+@query
+def top_model_coefficients(spark, sf):
+    """The features that two limits leave of the fitted model."""
+    data = _training(spark, sf)
+    weights = models.coefficients(spark, training.fit(data), data.columns)
+    return rounded(reduce(DataFrame.unionAll, [
+        metrics.top_coefficients(weights, limit).select(F.lit(limit).alias("limit"), "*") for limit in (110, 150)]))
+
+
 @query
 def refit_selected(spark, sf):
     data = _training(spark, sf)
@@ -565,17 +700,27 @@ def _cleaned(spark, sf) -> DataFrame:
 
 
 def _model_features(spark, sf) -> DataFrame:
-    """A few imputed features per customer with the label, written once for the several reads of a fit."""
-    per_customer = tables.statements(spark, sf).groupBy("customer_ID").agg(
-        F.avg("D_39").alias("avg_D_39"), F.stddev_samp("D_39").alias("std_D_39"),
-        F.avg("B_17").alias("avg_B_17"), F.count(F.lit(1)).cast("double").alias("n_records"))
-    features = staged(joins.attach_labels(per_customer, tables.labels(spark, sf), "customer_ID"), "model-features")
-    return clean.fit_imputer(features, MODEL_COLUMNS).transform(features)
+    """The labelled feature table, written once for the several reads of a fit."""
+    return staged(feature_table(_written_statements(spark, sf), ORDERS, labels=tables.labels(spark, sf)), "model-features")
+
+
+def _columns(features: DataFrame) -> list[str]:
+    return [c for c in features.columns if c not in ("customer_ID", "target")]
+
+
+def _features_of(data: training.TrainingData) -> DataFrame:
+    """The rows of all splits, as if they were unscaled features of new customers."""
+    return data.rows.drop("split", "target")
+
+
+def _largest_difference(scored: DataFrame, again: DataFrame) -> float:
+    both = scored.select("customer_ID", "probability").join(again.select("customer_ID", "again"), "customer_ID")
+    return both.agg(F.max(F.abs(F.col("probability") - F.col("again")))).first()[0]
 
 
 def _scaled(spark, sf) -> DataFrame:
     features = _model_features(spark, sf)
-    return prepare.MinMax.fit(features, MODEL_COLUMNS).transform(features)
+    return prepare.MinMax.fit(features, _columns(features)).transform(features)
 
 
 def _training(spark, sf) -> training.TrainingData:
@@ -586,8 +731,7 @@ def _correlation_weights(spark, sf) -> DataFrame:
     """The correlation of each amount with the order total as the weight of a feature."""
     panel = tables.statements(spark, sf).join(
         tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice"), "row_id")
-    columns = [*AMOUNTS[:4], "D_117", "D_126", "D_68", "B_38"]
-    return profile.per_column(panel, columns, {"weight": lambda c: F.corr(c, "o_totalprice")}).withColumnRenamed(
+    return profile.per_column(panel, [*AMOUNTS, *CODES], {"weight": lambda c: F.corr(c, "o_totalprice")}).withColumnRenamed(
         "column", "feature")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.config import FILL_VALUES, MODE_COLUMNS, SPARSE_COLUMNS
+from strandline.operators.search import FAMILIES
 from strandline.sources.tables import LABEL_LIMIT
 
 KEYS = ["customer_ID", "S_2", "row_id"]
@@ -11,8 +12,6 @@ CODES = ["D_117", "D_126", "D_68", "D_120", "B_30", "D_114", "D_116", "B_38", "D
 PANEL_COLUMNS = [*KEYS, *AMOUNTS, "D_42", "B_39", "D_63", "D_64", *CODES]
 FLAGS = {"D_63_HIGH": "D_63 = 'HIGH'", "D_63_LOW": "D_63 = 'LOW'", "D_63_MEDIUM": "D_63 = 'MEDIUM'",
          "D_64_-1": "D_64 = '-1'", "D_64_F": "D_64 = 'F'"}
-MODEL_COLUMNS = ["avg_D_39", "std_D_39", "avg_B_17", "n_records"]
-
 PANEL = """
 with lines as (
   select l_orderkey, sum(l_tax) as P_2, sum(l_discount) as S_3, sum(l_quantity) as B_1,
@@ -91,12 +90,14 @@ def _months(latest: str, earliest: str) -> str:
         + {second(latest)} - {second(earliest)}) / (31 * 86400.0::double), 8) end"""
 
 
-def _gaps(source: str, entity: str, time: str, row: str) -> str:
+def _gaps(source: str, entity: str, time: str, row: str, exact: bool = False) -> str:
+    def places(x):
+        return x if exact else f"round({x}, 6)"
     return f"""
     select {entity}, any_value(tenure) as months_tenure,
-      round(coalesce(avg(gap), 0), 6) as avg_lag_days, round(coalesce(stddev_samp(gap), 0), 6) as std_lag_days
+      {places("coalesce(avg(gap), 0)")} as avg_lag_days, {places("coalesce(stddev_samp(gap), 0)")} as std_lag_days
     from (
-      select {entity}, round({_months("latest", "earliest")}, 6) as tenure, date_diff('day', previous::date, {time}::date) as gap
+      select {entity}, {places(_months("latest", "earliest"))} as tenure, date_diff('day', previous::date, {time}::date) as gap
       from (select {entity}, {time}, lag({time}) over (partition by {entity} order by {time}, {row}) as previous,
               min({time}) over (partition by {entity}) as earliest, max({time}) over (partition by {entity}) as latest
             from {source})
@@ -106,9 +107,10 @@ def _gaps(source: str, entity: str, time: str, row: str) -> str:
 def _mode(column: str, source: str) -> str:
     return f"""
     select customer_ID, {column} as mode_{column} from (
-      select customer_ID, {column}, row_number() over (
-        partition by customer_ID order by n desc, first, {column} nulls first) as place
-      from (select customer_ID, {column}, count(*) as n, min(S_2) as first from {source} group by all)
+      select customer_ID, {column}, row_number() over (partition by customer_ID order by n desc, first) as place
+      from (select customer_ID, {column}, count(*) as n, min(seen) as first from (
+        select customer_ID, {column}, row_number() over (partition by customer_ID order by S_2, row_id) as seen
+        from {source}) group by all)
     ) where place = 1"""
 
 
@@ -130,16 +132,19 @@ FEATURES = STATISTICS + "".join(f", mode_of_{c} as ({_mode(c, 'cleaned')})" for
 FEATURE_SELECT = "select * from imputed " + " ".join(
     f"join mode_of_{c} using (customer_ID)" for c in MODE_COLUMNS) + " join gaps using (customer_ID)"
 
-MODEL = PANEL + ", " + LABELS + f""", raw_features as (
-  select customer_ID, avg(D_39) as avg_D_39, stddev_samp(D_39) as std_D_39, avg(B_17) as avg_B_17,
-    count(*)::double as n_records from panel group by customer_ID
-), features as (
-  select customer_ID, {", ".join(f"coalesce({c}, avg({c}) over ()) as {c}" for c in MODEL_COLUMNS)}, target
-  from raw_features join labels_of_orders using (customer_ID)
-)"""
+MODEL_COLUMNS = [_feature_name(f, c) for f in ("avg", "stddev_samp") for c in STATISTIC_COLUMNS] + [
+    f"mode_{c}" for c in MODE_COLUMNS] + ["months_tenure", "avg_lag_days", "std_lag_days"]
+RAW_STATISTICS = FILLED + ", statistics as (select customer_ID, " + _listed(
+    f"{f}({c}) as {_feature_name(f, c)}" for f in ("avg", "stddev_samp") for c in STATISTIC_COLUMNS
+) + " from cleaned group by customer_ID), imputed as (select customer_ID, " + _listed(
+    f"coalesce({n}, avg({n}) over ()) as {n}" for n in (_feature_name(f, c) for f in ("avg", "stddev_samp") for c in STATISTIC_COLUMNS)
+) + " from statistics)"
+MODEL = RAW_STATISTICS + "".join(f", mode_of_{c} as ({_mode(c, 'cleaned')})" for c in MODE_COLUMNS) + f"""
+, gaps as ({_gaps('cleaned', 'customer_ID', 'S_2', 'row_id', exact=True)}), """ + LABELS + ", features as (" + (
+    FEATURE_SELECT + " join labels_of_orders using (customer_ID))")
 SCALED = MODEL + f""", scaled as (
-  select customer_ID, target,
-    {", ".join(f"({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) as {c}" for c in MODEL_COLUMNS)}
+  select customer_ID, target, {_listed(
+      f"coalesce(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 0) as {c}" for c in MODEL_COLUMNS)}
   from features)"""
 
 NEAREST = SCALED + f""", rarer as (
@@ -158,7 +163,8 @@ def _unit(text: str) -> str:
 
 
 CORRELATED = [*AMOUNTS, "D_117", "D_126"]
-WEIGHT_COLUMNS = [*AMOUNTS[:4], "D_117", "D_126", "D_68", "B_38"]
+WEIGHT_COLUMNS = [*AMOUNTS, *CODES]
+WIDE = [(c, i) for i in range(1, 13) for c in [*AMOUNTS, *CODES[:4]]]
 WEIGHTS = PANEL + ", weights as (" + " union all ".join(
     f"select '{c}' as feature, corr({c}, o_totalprice) as weight from panel join orders on row_id = o_orderkey"
     for c in WEIGHT_COLUMNS) + ")"
@@ -185,8 +191,47 @@ ORACLE_SQL: dict[str, str] = {
     "scan_statements": PANEL + f" select {_listed([*KEYS, 'B_1', 'D_39', 'D_63', 'D_64'])} from panel",
     "sample_entities": "select o_custkey as customer_ID, o_orderdate::date as S_2, o_orderkey as row_id from orders "
                        f"where {HASH.format(seed=0, key='o_custkey', n=100)} < 10",
-    "roundtrip_partitioned": PANEL + f" select count(*) as source_rows, count(*) as copy_rows, "
-                             f"{len(PANEL_COLUMNS)} as source_columns, {len(PANEL_COLUMNS)} as copy_columns from panel",
+    "roundtrip_partitioned": PANEL + " select * from panel",
+    "wide_means": PANEL + " select case when customer_ID % 10 <> 0 then customer_ID end as customer_ID, " + _listed(
+        f"round(avg({c} * {i}), 6) as avg_{c}_{i}" for c, i in WIDE) + " from panel group by 1",
+    "impute_median": PANEL + " select customer_ID, S_2, row_id, " + _listed(
+        f"round(coalesce({c}, (select quantile_disc({c}, 0.5) from panel)), 6) as {c}" for c in [*AMOUNTS, *CODES]) + " from panel",
+    "one_hot_codes": PANEL + """, means as (
+      select customer_ID, avg(D_39) as d, avg(coalesce((B_30 = 0)::int, 0)) as b, avg(coalesce((D_116 = 0)::int, 0)) as c
+      from panel group by customer_ID)
+      select customer_ID, round(coalesce(d, avg(d) over ()), 6) as avg_D_39_impt, round(b, 6) as avg_B_30_0_impt,
+        round(c, 6) as avg_D_116_0_impt from means""",
+    "feature_null_audit": FEATURES + " select " + " + ".join(
+        f"(count(*) > count({c}))::int::bigint" for c in MODEL_COLUMNS) + " as columns_with_nulls from (" + FEATURE_SELECT + ")",
+    "quartile_rank_errors": " union all ".join(f"select '{c}' as \"column\", 3 as n_good" for c in [*AMOUNTS, *CODES]),
+    "event_lag": """select user_id, event_id, ts, lag(ts) over each as lag_ts,
+      date_diff('day', (lag(ts) over each)::date, ts::date)::int as lag_days
+      from events window each as (partition by user_id order by ts, event_id)""",
+    "lag_without_row_id": """select o_custkey as customer_ID, o_orderdate::date as S_2, lag(o_orderdate::date) over each as lag_date,
+      date_diff('day', lag(o_orderdate::date) over each, o_orderdate::date)::int as lag_days
+      from orders window each as (partition by o_custkey order by o_orderdate::date)""",
+    "outer_join_eight": PANEL + "".join(
+        f", table_of_{c} as ({_mode(c, f'panel where {c} is not null')})" for c in MODE_COLUMNS)
+        + f" select * from table_of_{MODE_COLUMNS[0]} " + " ".join(
+        f"full join table_of_{c} using (customer_ID)" for c in MODE_COLUMNS[1:]),
+    "balance_before_after": "with " + LABELS + f""", train as (select target from labels_of_orders where {SPLIT} < 80),
+      counts as (select count(*) as n, sum(target)::bigint as ones from train)
+      select 'before' as stage, n as n_rows, ones as positives, round(ones / n, 6) as positive_rate from counts
+      union all select 'after', 2 * greatest(ones, n - ones), greatest(ones, n - ones), 0.5::double from counts""",
+    "model_checks": "with " + LABELS + f""", parted as (select {SPLIT_NAME} as split from labels_of_orders),
+      sizes as (select count(*)::double as n, (count(*) filter (split = 'test'))::double as test,
+                  (count(*) filter (split = 'valid'))::double as valid from parted)
+      select model, "check", value from sizes, lateral (values
+        ('logreg', 'rows', test), ('logreg', 'outside', 0.0::double), ('logreg', 'gradient', 0.0::double),
+        ('logreg', 'recomputed', 0.0::double), ('dtree', 'rows', test), ('dtree', 'outside', 0.0::double),
+        ('rforest', 'rows', test), ('rforest', 'outside', 0.0::double), ('refit', 'rows', valid),
+        ('refit', 'outside', 0.0::double), ('refit', 'reloaded', 0.0::double), ('refit', 'beyond limit', 0.0::double),
+        ('submission', 'rows', n), ('submission', 'outside', 0.0::double)) as checks(model, "check", value)""",
+    "search_checks": "with " + LABELS + f""", held as (
+        select {HASH.format(seed=1, key='customer_ID', n=5)} as fold from labels_of_orders
+        where {SPLIT} < 80 and {HASH.format(seed=0, key='customer_ID', n=100)} < 25)
+      select 'fold ' || number as name, count(fold) as n from range(5) as folds(number) left join held on fold = number
+      group by number union all select unnest([{_listed(f"'{f}'" for f in FAMILIES)}]), 1""",
     "roundtrip_single_file": "with " + LABELS + " select * from labels_of_orders",
     "selected_features": WEIGHTS + """ select feature from weights
       where abs(weight) >= (select avg(abs(weight)) from weights) order by abs(weight) desc, feature limit 3""",
@@ -211,7 +256,7 @@ ORACLE_SQL: dict[str, str] = {
                "select customer_ID, S_2, row_id, "
                "coalesce((D_63 = 'HIGH')::int, 0) as \"D_63_HIGH\", coalesce((D_63 = 'LOW')::int, 0) as \"D_63_LOW\", "
                "coalesce((D_63 = 'MEDIUM')::int, 0) as \"D_63_MEDIUM\", coalesce((D_64 = 'F')::int, 0) as \"D_64_F\" from p",
-    "impute_mean": PANEL + f" select customer_ID, S_2, row_id, {_impute(AMOUNTS)} from panel",
+    "impute_mean": PANEL + f" select customer_ID, S_2, row_id, {_impute([*AMOUNTS, *CODES])} from panel",
     "impute_strategy": PANEL + " select customer_ID, S_2, row_id, " + _listed(
         f"coalesce({c}, (select {c} from panel where {c} is not null group by {c} order by count(*) desc, {c} limit 1)) as {c}"
         for c in CODES) + " from panel",
@@ -246,7 +291,7 @@ ORACLE_SQL: dict[str, str] = {
     "summary_quantiles": PANEL + " " + " union all ".join(
         f"select '{c}' as \"column\", " + _listed(
             f"round(quantile_cont({c}, {q}), 6) as {name}" for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
-        + " from panel" for c in AMOUNTS),
+        + " from panel" for c in [*AMOUNTS, *CODES]),
     "null_rates": PANEL + " " + " union all ".join(
         f"select '{c}' as \"column\", count(*) - count({c}) as n_null, "
         f"round((count(*) - count({c}))::double / count(*), 6) as null_rate from panel" for c in PANEL_COLUMNS),
@@ -301,12 +346,12 @@ ORACLE_SQL: dict[str, str] = {
       ranges as (select {_listed(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in MODEL_COLUMNS)}
                  from parted where split = 'train')
       select customer_ID, target, split,
-        {_listed(f"round(({c} - lo_{c}) / (hi_{c} - lo_{c}), 9) as {c}" for c in MODEL_COLUMNS)} from parted, ranges""",
-    "minmax_refit": SCALED + " select customer_ID, target, " + _listed(f"round({c}, 9) as {c}" for c in MODEL_COLUMNS) + " from scaled",
+        {_listed(f"coalesce(round(({c} - lo_{c}) / nullif(hi_{c} - lo_{c}, 0), 6), 0) as {c}" for c in MODEL_COLUMNS)} from parted, ranges""",
+    "minmax_refit": SCALED + " select customer_ID, target, " + _listed(f"round({c}, 6) as {c}" for c in MODEL_COLUMNS) + " from scaled",
     "split_80_10_10": "with " + LABELS + f" select *, {SPLIT_NAME} as split from labels_of_orders",
     "tuning_sample": "with " + LABELS + f" select * from labels_of_orders where {HASH.format(seed=0, key='customer_ID', n=100)} < 25",
     "fold_assignment": "with " + LABELS + f" select *, ({HASH.format(seed=1, key='customer_ID', n=5)})::int as fold from labels_of_orders",
-    "smote_neighbours": NEAREST + """ select customer_ID, rank::int as rank, neighbour, round(distance2, 9) as distance2
+    "smote_neighbours": NEAREST + """ select customer_ID, rank::int as rank, neighbour, round(distance2, 6) as distance2
       from nearest""",
     "smote_rows": NEAREST + f""",
       sizes as (select count(*) as size, (select count(*) from scaled) - 2 * count(*) as missing from rare),
@@ -316,9 +361,9 @@ ORACLE_SQL: dict[str, str] = {
                    (position + 1) * missing // size - position * missing // size))::int as copy from drawn),
       picks as (select *, floor({_unit("'0|rank|' || customer_ID || '|' || copy")} * 5) + 1 as rank,
                   {_unit("'0|along|' || customer_ID || '|' || copy")} as along from shares)
-      select customer_ID, 0 as copy, {_listed(f"round({c}, 9) as {c}" for c in MODEL_COLUMNS)}, target from scaled
+      select customer_ID, 0 as copy, {_listed(f"round({c}, 6) as {c}" for c in MODEL_COLUMNS)}, target from scaled
       union all select p.customer_ID, p.copy,
-        {_listed(f"round(a.{c} + along * (b.{c} - a.{c}), 9)" for c in MODEL_COLUMNS)}, p.label
+        {_listed(f"round(a.{c} + along * (b.{c} - a.{c}), 6)" for c in MODEL_COLUMNS)}, p.label
       from picks p join nearest n on n.customer_ID = p.customer_ID and n.rank = p.rank
         join rare a on a.customer_ID = p.customer_ID join rare b on b.customer_ID = n.neighbour""",
     "feature_matrix": MODEL + f" select customer_ID, target, {len(MODEL_COLUMNS)} as width, " + _listed(
@@ -337,6 +382,7 @@ ORACLE_SQL: dict[str, str] = {
     "auc": JUDGED + " select round(sum(neg * (tp - pos / 2.0::double)) / (max(p) * max(n)), 6) as auc from curve",
     "top_coefficients": WEIGHTS + """ select feature, round(weight, 6) as weight from weights
       where abs(weight) >= (select avg(abs(weight)) from weights) order by abs(weight) desc, feature limit 4""",
-    "score_linear": SCALED + """ select customer_ID, round_even(1 / (1 + exp(-(-3.0::double + 2.5 * avg_D_39 + 1.25 * std_D_39
-      - 0.5 * avg_B_17 + 3.0 * n_records))), 2) as prediction from scaled""",
+    "score_linear": SCALED + """ select customer_ID, round_even(1 / (1 + exp(-(-3.0::double + 2.5 * avg_D_39_impt
+      + 1.25 * stddev_samp_D_39_impt - 0.5 * mode_B_38 + 3.0 * months_tenure - 0.75 * avg_lag_days))), 2) as prediction
+      from scaled""",
 }

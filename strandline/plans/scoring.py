@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from strandline.operators.models import Scorer, submission
 from strandline.plans.features import FeaturePlan
-from strandline.sources.statements import read_csv, write_single
+from strandline.sources.statements import read_csv, write_parts, write_single
 
 
 def score_panel(plan: FeaturePlan, scorer: Scorer, panel: DataFrame, refit: bool = False) -> DataFrame:
@@ -15,7 +15,7 @@ def score_panel(plan: FeaturePlan, scorer: Scorer, panel: DataFrame, refit: bool
     return submission(scorer.score(plan.transform(panel), [key], refit), key)
 
 
-def write_submission(result: DataFrame, path: str) -> DataFrame:
-    """Write the scores as CSV (one file if they are few) and return what was written."""
-    write_single(result, path)
+def write_submission(result: DataFrame, path: str, single: bool = False) -> DataFrame:
+    """Write the scores as CSV, in parts or as one file, and return what was written."""
+    (write_single if single else write_parts)(result, path)
     return read_csv(result.sparkSession, path, result.schema)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.config import FOLDS, SAMPLE_SEED, SPLIT_SEED
-from strandline.operators.models import Scorer, coefficients, logistic_regression, score
+from strandline.config import FOLDS, SAMPLE_SEED, SEARCH_PARALLELISM, SPLIT_SEED
+from strandline.functions.columns import unit_hash
 from strandline.operators.metrics import top_coefficients
+from strandline.operators.models import Scorer, coefficients, logistic_regression, score
 from strandline.operators.prepare import MinMax, assemble, tuning_sample, with_fold, with_split
+from strandline.operators.search import Fold
 from strandline.operators.smote import oversample
 from strandline.session import staged
 
@@ -30,17 +34,29 @@ class TrainingData:
         return self.rows.where(F.col("split") == split)
 
 
+def bounded_rows(df: DataFrame, key: list[str], most: int | None, seed: int = SAMPLE_SEED) -> DataFrame:
+    """About ``most`` rows, drawn by the hash of their key; all rows if there are no more, or no bound is given."""
+    n = df.count() if most else 0
+    if not most or n <= most:
+        return df
+    return df.where(unit_hash(F.lit(seed), F.lit("fit"), *[F.col(c) for c in key]) < most / n)
+
+
 def prepare_training(features: DataFrame, key: str, target: str = "target", seed: int = SPLIT_SEED,
-                     scale_on: str = "train", k: int = 5) -> TrainingData:
+                     scale_on: str = "train", k: int = 5, fit_rows: int | None = None) -> TrainingData:
     """Split, scale and oversample. ``scale_on="all"`` learns the ranges before the split.
 
     Split and scaled rows and the oversampled rows are written, because every model reads them often.
+    ``fit_rows`` bounds the training rows that are oversampled and fitted on: the
+    neighbour search costs the square of the rarer class where there are many
+    columns. There is no bound unless it is given; scoring always covers all rows.
     """
     columns = [c for c in features.columns if c not in (key, target)]
     split = staged(with_split(features, key, seed), "split-features")
     scaler = MinMax.fit(split if scale_on == "all" else split.where(F.col("split") == "train"), columns)
     rows = scaler.transform(split)
-    resampled = oversample(rows.where(F.col("split") == "train"), key, columns, target, k)
+    used = bounded_rows(rows.where(F.col("split") == "train"), [key], fit_rows)
+    resampled = oversample(used, key, columns, target, k)
     return TrainingData(key, columns, scaler, rows, staged(resampled, "resampled"))
 
 
@@ -50,6 +66,15 @@ def fit(data: TrainingData, columns: list[str] | None = None, estimator: Estimat
     return (estimator or logistic_regression(data.resampled.count())).fit(vectors)
 
 
+def largest_gradient(data: TrainingData, model: Model) -> float:
+    """The largest slope of the penalised mean loss at the weights of a logistic model; zero at its minimum."""
+    scored = score(model, data.resampled, data.columns, ["target", *data.columns])
+    error = F.col("probability") - F.col("target")
+    slopes = scored.agg(F.avg(error), *[F.avg(error * F.col(f"`{c}`")) for c in data.columns]).first()
+    pulls = [0.0, *[model.getRegParam() * (1 - model.getElasticNetParam()) * w for w in map(float, model.coefficients)]]
+    return max(abs(s + p) for s, p in zip(slopes, pulls))
+
+
 def scorer(data: TrainingData, limit: int | None = None) -> Scorer:
     """A logistic model on all features, or on the ``limit`` strongest of those above the mean weight."""
     model = fit(data)
@@ -72,8 +97,32 @@ def evaluate(data: TrainingData, model: Model, columns: list[str], split: str =
     return score(model, data.part(split), columns, [data.key, "target"])
 
 
-def tuning_rows(data: TrainingData, percent: int = 25, folds: int = FOLDS, seed: int = SAMPLE_SEED) -> DataFrame:
-    """A sample of the oversampled training rows with a fold number, as vectors."""
-    chosen = with_fold(tuning_sample(data.resampled, [data.key, "copy"], seed, percent),
-                       [data.key, "copy"], folds, seed)
-    return staged(assemble(chosen, data.columns, ["target", "fold"]), "tuning-rows")
+def tuning_folds(data: TrainingData, percent: int = 25, folds: int = FOLDS, seed: int = SAMPLE_SEED,
+                 resample: str = "inside", target: str = "target", k: int = 5) -> list[Fold]:
+    """The training and held-out rows of each fold, as vectors, written once for all trials.
+
+    With ``resample="inside"`` a sample of the training rows is divided into folds and
+    each training part oversampled by itself, so no synthetic row has a parent in the
+    held-out part. ``"before"`` samples and divides the rows oversampled beforehand.
+    """
+    if resample not in ("inside", "before"):
+        raise ValueError(f"unknown order of resampling {resample!r}")
+    if resample == "before":
+        key = [data.key, "copy"]
+        chosen = with_fold(tuning_sample(data.resampled, key, seed, percent), key, folds, seed)
+    else:
+        chosen = with_fold(tuning_sample(data.part("train"), [data.key], seed, percent), [data.key], folds, seed)
+    chosen = staged(chosen, "tuning-sample")
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        # A sample is small: few tasks, as every step of every fit starts them all.
+        return staged(assemble(rows, data.columns, [target]).coalesce(4), "tuning-rows")
+
+    def fold(i: int) -> Fold:
+        train, held_out = chosen.where(F.col("fold") != i), chosen.where(F.col("fold") == i)
+        if resample == "inside":
+            train = oversample(train, data.key, data.columns, target, k)
+        return Fold(vectors(train), vectors(held_out))
+
+    with ThreadPool(SEARCH_PARALLELISM) as pool:
+        return pool.map(inheritable_thread_target(chosen.sparkSession)(fold), range(folds), chunksize=1)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,23 +48,25 @@ def scale_settings(input_bytes: int, executor_cores: int) -> dict[str, str]:
     }
 
 
-_local_folders: dict[str, str] = {}
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it gets a folder of its own.
+    Only a session whose tasks all run in the driver may go without the setting; it
+    gets a folder of its own, which goes with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="strandline-")
-    return _local_folders[context.applicationId]
+        _local_folders[context.applicationId] = tempfile.TemporaryDirectory(prefix="strandline-", ignore_cleanup_errors=True)
+    return _local_folders[context.applicationId].name
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -73,8 +78,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
     Used where a result is read several times (a fit and its transform). The
-    table outlives lost executors, which a cache does not.
+    table outlives lost executors, which a cache does not. It stays until it is
+    released, or until the ``staging`` scope around it ends.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    known = _staged.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if path in known:
+            known.remove(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, [table.staged_path])
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside when the scope ends; results must have been written by then."""
+    application = spark.sparkContext.applicationId
+    before = set(_staged.get(application, []))
+    try:
+        yield
+    finally:
+        _remove(spark, [p for p in _staged.get(application, []) if p not in before])

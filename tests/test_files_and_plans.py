@@ -1,13 +1,15 @@
 """Readers, writers, the shared folder and the shape of the physical plans."""
 
 import glob
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline import session
-from strandline.operators import aggregate, dates, modes
+from strandline.operators import aggregate, dates, modes, ranking
+from strandline.plans import scoring
 from strandline.plans.catalogue import QUERIES
 from strandline.sources import statements as io
 from strandline.sources import tables
@@ -31,13 +33,23 @@ def test_csv_with_schema_and_inferred(spark, tmp_path):
     assert dict(io.read_csv(spark, str(tmp_path / "parts" / "part-0000*.csv")).dtypes)["S_2"] == "date"
 
 
-def test_single_file_only_if_small(spark, tmp_path):
-    df = spark.range(0, 100, 1, 4)
-    for limit, expected in ((1000, 1), (10, 4)):
-        path = str(tmp_path / str(limit))
-        io.write_single(df, path, max_rows=limit)
+def test_single_file_on_request_only(spark, tmp_path):
+    df = spark.range(0, 100, 1, 4).withColumn("prediction", F.lit(0.5))
+    for single, expected in ((True, 1), (False, 4)):
+        path = str(tmp_path / str(single))
+        assert scoring.write_submission(df, path, single).count() == 100
         assert len(glob.glob(f"{path}/part-*")) == expected
-        assert io.read_csv(spark, path).count() == 100
+
+
+def test_headers_must_name_the_schema(spark, tmp_path):
+    (tmp_path / "swapped.csv").write_text("target,customer_ID\n1,a\n")
+    with pytest.raises(Exception, match="[Hh]eader"):
+        io.read_labels(spark, str(tmp_path / "swapped.csv")).collect()
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "a.csv").write_text("customer_ID,S_2,x,y\na,2020-01-01,1,2\n")
+    (tmp_path / "parts" / "b.csv").write_text("customer_ID,S_2,y,x\nb,2020-01-01,1,2\n")
+    with pytest.raises(Exception, match="[Hh]eader"):
+        io.read_statements(spark, str(tmp_path / "parts")).collect()
 
 
 def test_names_keep_their_order(spark, tmp_path):
@@ -64,8 +76,21 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
         class sparkContext:
             master = "spark://somewhere"
-    with pytest.raises(RuntimeError):
-        session.shared_folder(Cluster)
+    for master in ("spark://somewhere", "yarn", "local-cluster[2,1,1024]"):
+        Cluster.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            session.shared_folder(Cluster)
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with session.staging(spark):
+        first = session.staged(spark.range(5), "first")
+        second = session.staged(spark.range(7), "second")
+        assert first.count() == 5 and second.count() == 7
+        session.release(first)
+        assert not os.path.exists(first.staged_path) and os.path.exists(second.staged_path)
+        kept = session.staged(second, "kept").count()
+    assert kept == 7 and not os.path.exists(second.staged_path)
 
 
 def test_settings_follow_the_size():
@@ -82,9 +107,24 @@ def test_statistics_take_one_shuffle(spark):
     assert exchanges(df) == 1 and "partial_avg" in plan(df) and "Sort" not in plan(df)
 
 
-def test_dates_take_one_shuffle_and_no_window(spark):
+def test_dates_condense_days_before_entities_meet(spark):
     df = dates.date_features(tables.order_dates(spark, DATA), ORDERS)
-    assert exchanges(df) == 1 and "Window" not in plan(df)
+    text = plan(df)
+    assert exchanges(df) == 2 and "ObjectHashAggregate" not in text and "SortAggregate" not in text
+    assert "partial_count" in text[text.index("Window"):]  # the days are formed map-side, below the window
+
+
+def test_quantiles_scan_once_for_any_number_of_columns(spark):
+    panel = tables.statements(spark, DATA)
+    scans = [plan(ranking.exact_quantiles(panel, columns, {"q50": 0.5})).count("FileScan")
+             for columns in (["B_1"], ["B_1", "B_17", "D_39", "D_117", "B_38", "P_2"])]
+    assert scans[0] == scans[1]
+
+
+def test_feature_table_shuffles(spark):
+    """Modes and days need two shuffles each; statistics are read as written."""
+    df = QUERIES["feature_table"](spark, DATA)
+    assert exchanges(df) <= 5 and "Cartesian" not in plan(df)
 
 
 def test_modes_take_two_shuffles_for_any_number_of_columns(spark):

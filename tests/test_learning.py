@@ -1,11 +1,15 @@
 """Scaling, splitting, neighbours, oversampling, metrics, models and search."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import session
 from strandline.operators import metrics, models, neighbours, prepare, ranking, search, smote
 from strandline.plans import training
+from strandline.session import staging
 
 COLUMNS = ["u", "v"]
 
@@ -48,9 +52,9 @@ def brute_force(points, k):
 
 @pytest.mark.parametrize("shape", ["spread", "copies", "grid"])
 def test_neighbours_match_brute_force(spark, monkeypatch, shape):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(neighbours, "SINGLE_CELL_ROWS", 0)
-    monkeypatch.setattr(neighbours, "POINTS_PER_PIVOT", 20)
+    monkeypatch.setattr(neighbours, "VISITOR_ROWS", 16)
+    monkeypatch.setattr(neighbours, "POINT_ROWS", 32)
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 20)
     rng = np.random.default_rng(1)
     if shape == "spread":
         vectors = rng.normal(size=(240, 3)).tolist()
@@ -68,6 +72,30 @@ def test_neighbours_match_brute_force(spark, monkeypatch, shape):
     assert {i: [n for _, n in sorted(v)] for i, v in found.items()} == brute_force(points, 4)
 
 
+def test_neighbours_in_many_columns(spark):
+    """Nothing can be ruled out here, and what is written stays linear in the points."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(2_500, 45))
+    with staging(spark):
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+        found = neighbours.nearest_neighbours(df, "id", "vector", 5).select("key", "rank", "neighbour").collect()
+        written = sum(f.stat().st_size for p in session._staged[spark.sparkContext.applicationId]
+                      for f in Path(p).glob("*.parquet"))
+    far = ((points[:, None, :] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    assert sorted(map(tuple, found)) == [
+        (i, n + 1, j) for i, row in enumerate(np.argsort(far, axis=1)[:, :5].tolist()) for n, j in enumerate(row)]
+    assert written < 12 * points.nbytes
+
+
+def test_unusable_coordinates_are_refused(spark):
+    for bad in ([None, 1.0], [float("nan"), 1.0], None):
+        df = spark.createDataFrame([(1, [0.0, 0.0]), (2, bad)], "id long, vector array<double>")
+        with pytest.raises(ValueError):
+            neighbours.nearest_neighbours(df, "id", "vector", 1)
+    assert neighbours.nearest_neighbours(df.limit(0), "id", "vector", 1).count() == 0
+
+
 def test_neighbours_in_one_cell(spark):
     rng = np.random.default_rng(4)
     points = [(i, v) for i, v in enumerate(rng.normal(size=(90, 2)).tolist())]
@@ -100,12 +128,26 @@ def test_running_totals_and_quantiles(spark):
     rng = np.random.default_rng(2)
     values = np.concatenate([np.full(300, 7.0), rng.normal(size=600).round(2)])
     df = spark.createDataFrame([(float(v), 1) for v in values], "x double, n int").repartition(5)
-    found = {r.x: r.cum_n for r in ranking.running_totals(df, "x", ["n"], bins=8, descending=True).collect()}
+    found = {r.x: r.cum_n for r in ranking.running_totals(df, "x", ["n"], descending=True).collect()}
     assert found == {v: int((values >= v).sum()) for v in set(values)}
-    row = ranking.exact_quantiles(df, ["x"], {"q25": 0.25, "q50": 0.5, "q90": 0.9}, bins=8).first()
+    row = ranking.exact_quantiles(df, ["x"], {"q25": 0.25, "q50": 0.5, "q90": 0.9}).first()
     assert row[1:] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.9]))
 
 
+def test_running_totals_keep_the_type_and_take_anything(spark):
+    big = 2**53
+    df = spark.createDataFrame([(big, 1), (big + 1, 1), (None, 1)], "x long, n int")
+    assert [tuple(r) for r in ranking.running_totals(df, "x", ["n"]).orderBy("x").collect()] == [
+        (big, 1, 1, 2), (big + 1, 1, 2, 2)]
+    nan = spark.createDataFrame([(float("nan"), 1), (1.0, 2)], "x double, n int")
+    assert [r.cum_n for r in ranking.running_totals(nan, "x", ["n"], descending=True).collect()] in ([1, 3], [3, 1])
+    assert ranking.running_totals(nan.limit(0), "x", ["n"]).count() == 0
+    assert metrics.auc(spark.createDataFrame([], "score double, target int")).first()[0] is None
+    grouped = spark.createDataFrame([(g, v, 1) for g in ("a", None) for v in range(50)], "g string, x int, n int")
+    assert {(r.g, r.x): r.cum_n for r in ranking.running_totals(grouped, "x", ["n"], "g").collect()} == {
+        (g, v): v + 1 for g in ("a", None) for v in range(50)}
+
+
 def test_roc_with_ties(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.3, 0), (0.3, 0), (0.1, 1)], "score double, target int")
     points = {r.threshold: (r.tp, r.fp) for r in metrics.roc_points(df).collect()}
@@ -160,9 +202,34 @@ def test_tree_limits():
     assert models.random_forest(max_features="auto").getFeatureSubsetStrategy() == "sqrt"
 
 
-def test_search_is_repeatable_and_ranked(data):
+def test_search_is_repeatable_and_ranked(spark, data):
     assert search.draw_trials(9, seed=4) == search.draw_trials(9, seed=4)
-    rows = training.tuning_rows(data, folds=2)
-    found = search.search(rows, search.draw_trials(2, seed=1), folds=2).collect()
+    assert {t["family"] for t in search.draw_trials()} == set(search.FAMILIES)
+    folds = training.tuning_folds(data, folds=2)
+    found = search.search(spark, folds, search.draw_trials(2, seed=1)).collect()
     assert [r.value for r in found] == sorted((r.value for r in found), reverse=True)
     assert all(0 <= r.value <= 1 for r in found)
+
+
+def test_no_synthetic_row_has_a_parent_among_the_held_out(data):
+    """Resampled inside the fold, held-out rows are original and every training row lies among training rows."""
+    original = {tuple(r.features) for r in prepare.assemble(data.part("train"), COLUMNS, []).collect()}
+    for fold in training.tuning_folds(data, percent=60, folds=2):
+        held_out = {tuple(r.features) for r in fold.held_out.collect()}
+        train = [tuple(r.features) for r in fold.train.where("target = 1").collect()]
+        assert held_out <= original and not held_out & set(train)
+        parents = np.array([t for t in train if t in original])
+        for t in [t for t in train if t not in original][:40]:
+            away = np.linalg.norm(parents - t, axis=1)
+            between = np.linalg.norm(parents[:, None] - parents[None], axis=2)
+            detour = away[:, None] + away[None] - between
+            np.fill_diagonal(detour, np.inf)
+            assert detour.min() < 1e-9
+    before = training.tuning_folds(data, folds=2, resample="before")
+    assert sum(f.held_out.count() for f in before) == prepare.tuning_sample(data.resampled, ["id", "copy"]).count()
+
+
+def test_rows_to_fit_on_can_be_bounded(features):
+    few = training.prepare_training(features, "id", fit_rows=400)
+    kept = few.resampled.where("copy = 0").count()
+    assert 300 < kept < 500 and few.rows.count() == 1200

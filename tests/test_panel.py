@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,28 @@ def test_rows_with_null_entity_are_kept(spark):
     assert {r.row: r.lag_days for r in dates.with_previous_date(df, SPEC).collect()} == {1: None, 2: 4, 3: None}
 
 
+def test_lags_follow_the_time_of_day(spark):
+    at = lambda d, h: dt.datetime(2020, 1, d, h)
+    df = spark.createDataFrame([("a", at(1, 9), 5), ("a", at(3, 8), 9), ("a", at(3, 20), 2), (None, at(2, 1), 1)],
+                               "id string, day timestamp_ntz, row long")
+    found = {r.row: (r.lag_date, r.lag_days) for r in dates.with_previous_date(df, SPEC).collect()}
+    assert found == {5: (None, None), 9: (at(1, 9), 2), 2: (at(3, 8), 0), 1: (None, None)}
+
+
+def test_lags_without_a_row_id(spark):
+    df = spark.createDataFrame([("a", day("2020-01-01"), "x"), ("a", day("2020-01-05"), "x"), ("a", day("2020-01-05"), "x")],
+                               "id string, day date, note string")
+    lagged = dates.with_previous_date(df, PanelSpec("id", "day"))
+    assert sorted((r.lag_days for r in lagged.collect()), key=str) == [0, 4, None]
+    assert dates.date_summary(df, PanelSpec("id", "day")).first().avg_lag_days == 2.0
+
+
+def test_mode_ties_of_one_day_go_to_the_first_row(spark):
+    df = spark.createDataFrame([("a", day("2020-01-01"), 1, "z"), ("a", day("2020-01-01"), 2, "b")],
+                               "id string, day date, row long, cat string")
+    assert modes.entity_modes(df, SPEC, ["cat"]).first().mode_cat == "z"
+
+
 def test_mode_ties(spark):
     df = spark.createDataFrame([
         ("a", day("2020-01-03"), 1, "x"), ("a", day("2020-01-01"), 2, "y"),
@@ -146,6 +169,10 @@ def test_outer_joins_agree(spark):
     pair = joins.outer_join(a, b, "id").collect()
     assert sorted(pair) == sorted(joins.outer_join_all([a, b], "id").select("id", "a", "b").collect())
     assert len(pair) == 3
+    a, b = a.unionAll(spark.createDataFrame([(None, "n")], a.schema)), b.unionAll(spark.createDataFrame([(None, 7)], b.schema))
+    pair = joins.outer_join(a, b, "id").collect()
+    assert len(pair) == 5  # a null key matches nothing
+    assert sorted(map(str, pair)) == sorted(map(str, joins.outer_join_all([a, b], "id").select("id", "a", "b").collect()))
 
 
 def test_blocks_of_columns_give_the_same(tiny, monkeypatch):
@@ -158,6 +185,26 @@ def test_blocks_of_columns_give_the_same(tiny, monkeypatch):
     assert results() == whole
 
 
+@pytest.mark.parametrize("kind", ["string", "long", "date"])
+def test_the_null_entity_is_a_group_for_any_number_of_columns(spark, monkeypatch, kind):
+    some = {"string": "a", "long": 0, "date": day("1970-01-01")}[kind]
+    df = spark.createDataFrame([(None, 1.0, 2.0), (None, 3.0, 4.0), (some, 5.0, 6.0)], f"id {kind}, x double, y double")
+    whole = sorted(map(str, aggregate.aggregate(df, "id", {"x": "avg", "y": "max"}).collect()))
+    monkeypatch.setattr(columns, "FIELDS_PER_AGGREGATION", 1)
+    assert sorted(map(str, aggregate.aggregate(df, "id", {"x": "avg", "y": "max"}).collect())) == whole
+    assert len(whole) == 2
+
+
+def test_numeric_levels_give_plain_names(spark):
+    df = spark.createDataFrame([(1.0, "x y", "a"), (2.5, "x.y", "b"), (3.0, "z", None)], "`a.b` double, t string, e string")
+    one_hot = clean.OneHot.fit(df, ["a.b", "t"])
+    with pytest.raises(ValueError, match="t_x_y"):
+        one_hot.transform(df)
+    assert clean.OneHot.fit(df, ["a.b"]).transform(df).columns == ["t", "e", "a.b_1", "a.b_2_5"]
+    assert {r["column"]: r.n_null for r in profile.null_rates(df).collect()} == {"a.b": 0, "t": 0, "e": 1}
+    assert profile.describe_numeric(df).first()["column"] == "a.b"
+
+
 def test_transform_reuses_what_was_fitted(tiny):
     plan = FeaturePlan(SPEC, RULES)
     whole = {r["id"]: r for r in plan.fit_transform(tiny).collect()}
@@ -186,6 +233,6 @@ def test_profile(spark, tiny):
 
 def test_correlations_agree(spark):
     df = spark.createDataFrame([(1.0, 2.0, 9.0), (2.0, 3.0, 1.0), (3.0, 5.0, 4.0)], "a double, b double, c double")
-    matrix = profile.correlation_matrix(df, ["a", "b", "c"])
+    matrix = np.corrcoef(np.array(df.collect()).T)
     pairs = {(r.first, r.second): r.correlation for r in profile.correlation_pairs(df, ["a", "b", "c"]).collect()}
     assert pairs["a", "b"] == pytest.approx(matrix[0][1]) and pairs["b", "c"] == pytest.approx(matrix[1][2])
