@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import WORD, fresh, hash_share, hashable
-from strandline.llm.prefix import prefix_sums
+from strandline.operators.ranking import prefix_sums
 from strandline.session import staged
 
 #: A source gives at most this many times its words.

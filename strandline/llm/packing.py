@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from strandline.llm.common import documents, hashable, python_tasks
-from strandline.llm.prefix import prefix_sums
+from strandline.operators.ranking import prefix_sums
 from strandline.session import staged
 
 CAPACITY, END_ID = 4096, 2

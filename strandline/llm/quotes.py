@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import null_safe_equal
-from strandline.llm.prefix import prefix_sums
+from strandline.operators.ranking import prefix_sums
 from strandline.session import staged
 
 # Fixed patterns of quoted mail: the marks before a line, and the line that introduces a quote.

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm import mixing, packing, simhash
 from strandline.llm.components import components
-from strandline.llm.prefix import prefix_sums
 from strandline.llm.queries import QUERIES, tokenizer_path
+from strandline.operators.ranking import prefix_sums
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
