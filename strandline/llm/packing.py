@@ -10,6 +10,7 @@ first-fit decreasing; there is a constant amount of it whatever the corpus holds
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,8 +28,17 @@ from strandline.session import staged
 CAPACITY, END_ID = 4096, 2
 #: Pieces of up to capacity // CUT_CLASSES tokens are not cut further.
 CUT_CLASSES = 32
-_REMEMBERED = 500_000
-_BAR = b"|"
+_REMEMBERED = 400_000
+
+# What a plain word is made of: letters that are composed and have one lower-case form, then marks that
+# belong to no contraction and no special token.
+_LETTERS = "".join(chr(c) for c in range(65, 256) if chr(c).isalpha() and chr(c) not in "ªµº")
+_MARKS = "!\"#$%&()*+,-./:;=?@[]^_{}~"
+_PLAIN = re.compile(f"([{_LETTERS}]*)([{re.escape(_MARKS)}]*)")
+# Byte-level vocabularies spell a byte as itself if it is printable, else as the next free letter from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {
+    b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -45,37 +55,54 @@ def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class Tokens:
-    """Token ids of whole texts. Words are tokenized once and remembered, up to a number of words.
+    """Token ids of whole texts by a tokenizer that never looks across white space.
 
-    The tokenizer never looks across white space: it splits there before anything else.
+    Words are tokenized once and remembered, up to a number of words. Most words are
+    Latin letters and marks after them: these are lower-cased and handed to the
+    tokenizer's model as its own earlier steps would do. That is checked letter by
+    letter when the tokenizer is loaded; if it disagrees, and for any other word, the
+    whole tokenizer is used.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        [self.bar] = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.plain = True
+        probes = [w for c in _LETTERS for w in (c, f"x{c}y", f"{c}ea,")] + [f"Ab{m}" for m in _MARKS] + [_MARKS, f"e{_MARKS}"]
+        self.plain = all(self._plain(w) in (None, self._whole(w)) for w in probes)
+        self.pieces.clear()
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [raw.split() for raw in texts]
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        new = {w for words in split for w in words if w not in known}
-        odd = [w for w in new if _BAR in w]
-        known.update(zip(odd, [self._encode(w) for w in odd]))
-        plain = list(new.difference(odd))
-        for at in range(0, len(plain), 2000):
-            # One call for many words, with a bar between them: its id tells where they end.
-            part = plain[at:at + 2000]
-            ids = self._encode(b" | ".join(part))
-            ends = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.bar)).tolist()
-            known.update(zip(part, [ids[s:e] for s, e in zip([0, *[e + 4 for e in ends]], [*ends, len(ids)])]))
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
-
-    def _encode(self, raw: bytes) -> bytes:
-        found = self.tokenizer.encode_batch_fast([raw.decode()], add_special_tokens=False)[0]
-        return np.array(found.ids, "<u4").tobytes()
+        if len(self.words) > _REMEMBERED:
+            self.words.clear()
+        if len(self.pieces) > _REMEMBERED:
+            self.pieces.clear()
+        for raw in set().union(*split).difference(self.words):
+            word = raw.decode()
+            found = self._plain(word) if self.plain else None
+            self.words[raw] = self._whole(word) if found is None else found
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, word: str) -> bytes | None:
+        match = _PLAIN.fullmatch(word)
+        if not match:
+            return None
+        out = b""
+        for piece in match.groups():
+            if piece:
+                piece = piece.lower()
+                found = self.pieces.get(piece)
+                if found is None:
+                    spelled = "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
+                    found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+                    self.pieces[piece] = found
+                out += found
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -83,36 +110,31 @@ def _tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-_PIECE = T.ArrayType(T.StructType([
-    T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-    T.StructField("ids_crc32", T.LongType())]))
+_PIECE = ["start", "length", "ids_crc32", "doc_tokens"]
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, row_hash, doc_tokens, start, length, ids_crc32)`` for each piece; a null text is an empty one."""
-    @arrow_udf(_PIECE)
+    """``(doc_id, row_hash, start, length, ids_crc32, doc_tokens)`` for each piece; a null text is an empty one."""
+    @arrow_udf(T.ArrayType(T.StructType([T.StructField(name, T.LongType()) for name in _PIECE])))
     def pieces(texts: pa.Array) -> pa.Array:
-        tokens, counts, starts, lengths, sums = _tokens(tokenizer), [0], [], [], []
+        tokens, counts, rows = _tokens(tokenizer), [0], []
         raws = list(documents(texts))
         for at in range(0, len(raws), 256):
             for ids in tokens.ids(raws[at:at + 256]):
                 whole = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
-                start = 0
-                for length in piece_lengths(len(whole) // 4, capacity):
-                    starts.append(start)
-                    lengths.append(length)
-                    sums.append(zlib.crc32(whole[4 * start:4 * (start + length)]))
+                start, total = 0, len(whole) // 4
+                for length in piece_lengths(total, capacity):
+                    rows.append((start, length, zlib.crc32(whole[4 * start:4 * (start + length)]), total))
                     start += length
-                counts.append(len(starts))
-        fields = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (starts, lengths, sums)],
-                                            ["start", "length", "ids_crc32"])
+                counts.append(len(rows))
+        table = np.array(rows, np.int64).reshape(-1, len(_PIECE))
+        fields = pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(_PIECE))], _PIECE)
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), fields)
 
     python_tasks(docs.sparkSession)
-    cut = docs.select("doc_id", F.xxhash64(*hashable(docs)).alias("row_hash"), pieces("text").alias("pieces"))
-    total = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["length"])
-    return cut.select("doc_id", "row_hash", total.alias("doc_tokens"), F.explode("pieces").alias("p")).select(
-        "doc_id", "row_hash", "doc_tokens", "p.*")
+    # The pieces are used once: each further use of a column of Python results may run the function again.
+    return docs.select("doc_id", F.xxhash64(*hashable(docs)).alias("row_hash"), F.explode(pieces("text")).alias("p")).select(
+        "doc_id", "row_hash", "p.*")
 
 
 def _first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, packing, simhash
@@ -68,14 +70,14 @@ def test_classes_of_fingerprints_for_any_blocks_and_tree_size(spark):
     values = sorted(set(values))
     want = plain_classes(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3])
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    for settings in ({}, {"blocks": 5}, {"blocks": 6, "tree_nodes": 7}, {"tree_nodes": 16}):
+    for options in ({}, {"blocks": 5}, {"blocks": 6, "tree_nodes": 7}, {"tree_nodes": 16}):
         root = {v: v for v in values}
-        root.update({r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(simhash.links(df, 3, **settings)).collect()})
+        root.update({r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(simhash.links(df, 3, **options)).collect()})
         groups, wanted = defaultdict(set), defaultdict(set)
         for v in values:
             groups[root[v]].add(v)
             wanted[want[v]].add(v)
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values())), settings
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values())), options
 
 
 def test_links_of_a_group_of_copies_stay_linear(spark):
@@ -255,6 +257,14 @@ def test_words_are_tokenized_as_texts_are():
     texts = ["a|b | c", "<|endoftext|> x<|endoftext|>y", "İstanbul ΑΣ Σ it's IT'S ́á", "​ \x85 \xa0z 12three", "", " \n"]
     found = [x.tolist() for x in tokens.ids([t.encode() for t in texts])]
     assert found == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.plain
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abzÀßéÿĀ\u0301ªº²9_'.,#-<|> \n", max_size=30))
+def test_any_text_is_tokenized_as_by_the_tokenizer(text):
+    tokens = packing._tokens(tokenizer_path())
+    assert tokens.ids([text.encode()])[0].tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_fill_bins_of_their_class():
