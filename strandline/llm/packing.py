@@ -11,6 +11,7 @@ first-fit decreasing; there is a constant amount of it whatever the corpus holds
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -34,6 +35,7 @@ _REMEMBERED = 400_000
 # belong to no contraction and no special token.
 _LETTERS = "".join(chr(c) for c in range(65, 256) if chr(c).isalpha() and chr(c) not in "ªµº")
 _MARKS = "!\"#$%&()*+,-./:;=?@[]^_{}~"
+_MARK_BYTES = _MARKS.encode()
 _PLAIN = re.compile(f"([{_LETTERS}]*)([{re.escape(_MARKS)}]*)")
 # Byte-level vocabularies spell a byte as itself if it is printable, else as the next free letter from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -68,41 +70,51 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.model = self.tokenizer.model
         self.plain = True
         probes = [w for c in _LETTERS for w in (c, f"x{c}y", f"{c}ea,")] + [f"Ab{m}" for m in _MARKS] + [_MARKS, f"e{_MARKS}"]
         self.plain = all(self._plain(w) in (None, self._whole(w)) for w in probes)
         self.pieces.clear()
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [raw.split() for raw in texts]
-        if len(self.words) > _REMEMBERED:
-            self.words.clear()
+        # Upper-case ASCII makes no difference to a plain word; special tokens begin with the bracket.
+        split = [(raw.lower() if self.plain and b"<" not in raw else raw).split() for raw in texts]
+        words = self.words
+        if len(words) > _REMEMBERED:
+            words.clear()
         if len(self.pieces) > _REMEMBERED:
             self.pieces.clear()
-        for raw in set().union(*split).difference(self.words):
-            word = raw.decode()
-            found = self._plain(word) if self.plain else None
-            self.words[raw] = self._whole(word) if found is None else found
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
+        for raw in set().union(*split).difference(words):
+            words[raw] = self._word(raw)
+        return [np.frombuffer(b"".join(map(words.__getitem__, part)), "<u4") for part in split]
+
+    def _word(self, raw: bytes) -> bytes:
+        if self.plain:
+            stem = raw.rstrip(_MARK_BYTES)
+            if stem.isalpha() and stem.islower():  # ASCII letters, as these are bytes
+                return self._piece(stem.decode()) + (self._piece(raw[len(stem):].decode()) if len(stem) < len(raw) else b"")
+            found = self._plain(raw.decode())
+            if found is not None:
+                return found
+        return self._whole(raw.decode())
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _plain(self, word: str) -> bytes | None:
         match = _PLAIN.fullmatch(word)
-        if not match:
-            return None
-        out = b""
-        for piece in match.groups():
-            if piece:
-                piece = piece.lower()
-                found = self.pieces.get(piece)
-                if found is None:
-                    spelled = "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
-                    found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-                    self.pieces[piece] = found
-                out += found
-        return out
+        return b"".join([self._piece(p.lower()) for p in match.groups() if p]) if match else None
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            spelled = piece if piece.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
+            found = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(spelled)])
+        return found
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
