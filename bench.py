@@ -7,14 +7,15 @@ import os
 import time
 
 from strandline.plans.catalogue import QUERIES
-from strandline.session import local_session
+from strandline.session import local_session, staging
 
 HEADLINE = [
     "feature_table", "entity_means", "entity_stddevs", "mode_first_seen", "date_gap_features", "lag_days",
     "first_last_date", "category_counts", "category_instability", "null_rates", "describe_numeric",
     "summary_quantiles", "clean_panel", "impute_mean", "minmax_scale", "smote_neighbours", "logreg_scores",
-    "roc_points", "classification_report",
+    "roc_points", "classification_report", "smote_rows", "rforest_scores", "score_submission", "cv_accuracy",
 ]
+RUNS, ENOUGH_SECONDS = 3, 20  # the best of three runs, or of fewer that have taken so long together
 
 
 def main() -> None:
@@ -23,13 +24,13 @@ def main() -> None:
     seconds = {}
     QUERIES["calendar_parts"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts the engine
     for name in HEADLINE:
-        best = None
-        for _ in range(3):
-            start = time.time()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            took = time.time() - start
-            best = took if best is None else min(best, took)
-        seconds[name] = round(best, 3)
+        took = []
+        while len(took) < RUNS and sum(took) < ENOUGH_SECONDS:
+            with staging(spark):
+                start = time.time()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                took.append(time.time() - start)
+        seconds[name] = round(min(took), 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()

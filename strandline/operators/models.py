@@ -18,6 +18,8 @@ from strandline.config import LOGISTIC_C, LOGISTIC_MAX_ITER
 from strandline.operators.prepare import MinMax, assemble
 from strandline.sources.statements import read_names, write_names
 
+#: Memory for the statistics of the nodes that one pass over the rows splits: deep trees take a pass for each share of it.
+NODE_MEMORY_MB = 2048
 #: The trees searched through have no limit of depth; this is the deepest that Spark grows.
 MAX_DEPTH = 30
 ROLES = {"featuresCol": "features", "labelCol": "target", "predictionCol": "predicted"}
@@ -60,7 +62,7 @@ def decision_tree(criterion: str = "gini", min_split: float = 0.0, min_leaf: flo
                   max_features=None, max_depth: int = MAX_DEPTH, seed: int = 0) -> RandomForestClassifier:
     """One tree on all rows; a forest of one, because only forests can restrict the features of a split."""
     return RandomForestClassifier(
-        **ROLES, numTrees=1, bootstrap=False, impurity=criterion, seed=seed,
+        **ROLES, numTrees=1, bootstrap=False, impurity=criterion, seed=seed, maxMemoryInMB=NODE_MEMORY_MB,
         featureSubsetStrategy=_subset(max_features), **_tree_limits(min_split, min_leaf, max_depth))
 
 
@@ -68,7 +70,7 @@ def random_forest(criterion: str = "gini", min_split: float = 0.0, min_leaf: flo
                   max_features="sqrt", trees: int = 100, max_depth: int = MAX_DEPTH,
                   seed: int = 0) -> RandomForestClassifier:
     return RandomForestClassifier(
-        **ROLES, numTrees=trees, impurity=criterion, seed=seed,
+        **ROLES, numTrees=trees, impurity=criterion, seed=seed, maxMemoryInMB=NODE_MEMORY_MB,
         featureSubsetStrategy=_subset(max_features), **_tree_limits(min_split, min_leaf, max_depth))
 
 

@@ -64,21 +64,31 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     ids, vectors = right["other"].to_numpy(), _matrix(right["other_vector"])
     order = np.argsort(ids, kind="stable")  # ids are unique; equal distances: the lowest id first
     ids, vectors = ids[order], vectors[order]
+    size = (vectors**2).sum(axis=1)
     out = []
     for start in range(0, len(left), 256):
         some = left.iloc[start:start + 256]
-        own = some["rep"].to_numpy()
-        d2 = _distances(_matrix(some["vector"]), vectors)
-        reach = some["reach"].to_numpy(dtype=float)
-        d2[d2 > (reach[:, None] * (1 + SLACK) + SLACK) ** 2] = np.inf
+        own, points = some["rep"].to_numpy(), _matrix(some["vector"])
+        # A product of matrices gives distances up to rounding; those that may count are summed exactly.
+        mine = (points**2).sum(axis=1)
+        rough = mine[:, None] + size[None] - 2 * (points @ vectors.T)
+        near = (some["reach"].to_numpy(dtype=float) * (1 + SLACK) + SLACK) ** 2
         at = np.searchsorted(ids, own).clip(max=len(ids) - 1)
         itself = np.flatnonzero(ids[at] == own)
-        d2[itself, at[itself]] = np.inf
-        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        rows, hits = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
-        found = np.isfinite(d2[rows, hits])
-        out.append(pd.DataFrame({"rep": own[rows[found]], "other": ids[hits[found]],
-                                 "distance2": d2[rows[found], hits[found]]}))
+        rough[itself, at[itself]] = np.inf
+        last = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(own), np.inf)
+        rounding = SLACK * (mine + size.max())
+        rows, hits = np.nonzero((rough <= (np.minimum(last, near) + rounding)[:, None]) & np.isfinite(rough))
+        d2 = np.zeros(len(rows))
+        for j in range(points.shape[1]):
+            d2 += (points[rows, j] - vectors[hits, j]) ** 2
+        within = d2 <= near[rows]
+        rows, hits, d2 = rows[within], hits[within], d2[within]
+        order = np.lexsort((hits, d2, rows))
+        rows, hits, d2 = rows[order], hits[order], d2[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = place < k
+        out.append(pd.DataFrame({"rep": own[rows[best]], "other": ids[hits[best]], "distance2": d2[best]}))
     return pd.concat(out, ignore_index=True)
 
 
