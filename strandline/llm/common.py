@@ -87,24 +87,31 @@ def hash_share(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+#: Classes that can be learned, the most frequent first, and labelled documents of all classes together.
+MOST_CLASSES, MOST_LABELLED = 200, 20_000
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column,
                     key: str = "doc_id") -> DataFrame:
     """``(key, label, text)`` of about ``per_class`` labelled documents of each class.
 
     Keys are drawn by hash, with a share that follows from the counts per class, so
     the sample is bounded whatever the number of labels, and every run draws the
-    same. ``allowed`` says which labels may be learned from. Null keys and labels are
-    left out; repeated rows count once.
+    same. With very many classes each has fewer documents, so that ``MOST_LABELLED``
+    holds for all together. ``allowed`` says which labels may be learned from. Null
+    keys and labels are left out; repeated rows count once.
     """
     known = labels.where(allowed & F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, label)
-    counts = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count_distinct(key).alias("n")).collect()}
+    counted = known.groupBy(label).agg(F.count_distinct(key).alias("n")).orderBy(F.col("n").desc(), label)
+    counts = {r[label]: r["n"] for r in counted.limit(MOST_CLASSES).collect()}
     if not counts:
         return docs.select(key, F.lit(None).cast("int").alias(label), "text").limit(0)
+    per_class = min(per_class, MOST_LABELLED // len(counts))
     share = hash_share(F.col(key))
     drawn = F.lit(False)
     for value, n in sorted(counts.items()):
         drawn = drawn | ((F.col(label) == value) & (share < per_class / n))
-    picked = known.where(drawn).dropDuplicates([key, label]).limit(2 * per_class * len(counts))
+    picked = known.where(drawn).dropDuplicates([key, label]).limit(2 * MOST_LABELLED)
     return (docs.select(key, "text").join(F.broadcast(picked), key)
             .groupBy(key, label).agg(F.min("text").alias("text")))
 

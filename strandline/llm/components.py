@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import staged
+from strandline.session import release, staged
 
 
 def _star(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -42,4 +42,6 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             return state.select(F.col("high").alias("node"), F.col("low").alias("root")).unionAll(
                 state.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
         before = now
-        state = staged(_star(_star(state, True), False), "stars")
+        after = staged(_star(_star(state, True), False), "stars")
+        release(state)
+        state = after

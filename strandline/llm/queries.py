@@ -86,6 +86,63 @@ def op10_topk(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+ORACLE_SQL["op5_quotes"] = r"""
+WITH RECURSIVE messages AS (SELECT *, row_number() OVER () AS m FROM conversations),
+lines AS (
+    SELECT m, conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS parts FROM messages WHERE regexp_matches(text, '(^|\n)[ \t]*>'))),
+leveled AS (
+    SELECT m, conv_id, turn, pos, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS content
+    FROM (SELECT *, regexp_extract(line, '^[ \t]*(>[ \t]?)+') AS marks FROM lines)),
+kept AS (
+    SELECT * FROM (SELECT *, lead(level, 1, 0) OVER (PARTITION BY m ORDER BY pos) AS next_level FROM leveled)
+    WHERE NOT (next_level > level AND regexp_matches(content,
+        '(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*a écrit|el\b.*escribió)\s*:\s*$'))),
+marked AS (SELECT *, (level IS DISTINCT FROM lag(level) OVER (PARTITION BY m ORDER BY pos))::INT AS changed FROM kept),
+numbered AS (SELECT *, sum(changed) OVER (PARTITION BY m ORDER BY pos) AS run FROM marked),
+runs AS (
+    SELECT m, conv_id, turn, run, level, string_agg(content, chr(10) ORDER BY pos) AS content
+    FROM numbered GROUP BY m, conv_id, turn, run, level),
+parsed AS (
+    SELECT m, string_agg(content, chr(10) ORDER BY run) FILTER (level = 0) AS own, count(*) FILTER (level > 0) AS n_quoted
+    FROM runs GROUP BY m),
+texts AS (
+    SELECT x.m, conv_id, turn, role, coalesce(n_quoted, 0) AS n_quoted,
+           regexp_replace(CASE WHEN p.m IS NULL THEN text ELSE coalesce(own, '') END, '^\s+|\s+$', '', 'g') AS own_text
+    FROM messages x LEFT JOIN parsed p ON x.m = p.m),
+sources AS (
+    SELECT conv_id, turn, level, content FROM runs WHERE level > 0
+    UNION ALL SELECT conv_id, turn, 0, own_text FROM texts WHERE turn IS NOT NULL),
+units AS (
+    SELECT conv_id, turn, level, unnest(list_distinct(list_transform(
+        [content] || regexp_split_to_array(content, '\n\s*\n') || regexp_split_to_array(content, '\n'),
+        lambda t: lower(trim(regexp_replace(t, '\s+', ' ', 'g')))))) AS unit
+    FROM sources),
+firsts AS (SELECT conv_id, unit, min(turn) AS said FROM units WHERE level = 0 AND unit <> '' GROUP BY conv_id, unit),
+met AS (
+    SELECT q.conv_id, q.turn, q.level, length(q.unit) AS size, o.said
+    FROM units q JOIN firsts o ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND q.unit = o.unit AND o.said < q.turn
+    WHERE q.level > 0),
+links AS (
+    SELECT conv_id, turn, first(said ORDER BY level, size DESC, said DESC) AS reply_to, count(*) AS n_linked
+    FROM met GROUP BY conv_id, turn),
+chain AS (
+    SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM links
+    UNION ALL
+    SELECT c.conv_id, c.turn, l.reply_to, c.depth + 1
+    FROM chain c JOIN links l ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.turn = c.root),
+roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM chain GROUP BY conv_id, turn),
+threads AS (
+    SELECT t.*, l.reply_to, coalesce(r.root, t.turn) AS root, coalesce(r.depth, 0)::INT AS depth, coalesce(l.n_linked, 0) AS n_linked
+    FROM texts t
+    LEFT JOIN links l ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.turn = t.turn
+    LEFT JOIN roots r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.turn = t.turn)
+SELECT conv_id, turn, role, own_text AS text, reply_to, root, depth,
+       row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS LAST, turn, m) - 1 AS position, n_quoted, n_linked,
+       '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(own_text, '') AS chat
+FROM threads
+"""
+
 ORACLE_SQL["op6_warc"] = """
 WITH hashed AS (
     SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hexed FROM pages),

@@ -66,6 +66,16 @@ def test_a_list_is_learned_from_what_separates_the_classes():
     assert "reject if" in str(learned)
 
 
+def test_rules_do_not_turn_on_the_length_of_a_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = rules.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("aeiourstn"), rng.integers(2, 7))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, n)) + "." for n in (60, 600, 60_000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["kept"] for r in rules.judge(df, learned).orderBy("doc_id").collect()] == [True] * 3
+
+
 def test_rules_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "one two three " * 30, "en", "s", 5), (2, None, None, None, None),
                                   (None, "", "en", "s", 0), (1, "one two three " * 30, "en", "s", 5)], SCHEMA)

@@ -128,6 +128,19 @@ def test_quotes_are_linked_and_taken_out(spark):
     assert quotes.threaded(df.limit(0)).count() == 0
 
 
+def test_quotes_are_linked_as_the_sql_says(spark, tmp_path):
+    rows = [m for m in MESSAGES if m[0] == "a"][:5] + [("b", t, "user", f"> line {t - 1}\n> > line {t - 2}\nline {t}") for t in range(40)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = db.execute(ORACLE_SQL["op5_quotes"])
+    columns = [c[0] for c in cursor.description]
+    found = QUERIES["op5_quotes"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, cursor.fetchall()))
+    assert max(r["depth"] for r in found) == 39
+
+
 def test_conversations_that_quote_give_back_their_texts(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     text = {(r["conv_id"], r["turn"]): r["text"] for r in rows}
