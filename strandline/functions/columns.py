@@ -19,6 +19,11 @@ def blocks(items: list, fields_each: int = 1) -> list[list]:
     return [items[i:i + size] for i in range(0, len(items), size)]
 
 
+def quoted(names) -> list[str]:
+    """Column names as references, whatever marks they hold."""
+    return [f"`{name}`" for name in names]
+
+
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]

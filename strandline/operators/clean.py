@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.config import CleaningRules
+from strandline.functions.columns import quoted
 
 
 def drop_columns(df: DataFrame, names) -> DataFrame:
@@ -54,7 +55,7 @@ class OneHot:
             return OneHot({})
         types = dict(df.dtypes)
         found = (df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-                 .unpivot([], list(columns), "column", "value")
+                 .unpivot([], quoted(columns), "column", "value")
                  .where(F.col("value").isNotNull()).distinct()
                  .limit(max_levels * len(columns) + 1).collect())
         levels: dict[str, list] = {c: [] for c in columns}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import PanelSpec
+from strandline.functions.columns import quoted
 
 
 def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str = "first_seen") -> DataFrame:
@@ -24,7 +25,7 @@ def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str =
     types = dict(df.dtypes)
     common = "double" if all(types[c] not in ("string", "date") for c in columns) else "string"
     values = (df.select(*spec.keys, *[F.col(f"`{c}`").cast(common).alias(c) for c in columns])
-              .unpivot(spec.keys, columns, "column", "value"))
+              .unpivot(spec.keys, quoted(columns), "column", "value"))
     counts = values.groupBy(spec.entity, "column", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*spec.keys[1:])).alias("first"))
     parts = [(-F.col("n")).alias("n"), *(["first"] if ties == "first_seen" else []), F.col("value")]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import PanelSpec
-from strandline.functions.columns import blocks, numeric_columns
+from strandline.functions.columns import blocks, numeric_columns, quoted
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def quartiles(df: DataFrame, columns: list[str] | None = None, accuracy: int = 1
 def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Frequency of every value of every listed column; null is a value of its own."""
     return (df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-            .unpivot([], columns, "column", "value")
+            .unpivot([], quoted(columns), "column", "value")
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -133,7 +133,7 @@ def category_instability(df: DataFrame, spec: PanelSpec, columns: list[str]) ->
     entity, so an entity with very many rows never gathers in one task.
     """
     values = (df.select(spec.entity, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-              .unpivot([spec.entity], columns, "column", "value")
+              .unpivot([spec.entity], quoted(columns), "column", "value")
               .where(F.col("value").isNotNull())
               .distinct())
     return (values.groupBy(spec.entity, "column").agg(F.count("value").alias("n_values"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.columns import quoted
 from strandline.session import staged
 
 RANGE, START = "__range", "__start"
@@ -63,7 +64,7 @@ def running_totals(df: DataFrame, order: str, totals: list[str], group: str | No
 
 def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float]) -> DataFrame:
     """Interpolated quantiles, as a median is commonly taken: one row per column, all columns from one scan."""
-    values = df.select([F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    values = df.select([F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], quoted(columns), "column", "value")
     ranked = running_totals(values.withColumn("n", F.lit(1)), "value", ["n"], "column")
     out = []
     for name, q in points.items():
