@@ -25,7 +25,7 @@ from strandline.operators.joins import attach_group_facts
 from strandline.session import staged
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Distinct fingerprints in a tree; a larger shard is spread over several trees, and its queries go to each.
+#: Distinct fingerprints in a tree, and queries to it in a task; a larger shard is spread over several of both.
 TREE_NODES = 50_000
 _AT_ONCE = 1 << 16
 
@@ -136,14 +136,14 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links_of(shards: np.ndarray, values: np.ndarray, home: np.ndarray, radius: int):
-    """A spanning forest of the links in some shards; rows that are not at home are queries only."""
-    nodes = np.flatnonzero(home)
+def _links_of(shards: np.ndarray, values: np.ndarray, planted: np.ndarray, asks: np.ndarray, radius: int):
+    """A spanning forest of the links between the rows that ask and those planted in the tree of their shard."""
+    nodes = np.flatnonzero(planted)
     if not len(nodes):
         return values[:0], values[:0]
     forest = Forest(shards[nodes], values[nodes])
     label = np.arange(len(values))
-    queries = np.flatnonzero(np.isin(shards, forest.shards))
+    queries = np.flatnonzero(asks & np.isin(shards, forest.shards))
     for query, node in forest.search(shards[queries], values[queries], radius):
         label = join_labels(label, queries[query], nodes[node])
     moved = np.flatnonzero(label != np.arange(len(label)))
@@ -177,17 +177,26 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = No
     placed = fingerprints.select("fp", F.posexplode(masks).alias("choice", "mask")).select(
         "fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("shard"))
     sizes = placed.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n"))
-    # Shards of one fingerprint have no links; crowded ones are spread over several trees.
+    # Shards of one fingerprint have no links. Crowded ones take several trees and as many lots of queries:
+    # a row is planted in its own tree for every lot, and asks every tree with its own lot.
     crowds = sizes.where("n > 1").select("choice", "shard", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"))
-    home = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("trees")).cast("int")
-    rows = (placed.join(crowds, ["choice", "shard"])
-            .select("choice", "shard", "fp", home.alias("home"),
-                    F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-            .select("choice", "shard", "tree", "fp", (F.col("home") == F.col("tree")).alias("at_home"))
-            .repartition("choice", "shard", "tree").sortWithinPartitions("choice", "shard", "tree", "fp"))
+
+    def drawn(seed: int) -> Column:
+        return F.pmod(F.xxhash64("fp", F.lit(seed)), F.col("trees")).cast("int")
+
+    each = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
+    rows = placed.join(crowds, ["choice", "shard"]).withColumns({"home": drawn(1), "own_lot": drawn(2)})
+    columns = ["choice", "shard", "tree", "lot", "fp", "planted", "asks"]
+    planted = rows.withColumns({"tree": F.col("home"), "lot": each, "planted": F.lit(True)}).withColumn(
+        "asks", F.col("lot") == F.col("own_lot"))
+    asking = (rows.where("trees > 1").withColumns({"tree": each, "lot": F.col("own_lot"), "planted": F.lit(False), "asks": F.lit(True)})
+              .where(F.col("tree") != F.col("home")))
+    meeting = ["choice", "shard", "tree", "lot"]
+    rows = (planted.select(columns).unionAll(asking.select(columns))
+            .repartition(*meeting).sortWithinPartitions(*meeting, "fp"))
 
     def search(batches):
-        # Whole shards are searched as they come; the last one waits for the rest of its rows.
+        # Rows that meet are searched together as they come; the last ones wait for the rest of theirs.
         waiting, waiting_rows = [], 0
         for batch in batches:
             part = _Rows.of(batch)
@@ -204,26 +213,26 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = No
 
 
 class _Rows:
-    """Rows of a task in the order of their shards."""
+    """Rows of a task in the order of their shards, trees and lots."""
 
-    def __init__(self, keys: np.ndarray, fp: np.ndarray, home: np.ndarray):
-        self.keys, self.fp, self.home = keys, fp, home
+    def __init__(self, keys: np.ndarray, fp: np.ndarray, planted: np.ndarray, asks: np.ndarray):
+        self.keys, self.fp, self.planted, self.asks = keys, fp, planted, asks
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> _Rows:
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-        return cls(keys, batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64),
-                   batch.column(4).to_numpy(zero_copy_only=False).astype(bool))
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        return cls(np.stack([c.astype(np.int64) for c in columns[:4]], axis=1), columns[4].astype(np.int64).view(np.uint64),
+                   columns[5].astype(bool), columns[6].astype(bool))
 
     @classmethod
     def joined(cls, parts: list[_Rows]) -> _Rows:
-        return cls(*[np.concatenate([getattr(p, name) for p in parts]) for name in ("keys", "fp", "home")])
+        return cls(*[np.concatenate([getattr(p, name) for p in parts]) for name in ("keys", "fp", "planted", "asks")])
 
     def _slice(self, part: slice) -> _Rows:
-        return _Rows(self.keys[part], self.fp[part], self.home[part])
+        return _Rows(self.keys[part], self.fp[part], self.planted[part], self.asks[part])
 
     def cut(self) -> tuple[_Rows, _Rows]:
-        """All but the last shard, and the last."""
+        """All but the last group of rows that meet, and the last."""
         last = int(np.flatnonzero((self.keys == self.keys[-1]).all(axis=1))[0]) if len(self.fp) else 0
         return self._slice(slice(0, last)), self._slice(slice(last, None))
 
@@ -232,7 +241,7 @@ class _Rows:
             return
         new = np.ones(len(self.fp), bool)
         new[1:] = (self.keys[1:] != self.keys[:-1]).any(axis=1)
-        a, b = _links_of(np.cumsum(new), self.fp, self.home, radius)
+        a, b = _links_of(np.cumsum(new), self.fp, self.planted, self.asks, radius)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
