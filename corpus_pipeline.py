@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm import mixing, packing, quality_net, rules, simhash
 from strandline.llm.common import table
 from strandline.llm.queries import tokenizer_path
-from strandline.session import staged
+from strandline.session import new_path, staging
 
 #: Learned verdicts, a near-duplicate search and a tokenizer: none of them can be said in SQL.
 ORACLE_SQL = None
@@ -48,8 +48,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage has staged for itself is deleted once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with staging(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
