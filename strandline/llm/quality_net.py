@@ -2,7 +2,7 @@
 
 Learned filters run over the UTF-8 bytes of the whole document. Their responses are
 max-pooled over overlapping chunks; the chunk values are combined over the document
-by their mean and their maximum, and one logistic unit makes a probability of them.
+by their mean, maximum and minimum, and one logistic unit makes a probability of them.
 The convolution is computed once: chunks are pairs of neighbouring segments, so the
 overlap costs nothing. Memory is bounded by the batch and a block of windows, for a
 document of any length.
@@ -21,7 +21,7 @@ from pyspark.sql.functions import arrow_udf
 
 from strandline.llm.common import fresh, labelled_sample, python_tasks, remainder_is, utf8
 
-WIDTH, STEP, SEGMENT = 8, 4, 64  # bytes of a window, between windows; windows in a segment (half a chunk)
+WIDTH, STEP, SEGMENT = 6, 2, 128  # bytes of a window, between windows; windows in a segment (half a chunk)
 DEPTH, FILTERS = 6, 24
 BLOCK = 256  # segments convolved at a time
 
@@ -80,7 +80,7 @@ class _Layout:
         return pooled, where
 
     def combine(self, pooled: np.ndarray):
-        """Per document the mean and the maximum over its chunks, and what the gradient needs."""
+        """Per document the mean, maximum and minimum over its chunks, and what the gradient needs."""
         docs = len(self.segments)
         follows = np.zeros(len(pooled), bool)
         follows[:-1] = self.document[1:] == self.document[:-1]
@@ -92,15 +92,16 @@ class _Layout:
         chunk = chunk * starts[:, None]
         count = np.maximum(self.segments - 1, 1)
         if not docs:
-            return np.zeros((0, 2 * FILTERS), np.float32), None
+            return np.zeros((0, 3 * FILTERS), np.float32), None
         mean = np.add.reduceat(chunk, self.first[:-1], axis=0) / count[:, None]
         top = np.maximum.reduceat(chunk, self.first[:-1], axis=0)
-        return np.concatenate([mean, top], axis=1).astype(np.float32), (second, chunk, starts, count, top)
+        low = np.minimum.reduceat(np.where(starts[:, None], chunk, np.inf), self.first[:-1], axis=0)
+        return np.concatenate([mean, top, low], axis=1).astype(np.float32), (second, chunk, starts, count, top, low)
 
 
 def _gradients(layout: _Layout, w: dict, truth: np.ndarray) -> tuple[dict, float]:
     pooled, where = layout.pool(w, keep=True)
-    joined, (second, chunk, starts, count, top) = layout.combine(pooled)
+    joined, (second, chunk, starts, count, top, low) = layout.combine(pooled)
     z = np.clip(joined @ w["head"] + w["bias"], -30, 30)
     p = 1 / (1 + np.exp(-z))
     loss = float(-(truth * np.log(p + 1e-9) + (1 - truth) * np.log(1 - p + 1e-9)).mean())
@@ -109,9 +110,10 @@ def _gradients(layout: _Layout, w: dict, truth: np.ndarray) -> tuple[dict, float
     d_joined = dz[:, None] * w["head"]
     doc = layout.document
     d_chunk = (d_joined[:, :FILTERS] / count[:, None])[doc] * starts[:, None]
-    best = (chunk == top[doc]) & (chunk > 0)
-    ties = np.maximum(np.add.reduceat(best, layout.first[:-1], axis=0, dtype=np.float32), 1)
-    d_chunk = d_chunk + best * (d_joined[:, FILTERS:] / ties)[doc]
+    for extreme, d_extreme in ((top, d_joined[:, FILTERS:2 * FILTERS]), (low, d_joined[:, 2 * FILTERS:])):
+        there = (chunk == extreme[doc]) & (chunk > 0)
+        ties = np.maximum(np.add.reduceat(there, layout.first[:-1], axis=0, dtype=np.float32), 1)
+        d_chunk = d_chunk + there * (d_extreme / ties)[doc]
     d_pooled = np.where(second, 0, d_chunk)
     d_pooled[1:] += np.where(second, d_chunk, 0)[:-1]
     d_pooled = (d_pooled * (pooled > 0)).astype(np.float32)
@@ -135,7 +137,7 @@ def train(texts: list[bytes], truth: np.ndarray, epochs: int = 12, batch: int =
         "bytes": rng.normal(0, 0.5, (256, DEPTH)).astype(np.float32),
         "filters": rng.normal(0, (WIDTH * DEPTH) ** -0.5, (WIDTH * DEPTH, FILTERS)).astype(np.float32),
         "offsets": np.zeros(FILTERS, np.float32),
-        "head": np.zeros(2 * FILTERS, np.float32),
+        "head": np.zeros(3 * FILTERS, np.float32),
         "bias": np.zeros(1, np.float32),
     }
     if len(set(truth.tolist())) < 2:  # nothing tells the classes apart

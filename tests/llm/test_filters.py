@@ -134,7 +134,7 @@ def test_network_gradients_agree_with_differences():
     layout = quality_net._Layout(np.frombuffer(b"".join(texts), np.uint8), ends)
     grads, loss = quality_net._gradients(layout, w, truth)
     step = 1e-4
-    for name, at in (("filters", (3, 5)), ("filters", (20, 1)), ("head", (4,)), ("head", (30,)), ("offsets", (2,)), ("bytes", (100, 2))):
+    for name, at in (("filters", (3, 5)), ("filters", (20, 1)), ("head", (4,)), ("head", (30,)), ("head", (60,)), ("offsets", (2,)), ("bytes", (100, 2))):
         moved = {k: v.copy() for k, v in w.items()}
         moved[name][at] += step
         up = quality_net._gradients(layout, moved, truth)[1]
