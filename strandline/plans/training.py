@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -20,6 +21,9 @@ from strandline.operators.smote import oversample
 from strandline.session import staged
 
 
+ROWS_PER_TASK = 20_000
+
+
 @dataclass
 class TrainingData:
     """Scaled rows with their split, and the oversampled training rows."""
@@ -113,10 +117,11 @@ def tuning_folds(data: TrainingData, percent: int = 25, folds: int = FOLDS, seed
     else:
         chosen = with_fold(tuning_sample(data.part("train"), [data.key], seed, percent), [data.key], folds, seed)
     chosen = staged(chosen, "tuning-sample")
+    # Every step of every fit starts all tasks, so a small sample takes few.
+    tasks = max(1, math.ceil(chosen.count() / ROWS_PER_TASK))
 
     def vectors(rows: DataFrame) -> DataFrame:
-        # A sample is small: few tasks, as every step of every fit starts them all.
-        return staged(assemble(rows, data.columns, [target]).coalesce(4), "tuning-rows")
+        return staged(assemble(rows, data.columns, [target]).coalesce(tasks), "tuning-rows")
 
     def fold(i: int) -> Fold:
         train, held_out = chosen.where(F.col("fold") != i), chosen.where(F.col("fold") == i)
