@@ -57,6 +57,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                       if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def scaled_places(df: DataFrame) -> DataFrame:
+    """Scaled values to nine places. Many are short decimal fractions, which a nudge keeps off the middle of two places."""
+    return rounded(df.select([(F.col(f"`{f.name}`") + 3e-11).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                              else F.col(f"`{f.name}`") for f in df.schema.fields]), 9)
+
+
 # --- sources and sinks -------------------------------------------------------------------------
 
 @query
@@ -477,13 +483,13 @@ def feature_matrix(spark, sf):
 def minmax_scale(spark, sf):
     split = prepare.with_split(_model_features(spark, sf), "customer_ID")
     scaler = prepare.MinMax.fit(split.where(F.col("split") == "train"), _columns(split.drop("split")))
-    return rounded(scaler.transform(split))
+    return scaled_places(scaler.transform(split))
 
 
 @query
 def minmax_refit(spark, sf):
     features = _model_features(spark, sf)
-    return rounded(prepare.MinMax.fit(features, _columns(features)).transform(features))
+    return scaled_places(prepare.MinMax.fit(features, _columns(features)).transform(features))
 
 
 @query
@@ -515,13 +521,13 @@ def smote_neighbours(spark, sf):
     label, _, _ = smote.minority(scaled)
     rare = scaled.where(F.col("target") == label).select("customer_ID", F.array(*_columns(scaled)).alias("vector"))
     found = neighbours.nearest_neighbours(rare, "customer_ID", "vector", 5)
-    return rounded(found.select(F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"))
+    return scaled_places(found.select(F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"))
 
 
 @query
 def smote_rows(spark, sf):
     scaled = _scaled(spark, sf)
-    return rounded(smote.oversample(scaled, "customer_ID", _columns(scaled)))
+    return scaled_places(smote.oversample(scaled, "customer_ID", _columns(scaled)))
 
 
 # --- models and evaluation ---------------------------------------------------------------------

@@ -346,12 +346,12 @@ ORACLE_SQL: dict[str, str] = {
       ranges as (select {_listed(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in MODEL_COLUMNS)}
                  from parted where split = 'train')
       select customer_ID, target, split,
-        {_listed(f"coalesce(round(({c} - lo_{c}) / nullif(hi_{c} - lo_{c}, 0), 6), 0) as {c}" for c in MODEL_COLUMNS)} from parted, ranges""",
-    "minmax_refit": SCALED + " select customer_ID, target, " + _listed(f"round({c}, 6) as {c}" for c in MODEL_COLUMNS) + " from scaled",
+        {_listed(f"round(coalesce(({c} - lo_{c}) / nullif(hi_{c} - lo_{c}, 0), 0) + 3e-11, 9) as {c}" for c in MODEL_COLUMNS)} from parted, ranges""",
+    "minmax_refit": SCALED + " select customer_ID, target, " + _listed(f"round({c} + 3e-11, 9) as {c}" for c in MODEL_COLUMNS) + " from scaled",
     "split_80_10_10": "with " + LABELS + f" select *, {SPLIT_NAME} as split from labels_of_orders",
     "tuning_sample": "with " + LABELS + f" select * from labels_of_orders where {HASH.format(seed=0, key='customer_ID', n=100)} < 25",
     "fold_assignment": "with " + LABELS + f" select *, ({HASH.format(seed=1, key='customer_ID', n=5)})::int as fold from labels_of_orders",
-    "smote_neighbours": NEAREST + """ select customer_ID, rank::int as rank, neighbour, round(distance2, 6) as distance2
+    "smote_neighbours": NEAREST + """ select customer_ID, rank::int as rank, neighbour, round(distance2 + 3e-11, 9) as distance2
       from nearest""",
     "smote_rows": NEAREST + f""",
       sizes as (select count(*) as size, (select count(*) from scaled) - 2 * count(*) as missing from rare),
@@ -361,9 +361,9 @@ ORACLE_SQL: dict[str, str] = {
                    (position + 1) * missing // size - position * missing // size))::int as copy from drawn),
       picks as (select *, floor({_unit("'0|rank|' || customer_ID || '|' || copy")} * 5) + 1 as rank,
                   {_unit("'0|along|' || customer_ID || '|' || copy")} as along from shares)
-      select customer_ID, 0 as copy, {_listed(f"round({c}, 6) as {c}" for c in MODEL_COLUMNS)}, target from scaled
+      select customer_ID, 0 as copy, {_listed(f"round({c} + 3e-11, 9) as {c}" for c in MODEL_COLUMNS)}, target from scaled
       union all select p.customer_ID, p.copy,
-        {_listed(f"round(a.{c} + along * (b.{c} - a.{c}), 6)" for c in MODEL_COLUMNS)}, p.label
+        {_listed(f"round(a.{c} + along * (b.{c} - a.{c}) + 3e-11, 9)" for c in MODEL_COLUMNS)}, p.label
       from picks p join nearest n on n.customer_ID = p.customer_ID and n.rank = p.rank
         join rare a on a.customer_ID = p.customer_ID join rare b on b.customer_ID = n.neighbour""",
     "feature_matrix": MODEL + f" select customer_ID, target, {len(MODEL_COLUMNS)} as width, " + _listed(
