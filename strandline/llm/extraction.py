@@ -5,8 +5,9 @@ linear scan finds the contiguous region with the largest sum. The weights come f
 pages that label themselves by a single ``article`` or ``main`` element: first how
 much more often a tag stands outside than inside, then corrections wherever the
 region found differs from the labelled one. Elements that labelled pages never hold
-inside the article (menus, adverts and the like), or whose tag or class says what they
-are, count as one tag whose words are left out.
+inside the article (menus, adverts and the like) count as one tag whose words are left
+out. So do those whose tag or class says what they are, unless labelled articles hold the
+like, but never what holds the article or most of the words.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split())
-#: Elements that hold no article text by their meaning.
+#: Elements that rarely hold article text, by their meaning.
 SET_ASIDE = RAW | frozenset(
     "aside button canvas dialog embed fieldset footer form head header input menu nav object select".split())
 #: Words of a class, id or role that name such an element.
@@ -46,6 +48,7 @@ HINTS = frozenset(
 #: With one of these beside it a hint describes what surrounds the element.
 ABOUT = frozenset("has no with without".split())
 CONTENT = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -54,41 +57,53 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<odd_close>/?)(?P<odd_name>[a-zA-Z][^\s/>]*+)[^>]*+>"
     r"|(?P<text>[^<]++|<)", re.S | re.I)
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
 
 
-def marks_of(name: str, attributes: str) -> set[str]:
-    """What describes an element: its tag, and the words of its class, id and role."""
-    found = {name}
-    if attributes and "=" in attributes:
-        for match in _MARKS.finditer(attributes):
-            value = match[1] or match[2] or match[3] or ""
+@lru_cache(4096)
+def marks_of(name: str, attributes: str) -> tuple[frozenset[str], bool]:
+    """What describes an element (its tag, and the words of its class, id and role), and whether it is hidden."""
+    found, hidden = {name}, False
+    for match in _ATTRIBUTE.finditer(attributes):
+        key, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+        if key in ("class", "id", "role"):
             found.update("." + part for part in _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
-    return found
+        hidden |= (key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true"
+                   or key == "style" and _NO_DISPLAY.search(value) is not None)
+    return frozenset(found), hidden
 
 
 @dataclass
 class Weights:
-    """Scores of a word and of tags, and the marks of elements that are set aside."""
+    """Scores of a word and of tags, and the marks of elements that are set aside.
+
+    Tags and hints that set an element aside are a prior. Inside the article the marks
+    in ``inside`` overrule it, on pages without a labelled article those in ``open``.
+    """
 
     word: float = 1.0
     tags: dict[str, float] = field(default_factory=lambda: {
         f"{slash}{name}": -3.0 for name in (*CONTENT, "body", "html") for slash in ("", "/")})
     aside: frozenset[str] = frozenset()
+    inside: frozenset[str] = frozenset()
+    open: frozenset[str] = frozenset()
     other: float = -0.2
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, self.other)
 
-    def sets_aside(self, marks: set[str], attributes: str) -> bool:
-        if not marks.isdisjoint(("html", "body", "main")):
+    def sets_aside(self, element: Element, overruled: frozenset[str]) -> bool:
+        if element.name in RAW:
+            return True
+        if element.name in ("html", "body", *CONTENT):
             return False
-        words = {m[1:] for m in marks if m[0] == "."}
-        hinted = not words.isdisjoint(HINTS) and words.isdisjoint(ABOUT)
-        return (hinted or not marks.isdisjoint(self.aside)
-                or bool(attributes) and _HIDDEN.search(attributes) is not None)
+        marks = element.marks - overruled
+        hinted = (element.name not in HEADINGS and not HINTS.isdisjoint(m[1:] for m in marks if m[0] == ".")
+                  and ABOUT.isdisjoint(m[1:] for m in element.marks if m[0] == "."))
+        return (element.hidden or element.name in SET_ASIDE and element.name in marks or hinted
+                or not marks.isdisjoint(self.aside))
 
 
 @dataclass
@@ -101,75 +116,126 @@ class Item:
     labelled: bool = False
 
 
-def items_of(page: str, weights: Weights, elements: list | None = None) -> list[Item]:
-    """The tags and texts that count, in page order; elements set aside are one tag.
+@dataclass(slots=True)
+class Element:
+    """An element of a page; ``parent`` and the like are numbers of elements, 0 is the page itself."""
+
+    name: str
+    marks: frozenset[str] = frozenset()
+    hidden: bool = False
+    parent: int = -1
+    words: int = 0
+    closed: bool = False  # by an end tag of its own
+    inside: bool = False  # within the article
+    holds: bool = False  # the article
+    aside: bool = False
+    beside: bool = False  # neither within an article or main nor within an element set aside
+
+
+class Page:
+    """The elements of a page, what happens in page order, and the article: its largest ``article``, or else ``main``.
 
-    ``labelled`` tells what lies inside an ``article`` or ``main``. With ``elements``
-    every element is noted as (marks, depth of content elements, its own number, parents).
+    ``events`` are an element and its opening (None), a text, or its end tag (the innermost open element).
     """
-    items: list[Item] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are set aside
-    aside = content = 0
-
-    def pop() -> None:
-        nonlocal aside, content
-        name, set_aside = stack.pop()
-        aside -= set_aside
-        content -= name in CONTENT
-
-    def close_to(name: str, *walls: str) -> None:
-        """Close the innermost open ``name`` and what it holds, unless a wall is between."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in walls:
-                return
-
-    for match in _TOKEN.finditer(page):
-        kind = match.lastgroup
-        if kind == "text":
-            if not aside:
+
+    def __init__(self, page: str) -> None:
+        self.elements = elements = [Element("")]
+        self.events: list[tuple[int, str | int | None]] = []
+        stack = [0]
+
+        def close_to(name: str, *walls: str) -> None:
+            """Close the innermost open ``name`` and what it holds, unless a wall is between."""
+            for i in range(len(stack) - 1, 0, -1):
+                if elements[stack[i]].name == name:
+                    del stack[i:]
+                    return
+                if elements[stack[i]].name in walls:
+                    return
+
+        for match in _TOKEN.finditer(page):
+            if match.lastgroup == "text":
                 text = html.unescape(match["text"])
-                items.append(Item("text", text, len(text.split()), content > 0))
-            continue
-        name = (match["name"] or match["odd_name"] or match["raw"] or "").lower()
-        if not name:
-            continue
-        if match["raw"]:
-            if not aside:
-                items.append(Item("=" + name))
-            continue
-        if match["close"] or match["odd_close"]:
-            if any(name == open_ for open_, _ in stack):
-                inside = content > 0
-                was = aside
-                close_to(name)
-                if not aside and not was:
-                    items.append(Item("/" + name, labelled=inside and content > 0))
-            continue
-        attributes = match["attrs"] or ""
-        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
-            pop()
-        if name in CONTENT and aside and not any(n in CONTENT for n, _ in stack):
-            while aside and stack:  # a menu that was never closed does not swallow the article
-                pop()
-        if name not in INLINE:
-            close_to("p", "table", "button", "object", "div", "section", "article", "main", "td", "li")
-        if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            close_to(name, "ul", "ol", "dl", "table", "select")
-        marks = marks_of(name, attributes)
-        set_aside = name in SET_ASIDE or weights.sets_aside(marks, attributes)
-        if elements is not None and not aside:
-            elements.append((marks, content > 0, [n for n, _ in stack]))
-        if not aside:
-            items.append(Item(("=" if set_aside else "") + name, labelled=content > 0))
-        if name not in VOID:
-            stack.append((name, set_aside))
-            aside += set_aside
-            content += name in CONTENT
-    return items
+                elements[stack[-1]].words += len(text.split())
+                self.events.append((stack[-1], text))
+                continue
+            name = (match["name"] or match["odd_name"] or match["raw"] or "").lower()
+            if not name:
+                continue
+            if match["close"] or match["odd_close"]:
+                k = next((k for k in reversed(stack) if elements[k].name == name), None)
+                if k is not None:
+                    self.events.append((k, stack[-1]))
+                    elements[k].closed = True
+                    close_to(name)
+                continue
+            if not match["raw"]:
+                if elements[stack[-1]].name == "head" and name not in IN_HEAD:
+                    stack.pop()
+                if name not in INLINE:
+                    close_to("p", "table", "button", "object", "div", "section", "article", "main", "td", "li")
+                if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
+                    close_to(name, "ul", "ol", "dl", "table", "select")
+            elements.append(Element(name, *marks_of(name, match["attrs"] or ""), stack[-1]))
+            self.events.append((len(elements) - 1, None))
+            if name not in VOID and not match["raw"]:
+                stack.append(len(elements) - 1)
+        for element in reversed(elements[1:]):
+            elements[element.parent].words += element.words
+        self.article = self._article()
+        k = elements[self.article].parent if self.article else 0
+        while k > 0:
+            elements[k].holds = True
+            k = elements[k].parent
+        for k, element in enumerate(elements[1:], 1):
+            element.inside = element.parent == self.article > 0 or elements[element.parent].inside
+
+    def _article(self) -> int:
+        """The number of the article, or 0."""
+        for name in CONTENT:
+            found = [k for k, element in enumerate(self.elements) if element.name == name]
+            if found:
+                return max(found, key=lambda k: (self.elements[k].words, -k))
+        return 0
+
+    def items(self, weights: Weights) -> list[Item]:
+        """The tags and texts that count, in page order; elements set aside are one tag.
+
+        ``labelled`` tells what lies inside the article. Never set aside are the article and
+        what holds it, and what holds most words of the article or, without one, of the page.
+        A menu that holds the article because it was never closed ends where the article starts.
+        """
+        items: list[Item] = []
+        elements, article = self.elements, self.article
+        most = elements[article].words / 2
+        within = [element.inside or k == article > 0 for k, element in enumerate(elements)]
+        for k, what in self.events:
+            element = elements[k]
+            if isinstance(what, str):
+                if not element.aside:
+                    items.append(Item("text", what, len(what.split()), within[k]))
+            elif what is not None:
+                if not elements[what].aside:
+                    items.append(Item("/" + element.name, labelled=within[k] and k != article))
+            else:
+                parent = elements[element.parent]
+                if k == article:
+                    self._end_menus(k)
+                whole = element.words > most and (element.inside or not article) or element.holds and element.closed
+                own = not (whole and element.name not in RAW) and weights.sets_aside(
+                    element, weights.inside if element.inside else frozenset() if article else weights.open)
+                element.beside = not element.inside and k != article and not parent.aside
+                element.aside = own or parent.aside
+                if not parent.aside:
+                    items.append(Item(("=" if own else "") + element.name, labelled=element.inside))
+        return items
+
+    def _end_menus(self, k: int) -> None:
+        while (k := self.elements[k].parent) >= 0:
+            self.elements[k].aside = False
+
+
+def items_of(page: str, weights: Weights) -> list[Item]:
+    return Page(page).items(weights)
 
 
 def best_region(items: list[Item], weights: Weights) -> tuple[int, int]:
@@ -213,23 +279,30 @@ def learn(pages: list[str], epochs: int = 4, rate: float = 0.1, least: int = 10)
     """Weights from labelled pages; without any, the values that ``Weights`` starts with.
 
     A word of a class, id or role becomes a mark of elements set aside if at least
-    ``least`` pages have it beside the article, and none inside or around it.
+    ``least`` pages have it beside the article, and none inside or around it. Marks of
+    elements with words inside a labelled article overrule the fixed hints there, and on
+    pages without one if they are found in or around as many articles as beside them.
     """
     weights = Weights()
-    beside, within = Counter(), Counter()
-    for page in pages:
-        elements: list = []
-        items_of(page, weights, elements)
-        around = {name for _, inside, parents in elements if inside for name in parents}
-        seen_in = {m for marks, inside, _ in elements if inside for m in marks} | around | set(CONTENT)
-        # What holds the article is around it, by tag and by class.
-        holds = set()
-        for k, (marks, inside, parents) in enumerate(elements):
-            if not inside and not marks.isdisjoint(around):
-                holds |= marks
-        within.update(seen_in | holds)
-        beside.update({m for marks, inside, _ in elements if not inside for m in marks} - seen_in - holds)
-    weights.aside = frozenset(m for m, n in beside.items() if m[0] == "." and n >= least and not within[m])
+    beside, within, inside, apart = Counter(), Counter(), Counter(), Counter()
+    kept: set[str] = set()
+    for page in map(Page, pages):
+        page.items(weights)
+        elements = page.elements
+        found = {m for e in elements if e.inside and e.words for m in e.marks}
+        around = {m for e in elements if e.holds for m in e.marks} | elements[page.article].marks
+        next_to = {m for e in elements if e.beside and not e.holds for m in e.marks}
+        # What has the tag of an element that holds the article is not told from it by a class.
+        tags = {e.name for e in elements if e.holds}
+        alike = {m for e in elements if e.beside and e.name in tags for m in e.marks}
+        inside.update(found)
+        within.update(found | around)
+        beside.update(next_to)
+        kept.update({m for e in elements if e.inside for m in e.marks} | around | alike | set(CONTENT))
+        apart.update(next_to - alike)
+    weights.inside = frozenset(inside)
+    weights.open = frozenset(m for m, n in within.items() if n >= beside[m])
+    weights.aside = frozenset(m for m, n in apart.items() if m[0] == "." and n >= least and m not in kept)
     rows = [items_of(page, weights) for page in pages]
     inside, outside = Counter(), Counter()
     for items in rows:

@@ -108,6 +108,39 @@ def test_extraction_of_odd_pages(spark):
     assert extraction.extracted(pages.limit(0), extraction.Weights()).count() == 0
 
 
+def test_extraction_keeps_articles_that_hints_describe():
+    words = "some words of the story that anyone would like to read "
+    menu, foot = "<nav><a href=/>Home</a></nav>", "<footer>The foot</footer>"
+    plain = extraction.Weights()
+    for page in (
+            f'{menu}<article class="post category-social"><p>{words * 3}</p></article>{foot}',
+            f'{menu}<div class="right-sidebar"><p>{words * 3}</p></div>{foot}',
+            f'<form id="page"><div>{menu}<p>{words * 3}</p>{foot}</div></form>',
+            f'<div hidden><article class="post"><p>{words * 3}</p></article></div>',
+            f'{menu}<div data-class="ad" title="a hidden gem" data-style="display:none"><p>{words * 3}</p></div>{foot}',
+            f'{menu}<article><div class="social-body"><p>{words * 3}</p></div></article><div class="comments">{words * 9}</div>'):
+        assert extraction.extract(page, plain) == (words * 3).strip(), page
+    assert extraction.extract(f'<p>{words}<h2 class="section-header">Part two</h2><p>{words}', plain) == f"{words}Part two {words}".strip()
+    assert extraction.extract(f'<p>{words}<p style="display: none">{words}<p hidden>{words}', plain) == words.strip()
+
+
+def test_extraction_lets_labelled_pages_overrule_hints():
+    words = "some words of the story that anyone would like to read "
+
+    def page(article, after="<div class='share'>Share this page with all of your friends</div>"):
+        return f"<header>Site name</header><nav><a>Home</a></nav>{article}{after}<footer>The foot</footer>"
+
+    def article(k=""):
+        return f"<header><h1>Title {k}</h1></header><p>{words}</p><div class='notice'>Take note {k}</div><p>{words}</p>"
+
+    weights = extraction.learn([page(f"<article>{article(k)}</article>") for k in range(20)])
+    whole = f"Title {words}Take note {words}".strip()
+    assert extraction.extract(page(f"<article>{article()}</article>"), weights) == whole
+    assert extraction.extract(page(f"<main><article>{article()}</article></main>"), weights) == whole
+    assert "Take note" in extraction.extract(page(f"<div>{article()}</div>"), weights)
+    assert "Share" not in extraction.extract(page(f"<div>{article()}</div>"), weights)
+
+
 MESSAGES = [
     ("a", 0, "user", "Hello there\nhow are you?"), ("a", 1, "assistant", "I am fine.\n\nWhat about you?"),
     ("a", 2, "user", "On Monday, X wrote:\n> Hello there\n> how are you?\nI reply to the first."),
