@@ -30,14 +30,21 @@ from strandline.llm.common import documents, hash_share, python_tasks
 FIT_PAGES, FIT_BYTES = 1000, 262_144
 
 # Fixed values of the page format.
-RAW = frozenset("script style textarea title noscript template iframe svg".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Raw text, and elements nested as others are that no reader sees as text.
+INERT = RAW | frozenset("noscript template svg".split())
+#: Tags of HTML that end an svg, and elements that tags within do not close.
+NOT_SVG = frozenset(
+    "article b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li main menu "
+    "meta nobr ol p pre ruby s section small span strong strike sub sup table tt u ul var".split())
+WALLS = ("noscript", "template", "foreignobject")
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split())
 #: Elements that rarely hold article text, by their meaning.
-SET_ASIDE = RAW | frozenset(
+SET_ASIDE = INERT | frozenset(
     "aside button canvas dialog embed fieldset footer form head header input menu nav object select".split())
 #: Words of a class, id or role that name such an element.
 HINTS = frozenset(
@@ -53,7 +60,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg)\b(?P<raw_attrs>[^>]*+)>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|iframe)\b(?P<raw_attrs>[^>]*+)>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<odd_close>/?)(?P<odd_name>[a-zA-Z][^\s/>]*+)[^>]*+>"
     r"|(?P<text>[^<]++|<)", re.S | re.I)
@@ -95,7 +102,7 @@ class Weights:
         return self.tags.get(name, self.other)
 
     def sets_aside(self, element: Element, overruled: frozenset[str]) -> bool:
-        if element.name in RAW:
+        if element.name in INERT:
             return True
         if element.name in ("html", "body", *CONTENT):
             return False
@@ -128,6 +135,7 @@ class Element:
     closed: bool = False  # by an end tag of its own
     inside: bool = False  # within the article
     holds: bool = False  # the article
+    inert: bool = False  # script, an svg and the like, or within them
     aside: bool = False
     beside: bool = False  # neither within an article or main nor within an element set aside
 
@@ -152,7 +160,10 @@ class Page:
                 if elements[stack[i]].name in walls:
                     return
 
-        for match in _TOKEN.finditer(page):
+        svgs: list[int] = []  # where they are in the stack
+        at = 0
+        while match := _TOKEN.match(page, at):
+            at = match.end()
             if match.lastgroup == "text":
                 text = html.unescape(match["text"])
                 elements[stack[-1]].words += len(text.split())
@@ -168,19 +179,37 @@ class Page:
                     elements[k].closed = True
                     close_to(name)
                 continue
-            if not match["raw"]:
+            while svgs and svgs[-1] >= len(stack):
+                svgs.pop()
+            attributes = match["attrs"] or match["raw_attrs"] or ""
+            foreign = bool(svgs) and all(elements[k].name != "foreignobject" for k in stack[svgs[-1]:])
+            if foreign and name in NOT_SVG:
+                del stack[svgs.pop():]
+                foreign = False
+            alone = name in VOID or (foreign or name == "svg") and attributes.endswith("/")
+            if match["raw"]:
+                if alone:
+                    at = match.end("raw_attrs") + 1
+            elif not foreign:
+                if name == "body":
+                    close_to("head")
                 if elements[stack[-1]].name == "head" and name not in IN_HEAD:
                     stack.pop()
-                if name not in INLINE:
-                    close_to("p", "table", "button", "object", "div", "section", "article", "main", "td", "li")
+                if name not in INLINE and name not in INERT:
+                    close_to("p", "table", "button", "object", "div", "section", "article", "main", "td", "li", *WALLS)
                 if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                    close_to(name, "ul", "ol", "dl", "table", "select")
-            elements.append(Element(name, *marks_of(name, match["attrs"] or ""), stack[-1]))
+                    close_to(name, "ul", "ol", "dl", "table", "select", *WALLS)
+            elements.append(Element(name, *marks_of(name, attributes), stack[-1], closed=alone or bool(match["raw"])))
             self.events.append((len(elements) - 1, None))
-            if name not in VOID and not match["raw"]:
+            if not alone and not match["raw"]:
+                if name == "svg":
+                    svgs.append(len(stack))
                 stack.append(len(elements) - 1)
         for element in reversed(elements[1:]):
-            elements[element.parent].words += element.words
+            if not (element.name in INERT and element.closed):
+                elements[element.parent].words += element.words
+        for element in elements[1:]:
+            element.inert = element.name in INERT and element.closed or elements[element.parent].inert
         self.article = self._article()
         k = elements[self.article].parent if self.article else 0
         while k > 0:
@@ -192,7 +221,7 @@ class Page:
     def _article(self) -> int:
         """The number of the article, or 0."""
         for name in CONTENT:
-            found = [k for k, element in enumerate(self.elements) if element.name == name]
+            found = [k for k, element in enumerate(self.elements) if element.name == name and not element.inert]
             if found:
                 return max(found, key=lambda k: (self.elements[k].words, -k))
         return 0
@@ -221,7 +250,7 @@ class Page:
                 if k == article:
                     self._end_menus(k)
                 whole = element.words > most and (element.inside or not article) or element.holds and element.closed
-                own = not (whole and element.name not in RAW) and weights.sets_aside(
+                own = not (whole and not element.inert) and weights.sets_aside(
                     element, weights.inside if element.inside else frozenset() if article else weights.open)
                 element.beside = not element.inside and k != article and not parent.aside
                 element.aside = own or parent.aside
@@ -289,16 +318,16 @@ def learn(pages: list[str], epochs: int = 4, rate: float = 0.1, least: int = 10)
     for page in map(Page, pages):
         page.items(weights)
         elements = page.elements
-        found = {m for e in elements if e.inside and e.words for m in e.marks}
+        found = {m for e in elements if e.inside and e.words and not e.inert for m in e.marks}
         around = {m for e in elements if e.holds for m in e.marks} | elements[page.article].marks
-        next_to = {m for e in elements if e.beside and not e.holds for m in e.marks}
+        next_to = {m for e in elements if e.beside and not e.holds and not e.inert for m in e.marks}
         # What has the tag of an element that holds the article is not told from it by a class.
         tags = {e.name for e in elements if e.holds}
         alike = {m for e in elements if e.beside and e.name in tags for m in e.marks}
         inside.update(found)
         within.update(found | around)
         beside.update(next_to)
-        kept.update({m for e in elements if e.inside for m in e.marks} | around | alike | set(CONTENT))
+        kept.update({m for e in elements if e.inside and not e.inert for m in e.marks} | around | alike | set(CONTENT))
         apart.update(next_to - alike)
     weights.inside = frozenset(inside)
     weights.open = frozenset(m for m, n in within.items() if n >= beside[m])

@@ -108,6 +108,16 @@ def test_extraction_of_odd_pages(spark):
     assert extraction.extracted(pages.limit(0), extraction.Weights()).count() == 0
 
 
+def test_extraction_goes_on_after_an_icon():
+    for icon in ('<svg class="i"/>', "<svg/>", '<svg class="i"><path d="M0"/><title/><text>no</text></svg>', '<svg><use href="#x">',
+                 "<noscript><img src=x>no</noscript>", "<noscript><img src=x>", "<template><p>no</template>", "<template>", "<svg><g><svg/>"):
+        for page in (f"<article><p>a</p>{icon}<p>rest of the article</p></article>", f"<div><p>a {icon}</p><p>rest of the article</p></div>",
+                     f"<nav>menu {icon}</nav><main><p>a <p>rest of the article</main>"):
+            assert extraction.extract(page, extraction.Weights()) == "a rest of the article", page
+    page = "<p>one <svg><foreignObject><p>no</p></foreignObject><style/></svg> and two</p>"
+    assert extraction.extract(page, extraction.Weights()) == "one and two"
+
+
 def test_extraction_keeps_articles_that_hints_describe():
     words = "some words of the story that anyone would like to read "
     menu, foot = "<nav><a href=/>Home</a></nav>", "<footer>The foot</footer>"
