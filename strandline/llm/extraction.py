@@ -363,11 +363,19 @@ def learn(pages: list[str], epochs: int = 4, rate: float = 0.1, least: int = 10)
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, fit_bytes: int = FIT_BYTES) -> Weights:
-    """Learn from about ``fit_pages`` of the labelled pages of up to ``fit_bytes`` bytes, drawn by hash."""
-    usable = pages.where(is_labelled(F.col("html")) & (F.octet_length("html") <= fit_bytes)).select("page_id", "html")
-    share = hash_share(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("labelled"))
-    count = pages.count()
-    found = usable.where(share < 4.0 * fit_pages / max(count, 1)).limit(fit_pages).collect()
+    """Learn from ``fit_pages`` of the labelled pages of up to ``fit_bytes`` bytes, drawn by hash, or from all if they are fewer.
+
+    The share drawn follows from the number of such pages, a little above what is
+    needed, and of the drawn ones those with the smallest hashes are taken.
+    """
+    short = pages.where(F.octet_length("html") <= fit_bytes).select("page_id", "html")
+    count = short.where(is_labelled(F.col("html"))).count()
+    if not count:
+        return learn([])
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    drawn = short.withColumn("share", hash_share(key, F.col("html"), F.lit("labelled")))
+    drawn = drawn.where(F.col("share") < (1.25 * fit_pages + 50) / count).where(is_labelled(F.col("html")))
+    found = drawn.orderBy("share", "page_id", "html").limit(fit_pages).collect()
     return learn([r["html"] for r in sorted(found, key=lambda r: (str(r["page_id"]), r["html"]))])
 
 

@@ -118,6 +118,19 @@ def test_extraction_goes_on_after_an_icon():
     assert extraction.extract(page, extraction.Weights()) == "one and two"
 
 
+def test_extraction_learns_from_as_many_labelled_pages_at_any_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(extraction, "learn", lambda pages: seen.append(pages))
+    labelled = F.concat(F.lit("<article>"), F.col("id"), F.lit("</article>"))
+    for n, every, expected in ((3_000, 60, 50), (60_000, 1_200, 50), (60_000, 20, 100)):
+        html_ = F.when(F.col("id") % every == 0, labelled).otherwise(F.lit("<p>none</p>"))
+        extraction.fit(spark.range(n).select(F.col("id").alias("page_id"), html_.alias("html")), fit_pages=100)
+        assert len(set(seen[-1])) == expected and all("article" in page for page in seen[-1])
+    # Not the first rows: the sample is spread over the table.
+    numbers = [int(re.sub(r"\D", "", page)) for page in seen[-1]]
+    assert 20_000 < np.mean(numbers) < 40_000
+
+
 def test_extraction_keeps_articles_that_hints_describe():
     words = "some words of the story that anyone would like to read "
     menu, foot = "<nav><a href=/>Home</a></nav>", "<footer>The foot</footer>"
