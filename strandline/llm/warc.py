@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import fresh, python_tasks
+from strandline.llm.common import BATCH_BYTES, fresh, python_tasks
 from strandline.operators.joins import attach_group_facts
 from strandline.session import new_path, staged
 
@@ -28,8 +29,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 LINE = "\r\n"
 
-#: Records of one archive file at most; an archive is read whole by one task.
-RECORDS_PER_FILE = 4000
+#: Records and bytes (before compression) of one archive file at most, as one task reads it; a longer record has its own.
+RECORDS_PER_FILE, BYTES_PER_FILE = 4000, 64 << 20
+#: Records are written by class of size, each of records this many times as long as the one before.
+SIZE_STEP = 8
+#: Bytes of a record besides payload, urls and page ids, at most, and bytes that are read at once.
+HEADER_BYTES, PIECE = 1200, 1 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -106,25 +111,51 @@ def _record(payload: Column | None, captured: str) -> Column:
     return F.concat(F.lit(VERSION + LINE), *lines, F.lit(LINE), block, F.lit(LINE))
 
 
+def _size_class(limits: list[tuple[int, int]], payload: Column | None, *others: str) -> Column:
+    """The class of size of a record: the first whose records may be as long, or ``len(limits)``."""
+    length = F.lit(HEADER_BYTES).cast("long")
+    if payload is not None:
+        length += payload
+    for name in others:
+        length += F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
+    found = F.lit(len(limits))
+    for i in range(len(limits) - 1, -1, -1):
+        found = F.when(length <= limits[i][1], i).otherwise(found)
+    return found
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, captured: str = "2024-01-01T00:00:00Z",
-                   records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+                   records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip",
+                   bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Write ``pages`` (``page_id, url, html``) as archives with repeated payloads as revisits.
 
     Payloads are joined to nothing: a page is a response unless its key is among the
     revisits, so only responses carry their html, and html is never shuffled by digest.
+    Records go to files by class of size, the longer the fewer to a file, so that a file
+    has at most ``bytes_per_file`` bytes or a single record.
     """
+    limits, records = [], records_per_file  # records of a file, and bytes of a record, at most
+    while records > 1:
+        limits.append((records, bytes_per_file // records))
+        records //= SIZE_STEP
     marked = headers(pages, min_bytes)
-    planned = staged(marked, "planned")
-    revisits = planned.where(F.col("record_type") == "revisit")
-    written = pages.select("page_id", "url", "html").withColumns({
-        "payload_digest": base32_sha1(_payload()), "payload_bytes": F.octet_length(_payload()).cast("long")})
-    gone = revisits.select("page_id", "payload_digest").distinct()
+    as_response = _size_class(limits, F.col("payload_bytes"), "url", "page_id", "page_id")
+    as_revisit = _size_class(limits, None, "url", "refers_url", "page_id", "refers_to")
+    planned = staged(marked.withColumns({"as_response": as_response, "as_revisit": as_revisit}), "planned")
+    revisit = F.col("record_type") == "revisit"
+    size = F.when(revisit, F.col("as_revisit")).otherwise(F.col("as_response"))
+    used = sorted(r["size"] for r in planned.select(size.alias("size")).distinct().collect())
     on = (F.col("w.page_id").eqNullSafe(F.col("g.page_id"))) & (F.col("w.payload_digest") == F.col("g.payload_digest"))
-    responses = written.alias("w").join(gone.alias("g"), on, "left_anti")
-    records = responses.select(_record(_payload(), captured).alias("value")).unionAll(
-        revisits.select(_record(None, captured).alias("value")))
-    (records.write.option("lineSep", LINE).option("maxRecordsPerFile", records_per_file)
-     .option("compression", compression).text(path))
+    for n, i in enumerate(used or [0]):
+        written = (pages.select("page_id", "url", "html").withColumn("payload_bytes", F.octet_length(_payload()).cast("long"))
+                   .where(as_response == i).withColumn("payload_digest", base32_sha1(_payload())))
+        gone = planned.where(revisit & (F.col("as_response") == i)).select("page_id", "payload_digest").distinct()
+        responses = written.alias("w").join(gone.alias("g"), on, "left_anti")
+        records = responses.select(_record(_payload(), captured).alias("value")).unionAll(
+            planned.where(revisit & (F.col("as_revisit") == i)).select(_record(None, captured).alias("value")))
+        (records.write.mode("append" if n else "errorifexists").option("lineSep", LINE)
+         .option("maxRecordsPerFile", limits[i][0] if i < len(limits) else 1)
+         .option("compression", compression).text(path))
 
 
 _RECORD = T.StructType([
@@ -140,24 +171,39 @@ def _fields(head: bytes) -> dict[str, str]:
     return {name.strip().lower().decode(): value.strip().decode("utf-8", "replace") for name, _, value in pairs}
 
 
-def parse_archive(content: bytes):
-    """The headers and payload of each record of an archive, compressed or not; a truncated record ends it."""
-    content, at = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, 0
+def parse_archive(content: bytes, payloads: bool = True):
+    """The headers of each record of an archive, compressed or not, and size, SHA-1 and (if asked for) bytes of its payload.
+
+    The archive is read as a stream, and payloads in pieces; a truncated record ends it.
+    """
+    stream = io.BytesIO(content)
+    if content[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
     while True:
-        while content[at:at + 2] == b"\r\n":
-            at += 2
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = _fields(content[at:end])
+        lines = []
+        while (line := stream.readline()) != LINE.encode() or not lines:
+            if not line:
+                return
+            if line != LINE.encode():
+                lines.append(line)
+        fields = _fields(b"".join(lines)[:-len(LINE)])
         size = int(fields.get("content-length", "0"))
-        block = content[end + 4:end + 4 + size]
-        if len(block) < size:
+        head = b"" if fields.get("content-type", "").startswith("application/http") else None
+        read = length = 0
+        sha, kept = hashlib.sha1(), []
+        while read < size and (piece := stream.read(min(size - read, PIECE))):
+            read += len(piece)
+            if head is not None:
+                head += piece
+                _, end, piece = head.partition(b"\r\n\r\n")
+                head = None if end else head[-3:]
+            sha.update(piece)
+            length += len(piece)
+            if payloads:
+                kept.append(piece)
+        if read < size:
             return
-        at = end + 4 + size
-        if fields.get("content-type", "").startswith("application/http"):
-            block = block.partition(b"\r\n\r\n")[2]
-        yield fields, block
+        yield fields, length, sha.digest(), b"".join(kept) if payloads else None
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -168,22 +214,29 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     python_tasks(spark)
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, kind) for column, kind in zip(zip(*rows), _ARROW)], names=_RECORD.names)
+
     def read(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for fields, payload in parse_archive(content.as_py()):
+                rows, held = [], 0
+                for fields, size, sha, payload in parse_archive(content.as_py(), payloads):
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
                     response = fields.get("warc-type") == "response"
-                    found = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else None
+                    found = base64.b32encode(sha).decode() if response else None
                     rows.append((
                         fields.get("x-page-id"), fields.get("warc-target-uri"), fields.get("warc-record-id"),
                         fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("x-refers-to-page-id"),
-                        digest, len(payload) if response else None, payload if response and payloads else None,
+                        digest, size if response else None, payload if response else None,
                         found == digest if response else None))
+                    held += len(payload or b"")
+                    if held >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(column, kind) for column, kind in zip(zip(*rows), _ARROW)], names=_RECORD.names)
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(read, _RECORD)

@@ -1,6 +1,7 @@
 """Archives, extraction, quotation links and the exact search."""
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -68,6 +69,37 @@ def test_payloads_survive_and_small_ones_are_not_linked(spark):
         assert {r["url"] for r in records} == {"http://a", "http://b X: y", None, "u", "n"}
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    # 100 pages of 1 MB, one of 70 MB, and many short ones, all in one task.
+    size = F.when(F.col("id") == 7, 70 << 20).when(F.col("id") < 101, 1 << 20).otherwise(10)
+    pages = spark.range(0, 5000, 1, 1).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat("id", F.lit("y")).alias("tag"), size.alias("n"))
+    pages = pages.select("page_id", "url", F.concat("tag", F.expr("repeat('z', n)")).alias("html"))
+    path = new_path(spark, "archive")
+    warc.write_archives(pages, path)
+    counts = []
+    for r in spark.read.format("binaryFile").load(path).select("content").toLocalIterator():
+        content = gzip.decompress(r["content"])
+        counts.append(content.count(b"WARC-Record-ID"))
+        assert len(content) <= 64 << 20 or counts[-1] == 1
+    assert sum(counts) == 5000 and max(counts) <= 4000 and len(counts) < 12
+    records = warc.read_archives(spark, path, payloads=False)
+    assert records.where("sound").count() == 5000
+    assert records.agg(F.sum("payload_bytes")).first()[0] == pages.agg(F.sum(F.length("html"))).first()[0]
+
+
+def test_archives_are_read_in_pieces(monkeypatch):
+    records = [(f"WARC/1.1\r\nContent-Type: application/http\r\nContent-Length: {n + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"
+                + "\r\n\r\nabc"[:n].ljust(n, "x")).encode() for n in (0, 1, 4, 7, 50)]
+    for archive in (b"\r\n\r\n".join(records), gzip.compress(b"\r\n\r\n".join(records))):
+        for piece in (1, 3, 20, 1000):
+            monkeypatch.setattr(warc, "PIECE", piece)
+            found = list(warc.parse_archive(archive))
+            assert [(n, len(payload)) for _, n, _, payload in found] == [(n, n) for n in (0, 1, 4, 7, 50)]
+            assert all(hashlib.sha1(payload).digest() == sha for _, _, sha, payload in found)
+    assert len(list(warc.parse_archive(b"\r\n\r\n".join(records)[:-1]))) == 4
+
+
 def test_extraction_finds_the_article(spark):
     found = {r["page_id"]: r for r in QUERIES["op9_extraction"](spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
