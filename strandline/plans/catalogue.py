@@ -609,13 +609,7 @@ def search_checks(spark, sf):
 
 @query
 def run_log(spark, sf):
-    folds = training.tuning_folds(_training(spark, sf))
-    path = new_path(spark, "runs")
-    record = None
-    for run in range(2):
-        found = search.search(spark, folds, search.draw_trials(1, seed=run))
-        record = search.append_run(spark, found, f"run-{run}", path)
-    return record
+    return search.append_run(spark, search_results(spark, sf), "run-0", new_path(spark, "runs"))
 
 
 @query

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import session
+from strandline.config import SEARCH_TRIALS
 from strandline.operators import metrics, models, neighbours, prepare, ranking, search, smote
-from strandline.plans import training
+from strandline.plans import catalogue, training
 from strandline.session import staging
 
 COLUMNS = ["u", "v"]
@@ -233,3 +234,14 @@ def test_rows_to_fit_on_can_be_bounded(features):
     few = training.prepare_training(features, "id", fit_rows=400)
     kept = few.resampled.where("copy = 0").count()
     assert 300 < kept < 500 and few.rows.count() == 1200
+
+
+def test_run_log_records_the_full_search(spark, monkeypatch):
+    def search_stub(spark, folds, trials, **settings):
+        rows = [(i, t["family"], {}, "accuracy", 0.5) for i, t in enumerate(trials)]
+        return spark.createDataFrame(rows, "trial int, family string, params map<string,string>, metric string, value double")
+
+    monkeypatch.setattr(catalogue.search, "search", search_stub)
+    monkeypatch.setattr(catalogue.training, "tuning_folds", lambda data: [])
+    rows = catalogue.run_log(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["trial"] for r in rows) == list(range(SEARCH_TRIALS)) and {r["run"] for r in rows} == {"run-0"}
