@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of characters other than space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,8 +88,8 @@ def hash_share(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-#: Classes that can be learned, the most frequent first, and labelled documents of all classes together.
-MOST_CLASSES, MOST_LABELLED = 200, 20_000
+#: Labelled documents of all classes together, about; so many classes, the most frequent, can be learned.
+MOST_LABELLED = 20_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column,
@@ -98,20 +99,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Keys are drawn by hash, with a share that follows from the counts per class, so
     the sample is bounded whatever the number of labels, and every run draws the
     same. With very many classes each has fewer documents, so that ``MOST_LABELLED``
-    holds for all together. ``allowed`` says which labels may be learned from. Null
+    holds for all together, but one at least. ``allowed`` says which labels may be learned from. Null
     keys and labels are left out; repeated rows count once.
     """
     known = labels.where(allowed & F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, label)
-    counted = known.groupBy(label).agg(F.count_distinct(key).alias("n")).orderBy(F.col("n").desc(), label)
-    counts = {r[label]: r["n"] for r in counted.limit(MOST_CLASSES).collect()}
+    share = hash_share(F.col(key))
+    counted = known.groupBy(label).agg(F.count_distinct(key).alias("n"), F.min(share).alias("least"))
+    counts = counted.orderBy(F.col("n").desc(), label).limit(MOST_LABELLED).collect()
     if not counts:
         return docs.select(key, F.lit(None).cast("int").alias(label), "text").limit(0)
     per_class = min(per_class, MOST_LABELLED // len(counts))
-    share = hash_share(F.col(key))
-    drawn = F.lit(False)
-    for value, n in sorted(counts.items()):
-        drawn = drawn | ((F.col(label) == value) & (share < per_class / n))
-    picked = known.where(drawn).dropDuplicates([key, label]).limit(2 * MOST_LABELLED)
+    below, least = fresh(known, "below", "least")
+    rows = [(r[label], per_class / r["n"], r["least"]) for r in counts]
+    limits = docs.sparkSession.createDataFrame(rows, T.StructType([
+        known.schema[label], T.StructField(below, T.DoubleType()), T.StructField(least, T.DoubleType())]))
+    drawn = known.join(F.broadcast(limits), label).where((share < F.col(below)) | (share == F.col(least)))
+    picked = drawn.select(key, label).dropDuplicates([key, label]).limit(2 * MOST_LABELLED)
     return (docs.select(key, "text").join(F.broadcast(picked), key)
             .groupBy(key, label).agg(F.min("text").alias("text")))
 

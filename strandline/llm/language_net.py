@@ -23,10 +23,11 @@ WINDOW, STEP, DEPTH = 192, 2, 6
 WIDTHS, PER_WIDTH = (2, 3, 4, 5), 10
 FILTERS, WIDEST = len(WIDTHS) * PER_WIDTH, max(WIDTHS)
 BATCH = 1024  # windows convolved at a time
+SHARES = 4_000_000  # probabilities held at a time
 PLACES = WINDOW // STEP
 
-#: Labelled documents of each language, and bytes of each, that the network is fitted on at most.
-FIT_ROWS, FIT_BYTES = 600, 65_536
+#: Labelled documents of each language, and bytes of each, that the network is fitted on at most; parts a long one is taken in.
+FIT_ROWS, FIT_BYTES, PARTS = 600, 65_536, 16
 UNKNOWN = "und"
 
 
@@ -78,10 +79,15 @@ class Network:
     def predict(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of the likeliest language and its probability (evenly shared for an empty text)."""
         n, classes = len(ends) - 1, len(self.languages)
+        at_once = max(1, SHARES // classes)
+        if n > at_once:  # with very many languages some texts at a time
+            parts = [self.predict(raw, ends[lo:lo + at_once + 1]) for lo in range(0, n, at_once)]
+            return tuple(np.concatenate(part) for part in zip(*parts))
         votes, weight = np.zeros((n, classes)), np.zeros(n)
         data, text, held = windows(raw, ends)
-        for lo in range(0, len(data), BATCH):
-            part = slice(lo, lo + BATCH)
+        batch = min(BATCH, at_once)
+        for lo in range(0, len(data), batch):
+            part = slice(lo, lo + batch)
             pooled, _, _ = _pool(self.weights, data[part])
             share = _softmax(pooled @ self.weights["head"] + self.weights["bias"]) * held[part, None]
             np.add.at(votes, text[part], share)
@@ -92,7 +98,10 @@ class Network:
 
 
 def train(texts: list[bytes], truth: np.ndarray, classes: int, epochs: int = 4, batch: int = 256, seed: int = 11) -> dict:
-    """Weights fitted by Adam on windows, drawn evenly from the languages."""
+    """Weights fitted by Adam on windows, drawn evenly from the languages.
+
+    Windows hold a quarter of the length at least, or where a language has none, half of its longest.
+    """
     rng = np.random.default_rng(seed)
     sees = _mask()
     w = {
@@ -104,20 +113,26 @@ def train(texts: list[bytes], truth: np.ndarray, classes: int, epochs: int = 4,
     }
     ends = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
     data, text, held = windows(np.frombuffer(b"".join(texts), np.uint8), ends)
-    usable = np.flatnonzero(held >= min(WINDOW // 4, int(held.max(initial=0))))
-    by_class = [usable[truth[text[usable]] == c] for c in range(classes)]
-    by_class = [(c, rows) for c, rows in enumerate(by_class) if len(rows)]
+    longest = np.zeros(classes, np.int64)
+    np.maximum.at(longest, truth[text], held)
+    least = np.where(longest < WINDOW // 4, (longest + 1) // 2, WINDOW // 4)
+    usable = np.flatnonzero(held >= least[truth[text]])
+    usable = usable[np.argsort(truth[text[usable]], kind="stable")]
+    cuts = np.searchsorted(truth[text[usable]], np.arange(classes + 1))
+    by_class = [(c, usable[cuts[c]:cuts[c + 1]]) for c in range(classes) if cuts[c] < cuts[c + 1]]
     if len(by_class) < 2:
         return w
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     each = max(1, batch // len(by_class))
-    steps = max(20, len(usable) // batch)
+    steps = max(20, len(usable) // batch, 8 * len(by_class) // batch)
     t = 0
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.001
         for _ in range(steps):
-            pick = np.concatenate([rng.choice(rows, each) for _, rows in by_class])
-            label = np.repeat([c for c, _ in by_class], each)
+            chosen = by_class if len(by_class) <= batch else [
+                by_class[i] for i in rng.choice(len(by_class), batch, replace=False)]
+            pick = np.concatenate([rng.choice(rows, each) for _, rows in chosen])
+            label = np.repeat([c for c, _ in chosen], each)
             pooled, where, padded = _pool(w, data[pick])
             p = _softmax(pooled @ w["head"] + w["bias"])
             p[np.arange(len(pick)), label] -= 1
@@ -141,19 +156,24 @@ def train(texts: list[bytes], truth: np.ndarray, classes: int, epochs: int = 4,
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Network:
-    """Fit on about ``fit_rows`` documents of each language, those of up to ``fit_bytes``.
+    """Fit on about ``fit_rows`` documents of each language, longer ones by windows from all over them, ``fit_bytes`` at most.
 
     Only ``text`` and ``lang`` are used, and no row whose crc32 of the key leaves 1
     when divided by 3. Without any such row the network knows no language.
     """
     allowed = ~remainder_is(F.col("doc_id"), 3, 1)
     sample = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", fit_rows, allowed)
-    rows = sample.where(F.octet_length("text") <= fit_bytes).select("doc_id", "lang", "text").collect()
+    raw, size = F.col("text").cast("binary"), F.octet_length("text")
+    part = max(1, fit_bytes // PARTS // WINDOW) * WINDOW
+    starts = [F.floor(size * i / PARTS / WINDOW).cast("int") * WINDOW + 1 for i in range(PARTS)]
+    spread = F.concat(*[F.substring(raw, start, F.lit(part)) for start in starts])
+    taken = F.when(size <= fit_bytes, raw).otherwise(spread).alias("raw")
+    rows = sample.where(size > 0).select("doc_id", "lang", taken).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     languages = sorted({r["lang"] for r in rows})
     number = {lang: i for i, lang in enumerate(languages)}
     truth = np.array([number[r["lang"]] for r in rows], int)
-    return Network(train([r["text"].encode() for r in rows], truth, len(languages)), languages)
+    return Network(train([bytes(r["raw"]) for r in rows], truth, len(languages)), languages)
 
 
 def predict_column(network: Network, text: str = "text") -> Column:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandline.llm import language_net, quality_net, rules
+from strandline.llm import common, language_net, quality_net, rules
 from strandline.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -174,3 +174,38 @@ def test_windows_cover_every_byte():
     data, text, held = language_net.windows(np.frombuffer(b"".join(texts), np.uint8), ends)
     assert [bytes(data[text == i].reshape(-1)).rstrip(b"\0") for i in range(4)] == texts
     assert np.bincount(text, held, 4).tolist() == [len(t) for t in texts]
+
+
+def test_language_net_learns_every_language(spark):
+    words = {"long": "abacada ", "short": "zyxw ", "usual": "mnopmn qrst "}
+    rows = []
+    for i in range(120):
+        rows += [(3 * i, words["long"] * (10_000 + i), "long"), (3 * i + 1, words["short"] * 4, "short"),
+                 (3 * i + 2, words["usual"] * 30, "usual")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = language_net.fit(docs)
+    assert network.languages == ["long", "short", "usual"]
+    found = language_net.identify(docs, network)
+    assert found.where("lang <> lang_pred").count() == 0
+
+
+def test_labelled_samples_lose_no_class(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_LABELLED", 900)
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), (F.col("id") % 600).alias("label"))
+    sample = common.labelled_sample(docs, docs.select("doc_id", "label"), "label", 100, F.lit(True)).collect()
+    assert len({r["label"] for r in sample}) == 600 and len(sample) < 1_500
+
+
+def test_language_net_of_very_many_languages():
+    texts = [bytes([97 + c % 26, 97 + c // 26, 32]) * 40 for c in range(300)]
+    network = language_net.Network(language_net.train(texts, np.arange(300), 300, epochs=1), [str(c) for c in range(300)])
+    assert np.abs(network.weights["head"]).sum(axis=0).min() > 0
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    whole = network.predict(raw, ends)
+    language_net.SHARES, before = 3_000, language_net.SHARES
+    try:
+        parts = network.predict(raw, ends)
+    finally:
+        language_net.SHARES = before
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
