@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from strandline.llm.common import hash_share, python_tasks
+from strandline.operators.joins import attach_group_facts
 from strandline.session import staged
 
 SCALE, TOP = 64, 20
 #: Pivots, which are collected; queries of a block and data rows of a block.
 PIVOTS, QUERY_BLOCK, DATA_BLOCK = 64, 1024, 8192
 _AT_ONCE = 256
+#: Distances of each pivot that are collected beyond k, at most, where ids are shared.
+MOST_OWN = 1000
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE, vector: str = "embedding") -> DataFrame:
@@ -76,8 +79,8 @@ def _nearest(pivots: np.ndarray, most: float, width: int, is_data: bool) -> Colu
     return nearest("v")
 
 
-def _bounds(between: np.ndarray, reach: dict[int, float], near: dict[int, list[float]], k: int) -> dict[int, float]:
-    """An upper bound of the k-th smallest distance of any query in each query cell.
+def _bounds(between: np.ndarray, reach: dict[int, float], near: dict[int, list[float]], k: dict[int, int]) -> dict[int, float]:
+    """An upper bound of the k-th smallest distance of any query in each query cell, which has a k of its own.
 
     A row at distance d from its pivot is no farther from a query than the reach of
     the query's cell, plus the distance between the two pivots, plus d.
@@ -85,7 +88,7 @@ def _bounds(between: np.ndarray, reach: dict[int, float], near: dict[int, list[f
     out = {}
     for i, far in reach.items():
         ways = np.sort(np.concatenate([far + between[i, j] + np.array(d) for j, d in near.items()]))
-        out[i] = float(ways[k - 1]) if len(ways) >= k else float("inf")
+        out[i] = float(ways[k[i] - 1]) if len(ways) >= k[i] else float("inf")
     return out
 
 
@@ -123,9 +126,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
     """``query_id, rank, vec_id, score``: the k largest integer inner products of each query.
 
     Candidates are all rows but those that bear the query's own id. Ties go to the
-    smaller id. Of query rows that share an id the one with the smallest vector asks;
-    as candidates all rows count. Fewer candidates than k give fewer rows, none give
-    none. Every number that prunes is widened by a share of the longest vector, so
+    smaller id. Query rows that share an id all ask, equal ones once, and the k largest
+    of their answers together are the id's; as candidates all rows count. Fewer
+    candidates than k give fewer rows, none give none. Every number that prunes is widened by a share of the longest vector, so
     rounding never loses a row.
     """
     spark = vectors.sparkSession
@@ -141,26 +144,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
              .orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(pivots).collect()) or rows.limit(1).collect()
     drawn = _matrix(pa.array([r["v"] for r in drawn], pa.list_(pa.int64())), width)
 
-    asked = staged(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("rows")), "asked")
-    n_asked, shared = asked.agg(F.count(F.lit(1)), F.max("rows")).first()
+    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"])
+    # Rows that share a query's id are not its candidates.
+    own = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"), F.max(is_query).alias("asks"))
+    own = staged(own.where("asks").select("vec_id", "own"), "own")
+    most_own = own.agg(F.max("own")).first()[0] or 1
+    asked = staged(asked.withColumn("own", F.lit(1).cast("long")) if most_own == 1 else
+                   attach_group_facts(asked, own, ["vec_id"], ["v"], "own"), "asked")
+    n_asked = asked.count()
     if not n_asked:
         return spark.createDataFrame([], schema)
     # No more query cells than blocks of queries: each cell is sent what it needs of the data.
     centres = _lifted(drawn, most, True)
     askers = _lifted(drawn[:-(-n_asked // query_block)], most, False)
     between = _distances(askers, centres)
-    queries = staged(asked.withColumn("at", _nearest(askers, most, width, False)).select("vec_id", "v", "at.*"), "queries")
+    queries = staged(asked.withColumn("at", _nearest(askers, most, width, False)).select("vec_id", "v", "own", "at.*"), "queries")
     data = staged(rows.withColumn("at", _nearest(centres, most, width, True)).select("vec_id", "v", "at.*"), "data")
 
-    # Summaries, as many rows as pivots. One distance more than k, as a query never meets itself.
+    # Summaries, as many rows as pivots. More distances than k, as a query never meets rows of its own id.
     in_cell = Window.partitionBy("cell").orderBy("distance")
     near = {r["cell"]: r["near"] for r in data.select("cell", "distance").withColumn("n", F.row_number().over(in_cell))
-            .where(F.col("n") <= k + 1).groupBy("cell").agg(F.collect_list("distance").alias("near")).collect()}
+            .where(F.col("n") <= k + min(most_own, MOST_OWN)).groupBy("cell").agg(F.collect_list("distance").alias("near")).collect()}
     cells = {r["cell"]: r for r in queries.groupBy("cell").agg(
-        F.max("distance").alias("reach"), F.count(F.lit(1)).alias("n")).collect()}
+        F.max("distance").alias("reach"), F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).collect()}
     reach = {i: r["reach"] for i, r in cells.items()}
-    # Rows that share a query's id are not its candidates either; with such rows nothing is ruled out.
-    bound = _bounds(between, reach, near, k + 1) if shared == 1 else dict.fromkeys(reach, float("inf"))
+    bound = _bounds(between, reach, near, {i: k + r["own"] for i, r in cells.items()})
     # Per pair of cells the distances to the data pivot at which a row can matter.
     routes = [(i, j, float(between[i, j] - reach[i] - bound[i] - slack), float(between[i, j] + reach[i] + bound[i] + slack))
               for i in reach for j in range(len(centres))]
@@ -171,7 +179,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
     blocks = F.broadcast(spark.createDataFrame(shape, "query_cell int, query_blocks int, data_blocks int"))
 
     def one(count: str) -> Column:
-        return F.pmod(F.xxhash64("vec_id", F.lit(count)), F.col(count)).cast("int")
+        return F.pmod(F.xxhash64("vec_id", "v", F.lit(count)), F.col(count)).cast("int")
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))

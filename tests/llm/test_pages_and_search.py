@@ -277,6 +277,23 @@ def test_search_equals_brute_force(spark):
         assert sorted(map(tuple, found)) == plain_top(whole, settings.get("k", 7), lambda i: i % 6 == 0), settings
 
 
+def test_search_merges_queries_that_share_an_id(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    spread = np.concatenate([rng.normal(c, 0.05, (60, 3)) for c in (-2, 0.1, 1, 4)])
+    # Id 0 has three vectors far from each other, id 20 two, and 7 is no query.
+    rows = [({61: 0, 130: 0, 131: 20, 200: 7}.get(i, i), [float(x) for x in v]) for i, v in enumerate(spread)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(db.execute(ORACLE_SQL["op10_topk"]).fetchall())
+    assert {row[0] for row in expected} >= {0, 20}
+    found = QUERIES["op10_topk"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == expected
+    for settings in ({"pivots": 9, "query_block": 4, "data_block": 50}, {"pivots": 200, "query_block": 1}):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, **settings).collect())) == expected, settings
+
+
 def test_search_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, [1.0]), (1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [inf]), (5, []), (None, [9.0, 9.0]),
