@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.llm import extraction, quotes, topk, warc
@@ -257,6 +258,24 @@ def test_conversations_that_quote_give_back_their_texts(spark):
     assert all(sorted(places.values()) == list(range(len(places))) for places in by_conv.values())
 
 
+def test_quotes_are_linked_at_size(spark):
+    # From the table: turn t quotes turn t - 1; and one conversation holds as many messages as all others together.
+    table = spark.read.parquet(f"{SF}/conversations.parquet").select("text").limit(500)
+    n = table.count()
+    texts = table.select(F.row_number().over(Window.orderBy("text")).alias("i"), F.regexp_replace("text", r"\s+", " ").alias("line"))
+    base = spark.range(20_000).select("id", F.when(F.col("id") < 10_000, -1).otherwise(F.floor(F.col("id") / 10)).cast("long").alias("conv_id"))
+    base = base.withColumn("turn", F.when(F.col("conv_id") < 0, F.col("id")).otherwise(F.col("id") % 10))
+    said = base.join(F.broadcast(texts), F.col("i") == F.col("id") % n + 1).select(
+        "conv_id", "turn", F.concat_ws(" ", F.lit("m"), "conv_id", "turn", F.substring("line", 1, 200)).alias("own"))
+    before = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat(F.lit("> "), "own", F.lit("\n")).alias("quoted"))
+    df = said.join(before, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.lit("user").alias("role"), F.concat(F.coalesce("quoted", F.lit("")), "own").alias("text"), "own")
+    found = quotes.threaded(df.drop("own")).join(said, ["conv_id", "turn"])
+    wrong = (~F.col("reply_to").eqNullSafe(F.when(F.col("turn") > 0, F.col("turn") - 1)) | (F.col("root") != 0)
+             | (F.col("depth") != F.col("turn")) | (F.col("position") != F.col("turn")) | (F.col("text") != F.trim("own")))
+    assert tuple(found.agg(F.count(F.lit(1)), F.count_if(wrong), F.max("depth")).first()) == (20_000, 0, 9_999)
+
+
 def plain_top(vectors, k, is_query):
     out = []
     for q, v in vectors:
