@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import extraction, language_net, mixing, packing, quality_net, quotes, rules, simhash, topk, warc
+from strandline.llm import (
+    extraction,
+    language_net,
+    merkle,
+    mixing,
+    packing,
+    quality_net,
+    quotes,
+    rules,
+    simhash,
+    topk,
+    warc,
+)
 from strandline.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +98,17 @@ def op10_topk(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_merkle(spark, sf):
+    tampered = remainder_is(F.col("doc_id"), 5, 0)
+    found = merkle.manifest(table(spark, sf, "documents"), {"given": merkle.tampered_leaf(tampered)})
+    return found.select(
+        "doc_id", *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.hexed(merkle.folded(F.col("given"), F.col("path"))).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 ORACLE_SQL["op5_quotes"] = r"""
 WITH RECURSIVE messages AS (SELECT *, row_number() OVER () AS m FROM conversations),
 lines AS (
@@ -173,3 +196,58 @@ ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+ORACLE_SQL["op11_merkle"] = """
+WITH RECURSIVE fielded AS (
+    SELECT doc_id, source, text,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+           list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+               lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda x, step:
+                   xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+    FROM documents),
+hashed AS (
+    SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' ||
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+    FROM fielded),
+leaves AS (
+    SELECT doc_id, leaf, coalesce(changed, leaf) AS given, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM hashed),
+nodes AS (
+    SELECT tree, 0 AS level, idx, n, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+tops AS (
+    SELECT 0 AS level, tree AS idx, (SELECT count(DISTINCT tree) FROM leaves) AS n, digest FROM nodes WHERE n = 1
+    UNION ALL
+    SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM tops WHERE n > 1 GROUP BY level, idx // 16, n),
+heights AS (SELECT tree, max(level) AS height FROM nodes GROUP BY tree),
+every AS (
+    SELECT tree, level, idx, digest FROM nodes WHERE n > 1
+    UNION ALL SELECT -1, level, idx, digest FROM tops WHERE n > 1),
+siblings AS (
+    SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+           coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+    FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.idx // 16 = b.idx // 16
+    GROUP BY a.tree, a.level, a.idx),
+climb AS (
+    SELECT tree, idx AS leaf_idx, 0 AS step, tree AS at_tree, 0 AS at_level, idx AS at_idx, given AS digest, '' AS proof FROM leaves
+    UNION ALL
+    SELECT c.tree, leaf_idx, step + 1,
+           CASE WHEN s.before IS NULL THEN -1 ELSE at_tree END, CASE WHEN s.before IS NULL THEN 0 ELSE at_level + 1 END,
+           CASE WHEN s.before IS NULL THEN c.tree ELSE at_idx // 16 END,
+           CASE WHEN s.before IS NULL THEN c.digest ELSE sha256(s.before || c.digest || s.after) END,
+           proof || coalesce(s.before || s.after, '')
+    FROM climb c LEFT JOIN siblings s ON c.at_tree = s.tree AND c.at_level = s.level AND c.at_idx = s.idx
+    WHERE s.before IS NOT NULL OR at_tree >= 0),
+ends AS (SELECT tree, leaf_idx, arg_max(digest, step) AS folded_root, arg_max(proof, step) AS proof FROM climb GROUP BY tree, leaf_idx)
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded_root,
+       folded_root = r.digest AS verified
+FROM leaves l JOIN ends e ON l.tree = e.tree AND l.idx = e.leaf_idx
+JOIN nodes s ON s.tree = l.tree AND s.n = 1 JOIN tops r ON r.n = 1
+"""
