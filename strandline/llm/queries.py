@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import (
+    best_fit,
     extraction,
     language_net,
     merkle,
@@ -109,6 +110,11 @@ def op11_merkle(spark, sf):
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op13_best_fit(spark, sf):
+    return best_fit.pack(table(spark, sf, "documents"), tokenizer_path())
+
+
 ORACLE_SQL["op5_quotes"] = r"""
 WITH RECURSIVE messages AS (SELECT *, row_number() OVER () AS m FROM conversations),
 lines AS (
