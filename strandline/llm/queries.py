@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import (
     best_fit,
+    collocations,
     extraction,
     language_net,
     merkle,
@@ -110,6 +111,11 @@ def op11_merkle(spark, sf):
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op12_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 @query
 def op13_best_fit(spark, sf):
     return best_fit.pack(table(spark, sf, "documents"), tokenizer_path())
@@ -257,3 +263,35 @@ SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS pro
 FROM leaves l JOIN ends e ON l.tree = e.tree AND l.idx = e.leaf_idx
 JOIN nodes s ON s.tree = l.tree AND s.n = 1 JOIN tops r ON r.n = 1
 """
+
+ORACLE_SQL["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS k),
+spans AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, sizes WHERE len(words) >= k),
+counted AS (
+    SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM spans GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS words FROM counted WHERE f >= 30),
+cuts AS (
+    SELECT lang, k, phrase, f AS a, words, unnest(range(1, k)) AS cut FROM often WHERE k > 1),
+scores AS (
+    SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+    FROM cuts c
+    JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:cut], ' ')
+    JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(words[cut + 1:c.k], ' ')),
+lowest AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_spans AS (
+    SELECT lang, words, f, size, unnest(range(1, k - size + 2)) AS i
+    FROM (SELECT *, unnest(range(2, k)) AS size FROM often WHERE k > 2)),
+held AS (SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, max(f) AS f FROM inner_spans GROUP BY ALL),
+ranked AS (
+    SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+    FROM lowest c LEFT JOIN held h ON h.lang = c.lang AND h.phrase = c.phrase
+    WHERE NOT coalesce(100 * h.f >= 80 * a, false))
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
