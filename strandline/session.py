@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,7 +53,8 @@ def scale_settings(input_bytes: int, executor_cores: int) -> dict[str, str]:
 
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
-_staged: dict[str, list[str]] = {}
+#: The tables staged in the scope around the running code; threads have their own.
+_scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,8 +75,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for one written table, in the application's part of the shared folder.
+
+    What no ``staging`` scope deletes can go with that one folder once the application has ended.
+    """
+    return f"{shared_folder(spark)}/strandline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -84,33 +92,71 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
-    known = _staged.get(spark.sparkContext.applicationId, [])
-    for path in paths:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        if path in known:
-            known.remove(path)
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for table in tables:
-        _remove(table.sparkSession, [table.staged_path])
+        _remove(table.sparkSession, table.staged_path)
 
 
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[None]:
-    """Delete what is staged inside when the scope ends; results must have been written by then."""
-    application = spark.sparkContext.applicationId
-    before = set(_staged.get(application, []))
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete what is staged inside when the scope ends; results must have been written by then.
+
+    Gives the paths staged so far. A scope holds what its own code stages: scopes in
+    other threads, and inner scopes, have lists of their own.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
     try:
-        yield
+        yield paths
     finally:
-        _remove(spark, [p for p in _staged.get(application, []) if p not in before])
+        _scope.reset(token)
+        for path in paths:
+            _remove(spark, path)
+
+
+def in_parallel(spark: SparkSession, fn: Callable, items: Iterable, threads: int) -> list:
+    """``fn`` of each item, a few at a time; what they stage belongs to the scope around the call."""
+    run = inheritable_thread_target(spark)(fn)
+    jobs = [(copy_context(), item) for item in items]
+    with ThreadPool(threads) as pool:
+        return pool.starmap(lambda context, item: context.run(run, item), jobs, chunksize=1)
+
+
+_shared: dict[tuple, object] = {}
+_sharing = threading.RLock()
+
+
+def once_per_session(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once for these input files and kept until the application ends.
+
+    The tables it stages outlive any scope. Inputs that have changed since (in length
+    or time of change, file by file) are a new key, and so are made again.
+    """
+    state = []
+    for path in inputs:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+        state.append((path, tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))))
+    key = (spark.sparkContext.applicationId, name, tuple(state))
+    with _sharing:
+        if key not in _shared:
+            token = _scope.set(None)
+            try:
+                _shared[key] = make()
+            finally:
+                _scope.reset(token)
+        return _shared[key]

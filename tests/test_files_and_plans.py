@@ -151,3 +151,50 @@ def test_flagship_entry(spark):
     import __spark_entry__ as contract
     df = contract.entry(spark)
     assert df.count() == 150 and len(df.columns) == 48
+
+
+def test_scopes_of_threads_do_not_meet(spark):
+    """A scope that ends first leaves the tables of another thread's scope alone."""
+    import threading
+
+    one_staged, other_ended, seen = threading.Event(), threading.Event(), []
+
+    def one():
+        with session.staging(spark):
+            table = session.staged(spark.range(3), "one")
+            one_staged.set()
+            other_ended.wait(60)
+            seen.append(table.count())
+
+    def other():
+        one_staged.wait(60)
+        with session.staging(spark):
+            session.staged(spark.range(4), "other")
+        other_ended.set()
+
+    threads = [threading.Thread(target=f) for f in (one, other)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert seen == [3]
+
+
+def test_parallel_work_belongs_to_the_scope_around_it(spark):
+    with session.staging(spark) as paths:
+        found = session.in_parallel(spark, lambda n: session.staged(spark.range(n), "part").count(), [1, 2, 3], 2)
+        assert found == [1, 2, 3] and len(paths) == 3
+    assert not any(os.path.exists(p) for p in paths)
+
+
+def test_shared_results_outlive_scopes_and_follow_their_files(spark, tmp_path):
+    path, made = str(tmp_path / "input"), []
+
+    def make():
+        made.append(1)
+        return session.staged(spark.read.parquet(path), "shared")
+
+    spark.range(5).write.parquet(path)
+    for _ in range(2):
+        with session.staging(spark):
+            assert session.once_per_session(spark, "shared", [path], make).count() == 5
+    spark.range(6).write.mode("overwrite").parquet(path)
+    assert session.once_per_session(spark, "shared", [path], make).count() == 6 and len(made) == 2

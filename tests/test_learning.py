@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline import session
 from strandline.config import SEARCH_TRIALS
 from strandline.operators import metrics, models, neighbours, prepare, ranking, search, smote
 from strandline.plans import catalogue, training
@@ -77,11 +76,10 @@ def test_neighbours_in_many_columns(spark):
     """Nothing can be ruled out here, and what is written stays linear in the points."""
     rng = np.random.default_rng(6)
     points = rng.normal(size=(2_500, 45))
-    with staging(spark):
+    with staging(spark) as staged:
         df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
         found = neighbours.nearest_neighbours(df, "id", "vector", 5).select("key", "rank", "neighbour").collect()
-        written = sum(f.stat().st_size for p in session._staged[spark.sparkContext.applicationId]
-                      for f in Path(p).glob("*.parquet"))
+        written = sum(f.stat().st_size for p in staged for f in Path(p).glob("*.parquet"))
     far = ((points[:, None, :] - points[None]) ** 2).sum(axis=2)
     np.fill_diagonal(far, np.inf)
     assert sorted(map(tuple, found)) == [
