@@ -1,10 +1,14 @@
 """The pipeline, stage by stage, and the entry without the text operators."""
 
+import os
+import shutil
 import subprocess
 import sys
 from collections import defaultdict
 from pathlib import Path
 
+import pytest
+
 import corpus_pipeline
 from strandline.llm.queries import tokenizer_path
 from tests.llm.test_groups import check_packing, plain_classes, plain_fingerprint
@@ -58,9 +62,15 @@ def test_a_stage_takes_an_empty_table(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
-def test_entry_without_the_text_operators(tmp_path):
-    for part in ("__spark_entry__.py", "strandline"):
-        (tmp_path / part).symlink_to(ROOT / part)
-    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
-    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
-    assert found[1:] == ["False", "True"] and int(found[0]) > 70
+@pytest.mark.parametrize("left", [(), ("strandline/llm",), ("corpus_pipeline.py",)])
+def test_entry_without_the_text_operators(tmp_path, left):
+    """A copy of the tree without the text folder, the pipeline or both, in a clean environment."""
+    without = {"strandline/llm", "corpus_pipeline.py"} - set(left)
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=lambda folder, names: [
+        n for n in names if n in (".git", "tests", "__pycache__") or os.path.relpath(os.path.join(folder, n), ROOT) in without])
+    code = """import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; q = e.queries()
+print(sum(n.startswith("op") for n in q), "pipeline" in q, len(q) > 80, set(e.oracle_sql()) <= set(q))"""
+    found = subprocess.run([sys.executable, "-I", "-c", code, str(tmp_path / "repo")], cwd=tmp_path,
+                           capture_output=True, text=True, check=True).stdout.split()
+    assert found[1:] == ["False", "True", "True"]
+    assert int(found[0]) >= 13 if left == ("strandline/llm",) else found[0] == "0"
