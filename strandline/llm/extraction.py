@@ -7,7 +7,8 @@ much more often a tag stands outside than inside, then corrections wherever the
 region found differs from the labelled one. Elements that labelled pages never hold
 inside the article (menus, adverts and the like) count as one tag whose words are left
 out. So do those whose tag or class says what they are, unless labelled articles hold the
-like, but never what holds the article or most of the words.
+like, but never what holds the article, or all its paragraphs. How many words an element
+holds makes no difference.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ HINTS = frozenset(
     "cookies copyright disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "notices pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Elements that no article lies in, whatever else the page holds.
+NEVER_TEXT = frozenset("aside button canvas dialog embed footer head input menu nav object select".split())  # and those that are inert
 #: With one of these beside it a hint describes what surrounds the element.
 ABOUT = frozenset("has no with without".split())
 CONTENT = ("article", "main")
@@ -64,6 +67,16 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<odd_close>/?)(?P<odd_name>[a-zA-Z][^\s/>]*+)[^>]*+>"
     r"|(?P<text>[^<]++|<)", re.S | re.I)
+#: The same, where no quote is taken to hold a bracket.
+_PLAIN_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|iframe)\b(?P<raw_attrs>[^>]*+)>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>"
+    r"|(?P<text>[^<]++|<)", re.S | re.I)
+#: So many tags may end in an open quote; then quotes count no more in the page.
+OPEN_QUOTES = 8
+_REST = re.compile(r"(?P<text>.+)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
@@ -103,7 +116,7 @@ class Weights:
 
     def sets_aside(self, element: Element, overruled: frozenset[str]) -> bool:
         if element.name in INERT:
-            return True
+            return element.closed  # one that never ends is a slip, not the rest of the page
         if element.name in ("html", "body", *CONTENT):
             return False
         marks = element.marks - overruled
@@ -150,60 +163,68 @@ class Page:
         self.elements = elements = [Element("")]
         self.events: list[tuple[int, str | int | None]] = []
         stack = [0]
+        places: dict[str, list[int]] = {"": [0]}  # where in the stack the open elements of a name are
+
+        def last(*names: str) -> int:
+            return max((places[name][-1] for name in names if places.get(name)), default=0)
+
+        def shorten(to: int) -> None:
+            while len(stack) > to:
+                places[elements[stack.pop()].name].pop()
 
         def close_to(name: str, *walls: str) -> None:
             """Close the innermost open ``name`` and what it holds, unless a wall is between."""
-            for i in range(len(stack) - 1, 0, -1):
-                if elements[stack[i]].name == name:
-                    del stack[i:]
-                    return
-                if elements[stack[i]].name in walls:
-                    return
-
-        svgs: list[int] = []  # where they are in the stack
-        at = 0
-        while match := _TOKEN.match(page, at):
+            if (i := last(name)) and last(*walls) <= i:
+                shorten(i)
+
+        tokens, open_quotes = _TOKEN, 0
+        at, last_end = 0, page.rfind(">")
+        while match := tokens.match(page, at):
+            if match["text"] == "<" and at > last_end:  # no tag ends any more
+                match = _REST.match(page, at)
             at = match.end()
             if match.lastgroup == "text":
                 text = html.unescape(match["text"])
                 elements[stack[-1]].words += len(text.split())
                 self.events.append((stack[-1], text))
                 continue
-            name = (match["name"] or match["odd_name"] or match["raw"] or "").lower()
+            found = match.groupdict()
+            if found.get("odd_name"):
+                open_quotes += 1
+                tokens = _PLAIN_TOKEN if open_quotes >= OPEN_QUOTES else tokens
+            name = (found["name"] or found.get("odd_name") or found["raw"] or "").lower()
             if not name:
                 continue
-            if match["close"] or match["odd_close"]:
-                k = next((k for k in reversed(stack) if elements[k].name == name), None)
-                if k is not None:
+            if found["close"] or found.get("odd_close"):
+                if i := last(name):
+                    k = stack[i]
                     self.events.append((k, stack[-1]))
                     elements[k].closed = True
-                    close_to(name)
+                    shorten(i)
                 continue
-            while svgs and svgs[-1] >= len(stack):
-                svgs.pop()
-            attributes = match["attrs"] or match["raw_attrs"] or ""
-            foreign = bool(svgs) and all(elements[k].name != "foreignobject" for k in stack[svgs[-1]:])
+            attributes = found["attrs"] or found["raw_attrs"] or ""
+            svg = last("svg")
+            foreign = svg > 0 and last("foreignobject") < svg
             if foreign and name in NOT_SVG:
-                del stack[svgs.pop():]
+                shorten(svg)
                 foreign = False
             alone = name in VOID or (foreign or name == "svg") and attributes.endswith("/")
-            if match["raw"]:
+            if found["raw"]:
                 if alone:
                     at = match.end("raw_attrs") + 1
             elif not foreign:
                 if name == "body":
                     close_to("head")
                 if elements[stack[-1]].name == "head" and name not in IN_HEAD:
-                    stack.pop()
+                    shorten(len(stack) - 1)
                 if name not in INLINE and name not in INERT:
                     close_to("p", "table", "button", "object", "div", "section", "article", "main", "td", "li", *WALLS)
                 if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                     close_to(name, "ul", "ol", "dl", "table", "select", *WALLS)
-            elements.append(Element(name, *marks_of(name, attributes), stack[-1], closed=alone or bool(match["raw"])))
+            elements.append(Element(name, *marks_of(name, attributes), stack[-1], closed=alone or bool(found["raw"])))
             self.events.append((len(elements) - 1, None))
-            if not alone and not match["raw"]:
-                if name == "svg":
-                    svgs.append(len(stack))
+            if not alone and not found["raw"]:
+                places.setdefault(name, []).append(len(stack))
                 stack.append(len(elements) - 1)
         for element in reversed(elements[1:]):
             if not (element.name in INERT and element.closed):
@@ -230,12 +251,12 @@ class Page:
         """The tags and texts that count, in page order; elements set aside are one tag.
 
         ``labelled`` tells what lies inside the article. Never set aside are the article and
-        what holds it, and what holds most words of the article or, without one, of the page.
+        what holds it, nor what holds all paragraphs of the article or, without one, of the page.
         A menu that holds the article because it was never closed ends where the article starts.
         """
         items: list[Item] = []
         elements, article = self.elements, self.article
-        most = elements[article].words / 2
+        needed = self._needed(weights)
         within = [element.inside or k == article > 0 for k, element in enumerate(elements)]
         for k, what in self.events:
             element = elements[k]
@@ -249,15 +270,44 @@ class Page:
                 parent = elements[element.parent]
                 if k == article:
                     self._end_menus(k)
-                whole = element.words > most and (element.inside or not article) or element.holds and element.closed
-                own = not (whole and not element.inert) and weights.sets_aside(
-                    element, weights.inside if element.inside else frozenset() if article else weights.open)
+                whole = k in needed or element.holds and element.closed
+                own = not (whole and not element.inert) and self._sets_aside(element, weights)
                 element.beside = not element.inside and k != article and not parent.aside
                 element.aside = own or parent.aside
                 if not parent.aside:
                     items.append(Item(("=" if own else "") + element.name, labelled=element.inside))
         return items
 
+    def _sets_aside(self, element: Element, weights: Weights) -> bool:
+        return weights.sets_aside(element, weights.inside if element.inside else frozenset() if self.article else weights.open)
+
+    def _needed(self, weights: Weights) -> set[int]:
+        """The elements without which the article (or the page, if it has none) would have no paragraph.
+
+        Of the paragraphs inside the fewest elements that would be set aside the first
+        counts, and these elements stay. A paragraph is a ``p`` with words, or where there
+        is none, whatever holds words itself. Menus and the like hold no paragraphs.
+        """
+        elements, article = self.elements, self.article
+        with_text = {k for k, what in self.events if isinstance(what, str) and not what.isspace()}
+        below = [0] * len(elements)  # elements around this one that would be set aside
+        never = [False] * len(elements)
+        for k, element in enumerate(elements[1:], 1):
+            if article and not element.inside:
+                continue
+            below[k] = below[element.parent] + self._sets_aside(element, weights)
+            never[k] = never[element.parent] or element.name in NEVER_TEXT or element.hidden
+        scope = [k for k, e in enumerate(elements) if (e.inside or k == article if article else True)
+                 and not never[k] and not e.inert and e.words]
+        found = [k for k in scope if elements[k].name == "p"] or [k for k in scope if k in with_text]
+        if not found:
+            return set()
+        k, out = min(found, key=lambda k: (below[k], k)), set()
+        while below[k]:
+            out.add(k)
+            k = elements[k].parent
+        return out
+
     def _end_menus(self, k: int) -> None:
         while (k := self.elements[k].parent) >= 0:
             self.elements[k].aside = False
@@ -380,7 +430,11 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, fit_bytes: int = FIT_BYTES
 
 
 def extracted(pages: DataFrame, weights: Weights) -> DataFrame:
-    """``pages`` with ``text`` and ``n_chars`` (its code points); null and wordless pages give an empty text."""
+    """``pages`` with ``text`` and ``n_chars`` (its code points); null and wordless pages give an empty text.
+
+    Repeated rows are read each, an empty table gives none, and columns of ``pages`` that
+    bear the name of a result are replaced by it.
+    """
     python_tasks(pages.sparkSession)
 
     @arrow_udf("string")
