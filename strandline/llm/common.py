@@ -119,6 +119,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             .groupBy(key, label).agg(F.min("text").alias("text")))
 
 
+def spread_bytes(text: Column, most: int, parts: int = 16) -> Column:
+    """The bytes of a text, and of one above ``most`` bytes ``parts`` equal stretches from all over it, ``most`` in all."""
+    raw, size, part = text.cast("binary"), F.octet_length(text), most // parts
+    starts = [F.floor((size - part) * i / (parts - 1)).cast("int") + 1 for i in range(parts)]
+    return F.when(size <= most, raw).otherwise(F.concat(*[F.substring(raw, start, F.lit(part)) for start in starts]))
+
+
 def hashable(df: DataFrame) -> list[Column]:
     """All columns that can be hashed (maps cannot)."""
     return [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

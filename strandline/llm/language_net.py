@@ -188,7 +188,11 @@ def predict_column(network: Network, text: str = "text") -> Column:
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``: ``und`` and 0 where the text is null or has no letter."""
+    """``docs`` with ``lang_pred`` and ``score``: ``und`` and 0 where the text is null or has no letter.
+
+    Repeated rows are judged each, an empty table gives none, and columns of ``docs`` that
+    bear the name of a result are replaced by it.
+    """
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not network.languages:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})

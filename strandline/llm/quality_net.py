@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandline.llm.common import fresh, labelled_sample, python_tasks, remainder_is, utf8
+from strandline.llm.common import fresh, labelled_sample, python_tasks, remainder_is, spread_bytes, utf8
 
 WIDTH, STEP, SEGMENT = 6, 2, 128  # bytes of a window, between windows; windows in a segment (half a chunk)
 DEPTH, FILTERS = 6, 24
@@ -165,8 +165,9 @@ def train(texts: list[bytes], truth: np.ndarray, epochs: int = 12, batch: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Network:
-    """Fit on a bounded sample: about ``fit_rows`` labelled documents of each class, those of up to ``fit_bytes``.
+    """Fit on a bounded sample: about ``fit_rows`` labelled documents of each class, ``fit_bytes`` of each at most.
 
+    Of a longer document stretches from all over it are taken, so no class drops out by its length.
     Rows whose crc32 of the key leaves 2 when divided by 4 are never learned from,
     and only the text is an input. Both classes weigh the same in the fit, so a score
     of a half means neither is likelier by the text. Without labels of both classes
@@ -174,10 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     """
     allowed = ~remainder_is(F.col("doc_id"), 4, 2)
     sample = labelled_sample(docs, labels, "quality", fit_rows, allowed)
-    rows = sample.where(F.octet_length("text") <= fit_bytes).select("doc_id", "quality", "text").collect()
+    rows = sample.where(F.col("text").isNotNull()).select(
+        "doc_id", "quality", spread_bytes(F.col("text"), fit_bytes).alias("raw")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     truth = np.array([int(r["quality"] == 1) for r in rows], int)
-    return Network(train([r["text"].encode() for r in rows], truth))
+    return Network(train([bytes(r["raw"]) for r in rows], truth))
 
 
 def score_column(network: Network, text: str = "text") -> Column:
@@ -189,7 +191,11 @@ def score_column(network: Network, text: str = "text") -> Column:
 
 
 def classify(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` in [0, 1] and ``predicted``; a null text is scored as an empty one."""
+    """``docs`` with ``score`` in [0, 1] and ``predicted``; a null text is scored as an empty one.
+
+    Repeated rows are scored each, an empty table gives none, and columns of ``docs`` that
+    bear the name of a result are replaced by it.
+    """
     python_tasks(docs.sparkSession)
     scored = docs.withColumn("score", score_column(network))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from strandline.llm.common import documents, fresh, labelled_sample, python_tasks, remainder_is
+from strandline.llm.common import documents, fresh, hash_share, labelled_sample, python_tasks, remainder_is
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -205,17 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Decisio
     """Learn a list from at most about ``fit_rows`` labelled documents of each class.
 
     Rows whose crc32 of the key leaves 2 when divided by 4 are never learned from.
-    Only statistics of the sample reach the driver, not texts.
+    Only statistics of the sample reach the driver, not texts. Keys may be of any type
+    that has an order and a hash; rows with a null key are not learned from.
     """
     python_tasks(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", fit_rows, ~remainder_is(F.col("doc_id"), 4, 2))
     counts = sample.select("doc_id", "quality", count_texts("text").alias("counts"))
     rows = (counts.select("doc_id", F.col("quality").cast("int").alias("quality"),
+                          hash_share(F.col("doc_id"), F.lit("rules")).alias("draw"),
                           *[v.alias(name) for name, v in features(F.col("counts")).items()])
             .toPandas().sort_values(["doc_id", "quality"], ignore_index=True))
     values = {name: rows[name].to_numpy(float) for name in FEATURES}
-    draw = (rows["doc_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(11400714819323198485) >> np.uint64(40)) / 2.0**24
-    return learn(values, (rows["quality"] != 1).to_numpy(bool), draw)
+    return learn(values, (rows["quality"] != 1).to_numpy(bool), rows["draw"].to_numpy(float))
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality rules and the two byte networks."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -209,3 +210,65 @@ def test_language_net_of_very_many_languages():
     finally:
         language_net.SHARES = before
     assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+LABELS = "doc_id string, quality int, toxic int"
+
+
+def long_and_short(spark):
+    """Good documents are long, bad ones short; keys are texts."""
+    rng = random.Random(8)
+    good = ["lake", "children", "story", "water", "evening", "found", "near", "the"]
+    docs = [(f"g{i}", " ".join(rng.choice(good) for _ in range(14_000)), "en", "s", 0) for i in range(30)]
+    docs += [(f"b{i}", " ".join(rng.choice(["$$$", "##", "buy", "now", "!!", "click"]) for _ in range(120)), "en", "s", 0) for i in range(30)]
+    schema = "doc_id string, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(d[0], int(d[0][0] == "g"), 0) for d in docs], LABELS)
+    return spark.createDataFrame(docs, schema), labels
+
+
+def test_quality_network_learns_a_class_of_long_documents(spark):
+    docs, labels = long_and_short(spark)
+    assert docs.selectExpr("max(octet_length(text))").first()[0] > quality_net.FIT_BYTES
+    scored = quality_net.classify(docs, quality_net.fit(docs, labels)).collect()
+    assert all((r["score"] > 0.7) == (r["doc_id"][0] == "g") for r in scored)
+
+
+def test_rules_take_text_keys(spark):
+    docs, labels = long_and_short(spark)
+    learned = rules.fit(docs, labels)
+    assert learned.rules
+    kept = {r["doc_id"] for r in rules.keep_good(docs, learned).collect()}
+    assert not any(k[0] == "b" for k in kept)
+
+
+def test_stretches_of_long_texts(spark):
+    texts = ["", "short", "0123456789" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [bytes(r[0]) for r in df.select(common.spread_bytes(F.col("text"), 160)).collect()]
+    assert found[:2] == [b"", b"short"] and len(found[2]) == 160
+    assert found[2][:10] == b"0123456789" and found[2][-10:] == b"0123456789"
+
+
+def test_quality_scores_equal_a_direct_convolution():
+    rng = np.random.default_rng(2)
+    net = quality_net.Network({
+        "bytes": rng.normal(size=(256, quality_net.DEPTH)).astype(np.float32),
+        "filters": rng.normal(size=(quality_net.WIDTH * quality_net.DEPTH, quality_net.FILTERS)).astype(np.float32),
+        "offsets": rng.normal(size=quality_net.FILTERS).astype(np.float32),
+        "head": rng.normal(size=3 * quality_net.FILTERS).astype(np.float32), "bias": np.array([0.3], np.float32)})
+    w, step, half = net.weights, quality_net.STEP, quality_net.SEGMENT
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (1, 5, 250, 251, 256, 700, 2000)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = net.scores(np.concatenate(texts), ends)
+    for text, score in zip(texts, found):
+        padded = np.concatenate([text, np.zeros(quality_net.WIDTH, np.uint8)])
+        response = np.array([
+            np.maximum(0, sum(w["bytes"][padded[at + j]] @ w["filters"][j * quality_net.DEPTH:(j + 1) * quality_net.DEPTH]
+                              for j in range(quality_net.WIDTH)) + w["offsets"]) for at in range(0, len(text), step)])
+        segments = max(1, -(-(len(text) + quality_net.WIDTH) // (half * step)))
+        chunks = []  # a chunk is two neighbouring segments; windows past the end respond with nothing
+        for first in range(max(1, segments - 1)):
+            part = response[first * half:(first + 2) * half]
+            chunks.append(np.maximum(part.max(axis=0), 0) if len(part) else np.zeros(quality_net.FILTERS))
+        joined = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)])
+        assert abs(1 / (1 + np.exp(-np.clip(joined @ w["head"] + w["bias"][0], -40, 40))) - score) < 1e-4
