@@ -1,9 +1,10 @@
-"""Random search over classifier families by cross-validated accuracy."""
+"""Search over classifier families by cross-validated accuracy, sequential or of given trials."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from contextvars import copy_context
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from strandline.config import SEARCH_PARALLELISM, SEARCH_TRIALS
 from strandline.operators.models import decision_tree, logistic_regression, random_forest
+from strandline.operators.tpe import Choice, LogNormal, Sampler, Uniform
+from strandline.session import in_parallel
 
 # The families of the search space and the penalties each may draw.
 FAMILIES = ("dtree", "rf", "logreg", "logregnone", "logregLl", "logregSG", "logregSGN")
@@ -54,12 +57,30 @@ def draw_trials(n: int = SEARCH_TRIALS, seed: int = 0) -> list[dict]:
     return trials
 
 
+#: The same space for the sequential search, with the tree family's way of splitting.
+_TREE = {
+    "criterion": Choice(("gini", "entropy")),
+    "min_samples_split": Uniform(0, 1, SHARE_STEP), "min_samples_leaf": Uniform(0, 1, SHARE_STEP),
+    "max_features": Choice((Choice(("auto", "sqrt", "log2")), Uniform(0, 1, SHARE_STEP))),
+}
+SPACE = {"family": Choice((
+    {"family": "dtree", **_TREE, "splitter": Choice(("best", "random"))},
+    {"family": "rf", **_TREE},
+    *({"family": family, "penalty": Choice(tuple(penalties)), "C": LogNormal(0.0, 1.0),
+       "max_iter": Uniform(*ITERATIONS, ITERATION_STEP),
+       **({"l1_ratio": Uniform(0, 1)} if family in ("logregnone", "logregSGN") else {})}
+      for family, penalties in PENALTIES.items()),
+))}
+
+
 def build(trial: dict, n_rows: int) -> Estimator:
     if trial["family"] in PENALTIES:
         ratio = {"l1": 1.0, "elasticnet": trial.get("l1_ratio", 0.0)}.get(trial["penalty"], 0.0)
-        return logistic_regression(n_rows, trial["C"], trial["max_iter"], ratio, trial["penalty"] != "none")
-    make = decision_tree if trial["family"] == "dtree" else random_forest
-    return make(trial["criterion"], trial["min_samples_split"], trial["min_samples_leaf"], trial["max_features"])
+        return logistic_regression(n_rows, trial["C"], int(trial["max_iter"]), ratio, trial["penalty"] != "none")
+    limits = trial["criterion"], trial["min_samples_split"], trial["min_samples_leaf"], trial["max_features"]
+    if trial["family"] == "dtree":
+        return decision_tree(*limits, splitter=trial.get("splitter", "best"))
+    return random_forest(*limits)
 
 
 @dataclass(frozen=True)
@@ -70,40 +91,85 @@ class Fold:
     held_out: DataFrame
 
 
-def cross_validated_accuracy(folds: list[Fold], make: Callable[[int], Estimator],
-                             rows: list[int] | None = None) -> float:
-    """Mean accuracy over the held-out rows of the folds; folds without any do not count.
+METRICS = ("accuracy", "precision", "recall", "f1")
+
+
+def _fold_metrics(scored: DataFrame) -> dict[str, float] | None:
+    """The metrics of class 1 over some held-out rows, None if there are none; 0 where a share has no base."""
+    hit, said, true = F.col("predicted") == F.col("target"), F.col("predicted") == 1, F.col("target") == 1
+    n, right, both, claimed, there = scored.agg(
+        F.count(F.lit(1)), *[F.count_if(c) for c in (hit, said & true, said, true)]).first()
+    if not n:
+        return None
+    return {"accuracy": right / n, "precision": both / claimed if claimed else 0.0,
+            "recall": both / there if there else 0.0, "f1": 2 * both / (claimed + there) if claimed + there else 0.0}
+
+
+def cross_validated(folds: list[Fold], make: Callable[[int], Estimator], rows: list[int] | None = None) -> dict[str, float]:
+    """Means of the metrics over the folds; folds without held-out rows do not count, without any all are NaN.
 
     ``make`` builds the estimator for a number of training rows; ``rows`` has these
     numbers, if they are known already.
     """
-    found = []
-    for fold, n in zip(folds, rows or [f.train.count() for f in folds]):
-        held_out = make(n).fit(fold.train).transform(fold.held_out)
-        found.append(held_out.agg(F.avg((F.col("predicted") == F.col("target")).cast("int"))).first()[0])
-    present = [a for a in found if a is not None]
-    return sum(present) / len(present)
+    found = [_fold_metrics(make(n).fit(fold.train).transform(fold.held_out))
+             for fold, n in zip(folds, rows or [f.train.count() for f in folds])]
+    present = [m for m in found if m]
+    return {name: sum(m[name] for m in present) / len(present) if present else float("nan") for name in METRICS}
 
 
-def search(spark: SparkSession, folds: list[Fold], trials: list[dict],
-           parallelism: int = SEARCH_PARALLELISM) -> DataFrame:
-    """All trials with their accuracy, best first. Every fit is a Spark job of its own; a few run at a time."""
-    sizes = [fold.train.count() for fold in folds]
+def cross_validated_accuracy(folds: list[Fold], make: Callable[[int], Estimator],
+                             rows: list[int] | None = None) -> float:
+    return cross_validated(folds, make, rows)["accuracy"]
 
-    def run(numbered):
-        number, trial = numbered
-        value = cross_validated_accuracy(folds, lambda n: build(trial, n), sizes)
-        settings = {k: str(v) for k, v in trial.items() if k != "family"}
-        return number, trial["family"], settings, "accuracy", float(value)
 
-    with ThreadPool(parallelism) as pool:
-        rows = pool.map(inheritable_thread_target(spark)(run), enumerate(trials), chunksize=1)
+def _table(spark: SparkSession, trials: list[dict], found: list[dict[str, float]]) -> DataFrame:
+    """One row for each trial and metric, best accuracy first; of equal ones the earlier trial."""
+    order = sorted(range(len(trials)), key=lambda i: (-found[i]["accuracy"], i))
+    rows = [(place, i, trials[i]["family"], {k: str(v) for k, v in trials[i].items() if k != "family"}, name, float(found[i][name]))
+            for place, i in enumerate(order, 1) for name in METRICS]
     return spark.createDataFrame(
-        rows, "trial int, family string, params map<string,string>, metric string, value double"
-    ).orderBy(F.col("value").desc(), "trial")
+        rows, "rank int, trial int, family string, params map<string,string>, metric string, value double")
+
+
+def search(spark: SparkSession, folds: list[Fold], trials: list[dict], parallelism: int = SEARCH_PARALLELISM) -> DataFrame:
+    """Given trials with their metrics, best first. Every fit is a Spark job of its own; a few run at a time."""
+    sizes = [fold.train.count() for fold in folds]
+    return _table(spark, trials, in_parallel(
+        spark, lambda trial: cross_validated(folds, lambda n: build(trial, n), sizes), trials, parallelism))
 
 
-def append_run(spark: SparkSession, results: DataFrame, run: str, path: str) -> DataFrame:
-    """Add the results of a run to the record kept at ``path`` and return the whole record."""
-    results.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+def sequential_search(spark: SparkSession, folds: list[Fold], n: int = SEARCH_TRIALS, seed: int = 0,
+                      parallelism: int = SEARCH_PARALLELISM, space: dict = SPACE,
+                      evaluate: Callable[[dict], dict[str, float]] | None = None) -> DataFrame:
+    """``n`` trials, each proposed from the results of those before it, best first.
+
+    ``parallelism`` trials run at a time: a trial is proposed once the one that many
+    places earlier has ended, and knows all up to that one. So the search is the same
+    for the same seed, however long each fit takes.
+    """
+    sizes = [fold.train.count() for fold in folds]
+    evaluate = evaluate or (lambda trial: cross_validated(folds, lambda n_rows: build(trial, n_rows), sizes))
+    run = inheritable_thread_target(spark)(evaluate)
+    sampler, trials, places, running, found = Sampler(space, seed), [], [], [], []
+    with ThreadPool(parallelism) as pool:
+        for i in range(n):
+            if i >= parallelism:
+                found.append(running[i - parallelism].get())
+                sampler.tell(places[i - parallelism], found[-1]["accuracy"])
+            trial, place = sampler.propose()
+            trials.append(trial)
+            places.append(place)
+            running.append(pool.apply_async(copy_context().run, (run, trial)))
+        found += [job.get() for job in running[len(found):]]
+    return _table(spark, trials, found)
+
+
+def record_run(results: DataFrame, run: str, path: str) -> DataFrame:
+    """Record the results of a run at ``path`` and return the whole record.
+
+    The record is partitioned by run and a run replaces its own partition, so a job that
+    is repeated after a failure leaves one copy. Other runs are not touched.
+    """
+    named = results.withColumn("run", F.lit(run))
+    (named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path))
+    return results.sparkSession.read.schema(named.schema).parquet(path)

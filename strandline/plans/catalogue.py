@@ -29,7 +29,7 @@ from strandline.operators import (
 )
 from strandline.plans import training
 from strandline.plans.features import feature_table
-from strandline.session import new_path, staged
+from strandline.session import new_path, once_per_session, staged
 from strandline.sources import statements as io
 from strandline.sources import tables
 from strandline.sources.tables import EVENTS, ORDERS
@@ -105,7 +105,7 @@ def selected_features(spark, sf):
 
 @query
 def score_reload(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     path = new_path(spark, "scorer")
     training.scorer(data, limit=110).save(spark, path)
     features = _model_features(spark, sf)
@@ -494,7 +494,7 @@ def minmax_refit(spark, sf):
 
 @query
 def balance_before_after(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     stages = (("before", data.part("train")), ("after", data.resampled))
     return rounded(reduce(DataFrame.unionAll, [
         prepare.class_balance(rows).select(F.lit(stage).alias("stage"), "*") for stage, rows in stages]))
@@ -534,19 +534,19 @@ def smote_rows(spark, sf):
 
 @query
 def logreg_scores(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     return rounded(training.evaluate(data, training.fit(data), data.columns))
 
 
 @query
 def dtree_scores(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     return rounded(training.evaluate(data, training.fit(data, estimator=models.decision_tree()), data.columns))
 
 
 @query
 def rforest_scores(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     forest = models.random_forest("entropy")
     return rounded(training.evaluate(data, training.fit(data, estimator=forest), data.columns))
 
@@ -554,7 +554,7 @@ def rforest_scores(spark, sf):
 @query
 def model_checks(spark, sf):
     """What must hold of fitted models, whatever their weights: one row per check, as a rounded number."""
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     path = new_path(spark, "scorer")
     full, few = training.scorer(data), training.scorer(data, limit=110)
     few.save(spark, path)
@@ -593,7 +593,7 @@ def cv_accuracy(spark, sf):
 
 @query
 def search_results(spark, sf):
-    return search.search(spark, training.tuning_folds(_training(spark, sf)), search.draw_trials())
+    return _search(spark, sf)
 
 
 @query
@@ -601,7 +601,7 @@ def search_checks(spark, sf):
     """Rows held out per fold, and for one trial of each family that its accuracy is a share."""
     folds = training.tuning_folds(_training(spark, sf))
     first = {t["family"]: t for t in reversed(search.draw_trials(ONE_OF_EACH_FAMILY))}
-    found = search.search(spark, folds, [first[family] for family in search.FAMILIES])
+    found = search.search(spark, folds, [first[family] for family in search.FAMILIES]).where("metric = 'accuracy'")
     sizes = reduce(DataFrame.unionAll, [
         f.held_out.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"fold {i}").alias("name"), "n") for i, f in enumerate(folds)])
     return sizes.unionAll(found.select("family", F.col("value").between(0, 1).cast("long")))
@@ -609,7 +609,20 @@ def search_checks(spark, sf):
 
 @query
 def run_log(spark, sf):
-    return search.append_run(spark, search_results(spark, sf), "run-0", new_path(spark, "runs"))
+    return search.record_run(_search(spark, sf), "run-0", new_path(spark, "runs"))
+
+
+@query
+def run_record_checks(spark, sf):
+    """Trials, their order, and the rows of a record that holds one run twice and another once."""
+    found, path = _search(spark, sf), new_path(spark, "runs")
+    for run in ("first", "second", "first"):
+        record = search.record_run(found, run, path)
+    values = found.where("metric = 'accuracy'").orderBy("rank").collect()  # one row a trial
+    seen = {"n_trials": len({r["trial"] for r in values}), "first_rank": values[0]["rank"], "last_rank": values[-1]["rank"],
+            "out_of_order": sum(b["value"] > a["value"] for a, b in zip(values, values[1:]))}
+    return record.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trial", "metric").alias("n_rows")).withColumns(
+        {name: F.lit(value) for name, value in seen.items()})
 
 
 @query
@@ -650,7 +663,7 @@ def top_coefficients(spark, sf):
 @query
 def top_model_coefficients(spark, sf):
     """The features that two limits leave of the fitted model."""
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     weights = models.coefficients(spark, training.fit(data), data.columns)
     return rounded(reduce(DataFrame.unionAll, [
         metrics.top_coefficients(weights, limit).select(F.lit(limit).alias("limit"), "*") for limit in (110, 150)]))
@@ -658,14 +671,14 @@ def top_model_coefficients(spark, sf):
 
 @query
 def refit_selected(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     columns = training.select_features(data, training.fit(data), 110)
     return rounded(training.evaluate(data, training.fit(data, columns), columns))
 
 
 @query
 def evaluate_selected(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     chosen = training.scorer(data, limit=110)
     return rounded(metrics.classification_report(
         training.evaluate(data, chosen.model, chosen.columns, "valid")))
@@ -673,7 +686,7 @@ def evaluate_selected(spark, sf):
 
 @query
 def score_submission(spark, sf):
-    data = _training(spark, sf)
+    data = _resampled(spark, sf)
     scored = training.scorer(data, limit=150).score(_model_features(spark, sf), ["customer_ID"], refit=True)
     return models.submission(scored, "customer_ID")
 
@@ -689,6 +702,17 @@ def _customer_keys(spark, sf) -> DataFrame:
     return tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_ID"))
 
 
+def _once(spark, sf, name: str, make: Callable[[], object]) -> object:
+    """A result over the order tables that several queries of a session share."""
+    return once_per_session(spark, name, [f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "customer")], make)
+
+
+def _search(spark, sf) -> DataFrame:
+    """The sequential search over all trials, which takes hundreds of fits."""
+    return _once(spark, sf, "search", lambda: staged(
+        search.sequential_search(spark, training.tuning_folds(_training(spark, sf))), "search").orderBy("rank", "metric"))
+
+
 def _written_statements(spark, sf) -> DataFrame:
     """The statements as a table of their own: a feature plan reads its panel several times."""
     return staged(tables.statements(spark, sf), "statements")
@@ -700,8 +724,9 @@ def _cleaned(spark, sf) -> DataFrame:
 
 
 def _model_features(spark, sf) -> DataFrame:
-    """The labelled feature table, written once for the several reads of a fit."""
-    return staged(feature_table(_written_statements(spark, sf), ORDERS, labels=tables.labels(spark, sf)), "model-features")
+    """The labelled feature table, written once for the fits of a session."""
+    return _once(spark, sf, "model-features", lambda: staged(
+        feature_table(_written_statements(spark, sf), ORDERS, labels=tables.labels(spark, sf)), "model-features"))
 
 
 def _columns(features: DataFrame) -> list[str]:
@@ -724,7 +749,14 @@ def _scaled(spark, sf) -> DataFrame:
 
 
 def _training(spark, sf) -> training.TrainingData:
-    return training.prepare_training(_model_features(spark, sf), "customer_ID")
+    return _once(spark, sf, "training", lambda: training.prepare_training(_model_features(spark, sf), "customer_ID"))
+
+
+def _resampled(spark, sf) -> training.TrainingData:
+    """The training data with its oversampled rows already written."""
+    data = _training(spark, sf)
+    _once(spark, sf, "resampled", lambda: data.resampled)
+    return data
 
 
 def _correlation_weights(spark, sf) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.config import FILL_VALUES, MODE_COLUMNS, SPARSE_COLUMNS
+from strandline.config import FILL_VALUES, MODE_COLUMNS, SEARCH_TRIALS, SPARSE_COLUMNS
 from strandline.operators.search import FAMILIES
 from strandline.sources.tables import LABEL_LIMIT
 
@@ -227,6 +227,9 @@ ORACLE_SQL: dict[str, str] = {
         ('rforest', 'rows', test), ('rforest', 'outside', 0.0::double), ('refit', 'rows', valid),
         ('refit', 'outside', 0.0::double), ('refit', 'reloaded', 0.0::double), ('refit', 'beyond limit', 0.0::double),
         ('submission', 'rows', n), ('submission', 'outside', 0.0::double)) as checks(model, "check", value)""",
+    "run_record_checks": f"""select {SEARCH_TRIALS} as n_trials, 1 as first_rank, {SEARCH_TRIALS} as last_rank,
+        0 as out_of_order, run, {4 * SEARCH_TRIALS}::bigint as n, {4 * SEARCH_TRIALS}::bigint as n_rows
+        from (values ('first'), ('second')) as runs(run)""",
     "search_checks": "with " + LABELS + f""", held as (
         select {HASH.format(seed=1, key='customer_ID', n=5)} as fold from labels_of_orders
         where {SPLIT} < 80 and {HASH.format(seed=0, key='customer_ID', n=100)} < 25)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+from functools import cached_property, reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import FOLDS, SAMPLE_SEED, SEARCH_PARALLELISM, SPLIT_SEED
@@ -18,8 +17,7 @@ from strandline.operators.models import Scorer, coefficients, logistic_regressio
 from strandline.operators.prepare import MinMax, assemble, tuning_sample, with_fold, with_split
 from strandline.operators.search import Fold
 from strandline.operators.smote import oversample
-from strandline.session import staged
-
+from strandline.session import in_parallel, staged
 
 ROWS_PER_TASK = 20_000
 
@@ -32,7 +30,15 @@ class TrainingData:
     columns: list[str]
     scaler: MinMax
     rows: DataFrame
-    resampled: DataFrame
+    target: str = "target"
+    k: int = 5
+    fit_rows: int | None = None
+
+    @cached_property
+    def resampled(self) -> DataFrame:
+        """The training rows with synthetic ones, written at the first use."""
+        used = bounded_rows(self.part("train"), [self.key], self.fit_rows)
+        return staged(oversample(used, self.key, self.columns, self.target, self.k), "resampled")
 
     def part(self, split: str) -> DataFrame:
         return self.rows.where(F.col("split") == split)
@@ -50,7 +56,7 @@ def prepare_training(features: DataFrame, key: str, target: str = "target", seed
                      scale_on: str = "train", k: int = 5, fit_rows: int | None = None) -> TrainingData:
     """Split, scale and oversample. ``scale_on="all"`` learns the ranges before the split.
 
-    Split and scaled rows and the oversampled rows are written, because every model reads them often.
+    The split rows are written, because every model reads them often; so are the oversampled rows once a fit wants them.
     ``fit_rows`` bounds the training rows that are oversampled and fitted on: the
     neighbour search costs the square of the rarer class where there are many
     columns. There is no bound unless it is given; scoring always covers all rows.
@@ -58,10 +64,7 @@ def prepare_training(features: DataFrame, key: str, target: str = "target", seed
     columns = [c for c in features.columns if c not in (key, target)]
     split = staged(with_split(features, key, seed), "split-features")
     scaler = MinMax.fit(split if scale_on == "all" else split.where(F.col("split") == "train"), columns)
-    rows = scaler.transform(split)
-    used = bounded_rows(rows.where(F.col("split") == "train"), [key], fit_rows)
-    resampled = oversample(used, key, columns, target, k)
-    return TrainingData(key, columns, scaler, rows, staged(resampled, "resampled"))
+    return TrainingData(key, columns, scaler, scaler.transform(split), target, k, fit_rows)
 
 
 def fit(data: TrainingData, columns: list[str] | None = None, estimator: Estimator | None = None) -> Model:
@@ -103,7 +106,7 @@ def evaluate(data: TrainingData, model: Model, columns: list[str], split: str =
 
 def tuning_folds(data: TrainingData, percent: int = 25, folds: int = FOLDS, seed: int = SAMPLE_SEED,
                  resample: str = "inside", target: str = "target", k: int = 5) -> list[Fold]:
-    """The training and held-out rows of each fold, as vectors, written once for all trials.
+    """The training and held-out rows of each fold, as vectors, written once for all folds and trials.
 
     With ``resample="inside"`` a sample of the training rows is divided into folds and
     each training part oversampled by itself, so no synthetic row has a parent in the
@@ -119,15 +122,24 @@ def tuning_folds(data: TrainingData, percent: int = 25, folds: int = FOLDS, seed
     chosen = staged(chosen, "tuning-sample")
     # Every step of every fit starts all tasks, so a small sample takes few.
     tasks = max(1, math.ceil(chosen.count() / ROWS_PER_TASK))
+    everyone = (1 << folds) - 1
+    own = F.expr("shiftleft(1L, fold)")
+
+    def with_masks(rows: DataFrame, trained_in: Column, held_out_in: Column) -> DataFrame:
+        marked = rows.withColumns({"trained_in": trained_in.cast("long"), "held_out_in": held_out_in.cast("long")})
+        return assemble(marked, data.columns, [target, "trained_in", "held_out_in"])
+
+    parts = [with_masks(chosen, F.lit(everyone).cast("long").bitwiseXOR(own), own)]
+    if resample == "inside":
+        def synthetic(i: int) -> DataFrame:
+            made = oversample(chosen.where(F.col("fold") != i), data.key, data.columns, target, k).where(F.col("copy") > 0)
+            return staged(with_masks(made, F.lit(1 << i), F.lit(0)), "synthetic")
 
-    def vectors(rows: DataFrame) -> DataFrame:
-        return staged(assemble(rows, data.columns, [target]).coalesce(tasks), "tuning-rows")
+        parts += in_parallel(chosen.sparkSession, synthetic, range(folds), SEARCH_PARALLELISM)
+    # One table for all folds: a bit for each fold says whether a row is trained on or held out there.
+    matrix = staged(reduce(DataFrame.unionAll, parts).coalesce(tasks), "tuning-rows")
 
-    def fold(i: int) -> Fold:
-        train, held_out = chosen.where(F.col("fold") != i), chosen.where(F.col("fold") == i)
-        if resample == "inside":
-            train = oversample(train, data.key, data.columns, target, k)
-        return Fold(vectors(train), vectors(held_out))
+    def members(mask: str, i: int) -> DataFrame:
+        return matrix.where(F.col(mask).bitwiseAND(F.lit(1 << i).cast("long")) != 0).select(target, "features")
 
-    with ThreadPool(SEARCH_PARALLELISM) as pool:
-        return pool.map(inheritable_thread_target(chosen.sparkSession)(fold), range(folds), chunksize=1)
+    return [Fold(members("trained_in", i), members("held_out_in", i)) for i in range(folds)]

@@ -1,5 +1,7 @@
 """Scaling, splitting, neighbours, oversampling, metrics, models and search."""
 
+import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -7,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.config import SEARCH_TRIALS
-from strandline.operators import metrics, models, neighbours, prepare, ranking, search, smote
+from strandline.operators import metrics, models, neighbours, prepare, ranking, search, smote, tpe
 from strandline.plans import catalogue, training
-from strandline.session import staging
+from strandline.session import new_path, staging
 
 COLUMNS = ["u", "v"]
 
@@ -195,21 +197,159 @@ def test_penalty_follows_the_total_loss():
 
 
 def test_tree_limits():
-    stump = models.decision_tree(min_leaf=0.6)
-    assert stump.getMaxDepth() == 0
-    assert models.decision_tree(min_split=0.2, min_leaf=0.05).getMinWeightFractionPerNode() == pytest.approx(0.1)
+    assert models.decision_tree(min_leaf=0.6).getMaxDepth() == 0
+    bounded = models.decision_tree(min_split=0.2, min_leaf=0.05)
+    assert bounded.min_split == 0.2 and bounded.forest.getMinWeightFractionPerNode() == pytest.approx(0.05)
     assert models.random_forest(max_features="auto").getFeatureSubsetStrategy() == "sqrt"
 
 
+def hand_tree(rows, least, columns=(0,), total=None):
+    """A tree by Gini grown on whole numbers, its thresholds half-way, as nested tuples; nodes below ``least`` are leaves."""
+    n, ones = len(rows), sum(y for _, y in rows)
+    leaf = (n, ones)
+    if n < max(2, least) or ones in (0, n):
+        return leaf
+
+    def gini(part):
+        p = sum(y for _, y in part) / len(part)
+        return len(part) * 2 * p * (1 - p)
+
+    best = None
+    for c in columns:
+        for t in sorted({x[c] for x, _ in rows})[:-1]:
+            left, right = [r for r in rows if r[0][c] <= t], [r for r in rows if r[0][c] > t]
+            loss = gini(left) + gini(right)
+            if best is None or loss < best[0] - 1e-12:
+                best = loss, c, left, right
+    if best is None or best[0] >= gini(rows) - 1e-12:
+        return leaf
+    return (n, ones, best[1], hand_tree(best[2], least, columns), hand_tree(best[3], least, columns))
+
+
+def grown_tree(spark, model):
+    path = new_path(spark, "tree")
+    model.write().save(path)
+    nodes = {r["nodeData"]["id"]: r["nodeData"] for r in spark.read.parquet(f"{path}/data").collect()}
+
+    def at(i):
+        d = nodes[i]
+        own = (d["rawCount"], int(d["impurityStats"][1]))
+        return own if d["leftChild"] < 0 else (*own, d["split"]["featureIndex"], at(d["leftChild"]), at(d["rightChild"]))
+
+    assert sorted(nodes) == list(range(len(nodes)))
+    return at(0)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.45, 0.9])
+def test_splits_are_bounded_by_the_node_and_not_by_its_leaves(spark, share):
+    """Uneven splits of large nodes stay, as in a tree written by hand."""
+    rows = [((x,), int(x in (1, 2, 3, 17) or 30 <= x < 34 or x == 60)) for x in range(64)]
+    df = prepare.assemble(spark.createDataFrame([(float(x[0]), y) for x, y in rows], "x double, target int"), ["x"], ["target"])
+    forest = models.decision_tree(min_split=share)
+    forest.forest.setMaxBins(64)
+    want = hand_tree(rows, -(-share * 64 // 1))
+    assert grown_tree(spark, forest.fit(df)) == want
+    if share == 0.2:
+        assert min(want[3][0], want[4][0]) < 0.1 * 64  # half the bound on each leaf would have refused it
+
+
+def test_random_splitter_takes_other_thresholds(spark, data):
+    vectors = prepare.assemble(data.resampled, COLUMNS, ["target"])
+    fits = [models.decision_tree(max_depth=3, splitter=s, seed=seed).fit(vectors) for s, seed in (("best", 0), ("random", 0), ("random", 1))]
+    right = [m.transform(vectors).agg(F.avg((F.col("predicted") == F.col("target")).cast("int"))).first()[0] for m in fits]
+    assert all(r > 0.75 for r in right) and len(set(right)) == 3
+    again = models.decision_tree(max_depth=3, splitter="random", seed=1).fit(vectors)
+    assert again.transform(vectors).where("predicted = target").count() == fits[2].transform(vectors).where("predicted = target").count()
+
+
 def test_search_is_repeatable_and_ranked(spark, data):
     assert search.draw_trials(9, seed=4) == search.draw_trials(9, seed=4)
     assert {t["family"] for t in search.draw_trials()} == set(search.FAMILIES)
     folds = training.tuning_folds(data, folds=2)
     found = search.search(spark, folds, search.draw_trials(2, seed=1)).collect()
-    assert [r.value for r in found] == sorted((r.value for r in found), reverse=True)
+    accuracy = [r.value for r in found if r.metric == "accuracy"]
+    assert accuracy == sorted(accuracy, reverse=True) and len(found) == 2 * len(search.METRICS)
     assert all(0 <= r.value <= 1 for r in found)
 
 
+PLANTED = {"kind": tpe.Choice((
+    {"kind": "a", "x": tpe.Uniform(0, 1), "y": tpe.Uniform(0, 1, 0.001)},
+    {"kind": "b", "c": tpe.LogNormal(0, 1), "p": tpe.Choice(("l1", "l2"))},
+    {"kind": "c", "z": tpe.Uniform(0, 1)}))}
+
+
+def planted(trial):
+    """At most 0.9, where ``c`` is the square root of e under ``l2``."""
+    if trial["kind"] == "a":
+        return 0.7 - abs(trial["x"] - 0.2) - abs(trial["y"] - 0.9)
+    if trial["kind"] == "b":
+        return 0.9 - abs(np.log(trial["c"]) - 0.5) / 2 - (0.2 if trial["p"] == "l1" else 0)
+    return 0.4 * trial["z"]
+
+
+def test_sequential_search_beats_random_draws():
+    def best(seed, **options):
+        sampler, waiting, values = tpe.Sampler(PLANTED, seed, **options), [], []
+        for _ in range(SEARCH_TRIALS):
+            trial, places = sampler.propose()
+            waiting.append((places, planted(trial)))
+            values.append(planted(trial))
+            if len(waiting) == 4:
+                sampler.tell(*waiting.pop(0))
+        return max(values)
+
+    sequential = [best(seed) for seed in range(20)]
+    drawn = [best(seed, random_first=SEARCH_TRIALS) for seed in range(20)]
+    assert np.mean(sequential) > np.mean(drawn) + 0.03
+    assert sum(a >= b for a, b in zip(sequential, drawn)) >= 17
+
+
+def test_sequential_search_repeats_whatever_the_fits_take(spark):
+    def evaluate(wait):
+        def run(trial):
+            time.sleep(wait.random() * 0.02)
+            return {name: planted(trial) for name in search.METRICS}
+        return run
+
+    runs = [search.sequential_search(spark, [], 40, 3, space={"family": tpe.Choice(tuple(
+        {"family": o["kind"], **o} for o in PLANTED["kind"].options))}, evaluate=evaluate(random.Random(wait))).collect() for wait in (1, 2)]
+    assert runs[0] == runs[1] and len({r.trial for r in runs[0]}) == 40
+
+
+def test_proposals_keep_to_the_space():
+    sampler = tpe.Sampler(search.SPACE, 5)
+    for i in range(150):
+        trial, places = sampler.propose()
+        assert trial["family"] in search.FAMILIES
+        if trial["family"] in search.PENALTIES:
+            assert trial["penalty"] in search.PENALTIES[trial["family"]] and trial["C"] > 0
+            assert 100 <= trial["max_iter"] <= 3000 and trial["max_iter"] % 100 == 0
+            assert ("l1_ratio" in trial) == (trial["family"] in ("logregnone", "logregSGN"))
+        else:
+            assert trial["max_features"] in ("auto", "sqrt", "log2") or 0 <= trial["max_features"] <= 1
+            assert ("splitter" in trial) == (trial["family"] == "dtree")
+        search.build(trial, 100)
+        sampler.tell(places, float("nan") if i % 10 == 0 else random.Random(i).random())
+
+
+def test_folds_share_one_table(data):
+    folds = training.tuning_folds(data, percent=80, folds=3)
+    assert len({name for f in folds for part in (f.train, f.held_out) for name in part.inputFiles()}) == len(folds[0].train.inputFiles())
+    for fold in folds:
+        ones, n = fold.train.agg(F.sum("target"), F.count(F.lit(1))).first()
+        assert 2 * ones == n
+
+
+def test_recording_a_run_twice_leaves_it_once(spark, tmp_path):
+    def results(value):
+        return spark.createDataFrame([(i, value) for i in range(3)], "trial int, value double")
+
+    path = str(tmp_path / "runs")
+    for run, value in (("a", 0.1), ("2024", 0.2), ("a", 0.3)):
+        record = search.record_run(results(value), run, path)
+    assert sorted(map(tuple, record.collect())) == [(i, v, r) for i in range(3) for v, r in ((0.2, "2024"), (0.3, "a"))]
+
+
 def test_no_synthetic_row_has_a_parent_among_the_held_out(data):
     """Resampled inside the fold, held-out rows are original and every training row lies among training rows."""
     original = {tuple(r.features) for r in prepare.assemble(data.part("train"), COLUMNS, []).collect()}
@@ -235,11 +375,13 @@ def test_rows_to_fit_on_can_be_bounded(features):
 
 
 def test_run_log_records_the_full_search(spark, monkeypatch):
-    def search_stub(spark, folds, trials, **settings):
-        rows = [(i, t["family"], {}, "accuracy", 0.5) for i, t in enumerate(trials)]
-        return spark.createDataFrame(rows, "trial int, family string, params map<string,string>, metric string, value double")
+    def search_stub(spark, folds, n=SEARCH_TRIALS, **settings):
+        rows = [(i + 1, i, "rf", {}, "accuracy", 0.5) for i in range(n)]
+        return spark.createDataFrame(rows, "rank int, trial int, family string, params map<string,string>, metric string, value double")
 
-    monkeypatch.setattr(catalogue.search, "search", search_stub)
+    monkeypatch.setattr(catalogue, "once_per_session", lambda spark, name, inputs, make: make())
+    monkeypatch.setattr(catalogue, "_training", lambda spark, sf: None)
+    monkeypatch.setattr(catalogue.search, "sequential_search", search_stub)
     monkeypatch.setattr(catalogue.training, "tuning_folds", lambda data: [])
     rows = catalogue.run_log(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["trial"] for r in rows) == list(range(SEARCH_TRIALS)) and {r["run"] for r in rows} == {"run-0"}
