@@ -164,7 +164,7 @@ def decision_tree(criterion: str = "gini", min_split: float = 0.0, min_leaf: flo
     """
     roles = ROLES if splitter == "best" else ROLES | {"featuresCol": "cut_features"}
     forest = RandomForestClassifier(
-        **roles, numTrees=1, bootstrap=False, impurity=criterion, seed=seed, maxMemoryInMB=NODE_MEMORY_MB,
+        **roles, numTrees=1, bootstrap=False, impurity=criterion, seed=seed, maxMemoryInMB=NODE_MEMORY_MB, cacheNodeIds=True,
         featureSubsetStrategy=_subset(max_features), **_leaf_limits(min_leaf, max_depth))
     tree = SplitBoundForest(forest, min_split) if min_split > 0 else forest
     if splitter == "best":
@@ -176,7 +176,7 @@ def random_forest(criterion: str = "gini", min_split: float = 0.0, min_leaf: flo
                   max_features="sqrt", trees: int = 100, max_depth: int = MAX_DEPTH,
                   seed: int = 0) -> Estimator:
     forest = RandomForestClassifier(
-        **ROLES, numTrees=trees, impurity=criterion, seed=seed, maxMemoryInMB=NODE_MEMORY_MB,
+        **ROLES, numTrees=trees, impurity=criterion, seed=seed, maxMemoryInMB=NODE_MEMORY_MB, cacheNodeIds=True,
         featureSubsetStrategy=_subset(max_features), **_leaf_limits(min_leaf, max_depth))
     return SplitBoundForest(forest, min_split) if min_split > 0 else forest
 

@@ -131,13 +131,8 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k nearest other rows of each row: (key, rank, neighbour, distance2, neighbour_vector).
-
-    Equal distances go to the lower key. Keys are unique numbers or texts, vectors are
-    arrays of equal length; a null or NaN coordinate is refused. With k or fewer
-    rows, all other rows are neighbours; no rows give no rows.
-    """
+def distinct_points(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(id, vector)``, and written the distinct points: ``vector, rep`` (lowest id), its first ``ids``, ``copies``."""
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     unfit = F.col("vector").isNull() | F.exists("vector", lambda c: c.isNull() | F.isnan(c))
     if not rows.where(unfit).isEmpty():
@@ -149,6 +144,17 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFram
            .groupBy("vector").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")))
     counts = rows.groupBy("vector").agg(F.count(F.lit(1)).alias("copies"))
     reps = staged(ids.join(counts, "vector"), "neighbour-points")
+    return rows, reps
+
+
+def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The k nearest other rows of each row: (key, rank, neighbour, distance2, neighbour_vector).
+
+    Equal distances go to the lower key. Keys are unique numbers or texts, vectors are
+    arrays of equal length; a null or NaN coordinate is refused. With k or fewer
+    rows, all other rows are neighbours; no rows give no rows.
+    """
+    rows, reps = distinct_points(df, key, vector, k)
     n_cells = min(MAX_CELLS, math.ceil(reps.count() / POINTS_PER_CELL))
     chosen = reps.select("vector", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(max(1, n_cells)).collect()
     if not chosen:

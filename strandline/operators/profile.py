@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,3 +181,76 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     return reduce(DataFrame.unionAll, [rows_of(part) for part in blocks(pairs, 2)])
+
+
+def _merged_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joint moments of two sets of rows (Chan, Golub and LeVeque); the first axis holds those of ``_MOMENTS``."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    both = a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * both,
+                     a[4] + b[4] + dy * dy * both, a[5] + b[5] + dx * dy * both])
+
+
+#: Of the rows that have both columns: their number, the means, the squared deviations of each and their product.
+_MOMENTS = ("n", "mean_first", "mean_second", "square_first", "square_second", "product")
+GRAM_ROWS = 4_096
+
+
+def _block_moments(values: np.ndarray) -> np.ndarray:
+    """The moments of all pairs of columns over some rows, by matrix products of values and of what is known."""
+    known = ~np.isnan(values)
+    there = known.astype(float)
+    counts = there.sum(axis=0)
+    centre = np.divide(np.where(known, values, 0).sum(axis=0), counts, out=np.zeros(values.shape[1]), where=counts > 0)
+    x = np.where(known, values - centre, 0.0)  # near zero, so that nothing cancels
+    n, sums, squares, products = there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+    mean = np.divide(sums, n, out=np.zeros_like(n), where=n > 0)
+    square = np.maximum(squares - mean * sums, 0)
+    return np.stack([n, mean + centre[:, None], mean.T + centre[None, :], square, square.T, products - n * mean * mean.T])
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(first, second, n, correlation)`` of every pair of columns, nulls and NaN left out pair by pair.
+
+    The table is scanned once for any number of columns. Each task adds up the joint
+    moments of its rows block by block; they are merged row of the matrix by row, in two
+    steps, so no task holds the matrices of all others. A pair with fewer than two rows
+    or a constant column has a null correlation.
+    """
+    if not columns:
+        raise ValueError("no columns to profile")
+    size, width = len(columns), len(_MOMENTS)
+
+    def of_tasks(batches):
+        total = np.zeros((width, size, size))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            for start in range(0, len(values), GRAM_ROWS):
+                total = _merged_moments(total, _block_moments(values[start:start + GRAM_ROWS]))
+        if total[0].any():
+            yield pa.RecordBatch.from_pydict({
+                "place": pa.array(np.arange(size, dtype=np.int32)), "lot": pa.array(np.full(size, TaskContext.get().partitionId() % 64, np.int32)),
+                "moments": pa.array([total[:, i].ravel().tolist() for i in range(size)], pa.list_(pa.float64()))})
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((width, size))
+        for moments in sorted(parts["moments"].tolist(), key=lambda m: tuple(m[:size])):
+            total = _merged_moments(total, np.asarray(moments).reshape(width, size))
+        return pd.DataFrame({"place": parts["place"].iloc[:1], "lot": [0], "moments": [total.ravel().tolist()]})
+
+    schema = "place int, lot int, moments array<double>"
+    found = df.select([_number(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(of_tasks, schema)
+    for keys in (["place", "lot"], ["place"]):
+        found = found.groupBy(*keys).applyInPandas(merge, schema)
+    names = F.array(*[F.lit(c) for c in columns])
+
+    def moment(i: int) -> Column:
+        return F.element_at("moments", F.col("other") + 1 + i * size)
+
+    pairs = found.select("place", "moments", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("other")).where("other > place")
+    spread = F.sqrt(moment(3)) * F.sqrt(moment(4))
+    return pairs.select(
+        F.element_at(names, F.col("place") + 1).alias("first"), F.element_at(names, F.col("other") + 1).alias("second"),
+        moment(0).cast("long").alias("n"), F.when((moment(0) > 1) & (spread > 0), moment(5) / spread).alias("correlation"))

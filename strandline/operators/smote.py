@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,14 @@ def minority(df: DataFrame, target: str = "target") -> tuple[int, int, int]:
 
 
 def oversample(df: DataFrame, key: str, columns: list[str], target: str = "target", k: int = 5,
-               seed: int = 0) -> DataFrame:
+               seed: int = 0, search: Callable[[DataFrame, str, str, int], DataFrame] = nearest_neighbours) -> DataFrame:
     """The rows plus as many synthetic minority rows as balance the classes exactly.
 
     A synthetic row lies between a minority row and one of its k nearest minority
     rows. Base rows share the new rows evenly; which neighbour and how far along
-    are drawn from hashes of the key, so a recomputed task draws the same.
+    are drawn from hashes of the key, so a recomputed task draws the same. ``search``
+    finds the neighbours: exactly by default, or ``approximate_neighbours`` for very many
+    wide rows (most rows of the rarer class must then have as many as ``k`` neighbours found).
     Result: ``key``, ``copy`` (0 for the original rows), the columns and the target.
     """
     label, size, missing = minority(df, target)
@@ -35,7 +39,7 @@ def oversample(df: DataFrame, key: str, columns: list[str], target: str = "targe
     neighbours = min(k, size - 1)
     rare = df.where(F.col(target) == label).select(
         F.col(key).alias("key"), F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("vector"))
-    near = nearest_neighbours(rare, "key", "vector", k).select("key", "rank", "neighbour_vector")
+    near = search(rare, "key", "vector", k).select("key", "rank", "neighbour_vector")
 
     drawn = positions(rare.withColumn("draw", unit_hash(F.lit(seed), F.col("key"))), "draw", "key")
     share = F.expr(f"cast((position + 1) * {missing} div {size} - position * {missing} div {size} as int)")

@@ -14,6 +14,7 @@ from strandline.config import FILL_VALUES, MODE_COLUMNS, ONE_HOT_COLUMNS, SPARSE
 from strandline.functions.columns import feature_names
 from strandline.operators import (
     aggregate,
+    approximate,
     clean,
     dates,
     joins,
@@ -356,6 +357,11 @@ def correlation_pairs(spark, sf):
     return rounded(profile.correlation_pairs(tables.statements(spark, sf), [*AMOUNTS, "D_117", "D_126"]))
 
 
+@query
+def correlation_matrix(spark, sf):
+    return rounded(profile.correlation_matrix(tables.statements(spark, sf), [*AMOUNTS, *CODES]))
+
+
 # --- dates, windows, modes ---------------------------------------------------------------------
 
 @query
@@ -524,6 +530,22 @@ def smote_neighbours(spark, sf):
     return scaled_places(found.select(F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"))
 
 
+@query
+def approximate_neighbours(spark, sf):
+    """Neighbours of all customers in all features, by the forest index."""
+    return scaled_places(approximate.approximate_neighbours(_vectors(spark, sf), "customer_ID", "vector", 5).select(
+        F.col("key").alias("customer_ID"), "rank", "neighbour", "distance2"))
+
+
+@query
+def neighbour_recall(spark, sf):
+    """How many of the exact neighbours of all customers the forest index finds."""
+    vectors = staged(_vectors(spark, sf), "vectors")
+    found = approximate.approximate_neighbours(vectors, "customer_ID", "vector", 5)
+    hits = approximate.recall(found, neighbours.nearest_neighbours(vectors, "customer_ID", "vector", 5))
+    return hits.select("n_rows", (F.col("recall") >= 0.9).alias("reaches_nine_tenths"))
+
+
 @query
 def smote_rows(spark, sf):
     scaled = _scaled(spark, sf)
@@ -655,6 +677,28 @@ def auc(spark, sf):
     return rounded(metrics.auc(tables.judged_documents(spark, sf)))
 
 
+@query
+def auc_bounded(spark, sf):
+    """The exact area, and whether a sketch of it keeps to its own stated error and to its size."""
+    judged = tables.judged_documents(spark, sf)
+    sketch = metrics.ScoreSketch.fit(judged, bins=64)
+    exact = metrics.auc(judged)
+    found = sketch.auc().first()
+    close = F.abs(F.col("auc") - F.lit(found["auc"])) <= F.lit(found["error"] + 1e-12)
+    return rounded(exact.select("auc", close.alias("within_error"), F.lit(found["error"] <= 1 / 64).alias("error_below_share"),
+                                F.lit(sketch.counts.count() <= 2 * 64 + 1).alias("bounded")))
+
+
+@query
+def roc_points_bounded(spark, sf):
+    """How many points of the bounded curve lie on the exact one."""
+    judged = tables.judged_documents(spark, sf)
+    bounded = metrics.ScoreSketch.fit(judged, bins=64).roc_points()
+    on = bounded.join(metrics.roc_points(judged).select("tp", "fp", F.lit(True).alias("there")), ["tp", "fp"], "left")
+    return on.agg((F.count(F.lit(1)) <= 129).alias("bounded"), F.count_if(F.col("there").isNull()).alias("off_curve"),
+                  F.max("tpr").alias("last_tpr"), F.max("fpr").alias("last_fpr"))
+
+
 @query
 def top_coefficients(spark, sf):
     return rounded(metrics.top_coefficients(_correlation_weights(spark, sf), 4))
@@ -743,6 +787,11 @@ def _largest_difference(scored: DataFrame, again: DataFrame) -> float:
     return both.agg(F.max(F.abs(F.col("probability") - F.col("again")))).first()[0]
 
 
+def _vectors(spark, sf) -> DataFrame:
+    scaled = _scaled(spark, sf)
+    return scaled.select("customer_ID", F.array(*_columns(scaled)).alias("vector"))
+
+
 def _scaled(spark, sf) -> DataFrame:
     features = _model_features(spark, sf)
     return prepare.MinMax.fit(features, _columns(features)).transform(features)

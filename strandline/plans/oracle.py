@@ -312,6 +312,10 @@ ORACLE_SQL: dict[str, str] = {
     "correlation_pairs": PANEL + " " + " union all ".join(
         f"select '{a}' as first, '{b}' as second, round(corr({a}, {b}), 6) as correlation from panel"
         for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1:]),
+    "correlation_matrix": PANEL + " " + " union all ".join(
+        f"select '{a}' as first, '{b}' as second, count(case when {a} is not null and {b} is not null then 1 end) as n, "
+        f"round(corr({a}, {b}), 6) as correlation from panel"
+        for i, a in enumerate([*AMOUNTS, *CODES]) for b in [*AMOUNTS, *CODES][i + 1:]),
     "date_gap_features": "with dated as (select o_custkey as customer_ID, o_orderdate::date as S_2, o_orderkey as row_id "
                          "from orders)" + _gaps("dated", "customer_ID", "S_2", "row_id"),
     "event_gap_features": _gaps("events", "user_id", "ts", "event_id").strip(),
@@ -369,6 +373,7 @@ ORACLE_SQL: dict[str, str] = {
         {_listed(f"round(a.{c} + along * (b.{c} - a.{c}) + 3e-11, 9)" for c in MODEL_COLUMNS)}, p.label
       from picks p join nearest n on n.customer_ID = p.customer_ID and n.rank = p.rank
         join rare a on a.customer_ID = p.customer_ID join rare b on b.customer_ID = n.neighbour""",
+    "neighbour_recall": MODEL + " select count(*) as n_rows, true as reaches_nine_tenths from features",
     "feature_matrix": MODEL + f" select customer_ID, target, {len(MODEL_COLUMNS)} as width, " + _listed(
         f"round({c}, 6) as feature_{i}" for i, c in enumerate(MODEL_COLUMNS)) + " from features",
     "accuracy": JUDGED + " select round(avg((target = predicted)::int), 6) as accuracy from judged",
@@ -383,6 +388,10 @@ ORACLE_SQL: dict[str, str] = {
     "pr_points": JUDGED + """ select score as threshold, round(tp::double / (tp + fp), 6) as precision,
       round(tp / p, 6) as recall from curve""",
     "auc": JUDGED + " select round(sum(neg * (tp - pos / 2.0::double)) / (max(p) * max(n)), 6) as auc from curve",
+    "auc_bounded": JUDGED + """ select round(sum(neg * (tp - pos / 2.0::double)) / (max(p) * max(n)), 6) as auc,
+      true as within_error, true as error_below_share, true as bounded from curve""",
+    "roc_points_bounded": JUDGED + """ select true as bounded, 0 as off_curve, 1.0::double as last_tpr, 1.0::double as last_fpr
+      from (select count(*) from curve)""",
     "top_coefficients": WEIGHTS + """ select feature, round(weight, 6) as weight from weights
       where abs(weight) >= (select avg(abs(weight)) from weights) order by abs(weight) desc, feature limit 4""",
     "score_linear": SCALED + """ select customer_ID, round_even(1 / (1 + exp(-(-3.0::double + 2.5 * avg_D_39_impt
