@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,9 +208,9 @@ def coefficients(spark: SparkSession, model: LogisticRegressionModel, columns: l
 
 @dataclass
 class Scorer:
-    """A fitted model with the feature list and the scaling it was trained with."""
+    """A fitted model of any kind with the feature list and the scaling it was trained with."""
 
-    model: LogisticRegressionModel
+    model: Model
     columns: list[str]
     scaler: MinMax
 
@@ -226,6 +226,6 @@ class Scorer:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Scorer":
-        return Scorer(LogisticRegressionModel.load(f"{path}/model"),
+        return Scorer(DefaultParamsReader.loadParamsInstance(f"{path}/model", spark),
                       read_names(spark, f"{path}/feature_name"),
                       MinMax.from_json(read_names(spark, f"{path}/ranges")[0]))

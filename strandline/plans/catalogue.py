@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from strandline.operators import (
     search,
     smote,
 )
-from strandline.plans import training
-from strandline.plans.features import feature_table
+from strandline.plans import artefact, training
+from strandline.plans.features import FeaturePlan, feature_table
 from strandline.session import new_path, once_per_session, staged
 from strandline.sources import statements as io
 from strandline.sources import tables
@@ -113,6 +114,25 @@ def score_reload(spark, sf):
     return rounded(models.Scorer.load(spark, path).score(features, ["customer_ID", "target"]))
 
 
+@query
+def pipeline_reload(spark, sf):
+    """Artefacts of three kinds of model, saved, loaded and applied to the raw panel: entities and largest difference."""
+    data, panel = _resampled(spark, sf), _written_statements(spark, sf)
+    plan = FeaturePlan(ORDERS)
+    plan.fit_transform(panel)
+    kinds = {"logreg": None, "rforest": models.random_forest(trees=10, max_depth=6),
+             "dtree": models.decision_tree(min_split=0.1, max_depth=6, splitter="random")}
+    rows = []
+    for kind, estimator in kinds.items():
+        whole, path = artefact.whole_pipeline(plan, training.scorer(data, estimator=estimator)), new_path(spark, "artefact")
+        whole.write().save(path)
+        before, after = (artefact.scored(p, panel) for p in (whole, PipelineModel.load(path)))
+        both = before.join(after.select("customer_ID", F.col("probability").alias("again")), "customer_ID")
+        n, difference = both.agg(F.count(F.lit(1)), F.max(F.abs(F.col("probability") - F.col("again")))).first()
+        rows.append((kind, n, round(difference, 9)))
+    return spark.createDataFrame(rows, "model string, n_rows long, difference double")
+
+
 # --- projections, filters, schema --------------------------------------------------------------
 
 @query

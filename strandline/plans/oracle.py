@@ -373,6 +373,8 @@ ORACLE_SQL: dict[str, str] = {
         {_listed(f"round(a.{c} + along * (b.{c} - a.{c}) + 3e-11, 9)" for c in MODEL_COLUMNS)}, p.label
       from picks p join nearest n on n.customer_ID = p.customer_ID and n.rank = p.rank
         join rare a on a.customer_ID = p.customer_ID join rare b on b.customer_ID = n.neighbour""",
+    "pipeline_reload": MODEL + """ select model, count(*) as n_rows, 0.0::double as difference
+      from features, (values ('logreg'), ('rforest'), ('dtree')) as kinds(model) group by model""",
     "neighbour_recall": MODEL + " select count(*) as n_rows, true as reaches_nine_tenths from features",
     "feature_matrix": MODEL + f" select customer_ID, target, {len(MODEL_COLUMNS)} as width, " + _listed(
         f"round({c}, 6) as feature_{i}" for i, c in enumerate(MODEL_COLUMNS)) + " from features",

@@ -82,9 +82,9 @@ def largest_gradient(data: TrainingData, model: Model) -> float:
     return max(abs(s + p) for s, p in zip(slopes, pulls))
 
 
-def scorer(data: TrainingData, limit: int | None = None) -> Scorer:
-    """A logistic model on all features, or on the ``limit`` strongest of those above the mean weight."""
-    model = fit(data)
+def scorer(data: TrainingData, limit: int | None = None, estimator: Estimator | None = None) -> Scorer:
+    """A model on all features, or a logistic one on the ``limit`` strongest of those above the mean weight."""
+    model = fit(data, estimator=estimator)
     columns = data.columns
     if limit:
         columns = select_features(data, model, limit)

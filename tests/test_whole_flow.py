@@ -2,13 +2,17 @@
 
 import csv
 import datetime as dt
+import json
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
 from strandline.config import MODE_COLUMNS, ONE_HOT_COLUMNS, SPARSE_COLUMNS, PanelSpec
 from strandline.operators import metrics, models
-from strandline.plans import scoring, training
+from strandline.plans import artefact, scoring, training
 from strandline.plans.features import FeaturePlan
 from strandline.sources import statements as io
 
@@ -69,3 +73,31 @@ def test_from_statements_to_submission(spark, files, tmp_path):
     written = scoring.write_submission(scoring.score_panel(later, reloaded, few), str(tmp_path / "submission"))
     assert written.columns == ["customer_ID", "prediction"] and written.count() == 100
     assert sorted(written.collect()) == sorted(scoring.score_panel(plan, scorer, few).collect())
+
+
+@pytest.mark.parametrize("kind", ["forest", "tree", "logistic"])
+def test_one_artefact_scores_in_a_new_session(spark, files, tmp_path, kind):
+    """Saved here, loaded and applied by another process."""
+    panel = io.read_statements(spark, str(files / "train"))
+    plan = FeaturePlan(PanelSpec())
+    features = plan.fit_transform(panel)
+    data = training.prepare_training(features.join(io.read_labels(spark, str(files / "labels.csv")), "customer_ID"), "customer_ID")
+    estimator = {"forest": models.random_forest(trees=5, max_depth=4), "logistic": None,
+                 "tree": models.decision_tree(min_split=0.1, splitter="random", max_depth=5)}[kind]
+    whole = artefact.whole_pipeline(plan, training.scorer(data, estimator=estimator))
+    whole.write().save(str(tmp_path / "artefact"))
+    want = {r["customer_ID"]: (round(r["probability"], 9), r["predicted"]) for r in artefact.scored(whole, panel).collect()}
+    code = """
+import json, sys
+from pyspark.ml import PipelineModel
+from strandline.plans import artefact
+from strandline.session import local_session
+from strandline.sources import statements as io
+spark = local_session(2, memory="2g")
+rows = artefact.scored(PipelineModel.load(sys.argv[1]), io.read_statements(spark, sys.argv[2])).collect()
+json.dump({r["customer_ID"]: (round(r["probability"], 9), r["predicted"]) for r in rows}, open(sys.argv[3], "w"))
+"""
+    subprocess.run([sys.executable, "-c", code, str(tmp_path / "artefact"), str(files / "train"), str(tmp_path / "out.json")], check=True,
+                   cwd=Path(__file__).resolve().parents[1], capture_output=True)
+    found = {k: tuple(v) for k, v in json.loads((tmp_path / "out.json").read_text()).items()}
+    assert found == want and len(want) == 300 and len({p for p, _ in want.values()}) > 1
