@@ -55,16 +55,22 @@ def date_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
     ).na.fill(0.0, ["avg_lag_days", "std_lag_days"])
 
 
-def with_previous_date(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def with_previous_date(df: DataFrame, spec: PanelSpec, bucketed: bool = False) -> DataFrame:
     """Every row with the time of the entity's previous record (``lag_date``) and the days since then.
 
     Records follow each other by time, then by row id; without a row id, equal times
     are told apart by the other columns. Only the rows of one day of an entity are
     ordered together: the last time of its previous day enters the day as a row of
-    its own, so an entity with very many rows is spread over its days.
+    its own, so an entity with very many rows is spread over its days. ``bucketed``
+    says that the panel is bucketed by entity: a task then reads its entities whole,
+    and one window over each needs no exchange.
     """
     day = F.to_date(spec.time)
     tie = F.col(spec.row) if spec.row else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    if bucketed:
+        records = Window.partitionBy(spec.entity).orderBy(spec.time, tie)
+        return df.withColumn("lag_date", F.lag(spec.time).over(records)).withColumn(
+            "lag_days", F.datediff(spec.time, "lag_date"))
     by_day = Window.partitionBy(spec.entity).orderBy("__day")
     before = (df.groupBy(spec.entity, day.alias("__day")).agg(F.max(spec.time).alias(spec.time))
               .withColumn(spec.time, F.lag(spec.time).over(by_day)).withColumn("__before", F.lit(True)))

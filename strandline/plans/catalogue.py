@@ -89,6 +89,24 @@ def roundtrip_partitioned(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def bucketed_statistics(spark, sf):
+    """Means, deviations and gaps of a panel written in buckets; see the plan test."""
+    path = new_path(spark, "bucketed")
+    panel = tables.statements(spark, sf).select(*KEYS, *AMOUNTS)
+    bucketed = io.write_bucketed(panel, f"panel_{path[-12:]}", path, 8, ORDERS)
+    return rounded(bucketed_entity_statistics(bucketed))
+
+
+@query
+def bucketed_lags(spark, sf):
+    """Days since the previous record, on the panel written in buckets."""
+    path = new_path(spark, "bucketed")
+    panel = tables.statements(spark, sf).select(*KEYS, "D_39")
+    bucketed = io.write_bucketed(panel, f"panel_{path[-12:]}", path, 8, ORDERS)
+    return dates.with_previous_date(bucketed, ORDERS, bucketed=True).drop("lag_date").na.fill(0, ["lag_days"])
+
+
 @query
 def roundtrip_single_file(spark, sf):
     path = new_path(spark, "single")
@@ -807,6 +825,12 @@ def _largest_difference(scored: DataFrame, again: DataFrame) -> float:
     return both.agg(F.max(F.abs(F.col("probability") - F.col("again")))).first()[0]
 
 
+def bucketed_entity_statistics(panel: DataFrame) -> DataFrame:
+    """Means and gaps by entity, joined; without an exchange on a panel bucketed by entity."""
+    means = panel.groupBy("customer_ID").agg(*[F.avg(c).alias(f"avg_{c}") for c in AMOUNTS])
+    return means.join(dates.date_features(panel, ORDERS), "customer_ID")
+
+
 def _vectors(spark, sf) -> DataFrame:
     scaled = _scaled(spark, sf)
     return scaled.select("customer_ID", F.array(*_columns(scaled)).alias("vector"))

@@ -323,6 +323,13 @@ ORACLE_SQL: dict[str, str] = {
     "lag_days": PANEL + """ select customer_ID, S_2, row_id, D_39,
       coalesce(date_diff('day', lag(S_2) over (partition by customer_ID order by S_2, row_id), S_2), 0)::int as lag_days
       from panel""",
+    "bucketed_lags": PANEL + """ select customer_ID, S_2, row_id, D_39,
+      coalesce(date_diff('day', lag(S_2) over (partition by customer_ID order by S_2, row_id), S_2), 0)::int as lag_days
+      from panel""",
+    "bucketed_statistics": PANEL + ", gaps as (" + _gaps("panel", "customer_ID", "S_2", "row_id") + """)
+      select customer_ID, """ + ", ".join(f"round(avg({c}), 6) as avg_{c}" for c in AMOUNTS) + """,
+      any_value(months_tenure) as months_tenure, any_value(avg_lag_days) as avg_lag_days, any_value(std_lag_days) as std_lag_days
+      from panel join gaps using (customer_ID) group by customer_ID""",
     "first_last_date": """select o_custkey as customer_ID, o_orderdate::date as S_2, o_orderkey as row_id,
       min(o_orderdate::date) over (partition by o_custkey) as earliest_date,
       max(o_orderdate::date) over (partition by o_custkey) as latest_date from orders""",

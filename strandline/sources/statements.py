@@ -71,3 +71,36 @@ def write_names(spark: SparkSession, names: list[str], path: str) -> None:
 
 def read_names(spark: SparkSession, path: str) -> list[str]:
     return [r.value for r in spark.read.text(path).collect()]
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, spec: PanelSpec = PanelSpec(),
+                   rows_per_file: int = 5_000_000) -> DataFrame:
+    """Write a panel as a table bucketed by entity, its files sorted by entity and time, and return the table.
+
+    Whoever groups, joins or windows it by entity reads it without an exchange. Files
+    hold ``rows_per_file`` rows or so: an entity with more is spread over several files
+    of its bucket by a hash of the row, so no task writes or sorts all of it. A reader's
+    task still takes a whole bucket, so buckets should follow the size of the panel.
+    """
+    counted = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("__rows"))
+    crowded = counted.where(F.col("__rows") > rows_per_file).select(
+        spec.entity, F.ceil(F.col("__rows") / rows_per_file).cast("int").alias("__files"))
+    # As many entities as the panel has files, at most; a null entity stays with the others of its bucket.
+    marked = df.join(F.broadcast(crowded), spec.entity, "left")
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    file = F.pmod(row, F.coalesce("__files", F.lit(1)))
+    spread = marked.withColumn("__bucket", F.pmod(F.hash(spec.entity), F.lit(buckets))).withColumn("__file", file)
+    (spread.repartition(buckets, "__bucket", "__file").drop("__bucket", "__file", "__files")
+     .write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, spec.entity).sortBy(*spec.keys).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, name: str, path: str, schema: T.StructType, buckets: int,
+                  spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """A bucketed panel written by another session: its files are registered under ``name`` with their bucketing."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    keys = ", ".join(f"`{k}`" for k in spec.keys)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+              f"CLUSTERED BY (`{spec.entity}`) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)

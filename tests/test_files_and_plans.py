@@ -1,5 +1,6 @@
 """Readers, writers, the shared folder and the shape of the physical plans."""
 
+import datetime as dt
 import glob
 import os
 import re
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import session
+from strandline.config import PanelSpec
 from strandline.operators import aggregate, dates, modes, ranking
 from strandline.plans import scoring
 from strandline.plans.catalogue import QUERIES
@@ -198,3 +200,29 @@ def test_shared_results_outlive_scopes_and_follow_their_files(spark, tmp_path):
             assert session.once_per_session(spark, "shared", [path], make).count() == 5
     spark.range(6).write.mode("overwrite").parquet(path)
     assert session.once_per_session(spark, "shared", [path], make).count() == 6 and len(made) == 2
+
+
+def test_bucketed_panels_need_no_exchange(spark, tmp_path):
+    spec = PanelSpec("id", "day", "row")
+    rows = [(None if i % 50 == 0 else 7 if i % 3 == 0 else i % 11, dt.date(2020, 1, 1) + dt.timedelta(days=i % 40), i, float(i)) for i in range(900)]
+    panel = spark.createDataFrame(rows, "id int, day date, row int, x double")
+    written = io.write_bucketed(panel, "bucketed_panel", str(tmp_path / "panel"), 4, spec, rows_per_file=100)
+    assert sorted(map(str, written.collect())) == sorted(map(str, panel.collect()))
+    assert len(list((tmp_path / "panel").glob("*.parquet"))) > 4  # the crowded entity has several files of its bucket
+    spark.sql("DROP TABLE bucketed_panel")
+    again = io.read_bucketed(spark, "registered_panel", str(tmp_path / "panel"), panel.schema, 4, spec)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stats = again.groupBy("id").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"))
+        joined = stats.join(dates.date_features(again, spec), "id")
+        lagged = dates.with_previous_date(again, spec, bucketed=True)
+        for df in (stats, joined, lagged):
+            df.collect()
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, lagged.collect())) == sorted(map(str, dates.with_previous_date(panel, spec).collect()))
+        plain = panel.groupBy("id").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation")).join(
+            dates.date_features(panel, spec), "id")
+        assert [pytest.approx(tuple(r)) for r in sorted(joined.collect())] == [tuple(r) for r in sorted(plain.collect())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE registered_panel")
