@@ -19,22 +19,31 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the learned rules reject; a null or empty text is too short and goes.
+
+    In every stage no rows give no rows, other columns pass through, and rows with the
+    same id are documents of their own.
+    """
     return rules.keep_good(docs, rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the network scores below its threshold; a null text is scored as an empty one."""
     return quality_net.keep_good(docs, quality_net.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; wordless documents are copies of each other."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them; one without words is not taken, a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences; a null text is its end token alone."""
     return packing.pack(docs, tokenizer_path())
 
 

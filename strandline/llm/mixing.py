@@ -8,7 +8,7 @@ epochs first, then a last one that ends inside a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import WORD, fresh, hash_share, hashable
@@ -23,6 +23,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def words_before(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``before``: the words of its source's documents that come before, by ``order`` within ``rank``.
+
+    The rows are range-sorted by source and order and written with the number of their
+    range. The words of a source before each range enter the range as a row of their own,
+    and a window inside the range adds up the rest, so a source may fill many ranges.
+    """
+    ranged = staged(rows.repartitionByRange("rank", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy("range", "rank").agg(F.sum("size").alias("words"))
+              .select("range", "rank", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("size"), F.lit(True).alias("start")))
+    inside = Window.partitionBy("range", "rank").orderBy(F.col("start").desc(), *order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumn("start", F.lit(False)).unionByName(starts, allowMissingColumns=True)
+            .withColumn("before", F.sum("size").over(inside)).where(~F.col("start")).drop("range", "start"))
+
+
 def ranked_weights(sources: DataFrame) -> DataFrame:
     """``sources`` (one row each) with ``rank`` by code point, null last, and weights 1, 2, 3, repeating."""
     ordered = sources.withColumns({"unnamed": F.col("source").isNull(), "one": F.lit(1)})
@@ -68,7 +84,7 @@ def mix(docs: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     rows = (sized.alias("d").join(aims.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
             .select("d.doc_id", "d.row_hash", "d.size", "d.source", "s.rank", F.col("s.words").alias("source_size"), "s.target",
                     hash_share(F.col("d.doc_id"), F.col("d.row_hash"), F.lit("mix")).alias("key")))
-    placed = prefix_sums(rows, ["rank"], ["key", "doc_id", "row_hash"], "size", "before")
+    placed = words_before(rows, ["key", "doc_id", "row_hash"])
     budget = F.least(F.round("target").cast("long"), F.col("source_size") * most_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.coalesce(F.col("before"), F.lit(0))

@@ -170,7 +170,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     Each document is its token ids and ``end_id``; a null text has that alone. Every
     id is in one piece, every sequence is gapless from 0 and holds at most
-    ``capacity`` ids. Rows that are equal throughout are documents of their own.
+    ``capacity`` ids. Rows that are equal throughout are documents of their own; no
+    rows give no rows, and columns other than ``doc_id`` and ``text`` only tell rows apart.
     """
     # Written first: finding ranges reads the pieces once more.
     pieces = staged(cut_documents(docs, tokenizer, capacity, end_id), "cut").withColumns(
