@@ -29,7 +29,7 @@ from strandline.session import staged
 MOST_WORDS = 4
 LEAST = 30
 #: Texts are handled in blocks of about this many bytes, a longer text in a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: N-grams of all blocks that one range of fingerprints may hold, about.
 RANGE_NGRAMS = 4_000_000
 MOST_RANGES = 1 << 18
