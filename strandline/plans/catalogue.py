@@ -852,6 +852,11 @@ def _resampled(spark, sf) -> training.TrainingData:
     return data
 
 
+def training_tables(spark: SparkSession, sf: str) -> training.TrainingData:
+    """Labelled features, their split and the oversampled rows, made once for the model queries of a session."""
+    return _resampled(spark, sf)
+
+
 def _correlation_weights(spark, sf) -> DataFrame:
     """The correlation of each amount with the order total as the weight of a feature."""
     panel = tables.statements(spark, sf).join(
