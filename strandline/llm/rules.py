@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from strandline.llm.common import documents, fresh, hash_share, labelled_sample, python_tasks, remainder_is
+from strandline.llm.common import documents, fresh, labelled_sample, python_tasks, remainder_is
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -211,12 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Decisio
     python_tasks(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", fit_rows, ~remainder_is(F.col("doc_id"), 4, 2))
     counts = sample.select("doc_id", "quality", count_texts("text").alias("counts"))
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
     rows = (counts.select("doc_id", F.col("quality").cast("int").alias("quality"),
-                          hash_share(F.col("doc_id"), F.lit("rules")).alias("draw"),
+                          (F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id")).alias("number"),
                           *[v.alias(name) for name, v in features(F.col("counts")).items()])
             .toPandas().sort_values(["doc_id", "quality"], ignore_index=True))
     values = {name: rows[name].to_numpy(float) for name in FEATURES}
-    return learn(values, (rows["quality"] != 1).to_numpy(bool), rows["draw"].to_numpy(float))
+    draw = (rows["number"].to_numpy(np.int64).astype(np.uint64) * np.uint64(11400714819323198485) >> np.uint64(40)) / 2.0**24
+    return learn(values, (rows["quality"] != 1).to_numpy(bool), draw)
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:

@@ -229,7 +229,7 @@ def long_and_short(spark):
 def test_quality_network_learns_a_class_of_long_documents(spark):
     docs, labels = long_and_short(spark)
     assert docs.selectExpr("max(octet_length(text))").first()[0] > quality_net.FIT_BYTES
-    scored = quality_net.classify(docs, quality_net.fit(docs, labels)).collect()
+    scored = quality_net.classify(docs, quality_net.fit(docs, labels, fit_rows=12)).collect()
     assert all((r["score"] > 0.7) == (r["doc_id"][0] == "g") for r in scored)
 
 

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.01"
 
 def sql(name):
     db = duckdb.connect()
-    for t in ("pages", "embeddings", "conversations"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return db.execute(ORACLE_SQL[name])
 
