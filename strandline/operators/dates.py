@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import PanelSpec
-from strandline.functions.columns import months_tenure
+from strandline.functions.columns import months_tenure, null_safe_equal
 from strandline.operators.joins import attach_group_facts
+from strandline.operators.ranking import previous_values
 from strandline.session import staged
 
 
@@ -55,15 +56,18 @@ def date_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
     ).na.fill(0.0, ["avg_lag_days", "std_lag_days"])
 
 
-def with_previous_date(df: DataFrame, spec: PanelSpec, bucketed: bool = False) -> DataFrame:
+def with_previous_date(df: DataFrame, spec: PanelSpec, bucketed: bool = False,
+                       rows_per_day: int = 2_000_000) -> DataFrame:
     """Every row with the time of the entity's previous record (``lag_date``) and the days since then.
 
     Records follow each other by time, then by row id; without a row id, equal times
     are told apart by the other columns. Only the rows of one day of an entity are
     ordered together: the last time of its previous day enters the day as a row of
-    its own, so an entity with very many rows is spread over its days. ``bucketed``
-    says that the panel is bucketed by entity: a task then reads its entities whole,
-    and one window over each needs no exchange.
+    its own, so an entity with very many rows is spread over its days. Days above
+    ``rows_per_day`` are range-sorted and spread over tasks; there are at most
+    rows / rows_per_day of them, which bounds what is broadcast. ``bucketed`` says
+    that the panel is bucketed by entity: a task then reads its entities whole, and
+    one window over each needs no exchange.
     """
     day = F.to_date(spec.time)
     tie = F.col(spec.row) if spec.row else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
@@ -72,16 +76,35 @@ def with_previous_date(df: DataFrame, spec: PanelSpec, bucketed: bool = False) -
         return df.withColumn("lag_date", F.lag(spec.time).over(records)).withColumn(
             "lag_days", F.datediff(spec.time, "lag_date"))
     by_day = Window.partitionBy(spec.entity).orderBy("__day")
-    before = (df.groupBy(spec.entity, day.alias("__day")).agg(F.max(spec.time).alias(spec.time))
-              .withColumn(spec.time, F.lag(spec.time).over(by_day)).withColumn("__before", F.lit(True)))
+    days = staged(df.groupBy(spec.entity, day.alias("__day")).agg(F.max(spec.time).alias(spec.time), F.count(F.lit(1)).alias("__n"))
+                  .withColumn(spec.time, F.lag(spec.time).over(by_day)).withColumn("__before", F.lit(True)), "days")
     rows = df.withColumns({"__day": day, "__before": F.lit(False), "__tie": tie})
-    inside = Window.partitionBy(spec.entity, "__day").orderBy(F.col("__before").desc(), spec.time, "__tie")
-    lagged = (rows.unionByName(before, allowMissingColumns=True)
-              .withColumn("lag_date", F.lag(spec.time).over(inside)).where(~F.col("__before")))
+    crowded = days.where(F.col("__n") > rows_per_day)
+    if crowded.isEmpty():
+        lagged = _lagged_in_days(rows, days.drop("__n"), spec)
+    else:
+        same_day = null_safe_equal("r", "c", [spec.entity, "__day"])
+
+        def part(table: DataFrame, how: str) -> DataFrame:
+            return table.alias("r").join(F.broadcast(crowded.select(spec.entity, "__day").alias("c")), same_day, how)
+
+        # The last time of the day before comes first in a crowded day, as it is smaller than all of it.
+        ends = part(days, "left_semi").drop("__n")
+        spread = previous_values(part(rows, "left_semi").unionByName(ends, allowMissingColumns=True),
+                                 [spec.entity, "__day"], [spec.time, "__tie"], spec.time, "lag_date")
+        lagged = _lagged_in_days(part(rows, "left_anti"), part(days, "left_anti").drop("__n"), spec).unionByName(
+            spread.where(~F.col("__before")))
     return lagged.select(*[F.col(f"`{c}`") for c in df.columns], "lag_date").withColumn(
         "lag_days", F.datediff(spec.time, "lag_date"))
 
 
+def _lagged_in_days(rows: DataFrame, before: DataFrame, spec: PanelSpec) -> DataFrame:
+    """``rows`` with the time of the row before in the same day; ``before`` has the last earlier time of each day."""
+    inside = Window.partitionBy(spec.entity, "__day").orderBy(F.col("__before").desc(), spec.time, "__tie")
+    return (rows.unionByName(before, allowMissingColumns=True)
+            .withColumn("lag_date", F.lag(spec.time).over(inside)).where(~F.col("__before")))
+
+
 def with_first_last_date(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Every row with the first and last date of its entity."""
     facts = staged(df.groupBy(spec.entity).agg(

@@ -78,6 +78,24 @@ def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float])
     return ranked.groupBy("column").agg(*out)
 
 
+def previous_values(df: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the ``value`` of the row before in the same group, null in its first row.
+
+    ``value`` is the first of the order columns. Rows are range-sorted, and the last value
+    before a range enters it as a row of its own, so a crowded group is spread over many
+    ranges if its order columns differ. A null group is a group, null values come first.
+    """
+    ranged = staged(df.repartitionByRange(*[F.col(c) for c in [*groups, *order]])
+                    .withColumn(RANGE, F.spark_partition_id()), "ranges")
+    # As many rows as there are ranges for a group that fills them.
+    ranges = Window.partitionBy(*groups).orderBy(RANGE)
+    starts = (ranged.groupBy(RANGE, *groups).agg(F.max(value).alias(value))
+              .withColumn(value, F.lag(value).over(ranges)).withColumn(START, F.lit(True)))
+    inside = Window.partitionBy(RANGE, *groups).orderBy(F.col(START).desc(), *order)
+    return (ranged.withColumn(START, F.lit(False)).unionByName(starts, allowMissingColumns=True)
+            .withColumn(name, F.lag(value).over(inside)).where(~F.col(START)).drop(RANGE, START))
+
+
 def positions(df: DataFrame, hashed: str, tie: str) -> DataFrame:
     """``position`` 0, 1, 2, … in the order of a hash value; ``tie`` breaks equal hashes."""
     counted = prefix_sums(df.withColumn("__one", F.lit(1)), [], [hashed, tie], "__one", "position")

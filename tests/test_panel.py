@@ -5,12 +5,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.config import CleaningRules, PanelSpec
 from strandline.functions import columns
 from strandline.functions.columns import feature_names
-from strandline.operators import aggregate, clean, dates, joins, modes, profile
+from strandline.operators import aggregate, clean, dates, joins, modes, profile, ranking
 from strandline.plans.features import FeaturePlan, feature_table
 
 SPEC = PanelSpec("id", "day", "row")
@@ -137,6 +138,31 @@ def test_lags_follow_the_time_of_day(spark):
     assert found == {5: (None, None), 9: (at(1, 9), 2), 2: (at(3, 8), 0), 1: (None, None)}
 
 
+@pytest.mark.parametrize("row", ["row", None])
+def test_crowded_days_are_spread(spark, row):
+    """Days above the limit are divided inside; every row has the lag that one window gives."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 8, None).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("id"),
+        F.when(F.col("id") % 97 > 0, F.timestamp_seconds(F.lit(1_600_000_000) + F.when(F.col("id") % 10 < 6, F.col("id") % 400)
+                                                         .otherwise(F.col("id") * 997))).alias("day"),
+        F.col("id").alias("row"))
+    spec = PanelSpec("id", "day", row)
+    order = F.col("row") if row else F.xxhash64("id", "day", "row")
+    plain = df.withColumn("lag_date", F.lag("day").over(Window.partitionBy("id").orderBy("day", order)))
+    found = dates.with_previous_date(df, spec, rows_per_day=100)
+    assert found.columns == ["id", "day", "row", "lag_date", "lag_days"]
+    expected = sorted(map(str, plain.withColumn("lag_days", F.datediff("day", "lag_date")).collect()))
+    assert sorted(map(str, found.collect())) == expected
+    assert sorted(map(str, dates.with_previous_date(df, spec).collect())) == expected
+
+
+def test_previous_values_of_odd_rows(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 3, 2), (None, 5, 3), (None, 5, 4), ("a", 1, 5)], "g string, v long, id long")
+    found = ranking.previous_values(df, ["g"], ["v", "id"], "v", "before")
+    assert {r.id: r.before for r in found.collect()} == {1: None, 5: None, 2: 1, 3: None, 4: 5}
+    assert ranking.previous_values(df.limit(0), ["g"], ["v", "id"], "v", "before").count() == 0
+
+
 def test_lags_without_a_row_id(spark):
     df = spark.createDataFrame([("a", day("2020-01-01"), "x"), ("a", day("2020-01-05"), "x"), ("a", day("2020-01-05"), "x")],
                                "id string, day date, note string")
