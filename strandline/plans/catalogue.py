@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.config import FILL_VALUES, MODE_COLUMNS, ONE_HOT_COLUMNS, SPARSE_COLUMNS, CleaningRules, PanelSpec
+from strandline.config import (
+    FILL_VALUES,
+    MODE_COLUMNS,
+    ONE_HOT_COLUMNS,
+    SEARCH_PARALLELISM,
+    SPARSE_COLUMNS,
+    CleaningRules,
+    PanelSpec,
+)
 from strandline.functions.columns import feature_names
 from strandline.operators import (
     aggregate,
@@ -31,7 +39,7 @@ from strandline.operators import (
 )
 from strandline.plans import artefact, training
 from strandline.plans.features import FeaturePlan, feature_table
-from strandline.session import new_path, once_per_session, staged
+from strandline.session import in_parallel, new_path, once_per_session, staged
 from strandline.sources import statements as io
 from strandline.sources import tables
 from strandline.sources.tables import EVENTS, ORDERS
@@ -45,6 +53,9 @@ AMOUNTS = ["P_2", "S_3", "B_1", "B_17", "D_39"]
 CATEGORIES = ["D_63", "D_64", "B_30", "B_38", "D_114", "D_116", "D_120"]
 WEIGHTS = {"avg_D_39_impt": 2.5, "stddev_samp_D_39_impt": 1.25, "mode_B_38": -0.5, "months_tenure": 3.0, "avg_lag_days": -0.75}
 INTERCEPT = -3.0
+GIVEN_INTERCEPT = -2.5  # with two of the weights
+FEW = 12  # features of a refit that leaves strong ones out
+PENALTY_C = 0.1
 ONE_OF_EACH_FAMILY = 23  # so many draws hold every family
 
 
@@ -643,6 +654,63 @@ def model_checks(spark, sf):
     return spark.createDataFrame([(m, c, round(v, 3) + 0.0) for m, c, v in rows], "model string, check string, value double")
 
 
+@query
+def penalty_checks(spark, sf):
+    """What the penalty of each logistic family does to its weights: slopes vanish, L1 leaves zeros, all shrink."""
+    data = _resampled(spark, sf)
+    vectors, n = staged(prepare.assemble(data.resampled, data.columns, ["target"]), "vectors"), data.resampled.count()
+
+    def fitted(case):
+        family, penalty = case
+        trial = {"family": family, "penalty": penalty, "C": PENALTY_C, "max_iter": 1000, "l1_ratio": 0.5}
+        return search.build(trial, n).fit(vectors)
+
+    cases = [(family, penalty) for family, penalties in search.PENALTIES.items() for penalty in penalties]
+    found = dict(zip(cases, in_parallel(spark, fitted, cases, SEARCH_PARALLELISM)))
+    free = found["logregnone", "none"].coefficients.norm(2)
+    rows = []
+    for (family, penalty), model in found.items():
+        zeros = int((model.coefficients.toArray() == 0).sum())
+        # A feature without any spread has a weight of zero under every penalty.
+        constant = sum(1 for low, high in (data.scaler.ranges[c] for c in data.columns) if low == high)
+        rows.append((family, penalty, round(training.largest_gradient(data, model), 2) + 0.0,
+                     zeros > constant, bool(model.coefficients.norm(2) < free)))
+    return spark.createDataFrame(rows, "family string, penalty string, slope double, leaves_zeros boolean, shrinks boolean")
+
+
+@query
+def refit_checks(spark, sf):
+    """What must hold of the fit on selected features and of its report: one row per check, as a rounded number."""
+    data = _resampled(spark, sf)
+    full = training.fit(data)
+    columns = training.select_features(data, full, FEW)
+    model = training.fit(data, columns)
+    strength = dict(zip(data.columns, map(abs, map(float, full.coefficients))))
+    left = [strength[c] for c in data.columns if c not in columns]
+    mean = sum(strength.values()) / len(strength)
+    scored = training.evaluate(data, model, columns, "valid")
+    again = models.linear_score(data.part("valid"), dict(zip(columns, map(float, model.coefficients))), model.intercept)
+    report = {r["label"]: r for r in metrics.classification_report(scored).collect()}
+    right = again.agg(F.avg(((F.col("probability") > 0.5).cast("int") == F.col("target")).cast("int"))).first()[0]
+    values = {
+        "gradient": training.largest_gradient(data, model, columns),
+        "beyond limit": max(0, len(columns) - FEW), "below mean": sum(strength[c] < mean for c in columns),
+        "stronger left out": 0 if len(columns) < FEW else sum(s > min(strength[c] for c in columns) for s in left),
+        "recomputed": _largest_difference(scored, again.withColumnRenamed("probability", "again")),
+        "support": report["accuracy"]["support"], "accuracy difference": abs(report["accuracy"]["f1"] - right)}
+    return spark.createDataFrame([(name, round(float(v), 3) + 0.0) for name, v in values.items()], "check string, value double")
+
+
+@query
+def report_of_given_weights(spark, sf):
+    """The strongest of given weights as a model on the validation rows, and its report."""
+    data = _training(spark, sf)
+    weights = spark.createDataFrame(list(WEIGHTS.items()), "feature string, weight double")
+    chosen = {r["feature"]: r["weight"] for r in metrics.top_coefficients(weights, 3).collect()}
+    scored = models.linear_score(data.part("valid"), chosen, GIVEN_INTERCEPT)
+    return rounded(metrics.classification_report(scored.withColumn("predicted", (F.col("probability") > 0.5).cast("int"))))
+
+
 @query
 def cv_accuracy(spark, sf):
     folds = training.tuning_folds(_training(spark, sf))

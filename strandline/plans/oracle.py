@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandline.config import FILL_VALUES, MODE_COLUMNS, SEARCH_TRIALS, SPARSE_COLUMNS
-from strandline.operators.search import FAMILIES
+from strandline.operators.search import FAMILIES, PENALTIES
 from strandline.sources.tables import LABEL_LIMIT
 
 KEYS = ["customer_ID", "S_2", "row_id"]
@@ -186,6 +186,12 @@ REPORT = """, classes as (
     coalesce(hits / nullif(support, 0), 0) as recall, coalesce(2 * hits / nullif(claimed + support, 0), 0) as f1
   from classes
 )"""
+REPORT_ROWS = """
+      select label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from per_class
+      union all select 'accuracy', null, null, round(sum(hits) / sum(support), 6), sum(support)::bigint from per_class
+      union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::bigint from per_class
+      union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+        round(sum(f1 * support) / sum(support), 6), sum(support)::bigint from per_class"""
 
 ORACLE_SQL: dict[str, str] = {
     "scan_statements": PANEL + f" select {_listed([*KEYS, 'B_1', 'D_39', 'D_63', 'D_64'])} from panel",
@@ -227,6 +233,21 @@ ORACLE_SQL: dict[str, str] = {
         ('rforest', 'rows', test), ('rforest', 'outside', 0.0::double), ('refit', 'rows', valid),
         ('refit', 'outside', 0.0::double), ('refit', 'reloaded', 0.0::double), ('refit', 'beyond limit', 0.0::double),
         ('submission', 'rows', n), ('submission', 'outside', 0.0::double)) as checks(model, "check", value)""",
+    "refit_checks": "with " + LABELS + f""", parted as (select {SPLIT_NAME} as split from labels_of_orders)
+      select "check", value from (select (count(*) filter (split = 'valid'))::double as valid from parted), lateral (values
+        ('gradient', 0.0::double), ('beyond limit', 0.0::double), ('below mean', 0.0::double), ('stronger left out', 0.0::double),
+        ('recomputed', 0.0::double), ('support', valid), ('accuracy difference', 0.0::double)) as checks("check", value)""",
+    "penalty_checks": "select family, penalty, 0.0::double as slope, penalty in ('l1', 'elasticnet') as leaves_zeros, "
+      "penalty <> 'none' as shrinks from (values " + _listed(
+          f"('{family}', '{penalty}')" for family, penalties in PENALTIES.items() for penalty in penalties)
+      + ") as cases(family, penalty)",
+    "report_of_given_weights": MODEL + f""", parted as (select *, {SPLIT_NAME} as split from features),
+      ranges as (select {_listed(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in ("avg_D_39_impt", "months_tenure"))}
+                 from parted where split = 'train'),
+      judged as (select target, (1 / (1 + exp(-(-2.5::double
+          + 2.5 * (avg_D_39_impt - lo_avg_D_39_impt) / (hi_avg_D_39_impt - lo_avg_D_39_impt)
+          + 3.0 * (months_tenure - lo_months_tenure) / (hi_months_tenure - lo_months_tenure)))) > 0.5)::int as predicted
+        from parted, ranges where split = 'valid')""" + REPORT + REPORT_ROWS,
     "run_record_checks": f"""select {SEARCH_TRIALS} as n_trials, 1 as first_rank, {SEARCH_TRIALS} as last_rank,
         0 as out_of_order, run, {4 * SEARCH_TRIALS}::bigint as n, {4 * SEARCH_TRIALS}::bigint as n_rows
         from (values ('first'), ('second')) as runs(run)""",
@@ -387,12 +408,7 @@ ORACLE_SQL: dict[str, str] = {
         f"round({c}, 6) as feature_{i}" for i, c in enumerate(MODEL_COLUMNS)) + " from features",
     "accuracy": JUDGED + " select round(avg((target = predicted)::int), 6) as accuracy from judged",
     "confusion_matrix": JUDGED + " select target, predicted, count(*) as n from judged group by 1, 2",
-    "classification_report": JUDGED + REPORT + """
-      select label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from per_class
-      union all select 'accuracy', null, null, round(sum(hits) / sum(support), 6), sum(support)::bigint from per_class
-      union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::bigint from per_class
-      union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-        round(sum(f1 * support) / sum(support), 6), sum(support)::bigint from per_class""",
+    "classification_report": JUDGED + REPORT + REPORT_ROWS,
     "roc_points": JUDGED + """ select score as threshold, tp, fp, round(tp / p, 6) as tpr, round(fp / n, 6) as fpr from curve""",
     "pr_points": JUDGED + """ select score as threshold, round(tp::double / (tp + fp), 6) as precision,
       round(tp / p, 6) as recall from curve""",

@@ -73,13 +73,24 @@ def fit(data: TrainingData, columns: list[str] | None = None, estimator: Estimat
     return (estimator or logistic_regression(data.resampled.count())).fit(vectors)
 
 
-def largest_gradient(data: TrainingData, model: Model) -> float:
-    """The largest slope of the penalised mean loss at the weights of a logistic model; zero at its minimum."""
-    scored = score(model, data.resampled, data.columns, ["target", *data.columns])
+def largest_gradient(data: TrainingData, model: Model, columns: list[str] | None = None) -> float:
+    """The largest slope of the penalised mean loss at the weights of a logistic model; zero at its minimum.
+
+    At a weight of zero the L1 part of the penalty holds any slope up to its strength;
+    only what goes beyond counts.
+    """
+    columns = columns or data.columns
+    scored = score(model, data.resampled, columns, ["target", *columns])
     error = F.col("probability") - F.col("target")
-    slopes = scored.agg(F.avg(error), *[F.avg(error * F.col(f"`{c}`")) for c in data.columns]).first()
-    pulls = [0.0, *[model.getRegParam() * (1 - model.getElasticNetParam()) * w for w in map(float, model.coefficients)]]
-    return max(abs(s + p) for s, p in zip(slopes, pulls))
+    intercept, *slopes = scored.agg(F.avg(error), *[F.avg(error * F.col(f"`{c}`")) for c in columns]).first()
+    strength, share = model.getRegParam(), model.getElasticNetParam()
+
+    def beyond(slope: float, weight: float) -> float:
+        if weight == 0.0:
+            return max(0.0, abs(slope) - strength * share)
+        return abs(slope + strength * ((1 - share) * weight + share * math.copysign(1.0, weight)))
+
+    return max(abs(intercept), *[beyond(s, w) for s, w in zip(slopes, map(float, model.coefficients))])
 
 
 def scorer(data: TrainingData, limit: int | None = None, estimator: Estimator | None = None) -> Scorer:
