@@ -27,6 +27,7 @@ from strandline.session import staged
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Distinct fingerprints in a tree, and queries to it in a task; a larger shard is spread over several of both.
 TREE_NODES = 50_000
+ROWS_OF_A_SHARD = 2_000_000
 _AT_ONCE = 1 << 16
 
 
@@ -166,11 +167,12 @@ def _blocks_for(distinct: int, radius: int) -> int:
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = None,
-          tree_nodes: int = TREE_NODES) -> DataFrame:
+          tree_nodes: int = TREE_NODES, rows_of_a_shard: int = ROWS_OF_A_SHARD) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct fingerprints (column ``fp``) within the radius of each other.
 
     Not every pair is returned: in each shard a spanning forest of its links is, so
     classes are whole while a group of near copies gives as many rows as it has members.
+    A shard above ``rows_of_a_shard`` learns its number of trees in several tasks.
     """
     blocks = blocks or _blocks_for(fingerprints.count(), radius)
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in block_masks(blocks, radius)])
@@ -179,13 +181,14 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = No
     sizes = placed.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n"))
     # Shards of one fingerprint have no links. Crowded ones take several trees and as many lots of queries:
     # a row is planted in its own tree for every lot, and asks every tree with its own lot.
-    crowds = sizes.where("n > 1").select("choice", "shard", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"))
+    crowds = staged(sizes.where("n > 1").withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int")), "shards")
 
     def drawn(seed: int) -> Column:
         return F.pmod(F.xxhash64("fp", F.lit(seed)), F.col("trees")).cast("int")
 
     each = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
-    rows = placed.join(crowds, ["choice", "shard"]).withColumns({"home": drawn(1), "own_lot": drawn(2)})
+    met = attach_group_facts(placed, crowds, ["choice", "shard"], ["fp"], "n", rows_of_a_shard).where(F.col("trees").isNotNull())
+    rows = met.withColumns({"home": drawn(1), "own_lot": drawn(2)})
     columns = ["choice", "shard", "tree", "lot", "fp", "planted", "asks"]
     planted = rows.withColumns({"tree": F.col("home"), "lot": each, "planted": F.lit(True)}).withColumn(
         "asks", F.col("lot") == F.col("own_lot"))

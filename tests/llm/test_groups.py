@@ -70,7 +70,7 @@ def test_classes_of_fingerprints_for_any_blocks_and_tree_size(spark):
     values = sorted(set(values))
     want = plain_classes(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3])
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    for options in ({}, {"blocks": 5}, {"blocks": 6, "tree_nodes": 7}, {"tree_nodes": 16}):
+    for options in ({}, {"blocks": 5}, {"blocks": 6, "tree_nodes": 7}, {"tree_nodes": 16, "rows_of_a_shard": 20}):
         root = {v: v for v in values}
         root.update({r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(simhash.links(df, 3, **options)).collect()})
         groups, wanted = defaultdict(set), defaultdict(set)
@@ -94,6 +94,17 @@ def test_long_chain_becomes_one_component(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_hubs_are_spread(spark):
+    """Two hubs and a chain between them, their links divided among salts, are one component."""
+    pairs = [(1000, i) for i in range(100, 400)] + [(i, 2000) for i in range(1001, 1300)] + [(1000, 50), (50, 51), (51, 2000)]
+    pairs += [(3000, 3001), (3000, 3001), (None, 4000), (4001, None)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    want = plain_classes({n for p in pairs[:-2] for n in p}, pairs[:-2])
+    for options in ({"links_of_a_node": 9}, {}):
+        found = components(links, **options).collect()
+        assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
+
+
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", "a", 3), (None, "One two", None, None, 7),
        (5, "one  TWO", "en", "b", 8), (5, "one  TWO", "en", "b", 8), (6, "É é", "fr", None, 3), (7, "é É", "fr", "b", 3),
        (None, "alone here we are now", "en", "c", 9), (9, "word " * 30_000, "en", "a", 150_000)]
