@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import null_safe_equal
+from strandline.operators.joins import attach_group_facts
 from strandline.operators.ranking import prefix_sums
 from strandline.session import staged
 
@@ -20,6 +21,8 @@ from strandline.session import staged
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
 INTRODUCTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*a écrit|el\b.*escribió)\s*:\s*$"
 KEY = ["conv_id", "turn"]
+#: Messages that meet in one task because they quote one passage or answer one thread; more are spread.
+ROWS_TOGETHER = 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -55,37 +58,45 @@ def units(texts: DataFrame, content: str, *keep: str) -> DataFrame:
     return found.select(*keep, F.xxhash64("unit").alias("hash"), F.length("unit").alias("length"))
 
 
-def reply_links(runs: DataFrame, own: DataFrame) -> DataFrame:
+def reply_links(runs: DataFrame, own: DataFrame, rows_together: int = ROWS_TOGETHER) -> DataFrame:
     """``(conv_id, turn, reply_to, n_linked)``: the turn that a quoting message answers.
 
     A passage comes from the message of the conversation that holds it as its own
     text first, if that is an earlier turn. Of several the outermost level counts, then
     the longest passage, then the latest turn. One row per hash is joined, so a line
-    that very many messages share makes no pairs among them.
+    that very many messages share makes no pairs among them; the quotes of such a line
+    are spread over tasks by their turn.
     """
-    quoted = units(runs.where("level > 0"), "content", *KEY, "level")
+    quoted = units(runs.where("level > 0 and turn is not null"), "content", *KEY, "level")
     firsts = (units(own, "own_text", *KEY).where(F.col("turn").isNotNull())
               .groupBy("conv_id", "hash").agg(F.min("turn").alias("said")))
-    met = (quoted.alias("q").join(firsts.alias("o"), null_safe_equal("q", "o", ["conv_id", "hash"]))
-           .where("o.said < q.turn"))
-    best = F.min(F.struct(F.col("q.level").alias("level"), (-F.col("q.length")).alias("size"), (-F.col("o.said")).alias("said")))
-    return met.groupBy("q.conv_id", "q.turn").agg(best.alias("best"), F.count(F.lit(1)).alias("n_linked")).select(
+    asked = quoted.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    facts = staged(asked.alias("q").join(firsts.alias("o"), null_safe_equal("q", "o", ["conv_id", "hash"]), "left")
+                   .select("q.*", "o.said"), "passages")
+    met = attach_group_facts(quoted, facts, ["conv_id", "hash"], ["turn"], "n", rows_together).where("said < turn")
+    best = F.min(F.struct("level", (-F.col("length")).alias("size"), (-F.col("said")).alias("said")))
+    return met.groupBy(*KEY).agg(best.alias("best"), F.count(F.lit(1)).alias("n_linked")).select(
         "conv_id", "turn", (-F.col("best.said")).alias("reply_to"), "n_linked")
 
 
-def thread_roots(links: DataFrame) -> DataFrame:
+def thread_roots(links: DataFrame, rows_together: int = ROWS_TOGETHER) -> DataFrame:
     """``(conv_id, turn, root, depth)`` for every message that answers another.
 
     Pointers are doubled until all end at a message that answers none, so the number
-    of rounds grows with the logarithm of the longest thread.
+    of rounds grows with the logarithm of the longest thread. The messages of a crowded
+    thread are spread over tasks by their turn.
     """
     state = staged(links.select(*KEY, F.col("reply_to").alias("root"), F.lit(1).alias("depth")), "pointers")
     while True:
+        # Every message pointed at, with those that point at it counted, and where it points itself.
+        at = state.groupBy("conv_id", "root").agg(F.count(F.lit(1)).alias("n"))
         on = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.root") == F.col("b.turn"))
-        ahead = state.alias("a").join(state.alias("b"), on, "left")
+        steps = staged(at.alias("a").join(state.alias("b"), on, "left").select(
+            "a.*", F.col("b.root").alias("next"), F.col("b.depth").alias("further")), "steps")
+        ahead = attach_group_facts(state, steps, ["conv_id", "root"], ["turn"], "n", rows_together)
         moved = staged(ahead.select(
-            "a.conv_id", "a.turn", F.coalesce("b.root", "a.root").alias("root"),
-            (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), F.col("b.root").isNotNull().alias("went")), "pointers")
+            *KEY, F.coalesce("next", "root").alias("root"),
+            (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("went")), "pointers")
         if moved.where("went").isEmpty():
             return moved.select(*KEY, "root", "depth")
         state = moved.select(*KEY, "root", "depth")

@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -276,6 +277,26 @@ def test_quotes_are_linked_at_size(spark):
     assert tuple(found.agg(F.count(F.lit(1)), F.count_if(wrong), F.max("depth")).first()) == (20_000, 0, 9_999)
 
 
+@pytest.mark.parametrize("conversation", [1, None])
+def test_crowded_passages_and_threads_are_spread(spark, conversation):
+    """Hundreds of messages quote one line, hundreds answer one thread: divided or not, the links are the same."""
+    rows = [(conversation, 0, "u", "the shared line")] + [(conversation, t, "u", f"> the shared line\nanswer {t}") for t in range(1, 300)]
+    rows += [(conversation, 300 + t, "u", f"> answer {299 if t == 0 else f'next {t - 1}'}\nnext {t}") for t in range(20)]
+    rows += [(2, 0, "u", "> the shared line\nnot said before"), (2, None, "u", "> not said before")]
+    rows = [(c, t, r, x.replace("> answer next", "> next")) for c, t, r, x in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("message", F.xxhash64("text"))
+    runs = quotes.parse_levels(df)
+    own = runs.where("level = 0").select("conv_id", "turn", F.col("content").alias("own_text"))
+    want_links = {(conversation, t): 0 for t in range(1, 300)} | {(conversation, 300 + t): 299 + t for t in range(20)}
+    want_roots = {(conversation, t): (0, 1) for t in range(1, 300)} | {(conversation, 300 + t): (0, t + 2) for t in range(20)}
+    for options in ({"rows_together": 16}, {}):
+        links = quotes.reply_links(runs, own, **options)
+        assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in links.collect()} == want_links
+        roots = quotes.thread_roots(links, **options).collect()
+        assert len(roots) == len(want_roots)
+        assert {(r["conv_id"], r["turn"]): (r["root"], r["depth"]) for r in roots} == want_roots
+
+
 def plain_top(vectors, k, is_query):
     out = []
     for q, v in vectors:
