@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,14 +94,17 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _search(visitors: DataFrame, sizes: dict[int, int], points: DataFrame,
-            routes: list[tuple[int, int, float]], k: int) -> DataFrame:
+            routes: pd.DataFrame, k: int) -> DataFrame:
     """The k nearest points of each visitor (``rep, vector, reach, cell``) along the routes.
 
     A route ``(cell, to, low)`` sends the points of ``cell`` that are at least ``low``
-    from their pivot to the visitors of cell ``to``.
+    from their pivot to the visitors of cell ``to``. There are at most the square of
+    ``MAX_CELLS`` routes of 16 bytes, 16 MB, whatever the number of points.
     """
     spark = points.sparkSession
-    plan = F.broadcast(spark.createDataFrame(routes, "cell int, to int, low double"))
+    plan = F.broadcast(spark.createDataFrame(pa.table({
+        "cell": pa.array(routes["cell"], pa.int32()), "to": pa.array(routes["to"], pa.int32()),
+        "low": pa.array(routes["low"], pa.float64())})))
     sent = points.join(plan, "cell").where(F.col("radius") >= F.col("low"))
     load = {r["to"]: r["n"] for r in sent.groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
     shape = [(c, math.ceil(n / VISITOR_ROWS), math.ceil(load.get(c, 0) / POINT_ROWS)) for c, n in sizes.items()]
@@ -165,18 +169,23 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFram
     sizes, radii = {c["cell"]: c["n"] for c in cells}, {c["cell"]: c["r"] for c in cells}
 
     unbounded = points.select("rep", "vector", "cell", F.lit(float("inf")).alias("reach"))
-    hits = _best(_search(unbounded, sizes, points, [(c, c, 0.0) for c in sizes], k), k)
+    used = np.array(sorted(sizes))
+    hits = _best(_search(unbounded, sizes, points, pd.DataFrame({"cell": used, "to": used, "low": 0.0}), k), k)
     if len(cells) > 1:
         hits = staged(hits, "neighbour-hits")
         known = hits.groupBy("rep").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance2"))).alias("reach"))
         bounded = staged(points.join(known, "rep", "left").select("rep", "vector", "cell", F.coalesce(
             "reach", F.lit(float("inf"))).alias("reach")), "neighbour-reach")
         reach = {r["cell"]: r["reach"] for r in bounded.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}
-        far = np.sqrt(_distances(pivots, pivots))
+        far = np.sqrt(_distances(pivots[used], pivots[used]))
         # No point of a cell is nearer to a visitor than the pivots' distance less both radii.
-        lows = {(a, b): far[a, b] - (radii[b] + reach[b]) * (1 + SLACK) - SLACK for a in sizes for b in sizes if a != b}
-        routes = [(a, b, float(low)) for (a, b), low in lows.items() if low <= radii[a]]
-        if routes:
+        outer = np.array([radii[c] + reach[c] for c in used])
+        lows = far - outer[None, :] * (1 + SLACK) - SLACK
+        matters = lows <= np.array([radii[c] for c in used])[:, None]
+        np.fill_diagonal(matters, False)
+        cell, to = np.nonzero(matters)
+        if len(cell):
+            routes = pd.DataFrame({"cell": used[cell], "to": used[to], "low": lows[cell, to]})
             hits = _best(hits.unionAll(_search(bounded, sizes, points, routes, k)), k)
     return _expand(rows, reps, hits, k)
 
