@@ -129,8 +129,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, captured: st
                    bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Write ``pages`` (``page_id, url, html``) as archives with repeated payloads as revisits.
 
-    Payloads are joined to nothing: a page is a response unless its key is among the
-    revisits, so only responses carry their html, and html is never shuffled by digest.
+    A page is a response unless its id and digest are among the revisits. Html is shuffled
+    by that pair once, to leave out the revisits (never by digest alone, so copies of a
+    page do not meet), and only responses carry it into the archives.
     Records go to files by class of size, the longer the fewer to a file, so that a file
     has at most ``bytes_per_file`` bytes or a single record.
     """
@@ -264,7 +265,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write ``pages`` as archives, read them back, and return what the records say of each page."""
+    """Write ``pages`` as archives, read them back, and return what the records say of each page.
+
+    A null html is an empty payload, null ids and urls come back as null, and rows with the
+    same id are records each. No rows give no rows; other columns are not written.
+    """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, min_bytes)
