@@ -22,8 +22,10 @@ from strandline.operators.joins import attach_group_facts
 from strandline.session import staged
 
 SCALE, TOP = 64, 20
-#: Pivots, which are collected; queries of a block and data rows of a block.
-PIVOTS, QUERY_BLOCK, DATA_BLOCK = 64, 1024, 8192
+#: Pivots, which are collected.
+PIVOTS = 64
+#: Rows of a block of queries or data, at most, and the bytes of their numbers: long vectors make smaller blocks.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 16 << 20
 _AT_ONCE = 256
 #: Distances of each pivot that are collected beyond k, at most, where ids are shared.
 MOST_OWN = 1000
@@ -121,15 +123,24 @@ def _solve(queries: pa.Table, data: pa.Table, k: int, width: int) -> pa.Table:
     return pa.table([pa.array(rows[:, i]) for i in range(3)], names=names)
 
 
+def block_rows(width: int) -> int:
+    """Rows of a block of vectors of this width.
+
+    Every row is sent once to each block of the other side, so blocks of both sides are
+    as large as a task can hold: what is sent is queries times data times two over this.
+    """
+    return max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(width, 1))))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE, pivots: int = PIVOTS,
-          query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
+          query_block: int | None = None, data_block: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest integer inner products of each query.
 
     Candidates are all rows but those that bear the query's own id. Ties go to the
     smaller id. Query rows that share an id all ask, equal ones once, and the k largest
     of their answers together are the id's; as candidates all rows count. Fewer
     candidates than k give fewer rows, none give none. Every number that prunes is widened by a share of the longest vector, so
-    rounding never loses a row.
+    rounding never loses a row. Blocks have ``block_rows`` rows unless told otherwise.
     """
     spark = vectors.sparkSession
     python_tasks(spark)
@@ -139,6 +150,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
     schema = "query_id long, rank int, vec_id long, score long"
     if most is None:
         return spark.createDataFrame([], schema)
+    query_block, data_block = query_block or block_rows(width), data_block or block_rows(width)
     slack = 1e-6 * (1.0 + float(np.sqrt(most)))
     drawn = (rows.where(hash_share(F.col("vec_id"), F.lit("pivot")) < 4.0 * pivots / rows.count())
              .orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(pivots).collect()) or rows.limit(1).collect()
@@ -159,7 +171,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
     askers = _lifted(drawn[:-(-n_asked // query_block)], most, False)
     between = _distances(askers, centres)
     queries = staged(asked.withColumn("at", _nearest(askers, most, width, False)).select("vec_id", "v", "own", "at.*"), "queries")
-    data = staged(rows.withColumn("at", _nearest(centres, most, width, True)).select("vec_id", "v", "at.*"), "data")
+    # Copies of a row are told apart by a number, so that they are divided among blocks like other rows.
+    data = staged(rows.withColumn("at", _nearest(centres, most, width, True))
+                  .select("vec_id", "v", "at.*", F.monotonically_increasing_id().alias("row")), "data")
 
     # Summaries, as many rows as pivots. More distances than k, as a query never meets rows of its own id.
     in_cell = Window.partitionBy("cell").orderBy("distance")
@@ -178,17 +192,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
     shape = [(i, -(-r["n"] // query_block), max(1, -(-load.get(i, 0) // data_block))) for i, r in cells.items()]
     blocks = F.broadcast(spark.createDataFrame(shape, "query_cell int, query_blocks int, data_blocks int"))
 
-    def one(count: str) -> Column:
-        return F.pmod(F.xxhash64("vec_id", "v", F.lit(count)), F.col(count)).cast("int")
+    def one(count: str, *row: str) -> Column:
+        return F.pmod(F.xxhash64(*row, F.lit(count)), F.col(count)).cast("int")
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     at = ["query_cell", "query_part", "data_part"]
     left = (queries.withColumnRenamed("cell", "query_cell").join(blocks, "query_cell")
-            .withColumn("query_part", one("query_blocks")).withColumn("data_part", every("data_blocks"))
+            .withColumn("query_part", one("query_blocks", "vec_id", "v")).withColumn("data_part", every("data_blocks"))
             .select(*at, "vec_id", "v"))
-    right = (sent.join(blocks, "query_cell").withColumn("data_part", one("data_blocks"))
+    right = (sent.join(blocks, "query_cell").withColumn("data_part", one("data_blocks", "row"))
              .withColumn("query_part", every("query_blocks")).select(*at, "vec_id", "v"))
 
     def solve(queries: pa.Table, data: pa.Table) -> pa.Table:

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html
 import re
+import uuid
 
 import duckdb
 import numpy as np
@@ -317,6 +318,30 @@ def test_search_equals_brute_force(spark):
         assert sorted(map(tuple, found)) == plain_top(whole, settings.get("k", 7), lambda i: i % 6 == 0), settings
 
 
+def test_search_divides_copies_of_a_row(spark, monkeypatch, tmp_path):
+    # One row makes up most of the table; its copies all count, and no block holds all of them.
+    rows = [(i, [float(i % 7), 1.0]) for i in range(40)] + [(3, [3.0, 5.0])] * 400
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    folder, plain = str(tmp_path), topk._solve
+
+    def watched(queries, data, k, width):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(data.num_rows))
+        return plain(queries, data, k, width)
+
+    monkeypatch.setattr(topk, "_solve", watched)
+    found = topk.top_k(df, F.col("vec_id") % 20 == 0, data_block=50).collect()
+    whole = [(i, [int(64 * x) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, found)) == plain_top(whole, 20, lambda i: i % 20 == 0)
+    sizes = [int(path.read_text()) for path in tmp_path.iterdir()]
+    assert sum(sizes) >= 400 and max(sizes) < 120
+
+
+def test_blocks_of_long_vectors_are_smaller():
+    assert topk.block_rows(0) == topk.block_rows(64) == 8192 and topk.block_rows(4096) == 512
+    assert topk.block_rows(10**7) == 1
+
+
 def test_search_merges_queries_that_share_an_id(spark, tmp_path):
     rng = np.random.default_rng(5)
     spread = np.concatenate([rng.normal(c, 0.05, (60, 3)) for c in (-2, 0.1, 1, 4)])
