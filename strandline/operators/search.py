@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from contextvars import copy_context
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 from strandline.config import SEARCH_PARALLELISM, SEARCH_TRIALS
 from strandline.operators.models import decision_tree, logistic_regression, random_forest
 from strandline.operators.tpe import Choice, LogNormal, Sampler, Uniform
-from strandline.session import in_parallel
+from strandline.session import in_parallel, in_thread
 
 # The families of the search space and the penalties each may draw.
 FAMILIES = ("dtree", "rf", "logreg", "logregnone", "logregLl", "logregSG", "logregSGN")
@@ -149,7 +147,6 @@ def sequential_search(spark: SparkSession, folds: list[Fold], n: int = SEARCH_TR
     """
     sizes = [fold.train.count() for fold in folds]
     evaluate = evaluate or (lambda trial: cross_validated(folds, lambda n_rows: build(trial, n_rows), sizes))
-    run = inheritable_thread_target(spark)(evaluate)
     sampler, trials, places, running, found = Sampler(space, seed), [], [], [], []
     with ThreadPool(parallelism) as pool:
         for i in range(n):
@@ -159,7 +156,7 @@ def sequential_search(spark: SparkSession, folds: list[Fold], n: int = SEARCH_TR
             trial, place = sampler.propose()
             trials.append(trial)
             places.append(place)
-            running.append(pool.apply_async(copy_context().run, (run, trial)))
+            running.append(pool.apply_async(in_thread(spark, evaluate), (trial,)))
         found += [job.get() for job in running[len(found):]]
     return _table(spark, trials, found)
 

@@ -128,12 +128,21 @@ def staging(spark: SparkSession) -> Iterator[list[str]]:
             _remove(spark, path)
 
 
+def in_thread(spark: SparkSession, fn: Callable) -> Callable:
+    """``fn`` for one call in another thread, in the scope and with a copy of the local properties of this one.
+
+    What is wrapped once hands the same properties to all its calls. Calls at the same
+    time would then see each other's SQL executions begin and end, and fail.
+    """
+    context, run = copy_context(), inheritable_thread_target(spark)(fn)
+    return lambda *args: context.run(run, *args)
+
+
 def in_parallel(spark: SparkSession, fn: Callable, items: Iterable, threads: int) -> list:
     """``fn`` of each item, a few at a time; what they stage belongs to the scope around the call."""
-    run = inheritable_thread_target(spark)(fn)
-    jobs = [(copy_context(), item) for item in items]
+    jobs = [(in_thread(spark, fn), item) for item in items]
     with ThreadPool(threads) as pool:
-        return pool.starmap(lambda context, item: context.run(run, item), jobs, chunksize=1)
+        return pool.starmap(lambda run, item: run(item), jobs, chunksize=1)
 
 
 _shared: dict[tuple, object] = {}

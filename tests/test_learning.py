@@ -1,6 +1,7 @@
 """Scaling, splitting, neighbours, oversampling, metrics, models and search."""
 
 import random
+import threading
 import time
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.config import SEARCH_TRIALS
 from strandline.operators import metrics, models, neighbours, prepare, ranking, search, smote, tpe
 from strandline.plans import catalogue, training
-from strandline.session import new_path, staging
+from strandline.session import in_parallel, new_path, staging
 
 COLUMNS = ["u", "v"]
 
@@ -316,6 +317,22 @@ def test_sequential_search_repeats_whatever_the_fits_take(spark):
     assert runs[0] == runs[1] and len({r.trial for r in runs[0]}) == 40
 
 
+def test_parallel_calls_do_not_share_local_properties(spark):
+    """Else a call may find the SQL execution that it just began ended by another, and its fit fails."""
+    together = threading.Barrier(4)
+
+    def own(i):
+        together.wait(60)
+        spark.sparkContext.setLocalProperty("strandline.own", str(i))
+        together.wait(60)
+        return spark.sparkContext.getLocalProperty("strandline.own") == str(i)
+
+    assert all(in_parallel(spark, own, range(4), 4))
+    seen = search.sequential_search(spark, [], 4, parallelism=4, evaluate=lambda trial: {
+        name: float(own(id(trial))) for name in search.METRICS}).collect()
+    assert {r["value"] for r in seen} == {1.0}
+
+
 def test_proposals_keep_to_the_space():
     sampler = tpe.Sampler(search.SPACE, 5)
     for i in range(150):
