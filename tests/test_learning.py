@@ -90,6 +90,27 @@ def test_neighbours_in_many_columns(spark):
     assert written < (5 + 12) * points.nbytes  # the five neighbours of each point, and a few copies of the points
 
 
+def test_points_are_sent_to_blocks_of_cells(spark, monkeypatch):
+    """In many columns each point matters to each cell; it is sent once to a block of cells, not to each of them."""
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 20)
+    rows = []
+
+    def counted(visitors, sizes, points, lows, used, group_of, *rest):
+        rows.append((len(used), int(group_of.max()) + 1))
+        return search(visitors, sizes, points, lows, used, group_of, *rest)
+
+    search = neighbours._search
+    monkeypatch.setattr(neighbours, "_search", counted)
+    points = np.random.default_rng(8).normal(size=(600, 30))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+    found = neighbours.nearest_neighbours(df, "id", "vector", 5).select("key", "rank", "neighbour").collect()
+    far = ((points[:, None, :] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    assert sorted(map(tuple, found)) == [
+        (i, n + 1, j) for i, row in enumerate(np.argsort(far, axis=1)[:, :5].tolist()) for n, j in enumerate(row)]
+    assert rows[0][0] == rows[0][1] > 20 and rows[1][1] == 1
+
+
 def test_unusable_coordinates_are_refused(spark):
     for bad in ([None, 1.0], [float("nan"), 1.0], None):
         df = spark.createDataFrame([(1, [0.0, 0.0]), (2, bad)], "id long, vector array<double>")
