@@ -9,7 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandline.operators import approximate, metrics, neighbours, profile, smote
+from strandline.config import PanelSpec
+from strandline.operators import approximate, metrics, modes, neighbours, profile, smote
 from strandline.session import staging
 
 
@@ -136,3 +137,18 @@ def test_many_columns_take_one_scan(spark, tmp_path):
     found = profile.correlation_matrix(spark.read.parquet(path), [f"x{i}" for i in range(180)])
     assert plan_of(found).count("Scan parquet") == 2  # in the tree and in its details, once each
     assert found.count() == 180 * 179 // 2
+
+
+def test_values_of_modes_are_counted_without_a_sort(spark):
+    """Records order by time, then id, nulls first, at the ends of both ranges too."""
+    rows = spark.sql("""select * from values (1, date'2020-01-01', 5L, 'a'), (1, date'2020-01-01', -9223372036854775808L, 'b'),
+        (2, null, 3L, 'x'), (2, date'0001-01-01', 1L, 'w'), (3, date'9999-12-31', 9223372036854775807L, 'q'),
+        (3, date'9999-12-31', null, 'r'), (4, null, null, 'n'), (4, null, 1L, 'm') as t(e, d, r, v)""")
+    for df in (rows, rows.withColumn("d", F.col("d").cast("timestamp"))):
+        found = modes.entity_modes(df, PanelSpec("e", "d", "r"), ["v"])
+        assert sorted(found.collect()) == [(1, "b"), (2, "x"), (3, "r"), (4, "n")]
+        counting = plan_of(found).split("Expand")[0].rsplit("Exchange", 1)[1]  # between the rows and the first shuffle
+        assert "HashAggregate" in counting and "SortAggregate" not in counting
+    # Ids of other types keep the order that they have.
+    named = rows.withColumn("r", F.concat(F.lit("k"), F.col("r")))
+    assert dict(modes.entity_modes(named, PanelSpec("e", "d", "r"), ["v"]).collect())[3] == "r"
