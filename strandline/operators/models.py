@@ -29,7 +29,8 @@ from strandline.session import new_path
 from strandline.sources.statements import read_names, write_names
 
 #: Memory for the statistics of the nodes that one pass over the rows splits: deep trees take a pass for each share of it.
-NODE_MEMORY_MB = 2048
+#: Each task of an executor holds as much, and its rows and the merged statistics besides.
+NODE_MEMORY_MB = 512
 #: The trees searched through have no limit of depth; this is the deepest that Spark grows.
 MAX_DEPTH = 30
 ROLES = {"featuresCol": "features", "labelCol": "target", "predictionCol": "predicted"}

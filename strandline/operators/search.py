@@ -107,10 +107,15 @@ def cross_validated(folds: list[Fold], make: Callable[[int], Estimator], rows: l
     """Means of the metrics over the folds; folds without held-out rows do not count, without any all are NaN.
 
     ``make`` builds the estimator for a number of training rows; ``rows`` has these
-    numbers, if they are known already.
+    numbers, if they are known already. The folds run at the same time: a fit is many
+    short jobs of few tasks, which leave most cores idle if one fold waits for another.
     """
-    found = [_fold_metrics(make(n).fit(fold.train).transform(fold.held_out))
-             for fold, n in zip(folds, rows or [f.train.count() for f in folds])]
+    def measured(case: tuple[Fold, int]) -> dict[str, float] | None:
+        fold, n = case
+        return _fold_metrics(make(n).fit(fold.train).transform(fold.held_out))
+
+    cases = list(zip(folds, rows or [f.train.count() for f in folds]))
+    found = in_parallel(folds[0].train.sparkSession, measured, cases, len(cases)) if cases else []
     present = [m for m in found if m]
     return {name: sum(m[name] for m in present) / len(present) if present else float("nan") for name in METRICS}
 
