@@ -90,6 +90,26 @@ def test_neighbours_in_many_columns(spark):
     assert written < (5 + 12) * points.nbytes  # the five neighbours of each point, and a few copies of the points
 
 
+def test_coordinates_are_joined_to_drawn_neighbours_only(spark):
+    """What the search writes does not grow with the neighbours of a row, nor with the copies of a point."""
+    rng = np.random.default_rng(11)
+    points = np.repeat(rng.normal(size=(300, 40)), 6, axis=0)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+    asked = spark.createDataFrame([(i, 1 + i % 5, i // 7) for i in range(0, 1800, 7)], "key long, rank int, copy int")
+    with staging(spark) as staged:
+        found = neighbours.nearest_neighbours(df, "id", "vector", 5, pairs=asked)
+        got = {r["key"]: r for r in found.collect()}
+        places = [p for p in staged if "neighbour-found" in p]
+        written = sum(f.stat().st_size for p in places for f in Path(p).glob("*.parquet"))
+        every = {(r["key"], r["rank"]): r for r in neighbours.nearest_neighbours(df, "id", "vector", 5).collect()}
+    assert len(got) == asked.count() and len(every) == 5 * 1800
+    for key, r in got.items():
+        assert r["copy"] == key // 7 and r["vector"] == points[key].tolist()
+        assert r["neighbour"] == every[key, r["rank"]]["neighbour"]
+        assert r["neighbour_vector"] == every[key, r["rank"]]["neighbour_vector"] == points[r["neighbour"]].tolist()
+    assert written < 2 * 300 * 40 * 8  # one vector a point, not one for each candidate besides
+
+
 def test_points_are_sent_to_blocks_of_cells(spark, monkeypatch):
     """In many columns each point matters to each cell; it is sent once to a block of cells, not to each of them."""
     monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 20)
