@@ -33,7 +33,7 @@ MAX_CELLS = 1_024  # pivots and pairs of cells are known to the driver; beyond i
 VISITOR_ROWS, POINT_ROWS = 4_000, 16_000  # rows of the two sides of a block, at least as the most that it may hold
 BLOCK_BYTES = 48 << 20  # coordinates of one side of a block, at most
 BLOCKS_PER_CORE = 3
-DISTANCES = 4_000_000  # rough distances that a task holds at a time
+ASKING, ASKED = 256, 4_096  # rows of a matrix of rough distances, which fits a core's cache
 SLACK = 1e-9  # rounding must not rule out a point
 
 
@@ -63,37 +63,82 @@ def _in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
         assign, f"rep {dict(reps.dtypes)['rep']}, vector array<double>, cell int, radius double")
 
 
-def _nearest(left: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest points of each visitor in one block, none beyond its reach; ``ids`` ascend."""
-    size = (vectors**2).sum(axis=1)
+def _rough_hits(asking: np.ndarray, reach2: np.ndarray, points: np.ndarray, k: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (asking row, point) that may be among the k + 1 nearest points of the row and within its reach.
+
+    Distances are rough, as products of matrices of ``kind``; what their rounding leaves
+    open stays in. Points come in chunks, and each chunk is held against the best so far.
+    """
+    mine, theirs = (asking**2).sum(axis=1), (points**2).sum(axis=1)
+    # Without the size of the asking row, which moves all its distances alike.
+    left = np.hstack([-2 * asking, np.ones((len(asking), 1))]).astype(kind)
+    right = np.hstack([points, theirs[:, None]]).astype(kind)
+    error = 4 * (points.shape[1] + 16) * np.finfo(kind).eps * (mine + theirs.max())
+    limit, best = reach2 - mine + error, np.full((len(asking), k + 1), np.inf)
+
+    def most() -> np.ndarray:
+        return np.nextafter(np.minimum(limit, best.max(axis=1) + 2 * error).astype(kind), kind(np.inf))
+
+    rows, hits, at = [], [], []
+    for start in range(0, len(points), ASKED):
+        rough = left @ right[start:start + ASKED].T
+        if start == 0:
+            width = min(k + 1, rough.shape[1])
+            best[:, :width] = np.partition(rough, width - 1, axis=1)[:, :width]
+        found = np.flatnonzero(rough <= most()[:, None])  # of a flat array: several times as fast
+        (r, h), value = np.divmod(found, rough.shape[1]), rough.ravel()[found]
+        if start and len(r):
+            order = np.lexsort((value, r))
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            new, first = np.full_like(best, np.inf), place <= k
+            new[r[first], place[first]] = value[order][first]
+            best = np.partition(np.hstack([best, new]), k, axis=1)[:, :k + 1]
+        rows.append(r)
+        hits.append(h + start)
+        at.append(value)
+    r, h = np.concatenate(rows), np.concatenate(hits)
+    stays = np.concatenate(at) <= most()[r]
+    return r[stays], h[stays]
+
+
+def nearest_rows(own: np.ndarray, asking: np.ndarray, reach: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest points of each asking row, none beyond its reach nor itself; ``ids`` ascend."""
     out = []
-    step = max(1, min(256, DISTANCES // len(ids)))
-    for start in range(0, len(left), step):
-        some = left.iloc[start:start + step]
-        own, points = some["rep"].to_numpy(), _matrix(some["vector"])
-        # A product of matrices gives distances up to rounding; those that may count are summed exactly.
-        mine = (points**2).sum(axis=1)
-        rough = mine[:, None] + size[None] - 2 * (points @ vectors.T)
-        near = (some["reach"].to_numpy(dtype=float) * (1 + SLACK) + SLACK) ** 2
-        at = np.searchsorted(ids, own).clip(max=len(ids) - 1)
-        itself = np.flatnonzero(ids[at] == own)
-        rough[itself, at[itself]] = np.inf
-        last = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(own), np.inf)
-        rounding = SLACK * (mine + size.max())
-        rows, hits = np.nonzero((rough <= (np.minimum(last, near) + rounding)[:, None]) & np.isfinite(rough))
+    fit = np.isfinite(vectors).all() and np.isfinite(asking).all()
+    centre = vectors.mean(axis=0) if fit else 0.0
+    centred = vectors - centre
+    small = fit and max(np.abs(centred).max(initial=0.0), np.abs(asking - centre).max(initial=0.0)) < 1e12
+    for start in range(0, len(own), ASKING):
+        mine, points = own[start:start + ASKING], asking[start:start + ASKING]
+        near = (reach[start:start + ASKING] * (1 + SLACK) + SLACK) ** 2
+        # Single precision rules out most points at half the cost, unless distances are small against the coordinates.
+        kinds = [np.float32, np.float64] if small else [np.float64]
+        for kind in kinds:
+            rows, hits = _rough_hits(points - centre, near, centred, k, kind)
+            if len(rows) <= 32 * (k + 1) * len(points):
+                break
+        at = np.searchsorted(ids, mine).clip(max=len(ids) - 1)
+        other = (hits != at[rows]) | (ids[at] != mine)[rows]
+        rows, hits = rows[other], hits[other]
+        # Those that may count are summed exactly.
         d2 = np.zeros(len(rows))
         for j in range(points.shape[1]):
             d2 += (points[rows, j] - vectors[hits, j]) ** 2
-        within = d2 <= near[rows]
+        within = (d2 <= near[rows]) & np.isfinite(d2)
         rows, hits, d2 = rows[within], hits[within], d2[within]
         order = np.lexsort((hits, d2, rows))
         rows, hits, d2 = rows[order], hits[order], d2[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        best = place < k
-        out.append(pd.DataFrame({"rep": own[rows[best]], "other": ids[hits[best]], "distance2": d2[best]}))
+        first = place < k
+        out.append(pd.DataFrame({"rep": mine[rows[first]], "other": ids[hits[first]], "distance2": d2[first]}))
     return pd.concat(out, ignore_index=True)
 
 
+def _nearest(left: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest points of each visitor in one block, none beyond its reach; ``ids`` ascend."""
+    return nearest_rows(left["rep"].to_numpy(), _matrix(left["vector"]), left["reach"].to_numpy(dtype=float), ids, vectors, k)
+
+
 def _block_rows(spark: SparkSession, rows: int, width: int) -> tuple[int, int]:
     """Rows of the two sides of a block: what memory allows, or fewer so that there are blocks for all cores."""
     most = max(1, BLOCK_BYTES // (8 * max(1, width)))

@@ -110,6 +110,23 @@ def test_coordinates_are_joined_to_drawn_neighbours_only(spark):
     assert written < 2 * 300 * 40 * 8  # one vector a point, not one for each candidate besides
 
 
+def test_rough_distances_are_ranked_once(monkeypatch):
+    """Far from the origin, with copies and ties, the nearest rows are exact; only a first chunk is partitioned in full."""
+    rng = np.random.default_rng(12)
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **named: (sizes.append(a.size), partition(a, *rest, **named))[1])
+    for points in (rng.normal(size=(20_000, 20)), rng.normal(size=(9_000, 2)).round(1), 1e6 + rng.normal(size=(9_000, 3)) / 1e3):
+        ids, own = np.arange(len(points)) * 2, rng.choice(len(points), 40, replace=False)
+        sizes.clear()
+        found = neighbours.nearest_rows(ids[own], points[own], np.full(40, np.inf), ids, points, 5)
+        far = ((points[own, None, :] - points[None]) ** 2).sum(axis=2)
+        far[np.arange(40), own] = np.inf
+        exact = np.sort(far, axis=1)[:, :5]
+        assert np.allclose(found["distance2"].to_numpy().reshape(40, 5), exact, rtol=1e-9, atol=0)
+        assert found["rep"].tolist() == np.repeat(ids[own], 5).tolist()
+    assert sum(sizes) < 2 * 40 * 9_000
+
+
 def test_points_are_sent_to_blocks_of_cells(spark, monkeypatch):
     """In many columns each point matters to each cell; it is sent once to a block of cells, not to each of them."""
     monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 20)
