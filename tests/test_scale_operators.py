@@ -2,6 +2,7 @@
 
 import io
 from contextlib import redirect_stdout
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -66,6 +67,19 @@ def test_forest_refuses_and_takes_odd_input(spark):
     assert approximate.approximate_neighbours(df.limit(1), "id", "vector", 2).count() == 0
 
 
+def test_forest_writes_no_point_for_each_tree(spark, monkeypatch):
+    """Trees share their upper cuts by fours, and the points sent to their cells are not written."""
+    monkeypatch.setattr(approximate, "CELL_ROWS", 300)
+    sent, build = [], approximate._upper_cuts
+    monkeypatch.setattr(approximate, "_upper_cuts", lambda *args: (sent.append(args[-1]), build(*args))[1])
+    points = np.random.default_rng(5).normal(size=(1200, 40))
+    with staging(spark) as staged:
+        found = approximate.approximate_neighbours(frame(spark, points), "id", "vector", 5).select("key", "rank").collect()
+        written = sum(f.stat().st_size for p in staged for f in Path(p).glob("*.parquet"))
+    assert len(found) == len(set(found)) == 5 * 1200
+    assert sent == [0, 1, 2, 3] and written < 4 * points.nbytes
+
+
 def test_oversampling_with_the_forest(spark):
     rng = np.random.default_rng(4)
     rows = [(i, *map(float, p), int(i % 5 == 0)) for i, p in enumerate(rng.normal(size=(600, 2)))]
