@@ -12,16 +12,19 @@ that it may matter to, not to each visitor or cell; inside a block each cell onl
 at the points that it may need. Where nothing can be ruled out, as in very many
 dimensions, what is sent is the points times some blocks, as many as keep all cores
 busy, so it grows with the points; beyond what a block's memory holds it grows with
-their square over the block size. What is written stays linear.
+their square over the block size. Blocks are Arrow tables and read as flat arrays, with
+no copy for each cell, so they may hold many points. What is written stays linear.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +34,8 @@ from strandline.session import staged
 POINTS_PER_CELL = 500
 MAX_CELLS = 1_024  # pivots and pairs of cells are known to the driver; beyond it cells take more blocks
 VISITOR_ROWS, POINT_ROWS = 4_000, 16_000  # rows of the two sides of a block, at least as the most that it may hold
-BLOCK_BYTES = 48 << 20  # coordinates of one side of a block, at most
+BLOCK_BYTES = 96 << 20  # coordinates of one side of a block, at most
+SPARE = 0.1  # a block may hold so much more, rather than be divided
 BLOCKS_PER_CORE = 3
 ASKING, ASKED = 256, 4_096  # rows of a matrix of rough distances, which fits a core's cache
 SLACK = 1e-9  # rounding must not rule out a point
@@ -49,6 +53,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
+def _coordinates(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
 def _in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
     """The nearest pivot of each point and the distance to it."""
     def assign(batches):
@@ -63,24 +71,24 @@ def _in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
         assign, f"rep {dict(reps.dtypes)['rep']}, vector array<double>, cell int, radius double")
 
 
-def _rough_hits(asking: np.ndarray, reach2: np.ndarray, points: np.ndarray, k: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _rough_hits(asking: np.ndarray, reach2: np.ndarray, right: np.ndarray, farthest2: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (asking row, point) that may be among the k + 1 nearest points of the row and within its reach.
 
-    Distances are rough, as products of matrices of ``kind``; what their rounding leaves
-    open stays in. Points come in chunks, and each chunk is held against the best so far.
+    ``right`` has the points and their squares, none above ``farthest2``. Distances are
+    rough, as products of matrices of its kind; what their rounding leaves open stays in.
+    Points come in chunks, and each chunk is held against the best so far.
     """
-    mine, theirs = (asking**2).sum(axis=1), (points**2).sum(axis=1)
+    kind, mine = right.dtype.type, (asking**2).sum(axis=1)
     # Without the size of the asking row, which moves all its distances alike.
     left = np.hstack([-2 * asking, np.ones((len(asking), 1))]).astype(kind)
-    right = np.hstack([points, theirs[:, None]]).astype(kind)
-    error = 4 * (points.shape[1] + 16) * np.finfo(kind).eps * (mine + theirs.max())
+    error = 4 * (right.shape[1] + 15) * np.finfo(kind).eps * (mine + farthest2)
     limit, best = reach2 - mine + error, np.full((len(asking), k + 1), np.inf)
 
     def most() -> np.ndarray:
         return np.nextafter(np.minimum(limit, best.max(axis=1) + 2 * error).astype(kind), kind(np.inf))
 
     rows, hits, at = [], [], []
-    for start in range(0, len(points), ASKED):
+    for start in range(0, len(right), ASKED):
         rough = left @ right[start:start + ASKED].T
         if start == 0:
             width = min(k + 1, rough.shape[1])
@@ -101,24 +109,42 @@ def _rough_hits(asking: np.ndarray, reach2: np.ndarray, points: np.ndarray, k: i
     return r[stays], h[stays]
 
 
-def nearest_rows(own: np.ndarray, asking: np.ndarray, reach: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest points of each asking row, none beyond its reach nor itself; ``ids`` ascend."""
+def nearest_rows(own: np.ndarray, asking: np.ndarray, reach: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
+                 counts: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> pd.DataFrame:
+    """The k nearest points of each asking row, none beyond its reach nor itself; ``ids`` ascend.
+
+    ``counts`` says of pairs (asking row, point) whether they are hits; those that are
+    not still rule out what is farther away.
+    """
     out = []
     fit = np.isfinite(vectors).all() and np.isfinite(asking).all()
     centre = vectors.mean(axis=0) if fit else 0.0
     centred = vectors - centre
     small = fit and max(np.abs(centred).max(initial=0.0), np.abs(asking - centre).max(initial=0.0)) < 1e12
+    theirs = np.einsum("ij,ij->i", centred, centred)
+    del centred
+    sides: dict[type, np.ndarray] = {}
+
+    def side(kind: type) -> np.ndarray:
+        if kind not in sides:
+            sides[kind] = np.empty((len(vectors), vectors.shape[1] + 1), kind)
+            np.subtract(vectors, centre, out=sides[kind][:, :-1], casting="same_kind")
+            sides[kind][:, -1] = theirs
+        return sides[kind]
+
     for start in range(0, len(own), ASKING):
         mine, points = own[start:start + ASKING], asking[start:start + ASKING]
         near = (reach[start:start + ASKING] * (1 + SLACK) + SLACK) ** 2
         # Single precision rules out most points at half the cost, unless distances are small against the coordinates.
         kinds = [np.float32, np.float64] if small else [np.float64]
         for kind in kinds:
-            rows, hits = _rough_hits(points - centre, near, centred, k, kind)
+            rows, hits = _rough_hits(points - centre, near, side(kind), theirs.max(), k)
             if len(rows) <= 32 * (k + 1) * len(points):
                 break
         at = np.searchsorted(ids, mine).clip(max=len(ids) - 1)
         other = (hits != at[rows]) | (ids[at] != mine)[rows]
+        if counts is not None:
+            other &= counts(start + rows, hits)
         rows, hits = rows[other], hits[other]
         # Those that may count are summed exactly.
         d2 = np.zeros(len(rows))
@@ -134,11 +160,6 @@ def nearest_rows(own: np.ndarray, asking: np.ndarray, reach: np.ndarray, ids: np
     return pd.concat(out, ignore_index=True)
 
 
-def _nearest(left: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest points of each visitor in one block, none beyond its reach; ``ids`` ascend."""
-    return nearest_rows(left["rep"].to_numpy(), _matrix(left["vector"]), left["reach"].to_numpy(dtype=float), ids, vectors, k)
-
-
 def _block_rows(spark: SparkSession, rows: int, width: int) -> tuple[int, int]:
     """Rows of the two sides of a block: what memory allows, or fewer so that there are blocks for all cores."""
     most = max(1, BLOCK_BYTES // (8 * max(1, width)))
@@ -146,21 +167,30 @@ def _block_rows(spark: SparkSession, rows: int, width: int) -> tuple[int, int]:
     return tuple(max(least, min(most, math.ceil(rows / sides))) for least in (VISITOR_ROWS, POINT_ROWS))
 
 
+def _parts(rows: int, most: int) -> int:
+    """The blocks that so many rows take, of ``most`` rows and little more."""
+    return max(int(rows > 0), math.ceil(rows / most - SPARE))
+
+
 def _near_cells(pivots: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
-    """A group for each cell: near cells together, up to ``rows`` points unless a single cell has more."""
-    group, waiting, made = np.zeros(len(sizes), dtype=int), [np.arange(len(sizes))], 0
+    """A group for each cell: near cells together, in as few groups as hold about ``rows`` points each.
+
+    Groups are cut between cells, so one may hold some part of a cell more. Halving
+    until all fit would leave most groups half empty, and points are sent to each group.
+    """
+    group, waiting, made = np.zeros(len(sizes), dtype=int), [(np.arange(len(sizes)), _parts(int(sizes.sum()), rows))], 0
     while waiting:
-        cells = waiting.pop()
-        if len(cells) == 1 or sizes[cells].sum() <= rows:
+        cells, parts = waiting.pop()
+        if len(cells) == 1 or parts <= 1:
             group[cells] = made
             made += 1
             continue
         widest = np.ptp(pivots[cells], axis=0).argmax()
         cells = cells[np.argsort(pivots[cells, widest], kind="stable")]
         upto = sizes[cells].cumsum()
-        half = int(np.searchsorted(upto, upto[-1] / 2)) + 1
-        half = min(max(1, half), len(cells) - 1)
-        waiting += [cells[half:], cells[:half]]
+        first = np.abs(upto[:-1] - upto[-1] * (parts // 2) / parts).argmin() + 1
+        for side in (cells[first:], cells[:first]):
+            waiting.append((side, _parts(int(sizes[side].sum()), rows)))
     return group
 
 
@@ -186,7 +216,7 @@ def _search(visitors: DataFrame, sizes: dict[int, int], points: DataFrame, lows:
     load = {r["to"]: r["n"] for r in sent.groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
     asks = {g: sum(sizes[c] for c in used[group_of == g]) for g in range(groups)}
     blocks = F.broadcast(spark.createDataFrame(
-        [(g, math.ceil(n / shape[0]), math.ceil(load.get(g, 0) / shape[1])) for g, n in asks.items()], "to int, groups int, parts int"))
+        [(g, _parts(n, shape[0]), _parts(load.get(g, 0), shape[1])) for g, n in asks.items()], "to int, groups int, parts int"))
     block, kind = ["to", "group", "part"], dict(points.dtypes)["rep"]
 
     def one(count):
@@ -202,22 +232,32 @@ def _search(visitors: DataFrame, sizes: dict[int, int], points: DataFrame, lows:
              .select(F.col("rep").alias("other"), F.col("vector").alias("other_vector"),
                      F.col("cell").alias("other_cell"), "radius", *block))
 
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame(columns=["rep", "other", "distance2"])]
-        if len(left) and len(right):
-            right = right.sort_values("other", kind="stable")  # ids are unique; equal distances: the lowest id first
-            ids, vectors = right["other"].to_numpy(), _matrix(right["other_vector"])
-            radius, place = right["radius"].to_numpy(), np.searchsorted(used, right["other_cell"].to_numpy())
-            for cell, some in left.groupby("cell", sort=False):
-                needed = radius >= lows[place, np.searchsorted(used, cell)]
-                if needed.all():
-                    found.append(_nearest(some, ids, vectors, k))
-                elif needed.any():
-                    found.append(_nearest(some, ids[needed], vectors[needed], k))
-        return pd.concat(found[1:], ignore_index=True) if len(found) > 1 else found[0]
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right["other"]
+        shown = pa.schema({"rep": ids.type, "other": ids.type, "distance2": pa.float64()})
+        if not (left.num_rows and right.num_rows):
+            return shown.empty_table()
+        order = pc.sort_indices(ids).to_numpy()  # ids are unique; equal distances: the lowest id first
+        ids, vectors = ids.to_numpy()[order], _coordinates(right["other_vector"])[order]
+        radius, place = right["radius"].to_numpy()[order], np.searchsorted(used, right["other_cell"].to_numpy()[order])
+        own, asking, reach = left["rep"].to_numpy(), _coordinates(left["vector"]), left["reach"].to_numpy()
+        column = np.searchsorted(used, left["cell"].to_numpy())
+        del left, right
+        found, together = [], np.zeros(len(own), dtype=bool)
+        for c in np.unique(column):
+            needed, some = radius >= lows[place, c], column == c
+            if 2 * np.count_nonzero(needed) >= len(needed):
+                together |= some  # cells that need most points look at all of them, without a copy for each cell
+            elif needed.any():
+                found.append(nearest_rows(own[some], asking[some], reach[some], ids[needed], vectors[needed], k))
+        if together.any():
+            column = column[together]
+            found.append(nearest_rows(own[together], asking[together], reach[together], ids, vectors, k,
+                                      lambda rows, hits: radius[hits] >= lows[place[hits], column[rows]]))
+        return pa.Table.from_pandas(pd.concat(found), shown, preserve_index=False) if found else shown.empty_table()
 
     return (asking.groupBy(*block).cogroup(asked.groupBy(*block))
-            .applyInPandas(nearest, f"rep {kind}, other {kind}, distance2 double"))
+            .applyInArrow(nearest, f"rep {kind}, other {kind}, distance2 double"))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -269,9 +309,9 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, pairs: Data
     hits = _best(_search(unbounded, sizes, points, own, used, np.arange(len(used)), shape, k), k)
     if len(cells) > 1:
         hits = staged(hits, "neighbour-hits")
-        known = hits.groupBy("rep").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance2"))).alias("reach"))
-        bounded = staged(points.join(known, "rep", "left").select("rep", "vector", "cell", F.coalesce(
-            "reach", F.lit(float("inf"))).alias("reach")), "neighbour-reach")
+        known = staged(hits.groupBy("rep").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance2"))).alias("reach")), "neighbour-reach")
+        bounded = points.join(known, "rep", "left").select("rep", "vector", "cell", F.coalesce(
+            "reach", F.lit(float("inf"))).alias("reach"))
         reach = {r["cell"]: r["reach"] for r in bounded.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}
         far = np.sqrt(_distances(pivots[used], pivots[used]))
         # No point of a cell is nearer to a visitor than the pivots' distance less both radii.

@@ -148,6 +148,40 @@ def test_points_are_sent_to_blocks_of_cells(spark, monkeypatch):
     assert rows[0][0] == rows[0][1] > 20 and rows[1][1] == 1
 
 
+def test_blocks_are_full_and_as_many_at_six_times_the_rows(spark, monkeypatch):
+    """Points are sent to each block of the other side: few blocks, and no more of them before memory asks for it."""
+    monkeypatch.setattr(neighbours, "BLOCKS_PER_CORE", 36 / spark.sparkContext.defaultParallelism)
+    rng = np.random.default_rng(13)
+    pivots, shares, sent = rng.normal(size=(1_000, 47)), rng.uniform(0.2, 1.8, size=1_000), []
+    for points in (235_000, 1_410_000):
+        sizes = (shares * points / 1_000).astype(int)
+        visitors, asked = neighbours._block_rows(spark, int(sizes.sum()), 47)
+        group = neighbours._near_cells(pivots, sizes, visitors)
+        held = np.bincount(group, sizes)
+        assert held.max() * 47 * 8 <= neighbours.BLOCK_BYTES * 1.1
+        blocks = sum(neighbours._parts(int(n), visitors) for n in held)
+        sent.append(blocks + neighbours._parts(int(sizes.sum()), asked))
+    assert sent == [12, 12]
+
+
+def test_crowded_cells_take_blocks_of_their_own():
+    sizes = np.array([10] * 50 + [5_000] + [10] * 49)
+    group = neighbours._near_cells(np.arange(100.0)[:, None], sizes, 100)
+    held = np.bincount(group, sizes)
+    assert sorted(set(group)) == list(range(len(held))) and held.sum() == sizes.sum()
+    assert sorted(held)[-2] <= 120 and 10 <= len(held) <= 15
+
+
+def test_reach_of_a_point_is_written_without_its_coordinates(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 100)
+    points = np.random.default_rng(14).normal(size=(1_200, 40))
+    with staging(spark) as staged:
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>")
+        assert neighbours.nearest_neighbours(df, "id", "vector", 5).count() == 5 * 1_200
+        found = [spark.read.parquet(p).columns for p in staged if "neighbour-reach" in p]
+    assert found == [["rep", "reach"]]
+
+
 def test_unusable_coordinates_are_refused(spark):
     for bad in ([None, 1.0], [float("nan"), 1.0], None):
         df = spark.createDataFrame([(1, [0.0, 0.0]), (2, bad)], "id long, vector array<double>")
