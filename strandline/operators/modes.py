@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,9 @@ from pyspark.sql import types as T
 from strandline.config import PanelSpec
 from strandline.functions.columns import quoted
 
+ROWS_TOGETHER = 2_000_000  # rows of an entity that a task may be given at once
+VALUES_PER_TASK = 2_000_000  # values counted in the memory of a task, where rows are brought together
+
 
 def _moment(df: DataFrame, spec: PanelSpec) -> Column:
     """A value that orders records as (time, row id) does, nulls first.
@@ -35,7 +40,21 @@ def _moment(df: DataFrame, spec: PanelSpec) -> Column:
     return at * number(2**65) + place
 
 
-def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str = "first_seen") -> DataFrame:
+def _gathered(df: DataFrame, spec: PanelSpec, columns: list[str], rows_together: int) -> DataFrame | None:
+    """The keys and columns partitioned by entity, or None if an entity has more than ``rows_together`` rows."""
+    each = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("n"))
+    size = each.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (size["most"] or 0) > rows_together:
+        return None
+    rows, tasks = df.select(*spec.keys, *quoted(columns)), math.ceil((size["all"] or 0) * len(columns) / VALUES_PER_TASK)
+    if tasks <= 1:
+        return rows.repartition(spec.entity)
+    # A fixed number: what adaptive execution merges by bytes may be too many values to count in memory.
+    return rows.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), spec.entity)
+
+
+def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str = "first_seen",
+                 gather: bool = False, rows_together: int = ROWS_TOGETHER) -> DataFrame:
     """``mode_<column>`` per entity for any number of columns, with two shuffles in all.
 
     Null counts as a value. Among equally frequent values the one seen first wins, by
@@ -45,13 +64,24 @@ def entity_modes(df: DataFrame, spec: PanelSpec, columns: list[str], ties: str =
     Values are counted per (entity, column, value) before they meet on the entity,
     and the best of them is found map-side, so an entity with very many rows or
     values sends one row per task.
+
+    Where entities have few rows there is little to combine, and a row is sent for each
+    of its values. With ``gather`` the rows of each entity are counted first; if none has
+    more than ``rows_together``, a row is sent once, as it is, and nothing after it.
     """
     if ties not in ("first_seen", "lowest"):
         raise ValueError(f"unknown tie rule {ties!r}")
     types = dict(df.dtypes)
     common = "double" if all(types[c] not in ("string", "date") for c in columns) else "string"
-    values = (df.select(spec.entity, _moment(df, spec).alias("__moment"), *[F.col(f"`{c}`").cast(common).alias(c) for c in columns])
-              .unpivot([spec.entity, "__moment"], quoted(columns), "column", "value"))
+    alike = [F.col(f"`{c}`").cast(common).alias(c) for c in columns]
+    together = _gathered(df, spec, columns, rows_together) if gather else None
+    if together is None:
+        values = (df.select(spec.entity, _moment(df, spec).alias("__moment"), *alike)
+                  .unpivot([spec.entity, "__moment"], quoted(columns), "column", "value"))
+    else:
+        # Unlike ``unpivot`` this keeps the rows partitioned by entity.
+        pairs = [F.struct(F.lit(c).alias("column"), value.alias("value")) for c, value in zip(columns, alike)]
+        values = together.select(spec.entity, _moment(df, spec).alias("__moment"), F.inline(F.array(*pairs)))
     counts = values.groupBy(spec.entity, "column", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("__moment").alias("first"))
     parts = [(-F.col("n")).alias("n"), *(["first"] if ties == "first_seen" else []), F.col("value")]

@@ -67,7 +67,7 @@ class FeaturePlan:
         parts = [self.imputer.transform(statistics).drop(*self.names)]
         modes = [c for c in self.rules.modes if c in panel.columns]
         if modes:
-            parts.append(entity_modes(self.cleaning.transform(panel), self.spec, modes))
+            parts.append(entity_modes(self.cleaning.transform(panel), self.spec, modes, gather=True))
         return inner_join_all([*parts, date_features(panel, self.spec)], self.spec.entity)
 
 

@@ -135,6 +135,33 @@ def test_modes_take_two_shuffles_for_any_number_of_columns(spark):
     assert exchanges(df) == 2 and "Join" not in plan(df)
 
 
+def test_gathered_rows_are_sent_once_for_all_modes(spark, monkeypatch):
+    """The same modes as of values that are sent one by one; a crowded entity is not brought together."""
+    panel = spark.createDataFrame(
+        [(e, dt.date(2020, 1, d), r, a, b) for e, d, r, a, b in [
+            (1, 3, 1, "x", 1.0), (1, 1, 2, "y", 2.0), (1, 2, 3, None, None), (2, 1, 4, None, 1.0), (2, 1, 5, None, 3.0),
+            (None, 1, 6, "z", 1.0), (None, 2, 7, "w", 1.0), (None, 2, 8, "w", None), (3, 5, 9, "q", 2.0), (3, 5, 10, "p", 2.0)]],
+        "e long, d date, r long, `a.b` string, c double")
+    spec, columns = PanelSpec("e", "d", "r"), ["a.b", "c"]
+    for ties in ("first_seen", "lowest"):
+        sent = modes.entity_modes(panel, spec, columns, ties)
+        together = modes.entity_modes(panel, spec, columns, ties, gather=True)
+        assert (exchanges(sent), exchanges(together)) == (2, 1)
+        expected = sorted(sent.collect(), key=str)
+        assert sorted(together.collect(), key=str) == expected and len(expected) == 4
+        crowded = modes.entity_modes(panel, spec, columns, ties, gather=True, rows_together=2)
+        assert exchanges(crowded) == 2 and sorted(crowded.collect(), key=str) == expected
+        with monkeypatch.context() as patch:
+            patch.setattr(modes, "VALUES_PER_TASK", 5)
+            spread = modes.entity_modes(panel, spec, columns, ties, gather=True)
+            assert exchanges(spread) == 1 and sorted(spread.collect(), key=str) == expected
+    assert modes.entity_modes(panel.limit(0), spec, columns, gather=True).count() == 0
+
+
+def test_feature_table_sends_a_row_once_for_its_modes(spark):
+    assert "Expand" not in plan(QUERIES["feature_table"](spark, DATA))
+
+
 def test_only_needed_columns_are_read_and_filters_reach_the_scan(spark):
     text = plan(QUERIES["filter_entity"](spark, DATA))
     assert "EqualTo(o_custkey,99)" in text
