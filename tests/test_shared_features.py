@@ -1,0 +1,27 @@
+"""Saved pipelines of equal feature plans are applied to a panel together."""
+
+from pyspark.sql import functions as F
+
+from strandline.config import PanelSpec
+from strandline.operators import models
+from strandline.plans import artefact, training
+from strandline.plans.features import FeaturePlan
+
+
+def test_pipelines_of_equal_plans_share_their_features(spark, monkeypatch):
+    panel = spark.createDataFrame(
+        [(c, f"2020-0{1 + d}-11", float(c * d % 7), float(c % 5 + d)) for c in range(60) for d in range(4)],
+        "customer_ID int, S_2 string, P_2 double, B_1 double").withColumn("S_2", F.to_date("S_2"))
+    plans = [FeaturePlan(PanelSpec()) for _ in range(2)]
+    features = [p.fit_transform(panel) for p in plans][0]
+    other = FeaturePlan(PanelSpec())
+    other.fit_transform(panel.where("customer_ID < 50").withColumn("P_2", F.when(F.col("customer_ID") > 3, F.col("P_2"))))
+    data = training.prepare_training(features.withColumn("target", (F.col("customer_ID") % 3 == 0).cast("int")), "customer_ID")
+    scorers = [training.scorer(data), training.scorer(data, estimator=models.decision_tree(max_depth=4))]
+    calls = []
+    monkeypatch.setattr(FeaturePlan, "transform", lambda self, df, f=FeaturePlan.transform: (calls.append(self), f(self, df))[1])
+    wholes = [artefact.whole_pipeline(p, s) for p in (*plans, other) for s in scorers]
+    together = artefact.scored_together(wholes, panel)
+    assert len(calls) == 2  # of the three plans two are equal; one by one it would be six
+    for whole, found in zip(wholes, together):
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, artefact.scored(whole, panel).collect()))
