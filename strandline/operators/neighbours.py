@@ -34,6 +34,7 @@ from strandline.session import staged
 POINTS_PER_CELL = 500
 MAX_CELLS = 1_024  # pivots and pairs of cells are known to the driver; beyond it cells take more blocks
 VISITOR_ROWS, POINT_ROWS = 4_000, 16_000  # rows of the two sides of a block, at least as the most that it may hold
+ALONE_ROWS = 8_000  # points that one task compares by itself
 BLOCK_BYTES = 96 << 20  # coordinates of one side of a block, at most
 SPARE = 0.1  # a block may hold so much more, rather than be divided
 BLOCKS_PER_CORE = 3
@@ -260,6 +261,23 @@ def _search(visitors: DataFrame, sizes: dict[int, int], points: DataFrame, lows:
             .applyInArrow(nearest, f"rep {kind}, other {kind}, distance2 double"))
 
 
+def _search_alone(reps: DataFrame, k: int) -> DataFrame:
+    """The k nearest other points of each of so few points that one task compares all: no cells, no routes, no jobs for them."""
+    kind = dict(reps.dtypes)["rep"]
+
+    def nearest(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            order = pc.sort_indices(table["rep"]).to_numpy()
+            ids, vectors = table["rep"].to_numpy()[order], _coordinates(table["vector"])[order]
+            found = nearest_rows(ids, vectors, np.full(len(ids), np.inf), ids, vectors, k)
+            shown = pa.schema({"rep": table["rep"].type, "other": table["rep"].type, "distance2": pa.float64()})
+            yield from pa.Table.from_pandas(found, shown, preserve_index=False).to_batches()
+
+    return reps.select("rep", "vector").coalesce(1).mapInArrow(nearest, f"rep {kind}, other {kind}, distance2 double")
+
+
 def _best(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("rep").orderBy("distance2", "other")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
@@ -292,7 +310,10 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, pairs: Data
     rows, all other rows are neighbours; no rows give no rows.
     """
     rows, reps = distinct_points(df, key, vector, k)
-    n_cells = min(MAX_CELLS, math.ceil(reps.count() / POINTS_PER_CELL))
+    count = reps.count()
+    if 0 < count <= min(ALONE_ROWS, POINT_ROWS):
+        return _expand(rows, reps, _search_alone(reps, k), k, pairs)
+    n_cells = min(MAX_CELLS, math.ceil(count / POINTS_PER_CELL))
     chosen = reps.select("vector", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(max(1, n_cells)).collect()
     if not chosen:
         return _expand(rows, reps, None, k, pairs)

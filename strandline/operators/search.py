@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import SEARCH_PARALLELISM, SEARCH_TRIALS
-from strandline.operators.models import decision_tree, logistic_regression, random_forest
+from strandline.operators.in_task import binned, forest_classes, logistic, logistic_classes, numbered, one_task_each, packed, unpacked
+from strandline.operators.models import RandomCuts, SplitBoundForest, decision_tree, logistic_regression, random_forest
 from strandline.operators.tpe import Choice, LogNormal, Sampler, Uniform
-from strandline.session import in_parallel, in_thread
+from strandline.session import in_parallel, in_thread, release
 
 # The families of the search space and the penalties each may draw.
 FAMILIES = ("dtree", "rf", "logreg", "logregnone", "logregLl", "logregSG", "logregSGN")
@@ -90,13 +96,17 @@ class Fold:
 
 
 METRICS = ("accuracy", "precision", "recall", "f1")
+#: Coordinates that a task holds to fit on; a search on larger folds takes the distributed fits of Spark ML.
+FIT_BYTES = 320 << 20
 
 
 def _fold_metrics(scored: DataFrame) -> dict[str, float] | None:
     """The metrics of class 1 over some held-out rows, None if there are none; 0 where a share has no base."""
     hit, said, true = F.col("predicted") == F.col("target"), F.col("predicted") == 1, F.col("target") == 1
-    n, right, both, claimed, there = scored.agg(
-        F.count(F.lit(1)), *[F.count_if(c) for c in (hit, said & true, said, true)]).first()
+    return _metrics(*scored.agg(F.count(F.lit(1)), *[F.count_if(c) for c in (hit, said & true, said, true)]).first())
+
+
+def _metrics(n: int, right: int, both: int, claimed: int, there: int) -> dict[str, float] | None:
     if not n:
         return None
     return {"accuracy": right / n, "precision": both / claimed if claimed else 0.0,
@@ -115,7 +125,10 @@ def cross_validated(folds: list[Fold], make: Callable[[int], Estimator], rows: l
         return _fold_metrics(make(n).fit(fold.train).transform(fold.held_out))
 
     cases = list(zip(folds, rows or [f.train.count() for f in folds]))
-    found = in_parallel(folds[0].train.sparkSession, measured, cases, len(cases)) if cases else []
+    return _mean_metrics(in_parallel(folds[0].train.sparkSession, measured, cases, len(cases)) if cases else [])
+
+
+def _mean_metrics(found: list[dict[str, float] | None]) -> dict[str, float]:
     present = [m for m in found if m]
     return {name: sum(m[name] for m in present) / len(present) if present else float("nan") for name in METRICS}
 
@@ -125,6 +138,77 @@ def cross_validated_accuracy(folds: list[Fold], make: Callable[[int], Estimator]
     return cross_validated(folds, make, rows)["accuracy"]
 
 
+def classes_in_task(estimator: Estimator, width: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """What a task does to fit ``estimator`` on some rows of ``width`` features and their classes, and to classify others."""
+    if isinstance(estimator, LogisticRegression):
+        settings = estimator.getRegParam(), estimator.getElasticNetParam(), estimator.getMaxIter()
+        return lambda x, y, others: logistic_classes(others, logistic(x, y, *settings))
+    cuts, min_split = None, 0.0
+    if isinstance(estimator, Pipeline):
+        cuts, estimator = estimator.getStages()
+    if isinstance(estimator, SplitBoundForest):
+        estimator, min_split = estimator.forest, estimator.min_split
+    if not isinstance(estimator, RandomForestClassifier) or not isinstance(cuts, RandomCuts | None):
+        raise ValueError(f"no fit in a task for {estimator!r}")
+    settings = dict(trees=estimator.getNumTrees(), bagged=estimator.getBootstrap(), criterion=estimator.getImpurity(),
+                    max_depth=estimator.getMaxDepth(), min_leaf=estimator.getMinWeightFractionPerNode(), min_split=min_split,
+                    max_features=estimator.getFeatureSubsetStrategy(), seed=estimator.getSeed())
+
+    thresholds = [np.array(t) for t in cuts.thresholds(width)] if cuts else None
+
+    def classes(x, y, others):
+        if thresholds:
+            x, others = binned(x, thresholds), binned(others, thresholds)
+        return forest_classes(x, y, others, **settings)
+
+    return classes
+
+
+@contextmanager
+def evaluator(spark: SparkSession, folds: list[Fold]) -> Iterator[Callable[[dict], dict[str, float]]]:
+    """What gives the metrics of a trial: one job in which a task fits on each fold, if folds fit into a task.
+
+    The folds are packed once, so that a task reads its own through Spark without a
+    shuffle. Larger folds are fitted by Spark ML, in hundreds of jobs.
+    """
+    counts = in_parallel(spark, lambda df: df.count(), [df for f in folds for df in (f.train, f.held_out)], SEARCH_PARALLELISM)
+    sizes, most = counts[::2], max((a + b for a, b in zip(counts[::2], counts[1::2])), default=0)
+    width = len(folds[0].train.first()["features"]) if folds and min(sizes) else 0
+    kind = next((k for k in ("f8", "f4") if most * width * int(k[1]) <= FIT_BYTES), None)
+    if not width or kind is None:
+        yield lambda trial: cross_validated(folds, lambda n: build(trial, n), sizes)
+        return
+    target = next(c for c in folds[0].train.columns if c != "features")
+
+    def pack(fold: Fold) -> DataFrame:
+        both = fold.train.withColumn("held", F.lit(False)).unionAll(fold.held_out.withColumn("held", F.lit(True)))
+        return packed(both, target, "held", kind, "packed-fold")
+
+    tables = in_parallel(spark, pack, folds, SEARCH_PARALLELISM)
+    rows = one_task_each(tables)
+
+    def evaluate(trial: dict) -> dict[str, float]:
+        # Trees are built alike for any number of rows.
+        fits = [classes_in_task(build(trial, n), width) for n in (sizes if trial["family"] in PENALTIES else sizes[:1])]
+
+        def measured(batches):
+            fold: list[int] = []
+            parts = unpacked(numbered(batches, fold), kind)
+            if fold:
+                (x, y), (others, true) = parts[False], parts[True]
+                said = fits[fold[0] % len(fits)](x, y, others) if len(others) else true
+                yield pa.RecordBatch.from_pydict({"fold": fold, "n": [len(true)], "right": [int((said == true).sum())], "both": [
+                    int((said & true).sum())], "claimed": [int(said.sum())], "there": [int(true.sum())]})
+
+        found = rows.mapInArrow(measured, "fold long, n long, right long, both long, claimed long, there long").collect()
+        return _mean_metrics([_metrics(*r[1:]) for r in sorted(found)])
+
+    try:
+        yield evaluate
+    finally:
+        release(*tables)
+
+
 def _table(spark: SparkSession, trials: list[dict], found: list[dict[str, float]]) -> DataFrame:
     """One row for each trial and metric, best accuracy first; of equal ones the earlier trial."""
     order = sorted(range(len(trials)), key=lambda i: (-found[i]["accuracy"], i))
@@ -135,10 +219,9 @@ def _table(spark: SparkSession, trials: list[dict], found: list[dict[str, float]
 
 
 def search(spark: SparkSession, folds: list[Fold], trials: list[dict], parallelism: int = SEARCH_PARALLELISM) -> DataFrame:
-    """Given trials with their metrics, best first. Every fit is a Spark job of its own; a few run at a time."""
-    sizes = [fold.train.count() for fold in folds]
-    return _table(spark, trials, in_parallel(
-        spark, lambda trial: cross_validated(folds, lambda n: build(trial, n), sizes), trials, parallelism))
+    """Given trials with their metrics, best first; a few run at a time."""
+    with evaluator(spark, folds) as evaluate:
+        return _table(spark, trials, in_parallel(spark, evaluate, trials, parallelism))
 
 
 def sequential_search(spark: SparkSession, folds: list[Fold], n: int = SEARCH_TRIALS, seed: int = 0,
@@ -150,8 +233,9 @@ def sequential_search(spark: SparkSession, folds: list[Fold], n: int = SEARCH_TR
     places earlier has ended, and knows all up to that one. So the search is the same
     for the same seed, however long each fit takes.
     """
-    sizes = [fold.train.count() for fold in folds]
-    evaluate = evaluate or (lambda trial: cross_validated(folds, lambda n_rows: build(trial, n_rows), sizes))
+    if evaluate is None:
+        with evaluator(spark, folds) as measured:
+            return sequential_search(spark, folds, n, seed, parallelism, space, measured)
     sampler, trials, places, running, found = Sampler(space, seed), [], [], [], []
     with ThreadPool(parallelism) as pool:
         for i in range(n):
